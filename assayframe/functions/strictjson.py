@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assayframe.functions.columns import as_column
 
@@ -31,7 +32,7 @@ def strict_json(text: str | Column) -> Column:
     return F.coalesce(shape & ~F.exists(numbers, refused), F.lit(False))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def is_canonical_line(lines: pd.Series) -> pd.Series:
     """Whether each line equals the compact, key-sorted encoding of what it parses to.
 

@@ -323,6 +323,24 @@ def plan_violations(plans: DataFrame) -> DataFrame:
     )
 
 
+def plan_row_violations(rows: DataFrame) -> DataFrame:
+    """The plan rules for plans kept as rows ``run_id, iteration, beam, candidate_id``."""
+    numbers = rows.groupBy("run_id").agg(
+        F.min("iteration").alias("lowest"), F.max("iteration").alias("highest"), F.count_distinct("iteration").alias("n")
+    )
+    gaps = numbers.where((F.col("lowest") != 1) | (F.col("n") != F.col("highest"))).select(
+        "run_id", F.lit("iterations are not 1..N").alias("rule"),
+        F.concat_ws(" of ", F.col("n").cast("string"), F.col("highest").cast("string")).alias("detail"),
+    )
+    names = rows.select("run_id", "beam").distinct().where(~matches("beam", BEAM_NAME_PATTERN)).select(
+        "run_id", F.lit("a beam name is malformed").alias("rule"), F.col("beam").alias("detail")
+    )
+    repeats = rows.groupBy("run_id", "iteration", "beam", "candidate_id").count().where(F.col("count") > 1).select(
+        "run_id", F.lit("a candidate repeats in a beam").alias("rule"), F.col("beam").alias("detail")
+    )
+    return gaps.unionByName(names).unionByName(repeats)
+
+
 def _listing(position: str | Column, candidate: str | Column) -> Column:
     """One candidate's share of a list fingerprint; shares add up, so a list is never collected."""
     position = F.col(position) if isinstance(position, str) else position

@@ -53,6 +53,14 @@ def request_violations(requests: DataFrame) -> DataFrame:
     return requests.select("run_id", "request_seq", F.explode(broken).alias("rule"))
 
 
+def request_size_violations(requests: DataFrame, entries: DataFrame, *, most: int = MAX_REQUEST_ENTRIES) -> DataFrame:
+    """The size rule for requests whose entries are a table of their own."""
+    sizes = entries.groupBy("request_seq").agg(F.count("*").alias("n"))
+    joined = requests.join(sizes, "request_seq", "left")
+    rule = F.when(F.col("n").isNull(), "request has no entry").when(F.col("n") > most, "request has too many entries")
+    return joined.select("run_id", "request_seq", rule.alias("rule")).where(F.col("rule").isNotNull())
+
+
 def answer(
     lookups: DataFrame, candidates: DataFrame, registry: Registry, *, backend: str = "table", source: str = "",
     tier: str = "", failure: str | None = None,

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayframe.functions.columns import ceil_div, exact_sum
@@ -187,6 +187,13 @@ def trends(metrics: DataFrame) -> DataFrame:
     )
 
 
+def beam_order(reported: DataFrame) -> DataFrame:
+    """Beams of a run in the order they first appear.  One row per beam reaches the window."""
+    first = reported.groupBy("run_id", "beam").agg(F.min("seq").alias("first_seq"))
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy("first_seq"))
+    return first.select("run_id", "beam", place.cast("long").alias("place"))
+
+
 # -- from a parsed run log ---------------------------------------------------------------
 
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from assayframe.plans import measure
+from assayframe.plans import lookup, measure, quality, runs
 
-_PARTS = (measure,)
+_SHELVES = (measure.SHELF, lookup.SHELF, runs.SHELF, quality.SHELF)
 
 
 def all_queries():
-    return {name: fn for part in _PARTS for name, fn in part.QUERIES.items()}
+    return {name: fn for shelf in _SHELVES for name, fn in shelf.queries.items()}
 
 
 def all_oracles():
-    return {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
+    return {name: sql for shelf in _SHELVES for name, sql in shelf.oracles.items()}

@@ -2,35 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayframe.functions.columns import content_id, normalise_label
 from assayframe.operators import candidates as cand
 from assayframe.operators import filters, identity, profile
+from assayframe.plans.registering import Shelf
 from assayframe.plans.rounding import rounded
 from assayframe.plans.tables import MEASURED, MEASUREMENTS, SQL_TRIPLE, TRIPLE, measurements, row_bound, table
 from assayframe.sources.measurements import load_accounting, with_row_index
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+SHELF = Shelf()
+query = SHELF.query
 PROPERTIES = MEASURED.columns()
 
 
-def query(name: str, sql: str | None = None):
-    """Register a query with the SQL it must agree with."""
-
-    def register(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = sql
-        return fn
-
-    return register
-
-
 def _candidate_sql(source: str = "measurements", key: str = "candidate_id", where: str = "true") -> str:
     stats = ", ".join(
         f"median({p}) AS {p}_median, count({p}) AS {p}_n, min({p}) AS {p}_min, max({p}) AS {p}_max, stddev_samp({p}) AS {p}_std"
