@@ -21,6 +21,7 @@ from assayframe.functions.columns import ceil_div, exact_sum
 from assayframe.operators.filters import holds
 from assayframe.operators.logchecks import EVALUATION, ITERATION_CLOSED, NO_MATCH, RUN_CLOSED, RUN_OPENED, SELECTION
 from assayframe.operators.scale import chunk_of, cut_points, fits_one_task, group_quantiles, running
+from assayframe.sources.storage import cut_lineage
 
 BEAM = ["run_id", "iteration", "beam"]
 # The shares of the feasible members that count as top hits.
@@ -112,6 +113,8 @@ def percent_worse(
     )
     # Equal values become one row first: the running sum minus its own members is then strictly worse.
     values = theirs.unionByName(ours).groupBy(*keys, "_v").agg(F.sum("_m").alias("_m"))
+    if not fits_one_task(rows_bound):
+        values = cut_lineage(values)  # read three times below
     counted = running(
         values, keys, ["_v"], {"_worse": ("sum", F.col("_m"))}, chunk=_value_chunk(values, "_v", rows_bound), totals=["_worse"]
     )

@@ -37,8 +37,9 @@ def fits_one_task(rows_bound: int | None) -> bool:
     return rows_bound is not None and rows_bound <= TASK_ROWS
 
 
-def cut_points(df: DataFrame, columns: Sequence[str], pieces: int = MAX_PIECES) -> dict[str, list]:
+def cut_points(df: DataFrame, columns: Sequence[str]) -> dict[str, list]:
     """Ascending cut points that spread each column evenly, all from one mergeable sketch pass."""
+    pieces = MAX_PIECES
     grid = [i / pieces for i in range(1, pieces)]
     found = df.agg(*[F.percentile_approx(name, grid, SKETCH_ACCURACY).alias(name) for name in columns]).first()
     return {name: sorted(set(found[name] or [])) for name in columns}

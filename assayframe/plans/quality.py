@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assayframe.functions.strictjson import strict_json
-from assayframe.operators import findings, logchecks, masking, profile
-from assayframe.plans.measure import PROPERTIES
-from assayframe.plans.registering import Shelf
-from assayframe.plans.tables import MEASURED, MEASUREMENTS, SQL_TRIPLE, TRIPLE, measurements, row_bound, table
+from assayframe.operators import findings, logchecks, masking
 from assayframe.operators.filters import core_triple
+from assayframe.plans.registering import Shelf
+from assayframe.plans.tables import MEASURED, MEASUREMENTS, SQL_TRIPLE, TRIPLE, measurements, table
 from assayframe.sources.manifest import audit_files, file_hashes, parse_manifest
 from assayframe.sources.registry import registry_violations
 
@@ -130,14 +129,31 @@ def unnamed_populations(spark, sf_dir):
     return findings.unnamed_populations(counts, spark.createDataFrame([("A",), ("R",)], "population string"))
 
 
+_BRANDS = [f"Brand#{i}" for i in range(1, 27)]
+
+
 @query(
     "registry_audit",
-    """SELECT r.*, n_seen FROM (VALUES ('weight', 'key is missing')) r(key, rule), (SELECT count(*) AS n_seen FROM lineitem)""",
+    """WITH r AS (SELECT p_brand AS key, count(*) AS n, min(p_size) AS low, CASE WHEN max(p_size) < 50 THEN NULL ELSE max(p_size) END AS high FROM part GROUP BY 1),
+e AS (SELECT 'Brand#' || unnest(range(1, 27)) AS key)
+SELECT key, 'range must be an ordered pair' AS rule FROM r WHERE high IS NULL
+UNION ALL SELECT key, 'unverified unit needs a note' FROM r WHERE low > 1
+UNION ALL SELECT key, 'role is not known' FROM r WHERE n % 2 = 1
+UNION ALL SELECT key, 'key is missing' FROM e ANTI JOIN r USING (key)
+UNION ALL SELECT key, 'key is not expected' FROM r ANTI JOIN e USING (key)""",
 )
 def registry_audit(spark, sf_dir):
-    """Registry rules, beside the size of the table the registry describes."""
-    broken = registry_violations(MEASURED.frame(spark), [*PROPERTIES, "weight"])
-    return profile.beside(broken, table(spark, sf_dir, "lineitem").agg(F.count("*").alias("n_seen")))
+    """A registry derived from the parts, one entry per brand, whose entries break several rules."""
+    size = F.col("p_size").cast("double")
+    entries = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("key")).agg(
+        F.min(size).alias("low"), F.when(F.max(size) >= 50, F.max(size)).alias("high"), F.count("*").alias("n")
+    ).select(
+        "key", F.translate("key", "#", "_").alias("column"), F.lit("cm").alias("unit"),
+        F.when(F.col("low") > 1, "unverified").otherwise("verified").alias("unit_status"), F.lit(None).cast("string").alias("unit_note"),
+        F.when(F.col("n") % 2 == 1, "guess").otherwise("validator").alias("role"), "low", "high",
+        F.lit(None).cast("boolean").alias("keep_flag"), F.lit(None).cast("array<double>").alias("ladder"),
+    )
+    return registry_violations(entries, _BRANDS)
 
 
 _SHAPES_SQL = "|".join(f"(?:{shape})" for shape in masking.VALUE_SHAPES)
