@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayframe.functions.columns import content_id
 from assayframe.operators.filters import core_triple
 from assayframe.operators.scale import fits_one_task, group_quantiles
 from assayframe.sources.registry import Registry
@@ -14,13 +15,27 @@ from assayframe.sources.storage import cut_lineage
 
 MIN_REPLICATES = 2
 
+Key = str | Sequence[str]
+
+
+def _keys(key: Key) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def with_candidate_id(candidates: DataFrame, structure_key: str, label: str) -> DataFrame:
+    """Add the content id to a table grouped by its natural key."""
+    return candidates.withColumn("candidate_id", content_id(structure_key, label))
+
 
 def build_candidates(
-    rows: DataFrame, properties: Sequence[str], *, key: str = "candidate_id", carry: Sequence[str] = (),
+    rows: DataFrame, properties: Sequence[str], *, key: Key = "candidate_id", carry: Sequence[str] = (),
     rows_bound: int | None = None,
 ) -> DataFrame:
     """One row per candidate: exact median, non-null count, min, max and sample std per property.
 
+    ``key`` may be the natural key (structure key and label), which spares a
+    hash per row; ``with_candidate_id`` then adds the id once per candidate.
+
     Everything but the median combines on the map side.  The median does too
     while the input is proven small; otherwise it is found by chunked ranks, so
     a candidate with a third of all rows is spread over many tasks.
@@ -36,12 +51,12 @@ def build_candidates(
     plain += [F.min(name).alias(name) for name in carry]
     if fits_one_task(rows_bound):
         medians = [F.median(name).alias(f"{name}_median") for name in properties]
-        return rows.groupBy(key).agg(*medians, *plain)
-    table = rows.groupBy(key).agg(*plain)
+        return rows.groupBy(*_keys(key)).agg(*medians, *plain)
+    table = rows.groupBy(*_keys(key)).agg(*plain)
     if not properties:
         return table
-    medians = group_quantiles(rows, [key], {f"{name}_median": (name, 0.5) for name in properties})
-    return table.join(medians, key, "left")
+    medians = group_quantiles(rows, _keys(key), {f"{name}_median": (name, 0.5) for name in properties})
+    return table.join(medians, _keys(key), "left")
 
 
 def replicate_structure(candidates: DataFrame) -> DataFrame:
@@ -100,7 +115,7 @@ def noise_floor(candidates: DataFrame, properties: Sequence[str], *, rows_bound:
 
 
 def noise_floor_on_rows(
-    rows: DataFrame, mask: Column, properties: Sequence[str], *, key: str = "candidate_id", rows_bound: int | None = None
+    rows: DataFrame, mask: Column, properties: Sequence[str], *, key: Key = "candidate_id", rows_bound: int | None = None
 ) -> DataFrame:
     """Filter rows, group, then take the floor."""
     candidates = build_candidates(rows.where(mask), properties, key=key, rows_bound=rows_bound)
@@ -113,7 +128,7 @@ def _constant(column: str) -> Column:
     return (present == 0) | ((present == F.count("*")) & (F.min(column) == F.max(column)))
 
 
-def version_split(rows: DataFrame, versions: Sequence[str], *, key: str = "candidate_id") -> DataFrame:
+def version_split(rows: DataFrame, versions: Sequence[str], *, key: Key = "candidate_id") -> DataFrame:
     """Replicated candidates measured under one version of every column, and under several.
 
     Group sizes and versions come from the same map-side combined pass; the
@@ -123,20 +138,20 @@ def version_split(rows: DataFrame, versions: Sequence[str], *, key: str = "candi
     for column in versions:
         if column in rows.columns:
             same = same & _constant(column)
-    groups = rows.groupBy(key).agg(F.count("*").alias("n_rows"), same.alias("same"))
+    groups = rows.groupBy(*_keys(key)).agg(F.count("*").alias("n_rows"), same.alias("same"))
     return groups.where(F.col("n_rows") >= MIN_REPLICATES).agg(
         F.count_if("same").alias("same_version"), F.count_if(~F.col("same")).alias("cross_version")
     )
 
 
-def rows_of_replicated(rows: DataFrame, candidates: DataFrame, *, key: str = "candidate_id") -> DataFrame:
+def rows_of_replicated(rows: DataFrame, candidates: DataFrame, *, key: Key = "candidate_id") -> DataFrame:
     """Rows of candidates that have several."""
-    several = candidates.where(F.col("n_rows") >= MIN_REPLICATES).select(key)
-    return rows.join(several, key, "left_semi")
+    several = candidates.where(F.col("n_rows") >= MIN_REPLICATES).select(*_keys(key))
+    return rows.join(several, _keys(key), "left_semi")
 
 
 def candidate_population(
-    rows: DataFrame, registry: Registry, triple: Sequence[str], order: str, *, key: str = "candidate_id",
+    rows: DataFrame, registry: Registry, triple: Sequence[str], order: str, *, key: Key = "candidate_id",
     carry: Sequence[str] = (), rows_bound: int | None = None,
 ) -> DataFrame:
     """Candidates of the core triple; the two orders give different populations."""

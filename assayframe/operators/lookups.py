@@ -186,7 +186,7 @@ def budget_greedy(answered: DataFrame, limit: int, *, rows_bound: int | None = N
 
     Returns ``run_id, request_seq, evals, accepted``; ``evals`` is what the
     request costs at its turn.  A refusal changes later cache hits, so a run is
-    a sequential fold.  Runs proven to fit one task are folded one per group;
+    a sequential fold.  Runs proven to fit one task are folded in one ordered pass;
     otherwise all runs advance together, a stretch of requests per round.
     """
     requests = answered.select(*REQUEST).distinct()
@@ -197,22 +197,39 @@ def budget_greedy(answered: DataFrame, limit: int, *, rows_bound: int | None = N
 
 
 def _fold_runs(pairs: DataFrame, limit: int) -> DataFrame:
+    """One ordered pass over the runs of each partition; memory holds one run's known pairs."""
     run_type = pairs.schema["run_id"].dataType.simpleString()
     seq_type = pairs.schema["request_seq"].dataType.simpleString()
 
-    def fold(run: pd.DataFrame) -> pd.DataFrame:
-        left, known, out = limit, set(), []
-        for seq, request in run.groupby("request_seq", sort=True):
-            fresh = set(zip(request["candidate_id"], request["property"], strict=True)) - known
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, seq, left, known, fresh, out = None, None, limit, set(), set(), []
+
+        def decide() -> None:
+            nonlocal left
             cost = len({candidate for candidate, _ in fresh})
-            fits = cost <= left
-            if fits:
+            out.append((run, seq, cost, cost <= left))
+            if cost <= left:
                 left -= cost
-                known |= fresh
-            out.append((run["run_id"].iloc[0], seq, cost, fits))
-        return pd.DataFrame(out, columns=["run_id", "request_seq", "evals", "accepted"])
-
-    return pairs.groupBy("run_id").applyInPandas(
+                known.update(fresh)
+
+        for part in parts:
+            for row_run, row_seq, *pair in part.itertuples(index=False, name=None):
+                if (row_run, row_seq) != (run, seq):
+                    if seq is not None:
+                        decide()
+                    if row_run != run:
+                        left, known = limit, set()
+                    run, seq, fresh = row_run, row_seq, set()
+                if tuple(pair) not in known:
+                    fresh.add(tuple(pair))
+            yield pd.DataFrame(out, columns=["run_id", "request_seq", "evals", "accepted"])
+            out.clear()
+        if seq is not None:
+            decide()
+            yield pd.DataFrame(out, columns=["run_id", "request_seq", "evals", "accepted"])
+
+    ordered = pairs.repartition("run_id").sortWithinPartitions("run_id", "request_seq")
+    return ordered.select(*PAIR[:1], "request_seq", *PAIR[1:]).mapInPandas(
         fold, f"run_id {run_type}, request_seq {seq_type}, evals long, accepted boolean"
     )
 

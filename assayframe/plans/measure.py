@@ -10,7 +10,7 @@ from assayframe.operators import candidates as cand
 from assayframe.operators import filters, identity, profile
 from assayframe.plans.registering import Shelf
 from assayframe.plans.rounding import rounded
-from assayframe.plans.tables import MEASURED, MEASUREMENTS, SQL_TRIPLE, TRIPLE, measurements, row_bound, table
+from assayframe.plans.tables import CANDIDATE_KEY, MEASURED, MEASUREMENTS, SQL_TRIPLE, TRIPLE, measurements, row_bound, table
 from assayframe.sources.measurements import load_accounting, with_row_index
 
 SHELF = Shelf()
@@ -34,9 +34,9 @@ SELECT candidate_id, l_partkey, label, n_rows, """ + ", ".join(
 
 
 def _build(spark: SparkSession, sf_dir: str, bound: int | None) -> DataFrame:
-    rows = measurements(spark, sf_dir).withColumn("label", normalise_label("label"))
-    built = cand.build_candidates(rows, PROPERTIES, carry=["l_partkey", "label"], rows_bound=bound)
-    return rounded(built, price_std=3)
+    built = cand.build_candidates(measurements(spark, sf_dir), PROPERTIES, key=CANDIDATE_KEY, rows_bound=bound)
+    named = cand.with_candidate_id(built, "l_partkey", "tidy_label").withColumnRenamed("tidy_label", "label")
+    return rounded(named, price_std=3)
 
 
 @query("candidate_build", _BUILD_SQL)
@@ -250,7 +250,7 @@ def structure_key_merge(spark, sf_dir):
 
 
 def _candidates(spark: SparkSession, sf_dir: str, bound: int | None) -> DataFrame:
-    return cand.build_candidates(measurements(spark, sf_dir), PROPERTIES, rows_bound=bound)
+    return cand.build_candidates(measurements(spark, sf_dir), PROPERTIES, key=CANDIDATE_KEY, rows_bound=bound)
 
 
 _SIZES = f"WITH {MEASUREMENTS}, c AS (SELECT candidate_id, count(*) AS n_rows FROM measurements GROUP BY 1) "
@@ -262,12 +262,12 @@ _SIZES = f"WITH {MEASUREMENTS}, c AS (SELECT candidate_id, count(*) AS n_rows FR
     "coalesce(sum(n_rows) FILTER (WHERE n_rows >= 2), 0)::BIGINT AS rows_in_multi_row, max(n_rows) AS max_rows FROM c",
 )
 def replicate_structure(spark, sf_dir):
-    return cand.replicate_structure(cand.build_candidates(measurements(spark, sf_dir), [], rows_bound=row_bound(spark, sf_dir, "lineitem")))
+    return cand.replicate_structure(cand.build_candidates(measurements(spark, sf_dir), [], key=CANDIDATE_KEY, rows_bound=row_bound(spark, sf_dir, "lineitem")))
 
 
 @query("size_histogram", _SIZES + "SELECT n_rows, count(*) AS n_candidates FROM c GROUP BY 1")
 def size_histogram(spark, sf_dir):
-    return cand.size_histogram(cand.build_candidates(measurements(spark, sf_dir), [], rows_bound=row_bound(spark, sf_dir, "lineitem")))
+    return cand.size_histogram(cand.build_candidates(measurements(spark, sf_dir), [], key=CANDIDATE_KEY, rows_bound=row_bound(spark, sf_dir, "lineitem")))
 
 
 @query(
@@ -287,8 +287,8 @@ def version_split(spark, sf_dir):
 )
 def rows_of_replicated(spark, sf_dir):
     rows = measurements(spark, sf_dir)
-    sizes = cand.build_candidates(rows, [], rows_bound=row_bound(spark, sf_dir, "lineitem"))
-    return cand.rows_of_replicated(rows, sizes).groupBy("l_linestatus").agg(F.count("*").alias("n_rows"))
+    sizes = cand.build_candidates(rows, [], key=CANDIDATE_KEY, rows_bound=row_bound(spark, sf_dir, "lineitem"))
+    return cand.rows_of_replicated(rows, sizes, key=CANDIDATE_KEY).groupBy("l_linestatus").agg(F.count("*").alias("n_rows"))
 
 
 def _noise_sql(where: str = "true") -> str:
@@ -317,7 +317,7 @@ def noise_floor_chunked(spark, sf_dir):
 def noise_floor_filtered(spark, sf_dir):
     mask = filters.core_triple(MEASURED, TRIPLE)
     bound = row_bound(spark, sf_dir, "lineitem")
-    return rounded(cand.noise_floor_on_rows(measurements(spark, sf_dir), mask, PROPERTIES, rows_bound=bound))
+    return rounded(cand.noise_floor_on_rows(measurements(spark, sf_dir), mask, PROPERTIES, key=CANDIDATE_KEY, rows_bound=bound))
 
 
 @query(
@@ -417,7 +417,7 @@ def candidate_population_orders(spark, sf_dir):
     bound = row_bound(spark, sf_dir, "lineitem")
     rows = measurements(spark, sf_dir)
     parts = [
-        cand.candidate_population(rows, MEASURED, TRIPLE, order, rows_bound=bound).agg(
+        cand.candidate_population(rows, MEASURED, TRIPLE, order, key=CANDIDATE_KEY, rows_bound=bound).agg(
             F.count("*").alias("n_candidates"), F.sum("n_rows").alias("n_rows")
         ).select(F.lit(order).alias("population_order"), "n_candidates", "n_rows")
         for order in ("filter_then_median", "median_then_filter")
@@ -433,7 +433,7 @@ SELECT round(cut, 6) AS quantile_cut, n_feasible, n_population, round(100.0::DOU
 )
 def feasible_set(spark, sf_dir):
     bound = row_bound(spark, sf_dir, "lineitem")
-    population = cand.candidate_population(measurements(spark, sf_dir), MEASURED, TRIPLE, "filter_then_median", rows_bound=bound)
+    population = cand.candidate_population(measurements(spark, sf_dir), MEASURED, TRIPLE, "filter_then_median", key=CANDIDATE_KEY, rows_bound=bound)
     return rounded(profile.feasible_set(population, "quantity_median", "price_median", 10000.0, rows_bound=bound))
 
 

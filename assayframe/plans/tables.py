@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayframe.functions.columns import content_id
+from assayframe.functions.columns import normalise_label
 from assayframe.operators.scale import fits_one_task, running
 from assayframe.session import tune
 from assayframe.sources.registry import Property, Registry
@@ -22,6 +22,8 @@ MEASURED = Registry(
         Property("price", "price", "usd", "intermediate", 1000.0, 90000.0),
     ]
 )
+# The natural key of a candidate of these rows.
+CANDIDATE_KEY = ["l_partkey", "tidy_label"]
 TRIPLE = ("tax", "quantity", "discount")
 SERVED = Registry(
     [
@@ -64,7 +66,7 @@ def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
         label.alias("label"), (F.col("l_linestatus") == "F").alias("flag"),
         F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"),
         F.nullif("l_discount", F.lit(0.0)).alias("discount"), F.nullif("l_tax", F.lit(0.0)).alias("tax"),
-        content_id("l_partkey", label).alias("candidate_id"),
+        normalise_label(label).alias("tidy_label"),
     )
 
 
