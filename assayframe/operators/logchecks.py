@@ -153,7 +153,7 @@ def line_violations(lines: DataFrame) -> DataFrame:
     rules = {
         "line is not UTF-8": ~utf8,
         "line is not strict JSON": utf8 & ~strict,
-        "line is not in canonical form": strict & ~is_canonical_line(text),
+        "line is not in canonical form": utf8 & strict & ~is_canonical_line(F.when(utf8, text)),
     }
     return violations(lines.select(F.col("file").alias("run_id"), F.col("line").alias("seq"), "value"), rules)
 
