@@ -28,7 +28,11 @@ def strict_json(text: str | Column) -> Column:
         overflow = real & (F.abs(token.try_cast("double")) == F.lit(float("inf")))
         return overflow | (~real & (F.length(token) > MAX_INTEGER_CHARS))
 
-    shape = F.try_parse_json(text).isNotNull()
+    # The parser stops after the first value.  Only a text that is one value and
+    # nothing else is valid both as an array element and as an object member.
+    element = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()
+    member = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
+    shape = element & member
     return F.coalesce(shape & ~F.exists(numbers, refused), F.lit(False))
 
 

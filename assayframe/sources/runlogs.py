@@ -82,7 +82,7 @@ def read_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def read_json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One row per JSON document file (requests, plans, problems), strictly read."""
-    texts = spark.read.option("wholetext", True).text(path)
+    texts = spark.read.text(path, wholetext=True)
     complaint = F.lit("not a strict JSON document")
     checked = texts.select(F.when(strict_json("value"), F.col("value")).otherwise(F.raise_error(complaint)).alias("value"))
     return checked.select(F.from_json("value", schema).alias("d")).select("d.*")
