@@ -36,22 +36,35 @@ def observed_labels(df: DataFrame, key: str, label: str) -> DataFrame:
     return pairs.groupBy(key).agg(F.array_sort(F.collect_set("_label")).alias("labels"))
 
 
-def resolve_labels(df: DataFrame, key: str, label: str, name: str = "resolved_label") -> DataFrame:
+def _label_evidence(df: DataFrame, key: str, label: str) -> DataFrame:
+    """Keys that have an unlabelled row and exactly one label, with that label."""
+    tidy = normalise_label(label)
+    known = known_label(tidy)
+    return (
+        df.groupBy(key)
+        .agg(F.min(known).alias("_only"), F.max(known).alias("_last"), F.bool_or(tidy == UNKNOWN_LABEL).alias("_asks"))
+        .where(F.col("_asks") & (F.col("_only") == F.col("_last")))
+        .select(key, "_only")
+    )
+
+
+def resolve_labels(df: DataFrame, key: str, label: str, name: str = "resolved_label", *, scan_again: bool = True) -> DataFrame:
     """An unknown label takes the only label its key carries anywhere in the table.
 
-    The per-key evidence is a map-side combined min/max, one row per key, so a
-    hot key costs one row here and is split by the skew join below.
+    The evidence is a map-side combined min/max: one row per key, whatever its
+    size.  With ``scan_again`` the labelled rows, usually nearly all, bypass the
+    join and are never shuffled; pass ``False`` where reading ``df`` twice more
+    costs more than moving it.  Hot keys are split by the adaptive skew join.
     """
     tidy = normalise_label(label)
-    evidence = (
-        df.where(tidy != UNKNOWN_LABEL)
-        .groupBy(key)
-        .agg(F.min(label).alias("_only"), F.max(label).alias("_last"))
-        .where(F.col("_only") == F.col("_last"))
-        .drop("_last")
-    )
-    filled = F.when(tidy == UNKNOWN_LABEL, F.coalesce("_only", F.lit(UNKNOWN_LABEL))).otherwise(tidy)
-    return df.join(evidence, key, "left").withColumn(name, filled).drop("_only")
+    evidence = _label_evidence(df, key, label)
+    filled = F.coalesce("_only", F.lit(UNKNOWN_LABEL))
+    if not scan_again:
+        joined = df.join(evidence, key, "left")
+        return joined.select(*df.columns, F.when(tidy == UNKNOWN_LABEL, filled).otherwise(tidy).alias(name))
+    known = df.where(tidy != UNKNOWN_LABEL).withColumn(name, tidy)
+    unknown = df.where(tidy == UNKNOWN_LABEL).join(evidence, key, "left").select(*df.columns, filled.alias(name))
+    return known.unionByName(unknown)
 
 
 def with_identity(
@@ -60,7 +73,8 @@ def with_identity(
 ) -> DataFrame:
     """In-scope rows with ``structure_key``, ``resolved_label`` and ``candidate_id``."""
     keyed = with_structure_key(in_scope(df, second), raw, canonical=canonical, expensive=expensive)
-    resolved = resolve_labels(keyed.where(F.col("structure_key").isNotNull()), "structure_key", label)
+    usable = keyed.where(F.col("structure_key").isNotNull())
+    resolved = resolve_labels(usable, "structure_key", label, scan_again=not expensive)
     return resolved.withColumn("candidate_id", content_id("structure_key", "resolved_label"))
 
 
@@ -98,19 +112,24 @@ def unknown_twin_keys(df: DataFrame, key: str, label: str) -> DataFrame:
     return unknown.intersect(present.where(tidy != UNKNOWN_LABEL).select(key))
 
 
-def label_resolution_audit(source: DataFrame, resolved: DataFrame, *, index: str, key: str, label: str) -> DataFrame:
-    """Outcome of every in-scope row whose source label was empty, by resolved label.
+def with_source_label(resolved: DataFrame, source: DataFrame, *, index: str, label: str) -> DataFrame:
+    """Bring back the label as read, for a table that only kept the resolved one."""
+    return resolved.join(source.select(index, F.col(label).alias("source_label")), index)
+
 
-    ``source`` holds the labels as read, ``resolved`` the in-scope rows after
-    resolution; both carry the row index.  ``unknown`` counts the unresolved rows.
+def label_resolution_audit(resolved: DataFrame, *, key: str, label: str) -> DataFrame:
+    """Outcome of every in-scope row whose source label was empty: ``outcome, n``.
+
+    ``resolved`` carries the label as read beside ``resolved_label``, so nothing
+    is joined.  The outcome ``unknown`` counts the unresolved rows; the outcomes
+    sum to the empty rows.
     """
-    raw = source.select(index, normalise_label(label).alias("label_raw"))
-    joined = resolved.select(index, key, "resolved_label").join(raw, index)
-    empty = joined.where(F.col("label_raw") == UNKNOWN_LABEL)
+    tidy = normalise_label(label)
+    empty = resolved.where(tidy == UNKNOWN_LABEL)
     outcomes = empty.groupBy(F.col("resolved_label").alias("outcome")).agg(F.count("*").alias("n"))
     several = (
-        joined.groupBy(key)
-        .agg(F.min(known_label("label_raw")).alias("first"), F.max(known_label("label_raw")).alias("last"))
+        resolved.groupBy(key)
+        .agg(F.min(known_label(tidy)).alias("first"), F.max(known_label(tidy)).alias("last"))
         .agg(F.count_if(F.col("first") != F.col("last")).alias("n"))
         .select(F.lit("(keys with several labels)").alias("outcome"), "n")
     )

@@ -188,7 +188,7 @@ def header_violations(parsed: DataFrame) -> DataFrame:
     )
 
 
-def _members(text: Column, expected: Column) -> Column:
+def has_members(text: Column, expected: Column) -> Column:
     """The object's keys are exactly ``expected`` (sorted); a repeated or foreign key fails."""
     return F.coalesce(F.array_sort(F.json_object_keys(text)) == expected, F.lit(False))
 
@@ -214,15 +214,15 @@ def shape_violations(parsed: DataFrame) -> DataFrame:
     kind, payload = F.col("record.event"), F.col("record.payload")
     allowed = F.create_map(*[part for k, members in PAYLOAD_MEMBERS.items() for part in (F.lit(k), F.array(*map(F.lit, sorted(members))).cast("array<string>"))])
     text = F.get_json_object("value", "$.payload")
-    members_ok = _members(text, F.try_element_at(allowed, kind)) | (
-        (kind == RUN_CLOSED) & _members(text, F.array(*map(F.lit, BUDGET_MEMBERS)))
+    members_ok = has_members(text, F.try_element_at(allowed, kind)) | (
+        (kind == RUN_CLOSED) & has_members(text, F.array(*map(F.lit, BUDGET_MEMBERS)))
     )
     event = ~F.col("is_header")
     run_level = kind.isin(*RUN_LEVEL)
     listed = payload["candidates"]
     rules = {
-        "header members": F.col("is_header") & ~_members(F.col("value"), F.array(*map(F.lit, HEADER))),
-        "envelope members": event & ~_members(F.col("value"), F.array(*map(F.lit, ENVELOPE))),
+        "header members": F.col("is_header") & ~has_members(F.col("value"), F.array(*map(F.lit, HEADER))),
+        "envelope members": event & ~has_members(F.col("value"), F.array(*map(F.lit, ENVELOPE))),
         "unknown event kind": event & ~F.coalesce(kind.isin(*PAYLOAD_MEMBERS), F.lit(False)),
         "payload members": event & kind.isin(*PAYLOAD_MEMBERS) & ~members_ok,
         "timestamp form": event & ~matches("record.ts", TIMESTAMP_PATTERN),

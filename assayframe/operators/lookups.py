@@ -100,36 +100,41 @@ def answer(
     )
 
 
-def flag_cached(answered: DataFrame, *, preloaded: DataFrame | None = None, rows_bound: int | None = None) -> DataFrame:
+def flag_cached(
+    answered: DataFrame, *, preloaded: DataFrame | None = None, asked: DataFrame | None = None, rows_bound: int | None = None
+) -> DataFrame:
     """Add ``cached``: the pair was answered ok or missing in an earlier request of its run.
 
-    ``preloaded`` (``run_id, candidate_id, property``) counts as answered before the first request.
+    ``preloaded`` (``run_id, candidate_id, property``) counts as answered before
+    the first request.  ``asked`` may hold the same lookups without answers when
+    a pair gets the same answer every time; it spares answering them twice.
     """
     cacheable = F.when(F.col("status").isin(*CACHEABLE), F.col("request_seq"))
     if preloaded is None and fits_one_task(rows_bound):
         first = F.min(cacheable).over(Window.partitionBy(*PAIR))
         together = answered.repartition("run_id", "candidate_id")  # serves this window and the charge window
         return together.withColumn("cached", F.coalesce(first < F.col("request_seq"), F.lit(False)))
-    firsts = answered.where(cacheable.isNotNull()).groupBy(*PAIR).agg(F.min("request_seq").alias("_first"))
+    tried = answered.where(cacheable.isNotNull()) if asked is None else asked
+    firsts = tried.select(*PAIR, "request_seq", F.lit(False).alias("_before"))
     if preloaded is not None:
-        before = preloaded.select(*PAIR).withColumn("_first", F.lit(None).cast("long"))
-        known = firsts.withColumn("_before", F.lit(False)).unionByName(before.withColumn("_before", F.lit(True)))
-        firsts = known.groupBy(*PAIR).agg(F.min("_first").alias("_first"), F.bool_or("_before").alias("_before"))
-    else:
-        firsts = firsts.withColumn("_before", F.lit(False))
-    hit = F.col("status").isin(*CACHEABLE) & (F.col("_before") | (F.col("_first") < F.col("request_seq")))
+        before = preloaded.select(*PAIR, F.lit(None).cast("long").alias("request_seq"), F.lit(True).alias("_before"))
+        firsts = firsts.unionByName(before)
+    firsts = firsts.groupBy(*PAIR).agg(F.min("request_seq").alias("_first"), F.bool_or("_before").alias("_before"))
+    hit = cacheable.isNotNull() & (F.col("_before") | (F.col("_first") < F.col("request_seq")))
     return answered.join(firsts, PAIR, "left").withColumn("cached", F.coalesce(hit, F.lit(False))).drop("_first", "_before")
 
 
 def charge(flagged: DataFrame, *, rows_bound: int | None = None) -> DataFrame:
     """Add ``evals`` and ``cpu_hours``: one eval on a candidate's first fresh ok answer in a request."""
     owner = ["run_id", "request_seq", "candidate_id"]
-    place = F.struct("entry_pos", "prop_pos")
+    # One number orders the places of a request, so the minimum stays in a hash aggregate.
+    place = F.shiftleft(F.col("entry_pos").cast("long"), 20) + F.col("prop_pos")
     fresh = (F.col("status") == OK) & ~F.col("cached")
     if fits_one_task(rows_bound):
         first = F.min(F.when(fresh, place)).over(Window.partitionBy(*owner))
         paid = flagged.withColumn("evals", F.coalesce(place == first, F.lit(False)).cast("long"))
     else:
+        flagged = cut_lineage(flagged)  # two large joins deep and read twice
         firsts = flagged.where(fresh).groupBy(*owner).agg(F.min(place).alias("_first"))
         paid = (
             flagged.join(firsts, owner, "left")
@@ -144,8 +149,8 @@ def evaluate(
     rows_bound: int | None = None, **backend: str,
 ) -> DataFrame:
     """Answers with cache flags and costs, in no particular order (see ``response_order``)."""
-    flagged = flag_cached(answer(lookups, candidates, registry, **backend), preloaded=preloaded, rows_bound=rows_bound)
-    return charge(flagged, rows_bound=rows_bound)
+    answered = answer(lookups, candidates, registry, **backend)
+    return charge(flag_cached(answered, preloaded=preloaded, asked=lookups, rows_bound=rows_bound), rows_bound=rows_bound)
 
 
 def response_order(results: DataFrame) -> DataFrame:
@@ -159,25 +164,21 @@ def request_costs(results: DataFrame) -> DataFrame:
 
 
 def budget_cutoff(costs: DataFrame, limit: Column, *, rows_bound: int | None = None) -> DataFrame:
-    """Requests of each run with ``spent`` before them and ``kept``.
+    """Requests of each run with ``spent`` before them, ``kept`` and ``refused``.
 
-    The first request that costs more than what is left closes the run.
+    The first request that costs more than what is left closes the run.  Costs
+    are not negative, so a running total over the limit stays over it: a request
+    is kept while its own total is within the limit, and the refused one is
+    where the total crosses it.
     """
     chunk = None if fits_one_task(rows_bound) else position_chunk("request_seq")
     totals = running(
         costs.withColumn("_limit", limit), ["run_id"], ["request_seq"], {"_upto": ("sum", F.col("evals"))}, chunk=chunk
     )
-    over = F.col("_upto") > F.col("_limit")
-    if chunk is None:
-        breach = F.min(F.when(over, F.col("request_seq"))).over(Window.partitionBy("run_id"))
-        marked = totals.withColumn("_breach", breach)
-    else:
-        breaches = totals.where(over).groupBy("run_id").agg(F.min("request_seq").alias("_breach"))
-        marked = totals.join(breaches, "run_id", "left")
-    kept = F.col("_breach").isNull() | (F.col("request_seq") < F.col("_breach"))
-    refused = F.coalesce(F.col("request_seq") == F.col("_breach"), F.lit(False))
-    return marked.select(
-        *costs.columns, (F.col("_upto") - F.col("evals")).alias("spent"), kept.alias("kept"), refused.alias("refused")
+    spent = F.col("_upto") - F.col("evals")
+    kept = F.col("_upto") <= F.col("_limit")
+    return totals.select(
+        *costs.columns, spent.alias("spent"), kept.alias("kept"), (~kept & (spent <= F.col("_limit"))).alias("refused")
     )
 
 

@@ -101,30 +101,30 @@ def percent_worse(
 ) -> DataFrame:
     """Add ``pct_of_population``: the share of the population strictly worse than the median.
 
-    ``medians`` carries ``keys`` and ``median_objective``.  Both sides collapse
-    to distinct values, one running count places every median among the members,
-    and no median is ever paired with members.
+    ``medians`` carries ``keys`` and ``median_objective``.  A running count over
+    the union of both sides places every median among the members; no median is
+    ever paired with members.
     """
-    ours = medians.where(F.col("median_objective").isNotNull()).select(
-        *keys, (sign * F.col("median_objective")).alias("_v"), F.lit(0).cast("long").alias("_m")
-    ).distinct()
+    placed = medians.withColumn("_v", sign * F.col("median_objective"))
     theirs = members.where(F.col("objective").isNotNull()).groupBy(*keys, (sign * F.col("objective")).alias("_v")).agg(
         F.count("*").alias("_m")
     )
-    # Equal values become one row first: the running sum minus its own members is then strictly worse.
-    values = theirs.unionByName(ours).groupBy(*keys, "_v").agg(F.sum("_m").alias("_m"))
-    if not fits_one_task(rows_bound):
-        values = cut_lineage(values)  # read three times below
-    counted = running(
-        values, keys, ["_v"], {"_worse": ("sum", F.col("_m"))}, chunk=_value_chunk(values, "_v", rows_bound), totals=["_worse"]
-    )
-    share = F.when(
-        F.col("_worse_all") > 0, F.lit(100) * (F.col("_worse") - F.col("_m")) / F.col("_worse_all")
-    ).alias("pct_of_population")
-    placed = counted.select(*keys, "_v", share)
-    return (
-        medians.withColumn("_v", sign * F.col("median_objective")).join(placed, [*keys, "_v"], "left").drop("_v")
-    )
+    count = {"_worse": ("sum", F.col("_m"))}
+    if fits_one_task(rows_bound):
+        # Medians sort before members of the same value, so the count up to them is strictly worse.
+        both = placed.withColumn("_m", F.lit(0).cast("long")).unionByName(theirs, allowMissingColumns=True)
+        counted = running(both, keys, ["_v", "_m"], count, chunk=None, totals=["_worse"]).where(F.col("_m") == 0)
+        share = F.lit(100) * F.col("_worse") / F.col("_worse_all")
+        known = F.col("_v").isNotNull() & (F.col("_worse_all") > 0)
+        return counted.select(*medians.columns, F.when(known, share).alias("pct_of_population"))
+    # Any number of beams may share a median: both sides shrink to distinct values first.
+    placed = cut_lineage(placed)
+    ours = placed.where(F.col("_v").isNotNull()).select(*keys, "_v").distinct().withColumn("_m", F.lit(0).cast("long"))
+    values = cut_lineage(theirs.unionByName(ours).groupBy(*keys, "_v").agg(F.sum("_m").alias("_m")))
+    counted = running(values, keys, ["_v"], count, chunk=_value_chunk(values, "_v", None), totals=["_worse"])
+    share = F.lit(100) * (F.col("_worse") - F.col("_m")) / F.col("_worse_all")
+    shares = counted.select(*keys, "_v", F.when(F.col("_worse_all") > 0, share).alias("pct_of_population"))
+    return placed.join(shares, [*keys, "_v"], "left").drop("_v")
 
 
 def hits(picks: DataFrame, references: DataFrame, keys: Sequence[str], sign: Column) -> DataFrame:

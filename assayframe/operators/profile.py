@@ -105,12 +105,12 @@ def violation_share(df: DataFrame, mask: Column, value: str, root: str) -> DataF
     return counted.withColumn("pct", percent(F.col("violations"), F.col("population")))
 
 
-def average_ranks(values: DataFrame, column: str, *, rows_bound: int | None = None) -> DataFrame:
-    """Average rank of every distinct value of ``column``: ``column, rank``."""
-    entries = values.groupBy(column).agg(F.count("*").alias("_n"))
+def average_ranks(counted: DataFrame, column: str, weight: str, *, rows_bound: int | None = None) -> DataFrame:
+    """Average rank of every distinct value of ``column``, each row standing for ``weight`` rows."""
+    entries = counted.groupBy(column).agg(F.sum(weight).alias("_n"))
     chunk = None
     if not fits_one_task(rows_bound):
-        chunk = chunk_of(F.col(column), cut_points(values, [column])[column])
+        chunk = chunk_of(F.col(column), cut_points(counted, [column])[column])
     ranked = running(entries, [], [column], {"_upto": ("sum", F.col("_n"))}, chunk=chunk)
     return ranked.select(column, (F.col("_upto") - (F.col("_n") - 1) / 2).alias("rank"))
 
@@ -128,8 +128,10 @@ def rank_correlation(
     for left, right in pairs:
         complete = kept.select(F.col(left).alias("x"), F.col(right).alias("y")).dropna()
         counted = complete.groupBy("x", "y").agg(F.count("*").alias("c"))
-        rx = average_ranks(complete, "x", rows_bound=rows_bound).withColumnRenamed("rank", "rx")
-        ry = average_ranks(complete, "y", rows_bound=rows_bound).withColumnRenamed("rank", "ry")
+        if not fits_one_task(rows_bound):
+            counted = cut_lineage(counted)  # read by both rankings and the sums
+        rx = average_ranks(counted, "x", "c", rows_bound=rows_bound).withColumnRenamed("rank", "rx")
+        ry = average_ranks(counted, "y", "c", rows_bound=rows_bound).withColumnRenamed("rank", "ry")
         sums = (
             counted.join(rx, "x").join(ry, "y")
             .agg(

@@ -17,14 +17,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Rows of one group that a single task may hold (it can still spill).
 TASK_ROWS = 4_000_000
-# Pieces the values of a column are cut into, and the accuracy of the sketch that places the cuts.
-MAX_PIECES = 256
+# Pieces the sketch cuts the values of a column into, and the accuracy of the sketch that places the cuts.
+MAX_PIECES = 128
 SKETCH_ACCURACY = 2_000
 # Width of a chunk over integer positions: a chunk holds at most this many distinct positions.
 POSITION_WIDTH = 1_000_000
@@ -37,24 +38,45 @@ def fits_one_task(rows_bound: int | None) -> bool:
     return rows_bound is not None and rows_bound <= TASK_ROWS
 
 
-def cut_points(df: DataFrame, columns: Sequence[str]) -> dict[str, list]:
-    """Ascending cut points that spread each column evenly, all from one mergeable sketch pass."""
-    pieces = MAX_PIECES
-    grid = [i / pieces for i in range(1, pieces)]
-    found = df.agg(*[F.percentile_approx(name, grid, SKETCH_ACCURACY).alias(name) for name in columns]).first()
-    return {name: sorted(set(found[name] or [])) for name in columns}
+class Cuts(NamedTuple):
+    """Ascending cut points of a column and how often to split the span between two of them."""
 
+    points: list
+    fine: int = 1
 
-def chunk_of(column: Column, cuts: Sequence) -> Column:
-    """Number of cut points not above ``column``: a balanced tree of comparisons, monotone in it."""
+
+def cut_points(df: DataFrame, columns: Sequence[str]) -> dict[str, Cuts]:
+    """Cut points that spread each column evenly, all from one mergeable sketch pass.
+
+    The sketch places a fixed number of cuts.  An input that needs more pieces
+    than that to fit its tasks gets equal-width steps between the cuts.
+    """
+    grid = [i / MAX_PIECES for i in range(MAX_PIECES + 1)]
+    found = df.agg(
+        F.count("*").alias("rows"), *[F.percentile_approx(name, grid, SKETCH_ACCURACY).alias(f"q_{name}") for name in columns]
+    ).first()
+    fine = max(1, math.ceil(found["rows"] / TASK_ROWS / MAX_PIECES))
+    return {name: Cuts(sorted(set(found[f"q_{name}"] or [])), fine) for name in columns}
+
+
+def chunk_of(column: Column, cuts: Cuts) -> Column:
+    """Chunk number of a value: a balanced tree of comparisons, monotone in the value."""
+    points, fine = cuts
+
+    def leaf(below: int) -> Column:
+        if fine == 1 or below in (0, len(points)):
+            return F.lit(below * fine)
+        low, high = points[below - 1], points[below]
+        step = F.floor((column - F.lit(low)) / F.lit(high - low) * F.lit(fine)).cast("int")
+        return F.lit(below * fine) + F.least(step, F.lit(fine - 1))
 
     def branch(low: int, high: int) -> Column:
         if low == high:
-            return F.lit(low)
+            return leaf(low)
         middle = (low + high) // 2
-        return F.when(column < F.lit(cuts[middle]), branch(low, middle)).otherwise(branch(middle + 1, high))
+        return F.when(column < F.lit(points[middle]), branch(low, middle)).otherwise(branch(middle + 1, high))
 
-    return branch(0, len(cuts))
+    return branch(0, len(points))
 
 
 def position_chunk(column: str | Column) -> Column:
@@ -130,8 +152,8 @@ def value_at_rank(df: DataFrame, column: str, ranks: Sequence[int], rows: int) -
         if size <= TASK_ROWS:
             found.update(_pick_in_task(part, column, offset, wanted))
             continue
-        cuts = cut_points(part, [column])[column]
-        below = chunk_of(value, cuts)
+        cuts = cut_points(part, [column])[column].points
+        below = chunk_of(value, Cuts(cuts))
         on_cut = value.isin(*cuts) if cuts else F.lit(False)
         slices = (
             part.groupBy((below * 2 - on_cut.cast("int")).alias("slice"))

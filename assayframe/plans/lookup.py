@@ -18,12 +18,12 @@ LIMIT = 20
 FACTS = {"backend": "table", "source": "parts@1", "tier": "simulated"}
 
 
-def _bound(spark, sf_dir) -> int:
+def lookup_bound(spark, sf_dir) -> int:
     """Lines times the most properties a line asks for."""
     return 3 * row_bound(spark, sf_dir, "lineitem")
 
 
-def _results(spark, sf_dir, bound):
+def lookup_results(spark, sf_dir, bound):
     return ops.evaluate(lookups(spark, sf_dir, bound), candidates(spark, sf_dir), SERVED, rows_bound=bound, **FACTS)
 
 
@@ -41,7 +41,7 @@ _STATUS_COLUMNS = ["run_id", "request_seq", "entry_pos", "property", "candidate_
   'table' AS backend, 'parts@1' AS source, 'simulated' AS provenance_tier FROM answers""",
 )
 def evaluate_status(spark, sf_dir):
-    bound = _bound(spark, sf_dir)
+    bound = lookup_bound(spark, sf_dir)
     answered = ops.answer(lookups(spark, sf_dir, bound), candidates(spark, sf_dir), SERVED, **FACTS)
     return rounded(answered.select(*_STATUS_COLUMNS))
 
@@ -52,12 +52,12 @@ _CHARGED_COLUMNS = ["run_id", "request_seq", "entry_pos", "property", "candidate
 
 @query("evaluate_cached_charged", _CHARGED_SQL)
 def evaluate_cached_charged(spark, sf_dir):
-    return _results(spark, sf_dir, _bound(spark, sf_dir)).select(*_CHARGED_COLUMNS)
+    return lookup_results(spark, sf_dir, lookup_bound(spark, sf_dir)).select(*_CHARGED_COLUMNS)
 
 
 @query("evaluate_cached_charged_chunked", _CHARGED_SQL)
 def evaluate_cached_charged_chunked(spark, sf_dir):
-    return _results(spark, sf_dir, None).select(*_CHARGED_COLUMNS)
+    return lookup_results(spark, sf_dir, None).select(*_CHARGED_COLUMNS)
 
 
 _PRELOADED_SQL = f"""WITH {ANSWERS},
@@ -70,7 +70,7 @@ SELECT property, status, cached, count(*) AS n FROM flagged GROUP BY ALL"""
 
 @query("evaluate_preloaded_cache", _PRELOADED_SQL)
 def evaluate_preloaded_cache(spark, sf_dir):
-    bound = _bound(spark, sf_dir)
+    bound = lookup_bound(spark, sf_dir)
     answered = ops.answer(lookups(spark, sf_dir, bound), candidates(spark, sf_dir), SERVED, **FACTS)
     filled = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("request_seq"))
     preloaded = answered.join(filled, "request_seq", "left_semi").select(*ops.PAIR).distinct()
@@ -83,7 +83,7 @@ _COSTS = f"{RESULTS}, costs AS (SELECT run_id, request_seq, sum(evals)::BIGINT A
 
 @query("request_costs", f"WITH {_COSTS} SELECT *, 0.0::DOUBLE AS cpu_hours FROM costs")
 def request_costs(spark, sf_dir):
-    return ops.request_costs(_results(spark, sf_dir, _bound(spark, sf_dir)))
+    return ops.request_costs(lookup_results(spark, sf_dir, lookup_bound(spark, sf_dir)))
 
 
 _CUTOFF_SQL = f"""WITH {_COSTS},
@@ -94,13 +94,13 @@ SELECT run_id, request_seq, evals, (upto - evals)::BIGINT AS spent, breach IS NU
 
 
 def _cutoff(spark, sf_dir, bound):
-    costs = ops.request_costs(_results(spark, sf_dir, bound)).select("run_id", "request_seq", "evals")
+    costs = ops.request_costs(lookup_results(spark, sf_dir, bound)).select("run_id", "request_seq", "evals")
     return ops.budget_cutoff(costs, F.lit(LIMIT), rows_bound=bound)
 
 
 @query("budget_cutoff", _CUTOFF_SQL)
 def budget_cutoff(spark, sf_dir):
-    return _cutoff(spark, sf_dir, _bound(spark, sf_dir))
+    return _cutoff(spark, sf_dir, lookup_bound(spark, sf_dir))
 
 
 @query("budget_cutoff_chunked", _CUTOFF_SQL)
@@ -127,14 +127,14 @@ SELECT run_id, request_seq, cost AS evals, accepted FROM fold WHERE step > 0"""
 
 @query("budget_greedy", _GREEDY_SQL)
 def budget_greedy(spark, sf_dir):
-    bound = _bound(spark, sf_dir)
+    bound = lookup_bound(spark, sf_dir)
     answered = ops.answer(lookups(spark, sf_dir, bound), candidates(spark, sf_dir), SERVED)
     return ops.budget_greedy(answered, LIMIT, rows_bound=bound)
 
 
 @query("budget_greedy_rounds", _GREEDY_SQL)
 def budget_greedy_rounds(spark, sf_dir):
-    bound = _bound(spark, sf_dir)
+    bound = lookup_bound(spark, sf_dir)
     answered = ops.answer(lookups(spark, sf_dir, bound), candidates(spark, sf_dir), SERVED)
     return ops.budget_greedy(answered, LIMIT)
 
@@ -147,12 +147,12 @@ def budget_greedy_rounds(spark, sf_dir):
 FROM charged WHERE NOT cached AND status IN ('ok', 'missing') GROUP BY ALL""",
 )
 def state_rebuild(spark, sf_dir):
-    return rounded(ops.rebuild_cache(_results(spark, sf_dir, _bound(spark, sf_dir))))
+    return rounded(ops.rebuild_cache(lookup_results(spark, sf_dir, lookup_bound(spark, sf_dir))))
 
 
 @query("meter", f"WITH {RESULTS} SELECT run_id, sum(evals)::BIGINT AS evals, 0.0::DOUBLE AS cpu_hours FROM charged GROUP BY 1")
 def meter(spark, sf_dir):
-    return ops.meter(_results(spark, sf_dir, _bound(spark, sf_dir)))
+    return ops.meter(lookup_results(spark, sf_dir, lookup_bound(spark, sf_dir)))
 
 
 @query(
@@ -192,7 +192,7 @@ def served_values(spark, sf_dir):
 SELECT property, status, reason, count(*) AS n FROM failing GROUP BY ALL""",
 )
 def failure_isolation(spark, sf_dir):
-    bound = _bound(spark, sf_dir)
+    bound = lookup_bound(spark, sf_dir)
     failing = F.when(F.col("p_name").startswith("hot "), F.lit("TimeoutError"))
     served = candidates(spark, sf_dir).withColumn("failure", failing)
     answered = ops.answer(lookups(spark, sf_dir, bound), served, SERVED, failure="failure")

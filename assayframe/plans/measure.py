@@ -187,16 +187,24 @@ def label_resolution(spark, sf_dir):
     )
 
 
-@query(
-    "label_audit",
-    _RESOLVED + """ SELECT resolved_label AS outcome, count(*) AS n FROM resolved WHERE label IS NULL GROUP BY 1
+_AUDIT_SQL = _RESOLVED + """ SELECT resolved_label AS outcome, count(*) AS n FROM resolved WHERE label IS NULL GROUP BY 1
   UNION ALL SELECT '(empty rows)', count(*) FROM resolved WHERE label IS NULL
-  UNION ALL SELECT '(keys with several labels)', count(*) FROM (SELECT l_orderkey FROM resolved GROUP BY 1 HAVING count(DISTINCT label) > 1)""",
-)
+  UNION ALL SELECT '(keys with several labels)', count(*) FROM (SELECT l_orderkey FROM resolved GROUP BY 1 HAVING count(DISTINCT label) > 1)"""
+
+
+@query("label_audit", _AUDIT_SQL)
 def label_audit(spark, sf_dir):
+    rows = measurements(spark, sf_dir).select("l_orderkey", "label")
+    return identity.label_resolution_audit(identity.resolve_labels(rows, "l_orderkey", "label"), key="l_orderkey", label="label")
+
+
+@query("label_audit_by_row_index", _AUDIT_SQL)
+def label_audit_by_row_index(spark, sf_dir):
+    """The same for a resolved table that lost its source labels: they come back by row index."""
     source = with_row_index(measurements(spark, sf_dir).select("l_orderkey", "label"))
-    resolved = identity.resolve_labels(source, "l_orderkey", "label")
-    return identity.label_resolution_audit(source, resolved, index="row_index", key="l_orderkey", label="label")
+    resolved = identity.resolve_labels(source, "l_orderkey", "label").drop("label")
+    back = identity.with_source_label(resolved, source, index="row_index", label="label")
+    return identity.label_resolution_audit(back, key="l_orderkey", label="source_label")
 
 
 @query(

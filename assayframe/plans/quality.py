@@ -32,7 +32,7 @@ def payload_checks(spark, sf_dir):
         rows,
         {
             "payload is not strict JSON": ~strict_json(props),
-            "payload members": ~logchecks._members(props, F.array(F.lit("k"))),
+            "payload members": ~logchecks.has_members(props, F.array(F.lit("k"))),
             "k must be at least 10": k < 10,
             "an error carries no large value": (F.col("event_type") == "error") & (F.col("value") > 30),
         },

@@ -166,7 +166,7 @@ def beam_order(spark, sf_dir):
     f"WITH {RESULTS} SELECT run_id, sum(evals)::BIGINT AS evals, 0.0::DOUBLE AS cpu_hours, 0::BIGINT AS tokens, 0.0::DOUBLE AS usd FROM charged GROUP BY 1",
 )
 def usage(spark, sf_dir):
-    return metrics.usage(lookup._results(spark, sf_dir, lookup._bound(spark, sf_dir)))
+    return metrics.usage(lookup.lookup_results(spark, sf_dir, lookup.lookup_bound(spark, sf_dir)))
 
 
 @query(
@@ -176,7 +176,7 @@ def usage(spark, sf_dir):
 )
 def cost_reconcile(spark, sf_dir):
     """Recorded request costs in which every pending order was booked one eval too high."""
-    results = lookup._results(spark, sf_dir, lookup._bound(spark, sf_dir)).select("run_id", "request_seq", "evals", "cpu_hours")
+    results = lookup.lookup_results(spark, sf_dir, lookup.lookup_bound(spark, sf_dir)).select("run_id", "request_seq", "evals", "cpu_hours")
     status = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request_seq"), "o_orderstatus")
     recorded = results.groupBy("run_id", "request_seq").agg(F.sum("evals").alias("evals"), F.sum("cpu_hours").alias("cpu_hours"))
     recorded = recorded.join(status, "request_seq").withColumn("evals", F.col("evals") + (F.col("o_orderstatus") == "P").cast("long"))

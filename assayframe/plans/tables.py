@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from assayframe.functions.columns import normalise_label
 from assayframe.operators.scale import fits_one_task, running
-from assayframe.session import tune
+from assayframe.session import size_shuffles, tune
 from assayframe.sources.registry import Property, Registry
 
 MEASURED = Registry(
@@ -40,8 +40,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def row_bound(spark: SparkSession, sf_dir: str, *names: str) -> int:
-    """Rows of the largest of the named tables, from the Parquet footers."""
-    return max(table(spark, sf_dir, name).count() for name in names)
+    """Rows of the largest of the named tables, from the Parquet footers; sizes the shuffles for them."""
+    rows = max(table(spark, sf_dir, name).count() for name in names)
+    size_shuffles(spark, rows)
+    return rows
 
 
 # -- measurements ----------------------------------------------------------------------------

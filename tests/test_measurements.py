@@ -48,16 +48,19 @@ def test_scope_and_identity(source, in_scope):
 def test_twin_resolution(source, in_scope):
     resolved = in_scope.where("row_index = 5").select("resolved_label").first()[0]
     assert resolved == "none"
-    audit = dict(rows_of(identity.label_resolution_audit(source, in_scope, index="row_index", key="structure_key", label="label")))
-    assert audit == {"none": 1, "(empty rows)": 1, "(keys with several labels)": 1}
+    expected = {"none": 1, "(empty rows)": 1, "(keys with several labels)": 1}
+    assert dict(rows_of(identity.label_resolution_audit(in_scope, key="structure_key", label="label"))) == expected
+    rejoined = identity.with_source_label(in_scope.drop("label"), source, index="row_index", label="label")
+    assert dict(rows_of(identity.label_resolution_audit(rejoined, key="structure_key", label="source_label"))) == expected
 
 
 def test_resolution_keeps_unknown_without_a_single_label(spark):
     rows = spark.createDataFrame(
         [("a", "x"), ("a", None), ("b", None), ("c", "x"), ("c", "y"), ("c", "")], "key string, label string"
     )
-    got = identity.resolve_labels(rows, "key", "label").groupBy("key", "resolved_label").count()
-    assert set(rows_of(got)) == {("a", "x", 2), ("b", "unknown", 1), ("c", "x", 1), ("c", "y", 1), ("c", "unknown", 1)}
+    for scan_again in (True, False):
+        got = identity.resolve_labels(rows, "key", "label", scan_again=scan_again).groupBy("key", "resolved_label").count()
+        assert set(rows_of(got)) == {("a", "x", 2), ("b", "unknown", 1), ("c", "x", 1), ("c", "y", 1), ("c", "unknown", 1)}
 
 
 def test_multi_label_keys(source, in_scope):

@@ -88,8 +88,11 @@ def test_cuts_change_nothing(spark):
     """Any cut points give the same chunked result; only the spread of the work depends on them."""
     df = frame(spark, [("a", float(i % 11)) for i in range(50)])
     results = []
-    for cuts in ([], [3.0], [0.0, 1.0, 5.0, 10.0]):
+    for points, fine in (([], 1), ([3.0], 1), ([0.0, 1.0, 5.0, 10.0], 1), ([1.0, 5.0, 9.0], 3), ([0.0, 10.0], 64)):
         entries = df.groupBy("k", "v").count()
-        ran = scale.running(entries, ["k"], ["v"], {"n": ("sum", F.col("count"))}, chunk=scale.chunk_of(F.col("v"), cuts))
+        chunk = scale.chunk_of(F.col("v"), scale.Cuts(points, fine))
+        ran = scale.running(entries, ["k"], ["v"], {"n": ("sum", F.col("count"))}, chunk=chunk)
         results.append(sorted(ran.select("v", "n").collect()))
-    assert results[0] == results[1] == results[2]
+    assert all(result == results[0] for result in results)
+    chunks = df.select("v", scale.chunk_of(F.col("v"), scale.Cuts([0.0, 10.0], 64)).alias("c")).distinct().orderBy("v").collect()
+    assert [r["c"] for r in chunks] == sorted(r["c"] for r in chunks) and len({r["c"] for r in chunks}) == 11
