@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from assayframe.functions.columns import content_id
 from assayframe.operators.filters import core_triple
-from assayframe.operators.scale import fits_one_task, group_quantiles
+from assayframe.operators.scale import HOT_ROWS, group_quantiles
 from assayframe.sources.registry import Registry
 from assayframe.sources.storage import cut_lineage
 
@@ -36,9 +36,9 @@ def build_candidates(
     ``key`` may be the natural key (structure key and label), which spares a
     hash per row; ``with_candidate_id`` then adds the id once per candidate.
 
-    Everything but the median combines on the map side.  The median does too
-    while the input is proven small; otherwise it is found by chunked ranks, so
-    a candidate with a third of all rows is spread over many tasks.
+    Everything but the median combines on the map side.  ``group_quantiles``
+    finds the medians, so a candidate with a third of all rows is spread over
+    many tasks; an input proven small takes them in the same pass.
     """
     plain = [F.count("*").alias("n_rows")]
     for name in properties:
@@ -49,14 +49,13 @@ def build_candidates(
             F.stddev_samp(name).alias(f"{name}_std"),
         ]
     plain += [F.min(name).alias(name) for name in carry]
-    if fits_one_task(rows_bound):
+    if not properties:
+        return rows.groupBy(*_keys(key)).agg(*plain)
+    wanted = {f"{name}_median": (name, 0.5) for name in properties}
+    if rows_bound is not None and rows_bound <= HOT_ROWS:
         medians = [F.median(name).alias(f"{name}_median") for name in properties]
         return rows.groupBy(*_keys(key)).agg(*medians, *plain)
-    table = rows.groupBy(*_keys(key)).agg(*plain)
-    if not properties:
-        return table
-    medians = group_quantiles(rows, _keys(key), {f"{name}_median": (name, 0.5) for name in properties})
-    return table.join(medians, _keys(key), "left")
+    return rows.groupBy(*_keys(key)).agg(*plain).join(group_quantiles(rows, _keys(key), wanted), _keys(key), "left")
 
 
 def replicate_structure(candidates: DataFrame) -> DataFrame:
@@ -97,7 +96,7 @@ def noise_floor(candidates: DataFrame, properties: Sequence[str], *, rows_bound:
     replicated = long.where(F.col("n") >= MIN_REPLICATES).select(
         "property", "abs_std", F.when(F.col("scale") > 0, F.col("abs_std") / F.col("scale")).alias("rel_std")
     )
-    if fits_one_task(rows_bound):
+    if rows_bound is not None and rows_bound <= HOT_ROWS:
         return replicated.groupBy("property").agg(
             F.count("*").alias("n_groups"),
             F.median("abs_std").alias("median_abs_std"),

@@ -78,12 +78,8 @@ def identity_residual(df: DataFrame, left: str, static: str, index: str, *, rows
     complete = df.select(left, static, index).dropna(subset=[left, static, index])
     square = F.col(index) * F.col(index)
     residual = complete.select(F.abs(F.col(left) - (F.col(static) - F.lit(1.0) + square)).alias("residual"))
-    if fits_one_task(rows_bound):
-        return residual.agg(
-            F.count("*").alias("n_rows"), F.max("residual").alias("max_residual"), F.median("residual").alias("median_residual")
-        )
     largest = residual.agg(F.count("*").alias("n_rows"), F.max("residual").alias("max_residual"))
-    return beside(largest, quantiles(residual, {"median_residual": ("residual", 0.5)}))
+    return beside(largest, quantiles(residual, {"median_residual": ("residual", 0.5)}, rows_bound=rows_bound))
 
 
 def beside(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -174,13 +170,7 @@ def descriptives(df: DataFrame, column: str, *, rows_bound: int | None = None) -
     """Median, 95th and 99th percentile and maximum of the rows that carry the column."""
     wanted = {"median": (column, 0.5), "p95": (column, 0.95), "p99": (column, 0.99)}
     present = df.select(column).where(F.col(column).isNotNull())
-    if fits_one_task(rows_bound):
-        # one value-to-count buffer serves all three probabilities
-        picked = F.percentile(column, F.array(*[F.lit(q) for _, q in wanted.values()])).alias("_q")
-        return present.agg(picked, F.max(column).alias("maximum")).select(
-            *[F.col("_q")[i].alias(name) for i, name in enumerate(wanted)], "maximum"
-        )
-    return beside(quantiles(present, wanted), present.agg(F.max(column).alias("maximum")))
+    return beside(quantiles(present, wanted, rows_bound=rows_bound), present.agg(F.max(column).alias("maximum")))
 
 
 def population_medians(df: DataFrame, mask: Column, column: str, *, rows_bound: int | None = None) -> DataFrame:

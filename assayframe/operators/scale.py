@@ -1,11 +1,11 @@
 """Exact order statistics and running aggregates that survive a hot group.
 
 A window or ``percentile`` over a key puts the whole key into one task.  That is
-fine while the input is known to be small and fatal when one key holds a third
-of a very large table.  Every function here therefore has two exact ways:
+fine while the key is known to be small and fatal when it holds a third of a
+very large table.  Every function here therefore has two exact ways:
 
-* the caller passes ``rows_bound``, a proven upper bound of the input rows, and
-  the bound is at most ``TASK_ROWS``: one window or one ``percentile``;
+* where a proven upper bound of the input rows (``rows_bound``) or a counted
+  group size allows it: one window or one ``percentile``;
 * otherwise the ordered values of a key are cut into chunks, each chunk is
   aggregated on its own and the chunks are stitched together.
 
@@ -22,8 +22,16 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows of one group that a single task may hold (it can still spill).
+from assayframe.sources.storage import cut_lineage
+
+# Rows of one group that a single task may order (it can still spill).
 TASK_ROWS = 4_000_000
+# Rows of one group up to which ``percentile`` may keep its values in a map, and the most
+# larger groups that are worth telling apart from the rest.
+HOT_ROWS = 1_000_000
+MOST_HOT_GROUPS = 100_000
+# Rows up to which one ``percentile`` over a whole table beats the search for its rank.
+PERCENTILE_ROWS = 100_000
 # Pieces the sketch cuts the values of a column into, and the accuracy of the sketch that places the cuts.
 MAX_PIECES = 128
 SKETCH_ACCURACY = 2_000
@@ -111,20 +119,20 @@ def running(
         out |= {f"{name}_all": _COMBINE[measures[name][0]](f"_in_{name}").over(whole) for name in totals}
         return prepared.withColumns(out).drop(*[f"_in_{name}" for name in measures])
 
-    prepared = prepared.withColumn("_chunk", chunk)
-    by_chunk = [*keys, "_chunk"]
-    per_chunk = prepared.groupBy(*by_chunk).agg(
+    # A struct key equals another one member by member, NULLs included, so no row is lost.
+    prepared = prepared.withColumn("_place", F.struct(*[F.col(key).alias(f"k{i}") for i, key in enumerate(keys)], chunk.alias("chunk")))
+    per_chunk = prepared.groupBy("_place").agg(
         *[_COMBINE[how](f"_in_{name}").alias(f"_sum_{name}") for name, (how, _) in measures.items()]
     )
-    whole = Window.partitionBy(*keys)
-    earlier = whole.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*[f"_place.k{i}" for i in range(len(keys))])
+    earlier = whole.orderBy("_place.chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = per_chunk.select(
-        *by_chunk,
+        "_place",
         *[_COMBINE[how](f"_sum_{name}").over(earlier).alias(f"_carry_{name}") for name, (how, _) in measures.items()],
         *[_COMBINE[measures[name][0]](f"_sum_{name}").over(whole).alias(f"{name}_all") for name in totals],
     )
-    inside = Window.partitionBy(*by_chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
-    joined = prepared.join(carried, by_chunk)
+    inside = Window.partitionBy("_place").orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
+    joined = prepared.join(carried, "_place")
     out = {}
     for name, (how, _) in measures.items():
         local = _COMBINE[how](f"_in_{name}").over(inside)
@@ -134,7 +142,7 @@ def running(
         else:
             out[name] = (F.greatest if how == "max" else F.least)(carry, local)
     helpers = [f"{part}_{name}" for name in measures for part in ("_in", "_carry")]
-    return joined.withColumns(out).drop("_chunk", *helpers)
+    return joined.withColumns(out).drop("_place", *helpers)
 
 
 def value_at_rank(df: DataFrame, column: str, ranks: Sequence[int], rows: int) -> dict[int, float]:
@@ -183,6 +191,15 @@ def _pick_in_task(part: DataFrame, column: str, offset: int, wanted: Sequence[in
     return {rank: row[f"r{rank}"] for rank in wanted}
 
 
+def _percentiles(wanted: Mapping[str, tuple[str, float]]) -> tuple[list[Column], list[Column]]:
+    """Aggregates and result columns; quantiles of one column share its value map."""
+    columns = sorted({column for column, _ in wanted.values()})
+    mine = {column: [(name, q) for name, (source, q) in wanted.items() if source == column] for column in columns}
+    aggregates = [F.percentile(c, F.array(*[F.lit(float(q)) for _, q in mine[c]])).alias(f"_q_{c}") for c in columns]
+    results = {name: F.col(f"_q_{c}")[i].alias(name) for c in columns for i, (name, _) in enumerate(mine[c])}
+    return aggregates, [results[name] for name in wanted]
+
+
 def quantiles(
     df: DataFrame, wanted: Mapping[str, tuple[str, float]], *, rows_bound: int | None = None
 ) -> DataFrame:
@@ -190,8 +207,9 @@ def quantiles(
 
     ``wanted`` maps an output name to ``(column, probability)``.
     """
-    if fits_one_task(rows_bound):
-        return df.agg(*[F.percentile(column, F.lit(q)).alias(name) for name, (column, q) in wanted.items()])
+    if rows_bound is not None and rows_bound <= PERCENTILE_ROWS:
+        aggregates, results = _percentiles(wanted)
+        return df.agg(*aggregates).select(*results)
     columns = sorted({column for column, _ in wanted.values()})
     counts = df.agg(*[F.count(column).alias(column) for column in columns]).first()
     results: dict[str, float | None] = {}
@@ -212,17 +230,43 @@ def quantiles(
     )
 
 
+def _hot_groups(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, int]:
+    """Keys with more rows than ``percentile`` should hold, and how many there are."""
+    sizes = df.groupBy(*[F.col(key).alias(f"_hot_{key}") for key in keys]).agg(F.count("*").alias("_n"))
+    hot = cut_lineage(sizes.where(F.col("_n") > HOT_ROWS).drop("_n"))
+    return hot, hot.count()
+
+
 def group_quantiles(
     df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, float]], *, rows_bound: int | None = None
 ) -> DataFrame:
     """Exact interpolated quantiles per key; ``wanted`` maps a name to ``(column, probability)``.
 
-    A key without any value may be absent.  Beyond the bound the values of all
-    columns are counted once per distinct value, which combines on the map side,
-    and ranked by a chunked running count.
+    A key without any value may be absent.  Groups whose counted size is small
+    use ``percentile``.  The rows of larger groups, found by one narrow count,
+    are ranked in chunks; so are all rows when there are too many such groups to
+    name in a broadcast.
     """
-    if fits_one_task(rows_bound):
-        return df.groupBy(*keys).agg(*[F.percentile(column, F.lit(q)).alias(name) for name, (column, q) in wanted.items()])
+    aggregates, results = _percentiles(wanted)
+
+    def plain(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*keys).agg(*aggregates).select(*keys, *results)
+
+    if rows_bound is not None and rows_bound <= HOT_ROWS:
+        return plain(df)
+    hot, n = _hot_groups(df, keys)
+    if n == 0:
+        return plain(df)
+    if n > MOST_HOT_GROUPS:
+        return _chunked_quantiles(df, keys, wanted)
+    named = F.broadcast(hot)  # at most MOST_HOT_GROUPS keys
+    same = [F.col(key).eqNullSafe(F.col(f"_hot_{key}")) for key in keys]
+    calm = plain(df.join(named, same, "left_anti"))
+    return calm.unionByName(_chunked_quantiles(df.join(named, same, "left_semi"), keys, wanted))
+
+
+def _chunked_quantiles(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, float]]) -> DataFrame:
+    """Group quantiles from distinct values, counted on the map side and ranked by a chunked running count."""
     columns = sorted({column for column, _ in wanted.values()})
     cuts = cut_points(df, columns)
     cells = [F.struct(F.lit(i).alias("_c"), F.col(name).cast("double").alias("_v")) for i, name in enumerate(columns)]

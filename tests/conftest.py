@@ -31,6 +31,8 @@ def spark():
 def tiny_tasks(monkeypatch):
     """Pretend a task holds three rows, so that every group is hot."""
     monkeypatch.setattr(scale, "TASK_ROWS", 3)
+    monkeypatch.setattr(scale, "HOT_ROWS", 3)
+    monkeypatch.setattr(scale, "PERCENTILE_ROWS", 3)
     monkeypatch.setattr(scale, "MAX_PIECES", 5)
     monkeypatch.setattr(scale, "POSITION_WIDTH", 3)
 

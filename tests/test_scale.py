@@ -26,7 +26,8 @@ def frame(spark, rows):
 @given(rows=VALUES)
 def test_group_quantiles(spark, tiny_tasks, rows):
     wanted = {"m": ("v", 0.5), "p": ("v", 0.9), "z": ("v", 0.0)}
-    got = {r["k"]: r for r in scale.group_quantiles(frame(spark, rows), ["k"], wanted).collect()}
+    found = scale.group_quantiles(frame(spark, rows), ["k"], wanted).collect()
+    got = {r["k"]: r for r in found if r["m"] is not None}
     expected = pd.DataFrame(rows, columns=["k", "v"]).astype({"v": float}).dropna().groupby("k")["v"]
     assert set(got) == set(expected.groups)
     for key, values in expected:
@@ -43,6 +44,20 @@ def test_quantiles(spark, tiny_tasks, rows):
         assert got[name] == (None if values.empty else pytest.approx(values.quantile(q)))
 
 
+@pytest.mark.parametrize("most", [0, 1, 100], ids=["all chunked", "too many", "split"])
+def test_hot_and_calm_groups_together(spark, tiny_tasks, monkeypatch, most):
+    monkeypatch.setattr(scale, "MOST_HOT_GROUPS", most)
+    rows = [("hot", float(i * i % 13)) for i in range(40)] + [(None, float(i % 5)) for i in range(9)] + [("calm", 2.0), ("calm", 5.0), ("empty", None)]
+    wanted = {"m": ("v", 0.5), "p": ("v", 0.9)}
+    got = {r["k"]: (r["m"], r["p"]) for r in scale.group_quantiles(frame(spark, rows), ["k"], wanted).collect() if r["m"] is not None}
+    plain = {r["k"]: (r["m"], r["p"]) for r in scale.group_quantiles(frame(spark, rows), ["k"], wanted, rows_bound=1).collect() if r["m"] is not None}
+    expected = pd.DataFrame(rows, columns=["k", "v"]).dropna(subset=["v"]).groupby("k", dropna=False)["v"]
+    for key, values in expected:
+        key = None if pd.isna(key) else key
+        for found in (got, plain):
+            assert found[key] == pytest.approx((values.quantile(0.5), values.quantile(0.9)))
+
+
 def test_quantiles_of_one_dominant_value(spark, tiny_tasks):
     rows = [("a", 7.0)] * 50 + [("a", float(i)) for i in range(20)]
     got = scale.quantiles(frame(spark, rows), {"m": ("v", 0.5), "top": ("v", 1.0)}).first()
@@ -80,7 +95,7 @@ def test_rank_correlation_drops_incomplete_rows(spark):
 def test_descriptives_both_ways(spark, tiny_tasks):
     df = frame(spark, [("a", float(i * i % 37)) for i in range(60)] + [("a", None)])
     chunked = profile.descriptives(df, "v").first()
-    scale.TASK_ROWS = 1_000
+    scale.PERCENTILE_ROWS = 1_000
     assert chunked == profile.descriptives(df, "v", rows_bound=100).first()
 
 
