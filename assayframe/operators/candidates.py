@@ -18,7 +18,7 @@ MIN_REPLICATES = 2
 Key = str | Sequence[str]
 
 
-def _keys(key: Key) -> list[str]:
+def key_columns(key: Key) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
@@ -50,12 +50,12 @@ def build_candidates(
         ]
     plain += [F.min(name).alias(name) for name in carry]
     if not properties:
-        return rows.groupBy(*_keys(key)).agg(*plain)
+        return rows.groupBy(*key_columns(key)).agg(*plain)
     wanted = {f"{name}_median": (name, 0.5) for name in properties}
     if rows_bound is not None and rows_bound <= HOT_ROWS:
         medians = [F.median(name).alias(f"{name}_median") for name in properties]
-        return rows.groupBy(*_keys(key)).agg(*medians, *plain)
-    return rows.groupBy(*_keys(key)).agg(*plain).join(group_quantiles(rows, _keys(key), wanted), _keys(key), "left")
+        return rows.groupBy(*key_columns(key)).agg(*medians, *plain)
+    return rows.groupBy(*key_columns(key)).agg(*plain).join(group_quantiles(rows, key_columns(key), wanted), key_columns(key), "left")
 
 
 def replicate_structure(candidates: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def version_split(rows: DataFrame, versions: Sequence[str], *, key: Key = "candi
     for column in versions:
         if column in rows.columns:
             same = same & _constant(column)
-    groups = rows.groupBy(*_keys(key)).agg(F.count("*").alias("n_rows"), same.alias("same"))
+    groups = rows.groupBy(*key_columns(key)).agg(F.count("*").alias("n_rows"), same.alias("same"))
     return groups.where(F.col("n_rows") >= MIN_REPLICATES).agg(
         F.count_if("same").alias("same_version"), F.count_if(~F.col("same")).alias("cross_version")
     )
@@ -145,8 +145,8 @@ def version_split(rows: DataFrame, versions: Sequence[str], *, key: Key = "candi
 
 def rows_of_replicated(rows: DataFrame, candidates: DataFrame, *, key: Key = "candidate_id") -> DataFrame:
     """Rows of candidates that have several."""
-    several = candidates.where(F.col("n_rows") >= MIN_REPLICATES).select(*_keys(key))
-    return rows.join(several, _keys(key), "left_semi")
+    several = candidates.where(F.col("n_rows") >= MIN_REPLICATES).select(*key_columns(key))
+    return rows.join(several, key_columns(key), "left_semi")
 
 
 def candidate_population(

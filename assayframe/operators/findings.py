@@ -28,6 +28,14 @@ def observed_numbers(one_row: DataFrame, names: dict[str, str]) -> DataFrame:
     return one_row.select(F.inline(F.array(*rows)))
 
 
+def observed_rows(df: DataFrame, prefix: str, name: str, value: str) -> DataFrame:
+    """Turn a table with one named number per row into observations."""
+    return df.select(
+        F.concat(F.lit(prefix), F.col(name).cast("string")).alias("finding_id"), F.col(value).cast("double").alias("number"),
+        F.lit(None).cast("string").alias("text"),
+    )
+
+
 def evaluate_findings(expected: DataFrame, observed: DataFrame) -> DataFrame:
     """Status of every expectation; an unknown class fails the job.
 

@@ -124,6 +124,18 @@ def flag_cached(
     return answered.join(firsts, PAIR, "left").withColumn("cached", F.coalesce(hit, F.lit(False))).drop("_first", "_before")
 
 
+STORED = ["status", "value", "unit", "n_replicates", "spread", "reason"]
+
+
+def with_stored_answers(answered: DataFrame, stored: DataFrame) -> DataFrame:
+    """Answers of a preloaded cache stand in for fresh ones; an unregistered property stays unsupported."""
+    kept = stored.select(*PAIR, *[F.col(name).alias(f"_stored_{name}") for name in STORED])
+    joined = answered.join(kept, PAIR, "left")
+    use = F.col("_stored_status").isNotNull() & (F.col("status") != UNSUPPORTED)
+    others = [name for name in answered.columns if name not in STORED]
+    return joined.select(*others, *[F.when(use, F.col(f"_stored_{name}")).otherwise(F.col(name)).alias(name) for name in STORED])
+
+
 def charge(flagged: DataFrame, *, rows_bound: int | None = None) -> DataFrame:
     """Add ``evals`` and ``cpu_hours``: one eval on a candidate's first fresh ok answer in a request."""
     owner = ["run_id", "request_seq", "candidate_id"]
@@ -148,8 +160,13 @@ def evaluate(
     lookups: DataFrame, candidates: DataFrame, registry: Registry, *, preloaded: DataFrame | None = None,
     rows_bound: int | None = None, **backend: str,
 ) -> DataFrame:
-    """Answers with cache flags and costs, in no particular order (see ``response_order``)."""
+    """Answers with cache flags and costs, in no particular order (see ``response_order``).
+
+    A ``preloaded`` cache that holds whole answers also replaces the fresh ones.
+    """
     answered = answer(lookups, candidates, registry, **backend)
+    if preloaded is not None and set(STORED) <= set(preloaded.columns):
+        answered = with_stored_answers(answered, preloaded)
     return charge(flag_cached(answered, preloaded=preloaded, asked=lookups, rows_bound=rows_bound), rows_bound=rows_bound)
 
 

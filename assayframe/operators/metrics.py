@@ -219,14 +219,22 @@ def log_picks(events: DataFrame, headers: DataFrame) -> DataFrame:
     )
 
 
-def log_results(events: DataFrame) -> DataFrame:
-    """Recorded results, one row each, the latest per candidate and property of a beam."""
+def recorded_results(events: DataFrame) -> DataFrame:
+    """Every recorded result, one row each, placed by ``request_seq, entry_pos, prop_pos``."""
     rows = events.where(F.col("event") == EVALUATION).select(
-        "run_id", "seq", "iteration", F.col("payload.beam").alias("beam"), F.posexplode("payload.results").alias("prop_pos", "r")
-    ).select("run_id", "seq", "iteration", "beam", "prop_pos", "r.*")
+        "run_id", F.col("seq").alias("request_seq"), "iteration", F.col("payload.beam").alias("beam"), F.lit(0).cast("long").alias("entry_pos"),
+        F.posexplode("payload.results").alias("prop_pos", "r"),
+    )
+    flat = rows.select("run_id", "request_seq", "iteration", "beam", "entry_pos", "prop_pos", "r.*")
+    return flat.withColumns({"evals": F.col("cost.evals"), "cpu_hours": F.col("cost.cpu_hours")}).drop("cost")
+
+
+def log_results(events: DataFrame) -> DataFrame:
+    """Recorded results, the latest per candidate and property of a beam."""
+    rows = recorded_results(events)
     key = [*BEAM, "candidate_id", "property"]
     others = [name for name in rows.columns if name not in key]
-    latest = rows.groupBy(*key).agg(F.max_by(F.struct(*others), F.struct("seq", "prop_pos")).alias("r"))
+    latest = rows.groupBy(*key).agg(F.max_by(F.struct(*others), F.struct("request_seq", "prop_pos")).alias("r"))
     return latest.select(*key, "r.*")
 
 

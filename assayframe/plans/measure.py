@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assayframe.functions.columns import content_id, normalise_label
 from assayframe.operators import candidates as cand
-from assayframe.operators import filters, identity, profile
+from assayframe.operators import filters, findings, identity, populations, profile
 from assayframe.plans.registering import Shelf
 from assayframe.plans.rounding import rounded
 from assayframe.plans.tables import CANDIDATE_KEY, MEASURED, MEASUREMENTS, SQL_TRIPLE, TRIPLE, measurements, row_bound, table
@@ -462,3 +462,63 @@ def feasible_rows(spark, sf_dir):
 )
 def distinct_battery(spark, sf_dir):
     return profile.distinct_battery(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey", "l_suppkey", "l_monomer"], 100)
+
+
+_CAPTURE_SQL = f"""WITH {MEASUREMENTS}, c AS ({_candidate_sql()}),
+inside AS (SELECT candidate_id, bool_or(flag) AS passes FROM measurements WHERE {SQL_TRIPLE} GROUP BY 1),
+people AS (SELECT 'triple' AS population, candidate_id FROM inside UNION ALL SELECT 'flagged', candidate_id FROM inside WHERE passes),
+valued AS (SELECT population, tax_median AS objective, quantity_median AS quantity, discount_median AS discount FROM people LEFT JOIN c USING (candidate_id)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY population ORDER BY objective NULLS LAST, quantity NULLS LAST, discount NULLS LAST) - 1 AS p FROM valued)
+SELECT population, round(objective, 6) AS objective, round(quantity, 6) AS quantity, round(discount, 6) AS discount, count(*) AS n, min(p) AS pos
+FROM placed GROUP BY population, placed.objective, placed.quantity, placed.discount"""
+
+
+def _capture(spark: SparkSession, sf_dir: str, bound: int | None) -> DataFrame:
+    rows = measurements(spark, sf_dir)
+    table = cand.build_candidates(rows, PROPERTIES, key=CANDIDATE_KEY, rows_bound=bound)
+    captured = populations.capture(
+        rows, table, MEASURED, TRIPLE, "flag", ["quantity", "discount"], key=CANDIDATE_KEY, rows_bound=bound
+    )
+    return rounded(captured)
+
+
+@query("population_capture", _CAPTURE_SQL)
+def population_capture(spark, sf_dir):
+    return _capture(spark, sf_dir, row_bound(spark, sf_dir, "lineitem"))
+
+
+def _report_sql() -> str:
+    def part(prefix: str, oracle: str, name: str, value: str) -> str:
+        return f"SELECT '{prefix}' || {name} AS finding_id, {value}::DOUBLE AS number FROM ({SHELF.oracles[oracle]})"
+
+    return " UNION ALL ".join(
+        [
+            part("coverage_", "coverage", "property", "n_rows"), part("outside_", "range_audit", "property", "outside"),
+            part("ladder_", "filter_ladder", "step", "n_rows"), part("rung_", "rung_ladder", "rung", "n_rows"),
+            part("label_", "label_frequency", "label", "n_rows"), part("resolved_", "label_audit", "outcome", "n"),
+            part("noise_", "noise_floor", "property", "median_rel_std"), part("spearman_", "rank_correlation", "left_column || '_' || right_column", "spearman"),
+            "SELECT 'replicated' AS finding_id, n_multi_row::DOUBLE FROM (" + SHELF.oracles["replicate_structure"] + ")",
+            "SELECT 'window' AS finding_id, n_rows::DOUBLE FROM (" + SHELF.oracles["quantile_window"] + ")",
+            "SELECT 'feasible' AS finding_id, n_feasible::DOUBLE FROM (" + SHELF.oracles["feasible_set"] + ")",
+        ]
+    )
+
+
+@query("validation_report", _report_sql())
+def validation_report(spark, sf_dir):
+    """All sections of the profile as one set of observations."""
+    pairs = rank_correlation(spark, sf_dir).withColumn("pair", F.concat_ws("_", "left_column", "right_column"))
+    parts = [
+        findings.observed_rows(coverage(spark, sf_dir), "coverage_", "property", "n_rows"),
+        findings.observed_rows(range_audit(spark, sf_dir), "outside_", "property", "outside"),
+        findings.observed_rows(filter_ladder(spark, sf_dir), "ladder_", "step", "n_rows"),
+        findings.observed_rows(rung_ladder(spark, sf_dir), "rung_", "rung", "n_rows"),
+        findings.observed_rows(label_frequency(spark, sf_dir), "label_", "label", "n_rows"),
+        findings.observed_rows(label_audit(spark, sf_dir), "resolved_", "outcome", "n"),
+        findings.observed_rows(noise_floor(spark, sf_dir), "noise_", "property", "median_rel_std"),
+        findings.observed_rows(pairs, "spearman_", "pair", "spearman"),
+        findings.observed_numbers(replicate_structure(spark, sf_dir), {"replicated": "n_multi_row"}),
+        findings.observed_numbers(quantile_window(spark, sf_dir), {"window": "n_rows"}),
+        findings.observed_numbers(feasible_set(spark, sf_dir), {"feasible": "n_feasible"}),
+    ]
+    return findings.observations(*parts).select("finding_id", "number")

@@ -79,6 +79,17 @@ def test_preloaded_cache(spark, table):
     assert [(r["cached"], r["evals"]) for r in got] == [(True, 0), (False, 1)]
 
 
+def test_stored_answers_come_before_the_backend(spark, table):
+    known = spark.createDataFrame(
+        [("r", "7ec8cb49ff317efc", A, "ok", 9.0, "u", 7, None, None), ("r", "7ec8cb49ff317efc", "nope", "ok", 1.0, "u", 1, None, None)],
+        "run_id string, candidate_id string, property string, status string, value double, unit string, n_replicates long, spread double, reason string",
+    )
+    got = ask(spark, table, [("7ec8cb49ff317efc", [A, "nope", B])], preloaded=known).collect()
+    assert [(r["status"], r["value"], r["cached"], r["evals"]) for r in got] == [
+        ("ok", 9.0, True, 0), ("unsupported", None, False, 0), ("ok", pytest.approx(2.335), False, 1),
+    ]
+
+
 def test_backend_failures_are_answers(spark, table):
     failing = table.withColumn("failure", F.when(F.col("candidate_id") == "7ec8cb49ff317efc", "SnapshotMismatch"))
     got = ask(spark, failing, [("7ec8cb49ff317efc", [A, "nope"]), ("81b997b85ccd2069", [B])], [("7ec8cb49ff317efc", [A])], failure="failure")

@@ -45,7 +45,10 @@ def test_golden_replay(spark, write_log, bound):
 
 def test_usage_status_and_trends(spark, write_log):
     headers, events = runlogs.read_log(spark, write_log(golden_records()))
-    results = metrics.log_results(events).withColumns({"evals": F.col("cost.evals"), "cpu_hours": F.col("cost.cpu_hours")})
+    results = metrics.recorded_results(events)
+    assert results.count() == 21
+    assert rows_of(ops.meter(results)) == [(RUN, 5, 0.0)]
+    assert ops.rebuild_cache(results).count() == 18  # one candidate was asked twice
     assert rows_of(metrics.usage(results)) == [(RUN, 5, 0.0, 0, 0.0)]
     assert rows_of(metrics.run_status(events)) == [(RUN, "completed", 2, "flagged")]
     found = metrics.trends(metrics.log_metrics(events, headers, rows_bound=1_000)).where("population = 'flagged'").orderBy("first_seq").collect()
@@ -262,9 +265,7 @@ def test_history_and_provenance(spark, write_log):
 
 def test_costs_and_recompute(spark, write_log):
     headers, events = runlogs.read_log(spark, write_log(golden_records()))
-    results = metrics.log_results(events).select(
-        "run_id", "seq", F.col("cost.evals").alias("evals"), F.col("cost.cpu_hours").alias("cpu_hours")
-    )
+    results = metrics.recorded_results(events).select("run_id", F.col("request_seq").alias("seq"), "evals", "cpu_hours")
     recorded = events.where("event = 'evaluation'").select(
         "run_id", "seq", F.col("payload.cost.evals").alias("evals"), F.col("payload.cost.cpu_hours").alias("cpu_hours")
     )
