@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,15 @@ def as_column(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def case(branches: Iterable[tuple[Column, Column]]) -> Column:
+    """The value of the first condition that holds, NULL when none does."""
+    (first, value), *rest = branches
+    chosen = F.when(first, value)
+    for condition, value in rest:
+        chosen = chosen.when(condition, value)
+    return chosen
+
+
 def nan_to_null(value: str | Column) -> Column:
     """NaN means missing; Spark would otherwise sort and count it as a number."""
     return F.nanvl(as_column(value), F.lit(None).cast("double"))

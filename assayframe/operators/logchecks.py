@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayframe.functions.columns import BEAM_NAME_PATTERN, CANDIDATE_ID_PATTERN, TIMESTAMP_PATTERN, is_finite, matches
+from assayframe.functions.columns import BEAM_NAME_PATTERN, CANDIDATE_ID_PATTERN, TIMESTAMP_PATTERN, case, is_finite, matches
 from assayframe.functions.strictjson import is_canonical_line, strict_json
 from assayframe.operators.scale import fits_one_task, position_chunk, running
 
@@ -356,6 +356,8 @@ def expected_sequence(plan: DataFrame) -> DataFrame:
     an iteration is ever ordered together.
     """
     key = ["run_id", "iteration"]
+    # Said here once, the joins below infer nothing new and all branches share one shuffle of the plan.
+    plan = plan.dropna(subset=[*key, "beam_pos"])
     beams = plan.groupBy(*key, "beam_pos", "beam").agg(
         F.count("candidate_id").alias("n"),
         F.sum(F.when(F.col("candidate_id").isNotNull(), _listing("cand_pos", "candidate_id"))).cast("string").alias("listed"),
@@ -420,8 +422,5 @@ def replay_differences(recorded: DataFrame, expected: DataFrame) -> DataFrame:
 
 def provenance_differences(headers: DataFrame, running_facts: Mapping[str, str]) -> DataFrame:
     """First provenance fact, in the given order, that differs from the running one."""
-    first = None
-    for name, value in running_facts.items():
-        differs = ~F.col(name).eqNullSafe(F.lit(value))
-        first = F.when(differs, name) if first is None else first.when(differs, name)
+    first = case((~F.col(name).eqNullSafe(F.lit(value)), F.lit(name)) for name, value in running_facts.items())
     return headers.select("run_id", first.alias("field")).where(F.col("field").isNotNull())

@@ -22,6 +22,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayframe.functions.columns import case
 from assayframe.sources.storage import cut_lineage
 
 # Rows of one group that a single task may order (it can still spill).
@@ -274,9 +275,7 @@ def _chunked_quantiles(df: DataFrame, keys: Sequence[str], wanted: Mapping[str,
         df.select(*keys, F.inline(F.array(*cells))).where(F.col("_v").isNotNull())
         .groupBy(*keys, "_c", "_v").agg(F.count("*").alias("_n"))
     )
-    chunk = F
-    for i, name in enumerate(columns):
-        chunk = chunk.when(F.col("_c") == i, chunk_of(F.col("_v"), cuts[name]))
+    chunk = case((F.col("_c") == i, chunk_of(F.col("_v"), cuts[name])) for i, name in enumerate(columns))
     ranked = running(entries, [*keys, "_c"], ["_v"], {"_upto": ("sum", F.col("_n"))}, chunk=chunk, totals=["_upto"])
     picks = []
     for name, (column, q) in wanted.items():

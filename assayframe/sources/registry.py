@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assayframe.functions.columns import case
+
 # The roles and unit states a registry may use.
 ROLES = ("objective", "constraint", "intermediate", "validator")
 UNIT_STATUSES = ("verified", "unverified")
@@ -79,10 +81,7 @@ class Registry:
 
     def pick(self, key: Column, suffix: str = "") -> Column:
         """The value of the registered column that ``key`` names, NULL for any other key."""
-        chosen = F
-        for entry in self.entries:
-            chosen = chosen.when(key == entry.key, F.col(entry.column + suffix))
-        return chosen
+        return case((key == entry.key, F.col(entry.column + suffix)) for entry in self.entries)
 
 
 def registry_violations(registry: DataFrame, expected_keys: Sequence[str]) -> DataFrame:

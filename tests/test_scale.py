@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from assayframe.operators import profile, scale
 
-QUICK = settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+QUICK = settings(max_examples=6, deadline=None, derandomize=True, suppress_health_check=[HealthCheck.function_scoped_fixture])
 VALUES = st.lists(
     st.tuples(st.sampled_from(["hot", "hot", "hot", "cold"]), st.one_of(st.none(), st.integers(-4, 9).map(lambda n: n / 2))),
     min_size=1, max_size=40,
@@ -75,6 +75,12 @@ def test_running(spark, tiny_tasks, rows, inclusive):
     assert sorted(chunked.select(*columns).collect()) == sorted(plain.select(*columns).collect())
 
 
+def test_running_keeps_null_keys(spark, tiny_tasks):
+    df = frame(spark, [(None, 1.0)] * 9 + [("a", 1.0)] * 5)
+    got = scale.running(df, ["k"], ["i"], {"n": ("sum", F.lit(1))}, chunk=scale.position_chunk("i"), totals=["n"])
+    assert sorted((r["i"], r["n"], r["n_all"]) for r in got.collect()) == [(i, i + 1, 9) for i in range(9)] + [(9 + i, i + 1, 5) for i in range(5)]
+
+
 @QUICK
 @given(rows=st.lists(st.tuples(st.integers(0, 5), st.integers(0, 3)), min_size=3, max_size=40))
 def test_rank_correlation(spark, tiny_tasks, rows):

@@ -9,7 +9,7 @@ from conftest import CORE, EXTRA_ROWS, PLAN, REGISTRY, ROWS, RUN, golden_records
 from pyspark.sql import functions as F
 
 from assayframe.operators import populations
-from assayframe.plans import pipelines
+from assayframe.plans import workflows
 from assayframe.sources import measurements, runlogs
 
 A, B, C = CORE
@@ -20,7 +20,7 @@ FACTS = {"snapshot": "invented@1", "source_sha256": "ab" * 32}
 def loaded(spark, tmp_path_factory):
     out = str(tmp_path_factory.mktemp("load"))
     source = source_frame(spark, ROWS + EXTRA_ROWS)
-    accounting = pipelines.load_source(
+    accounting = workflows.load_source(
         source, out, REGISTRY, raw="raw", second="second", label="label", facts=FACTS, canonical=lookup_canonical, expensive=True,
         rows_bound=100,
     )
@@ -39,7 +39,7 @@ def test_load(spark, loaded):
 
 def test_load_needs_its_columns(spark, tmp_path):
     with pytest.raises(measurements.SourceError, match="missing required columns: Rg"):
-        pipelines.load_source(source_frame(spark, ROWS).drop("Rg"), str(tmp_path), REGISTRY, raw="raw", second="second", label="label", facts=FACTS)
+        workflows.load_source(source_frame(spark, ROWS).drop("Rg"), str(tmp_path), REGISTRY, raw="raw", second="second", label="label", facts=FACTS)
 
 
 @pytest.mark.parametrize("bound", [100, None])
@@ -73,25 +73,25 @@ def test_answering_with_cache_and_budget(spark, loaded, tmp_path):
     facts = {"backend": "table", "source": "invented@1", "tier": "simulated"}
     cache = str(tmp_path / "cache")
     asked = request(tmp_path, "a.json", [("7ec8cb49ff317efc", [A, B]), ("0123456789abcdef", [A])])
-    first = pipelines.answer_requests(spark, asked, table, REGISTRY, limit=1, **facts)
+    first = workflows.answer_requests(spark, asked, table, REGISTRY, limit=1, **facts)
     assert rows_of(first.select("status", "cached", "evals")) == [("ok", False, 1), ("ok", False, 0), ("missing", False, 0)]
     runlogs.append_cache(first, cache)
-    again = pipelines.answer_requests(spark, asked, table, REGISTRY, cache=cache, limit=0, **facts)
+    again = workflows.answer_requests(spark, asked, table, REGISTRY, cache=cache, limit=0, **facts)
     assert rows_of(again.select("status", "cached", "evals")) == [("ok", True, 0), ("ok", True, 0), ("missing", True, 0)]
-    other = pipelines.answer_requests(spark, asked, table, REGISTRY, cache=cache, **(facts | {"source": "invented@2"}))
+    other = workflows.answer_requests(spark, asked, table, REGISTRY, cache=cache, **(facts | {"source": "invented@2"}))
     assert other.agg(F.count_if("cached")).first()[0] == 0
     two = request(tmp_path, "b.json", [("7ec8cb49ff317efc", [A]), ("d751b16095852737", [A])])
-    with pytest.raises(pipelines.Refused, match="requested 2 evals of limit 1"):
-        pipelines.answer_requests(spark, two, table, REGISTRY, limit=1, **facts)
-    with pytest.raises(pipelines.Refused, match="candidate id is malformed"):
-        pipelines.answer_requests(spark, request(tmp_path, "c.json", [("xyz", [A])]), table, REGISTRY, **facts)
+    with pytest.raises(workflows.Refused, match="requested 2 evals of limit 1"):
+        workflows.answer_requests(spark, two, table, REGISTRY, limit=1, **facts)
+    with pytest.raises(workflows.Refused, match="candidate id is malformed"):
+        workflows.answer_requests(spark, request(tmp_path, "c.json", [("xyz", [A])]), table, REGISTRY, **facts)
 
 
 def test_replay_and_outputs(spark, write_log, tmp_path):
-    replayed = pipelines.replay(spark, write_log(golden_records()), rows_bound=1_000)
+    replayed = workflows.replay(spark, write_log(golden_records()), rows_bound=1_000)
     assert replayed.metrics.count() == 8
     assert rows_of(replayed.usage.select("evals", "cpu_hours")) == [(5, 0.0)]
-    pipelines.write_replay(replayed, str(tmp_path / "out"))
+    workflows.write_replay(replayed, str(tmp_path / "out"))
     back = spark.read.option("header", True).csv(str(tmp_path / "out" / "results"))
     assert {r["pct_of_population"] for r in back.where("beam = 'chem'").collect()} == {None}
     assert spark.read.json(str(tmp_path / "out" / "summary")).where("status = 'completed'").count() == 6
@@ -99,11 +99,11 @@ def test_replay_and_outputs(spark, write_log, tmp_path):
 
 def test_replay_refuses_a_broken_log(spark, write_log):
     records = golden_records()
-    with pytest.raises(pipelines.Refused, match="seq is not its position|header"):
-        pipelines.replay(spark, write_log(records[:5] + records[6:]))
+    with pytest.raises(workflows.Refused, match="seq is not its position|header"):
+        workflows.replay(spark, write_log(records[:5] + records[6:]))
     records[4]["payload"]["cost"]["evals"] = 7
-    with pytest.raises(pipelines.Refused, match="not the sum of its results"):
-        pipelines.replay(spark, write_log(records))
+    with pytest.raises(workflows.Refused, match="not the sum of its results"):
+        workflows.replay(spark, write_log(records))
 
 
 def test_unfinished_work(spark, write_log):
@@ -112,7 +112,7 @@ def test_unfinished_work(spark, write_log):
         "run_id string, iteration long, beam string, candidate_id string",
     )
     _, events = runlogs.read_log(spark, write_log(golden_records()[:6]))
-    left = pipelines.unfinished_work(plan, events)
+    left = workflows.unfinished_work(plan, events)
     assert left.count() == 5
     _, complete = runlogs.read_log(spark, write_log(golden_records(), "whole.jsonl"))
-    assert pipelines.unfinished_work(plan, complete).count() == 0
+    assert workflows.unfinished_work(plan, complete).count() == 0
