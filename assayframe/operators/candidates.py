@@ -29,7 +29,7 @@ def with_candidate_id(candidates: DataFrame, structure_key: str, label: str) ->
 
 def build_candidates(
     rows: DataFrame, properties: Sequence[str], *, key: Key = "candidate_id", carry: Sequence[str] = (),
-    rows_bound: int | None = None,
+    rows_bound: int | None = None, hot_rows: int | None = None,
 ) -> DataFrame:
     """One row per candidate: exact median, non-null count, min, max and sample std per property.
 
@@ -55,7 +55,8 @@ def build_candidates(
     if rows_bound is not None and rows_bound <= HOT_ROWS:
         medians = [F.median(name).alias(f"{name}_median") for name in properties]
         return rows.groupBy(*key_columns(key)).agg(*medians, *plain)
-    return rows.groupBy(*key_columns(key)).agg(*plain).join(group_quantiles(rows, key_columns(key), wanted), key_columns(key), "left")
+    medians = group_quantiles(rows, key_columns(key), wanted, hot_rows=hot_rows)
+    return rows.groupBy(*key_columns(key)).agg(*plain).join(medians, key_columns(key), "left")
 
 
 def replicate_structure(candidates: DataFrame) -> DataFrame:
@@ -73,7 +74,9 @@ def size_histogram(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("n_rows").agg(F.count("*").alias("n_candidates")).orderBy("n_rows")
 
 
-def noise_floor(candidates: DataFrame, properties: Sequence[str], *, rows_bound: int | None = None) -> DataFrame:
+def noise_floor(
+    candidates: DataFrame, properties: Sequence[str], *, rows_bound: int | None = None, hot_rows: int | None = None
+) -> DataFrame:
     """Per property, over candidates with two or more values: typical absolute and relative spread.
 
     A zero median drops a candidate from the relative figures only.
@@ -109,6 +112,7 @@ def noise_floor(candidates: DataFrame, properties: Sequence[str], *, rows_bound:
     floors = group_quantiles(
         replicated, ["property"],
         {"median_abs_std": ("abs_std", 0.5), "median_rel_std": ("rel_std", 0.5), "p90_rel_std": ("rel_std", 0.9)},
+        hot_rows=hot_rows,
     )
     return groups.join(floors, "property", "left")
 

@@ -7,13 +7,14 @@ property``.  Requests of a run are answered in the order of ``request_seq``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayframe.functions.columns import CANDIDATE_ID_PATTERN, exact_sum, matches, spread_if_replicated
-from assayframe.operators.scale import fits_one_task, position_chunk, running
+from assayframe.operators.scale import fits_one_task, position_chunk, running, split_by_group_size
 from assayframe.sources.registry import Registry
 from assayframe.sources.storage import cut_lineage
 
@@ -199,17 +200,25 @@ def budget_cutoff(costs: DataFrame, limit: Column, *, rows_bound: int | None = N
     )
 
 
-def budget_greedy(answered: DataFrame, limit: int, *, rows_bound: int | None = None) -> DataFrame:
+def budget_greedy(
+    answered: DataFrame, limit: int, *, rows_bound: int | None = None, hot_rows: int | None = None
+) -> DataFrame:
     """Independent callers under one budget: a refused request is skipped and caches nothing.
 
     Returns ``run_id, request_seq, evals, accepted``; ``evals`` is what the
     request costs at its turn.  A refusal changes later cache hits, so a run is
-    a sequential fold.  Runs proven to fit one task are folded in one ordered pass;
-    otherwise all runs advance together, a stretch of requests per round.
+    a sequential fold.  Small runs are folded in one ordered pass.  Runs of more
+    than ``hot_rows`` answers (normally ``HOT_ROWS``) advance together, a stretch
+    of requests per round, each round spread over all tasks.
     """
     requests = answered.select(*REQUEST).distinct()
     pairs = answered.where(F.col("status") == OK).select(*REQUEST, "candidate_id", "property").distinct()
-    decided = _fold_runs(pairs, limit) if fits_one_task(rows_bound) else _advance_runs(pairs, limit)
+    if fits_one_task(rows_bound):
+        decided = _fold_runs(pairs, limit)
+    else:
+        calm, hot = split_by_group_size(pairs, ["run_id"], hot_rows)
+        parts = ([] if calm is None else [_fold_runs(calm, limit)]) + ([] if hot is None else [_advance_runs(hot, limit)])
+        decided = reduce(DataFrame.unionByName, parts)
     free = F.coalesce(F.col("evals"), F.lit(0)).alias("evals"), F.coalesce(F.col("accepted"), F.lit(True)).alias("accepted")
     return requests.join(decided, REQUEST, "left").select(*REQUEST, *free)
 

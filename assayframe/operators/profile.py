@@ -166,11 +166,13 @@ def quantile_window(
     return counted.withColumn("pct", percent(F.col("n_rows"), F.col("population")))
 
 
-def descriptives(df: DataFrame, column: str, *, rows_bound: int | None = None) -> DataFrame:
+def descriptives(
+    df: DataFrame, column: str, *, rows_bound: int | None = None, task_rows: int | None = None
+) -> DataFrame:
     """Median, 95th and 99th percentile and maximum of the rows that carry the column."""
     wanted = {"median": (column, 0.5), "p95": (column, 0.95), "p99": (column, 0.99)}
     present = df.select(column).where(F.col(column).isNotNull())
-    return beside(quantiles(present, wanted, rows_bound=rows_bound), present.agg(F.max(column).alias("maximum")))
+    return beside(quantiles(present, wanted, rows_bound=rows_bound, task_rows=task_rows), present.agg(F.max(column).alias("maximum")))
 
 
 def population_medians(df: DataFrame, mask: Column, column: str, *, rows_bound: int | None = None) -> DataFrame:

@@ -146,8 +146,10 @@ def running(
     return joined.withColumns(out).drop("_place", *helpers)
 
 
-def value_at_rank(df: DataFrame, column: str, ranks: Sequence[int], rows: int) -> dict[int, float]:
-    """The values at zero-based ``ranks`` of the non-null values of ``column``.
+def value_at_rank(
+    df: DataFrame, column: str, ranks: Sequence[int], rows: int, *, task_rows: int | None = None
+) -> dict[int, float]:
+    """The values at zero-based ``ranks`` of the ``rows`` non-null values of ``column``.
 
     Each round counts rows between cut points and keeps only the slices that
     hold a wanted rank.  A cut value has a slice of its own, so a value shared
@@ -158,7 +160,7 @@ def value_at_rank(df: DataFrame, column: str, ranks: Sequence[int], rows: int) -
     value = F.col(column)
     while todo:
         part, offset, size, wanted = todo.pop()
-        if size <= TASK_ROWS:
+        if size <= (TASK_ROWS if task_rows is None else task_rows):
             found.update(_pick_in_task(part, column, offset, wanted))
             continue
         cuts = cut_points(part, [column])[column].points
@@ -202,11 +204,12 @@ def _percentiles(wanted: Mapping[str, tuple[str, float]]) -> tuple[list[Column],
 
 
 def quantiles(
-    df: DataFrame, wanted: Mapping[str, tuple[str, float]], *, rows_bound: int | None = None
+    df: DataFrame, wanted: Mapping[str, tuple[str, float]], *, rows_bound: int | None = None, task_rows: int | None = None
 ) -> DataFrame:
     """One row with an exact, linearly interpolated quantile per entry of ``wanted``.
 
-    ``wanted`` maps an output name to ``(column, probability)``.
+    ``wanted`` maps an output name to ``(column, probability)``; ``task_rows``
+    replaces ``TASK_ROWS`` as the size at which the search for a rank ends.
     """
     if rows_bound is not None and rows_bound <= PERCENTILE_ROWS:
         aggregates, results = _percentiles(wanted)
@@ -222,7 +225,7 @@ def quantiles(
             continue
         spots = {name: q * (n - 1) for name, q in mine.items()}
         ranks = {math.floor(spot) for spot in spots.values()} | {math.ceil(spot) for spot in spots.values()}
-        values = value_at_rank(df, column, sorted(ranks), n)
+        values = value_at_rank(df, column, sorted(ranks), n, task_rows=task_rows)
         for name, spot in spots.items():
             low, high = values[math.floor(spot)], values[math.ceil(spot)]
             results[name] = low + (high - low) * (spot - math.floor(spot))
@@ -231,22 +234,41 @@ def quantiles(
     )
 
 
-def _hot_groups(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, int]:
-    """Keys with more rows than ``percentile`` should hold, and how many there are."""
+class Split(NamedTuple):
+    """The rows of small groups and of large ones; ``None`` for a side without rows."""
+
+    calm: DataFrame | None
+    hot: DataFrame | None
+
+
+def split_by_group_size(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> Split:
+    """Tell groups of more than ``hot_rows`` rows from the rest, by one narrow count.
+
+    The large groups are named in a broadcast, which their number allows: there
+    are at most ``MOST_HOT_GROUPS``, or else all rows count as hot.
+    """
+    limit = HOT_ROWS if hot_rows is None else hot_rows
     sizes = df.groupBy(*[F.col(key).alias(f"_hot_{key}") for key in keys]).agg(F.count("*").alias("_n"))
-    hot = cut_lineage(sizes.where(F.col("_n") > HOT_ROWS).drop("_n"))
-    return hot, hot.count()
+    large = cut_lineage(sizes.where(F.col("_n") > limit).drop("_n"))
+    n = large.count()
+    if n == 0:
+        return Split(df, None)
+    if n > MOST_HOT_GROUPS:
+        return Split(None, df)
+    named = F.broadcast(large)
+    same = [F.col(key).eqNullSafe(F.col(f"_hot_{key}")) for key in keys]
+    return Split(df.join(named, same, "left_anti"), df.join(named, same, "left_semi"))
 
 
 def group_quantiles(
-    df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, float]], *, rows_bound: int | None = None
+    df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, float]], *, rows_bound: int | None = None,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Exact interpolated quantiles per key; ``wanted`` maps a name to ``(column, probability)``.
 
-    A key without any value may be absent.  Groups whose counted size is small
-    use ``percentile``.  The rows of larger groups, found by one narrow count,
-    are ranked in chunks; so are all rows when there are too many such groups to
-    name in a broadcast.
+    A key without any value may be absent.  Small groups use ``percentile``, the
+    rows of large ones (more than ``hot_rows``, normally ``HOT_ROWS``) are ranked
+    in chunks.
     """
     aggregates, results = _percentiles(wanted)
 
@@ -255,15 +277,11 @@ def group_quantiles(
 
     if rows_bound is not None and rows_bound <= HOT_ROWS:
         return plain(df)
-    hot, n = _hot_groups(df, keys)
-    if n == 0:
-        return plain(df)
-    if n > MOST_HOT_GROUPS:
-        return _chunked_quantiles(df, keys, wanted)
-    named = F.broadcast(hot)  # at most MOST_HOT_GROUPS keys
-    same = [F.col(key).eqNullSafe(F.col(f"_hot_{key}")) for key in keys]
-    calm = plain(df.join(named, same, "left_anti"))
-    return calm.unionByName(_chunked_quantiles(df.join(named, same, "left_semi"), keys, wanted))
+    calm, hot = split_by_group_size(df, keys, hot_rows)
+    if hot is None:
+        return plain(calm)
+    ranked = _chunked_quantiles(hot, keys, wanted)
+    return ranked if calm is None else plain(calm).unionByName(ranked)
 
 
 def _chunked_quantiles(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, float]]) -> DataFrame:

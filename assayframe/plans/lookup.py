@@ -136,7 +136,7 @@ def budget_greedy(spark, sf_dir):
 def budget_greedy_rounds(spark, sf_dir):
     bound = lookup_bound(spark, sf_dir)
     answered = ops.answer(lookups(spark, sf_dir, bound), candidates(spark, sf_dir), SERVED)
-    return ops.budget_greedy(answered, LIMIT)
+    return ops.budget_greedy(answered, LIMIT, hot_rows=0)
 
 
 @query(

@@ -33,8 +33,9 @@ SELECT candidate_id, l_partkey, label, n_rows, """ + ", ".join(
 ) + " FROM c JOIN names USING (candidate_id)"
 
 
-def _build(spark: SparkSession, sf_dir: str, bound: int | None) -> DataFrame:
-    built = cand.build_candidates(measurements(spark, sf_dir), PROPERTIES, key=CANDIDATE_KEY, rows_bound=bound)
+def _build(spark: SparkSession, sf_dir: str, bound: int | None, hot_rows: int | None = None) -> DataFrame:
+    rows = measurements(spark, sf_dir)
+    built = cand.build_candidates(rows, PROPERTIES, key=CANDIDATE_KEY, rows_bound=bound, hot_rows=hot_rows)
     named = cand.with_candidate_id(built, "l_partkey", "tidy_label").withColumnRenamed("tidy_label", "label")
     return rounded(named, price_std=3)
 
@@ -46,7 +47,8 @@ def candidate_build(spark, sf_dir):
 
 @query("candidate_build_chunked", _BUILD_SQL)
 def candidate_build_chunked(spark, sf_dir):
-    return _build(spark, sf_dir, None)
+    """Candidates of more than eight rows count as hot and are ranked in chunks."""
+    return _build(spark, sf_dir, None, hot_rows=8)
 
 
 @query(
@@ -318,7 +320,8 @@ def noise_floor(spark, sf_dir):
 
 @query("noise_floor_chunked", _noise_sql())
 def noise_floor_chunked(spark, sf_dir):
-    return rounded(cand.noise_floor(_candidates(spark, sf_dir, None), PROPERTIES))
+    """Every property counts as a hot group of candidates."""
+    return rounded(cand.noise_floor(_candidates(spark, sf_dir, None), PROPERTIES, hot_rows=100))
 
 
 @query("noise_floor_filtered", _noise_sql(SQL_TRIPLE))
@@ -399,7 +402,8 @@ def descriptives(spark, sf_dir):
 
 @query("descriptives_chunked", _DESCRIBE)
 def descriptives_chunked(spark, sf_dir):
-    return rounded(profile.descriptives(measurements(spark, sf_dir), "price"))
+    """The search for each rank goes on until fifty rows are left."""
+    return rounded(profile.descriptives(measurements(spark, sf_dir), "price", task_rows=50))
 
 
 @query(

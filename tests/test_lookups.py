@@ -161,10 +161,11 @@ def test_budget_greedy_both_ways(spark, seed, monkeypatch):
     })
     answered = spark.createDataFrame(pairs, "run_id string, request_seq long, candidate_id string, property string").withColumn("status", F.lit("ok"))
     expected = greedy_by_hand(pairs, 5)
-    for bound in (1_000, None):
-        got = {(r[0], r[1]): (r[2], r[3]) for r in ops.budget_greedy(answered, 5, rows_bound=bound).collect()}
-        assert got == expected
-        monkeypatch.setattr(scale, "POSITION_WIDTH", 4)
+    monkeypatch.setattr(scale, "POSITION_WIDTH", 4)
+    larger = answered.groupBy("run_id").count().agg(F.max("count")).first()[0]
+    for ways in ({"rows_bound": 1_000}, {}, {"hot_rows": 0}, {"hot_rows": larger - 1}):
+        got = {(r[0], r[1]): (r[2], r[3]) for r in ops.budget_greedy(answered, 5, **ways).collect()}
+        assert got == expected, ways
 
 
 def test_state_is_rebuilt_from_results(spark, table):
