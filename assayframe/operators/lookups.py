@@ -109,6 +109,7 @@ def flag_cached(
     ``preloaded`` (``run_id, candidate_id, property``) counts as answered before
     the first request.  ``asked`` may hold the same lookups without answers when
     a pair gets the same answer every time; it spares answering them twice.
+    ``rows_bound`` bounds the rows of one candidate of one run.
     """
     cacheable = F.when(F.col("status").isin(*CACHEABLE), F.col("request_seq"))
     if preloaded is None and fits_one_task(rows_bound):
@@ -159,16 +160,27 @@ def charge(flagged: DataFrame, *, rows_bound: int | None = None) -> DataFrame:
 
 def evaluate(
     lookups: DataFrame, candidates: DataFrame, registry: Registry, *, preloaded: DataFrame | None = None,
-    rows_bound: int | None = None, **backend: str,
+    rows_bound: int | None = None, hot_rows: int | None = None, **backend: str,
 ) -> DataFrame:
     """Answers with cache flags and costs, in no particular order (see ``response_order``).
 
     A ``preloaded`` cache that holds whole answers also replaces the fresh ones.
+    Candidates a run asks for seldom settle in one shuffle; those it asks for
+    more than ``hot_rows`` times (normally ``HOT_ROWS``) settle by aggregates.
     """
-    answered = answer(lookups, candidates, registry, **backend)
-    if preloaded is not None and set(STORED) <= set(preloaded.columns):
-        answered = with_stored_answers(answered, preloaded)
-    return charge(flag_cached(answered, preloaded=preloaded, asked=lookups, rows_bound=rows_bound), rows_bound=rows_bound)
+
+    def settle(asked: DataFrame, bound: int | None) -> DataFrame:
+        answered = answer(asked, candidates, registry, **backend)
+        if preloaded is not None and set(STORED) <= set(preloaded.columns):
+            answered = with_stored_answers(answered, preloaded)
+        flagged = flag_cached(answered, preloaded=preloaded, asked=asked, rows_bound=bound)
+        return charge(flagged, rows_bound=bound)
+
+    if fits_one_task(rows_bound):
+        return settle(lookups, rows_bound)
+    calm, hot = split_by_group_size(lookups, ["run_id", "candidate_id"], hot_rows)
+    parts = ([] if calm is None else [settle(calm, 0)]) + ([] if hot is None else [settle(hot, None)])
+    return reduce(DataFrame.unionByName, parts)
 
 
 def response_order(results: DataFrame) -> DataFrame:

@@ -23,8 +23,9 @@ def lookup_bound(spark, sf_dir) -> int:
     return 3 * row_bound(spark, sf_dir, "lineitem")
 
 
-def lookup_results(spark, sf_dir, bound):
-    return ops.evaluate(lookups(spark, sf_dir, bound), candidates(spark, sf_dir), SERVED, rows_bound=bound, **FACTS)
+def lookup_results(spark, sf_dir, bound, hot_rows=None):
+    asked = lookups(spark, sf_dir, bound)
+    return ops.evaluate(asked, candidates(spark, sf_dir), SERVED, rows_bound=bound, hot_rows=hot_rows, **FACTS)
 
 
 _STATUS_COLUMNS = ["run_id", "request_seq", "entry_pos", "property", "candidate_id", "status", "reason", "value", "unit",
@@ -57,7 +58,8 @@ def evaluate_cached_charged(spark, sf_dir):
 
 @query("evaluate_cached_charged_chunked", _CHARGED_SQL)
 def evaluate_cached_charged_chunked(spark, sf_dir):
-    return lookup_results(spark, sf_dir, None).select(*_CHARGED_COLUMNS)
+    """Candidates a run asks for more than twice count as hot."""
+    return lookup_results(spark, sf_dir, None, hot_rows=2).select(*_CHARGED_COLUMNS)
 
 
 _PRELOADED_SQL = f"""WITH {ANSWERS},

@@ -56,8 +56,8 @@ def test_out_of_range_candidates_are_served(spark, table):
     assert [(r["status"], r["value"]) for r in got] == [("ok", 15.0), ("ok", 1.0e6)]
 
 
-@pytest.mark.parametrize("bound", [1_000, None])
-def test_cache_and_charge_edges(spark, table, bound):
+@pytest.mark.parametrize("ways", [{"bound": 1_000}, {"bound": None}, {"bound": None, "hot_rows": 0}, {"bound": None, "hot_rows": 2}])
+def test_cache_and_charge_edges(spark, table, ways):
     cid = "7ec8cb49ff317efc"
     got = ask(
         spark, table,
@@ -65,7 +65,7 @@ def test_cache_and_charge_edges(spark, table, bound):
         [(cid, [A, "tg"])],  # a new property of a cached candidate is charged again
         [("0123456789abcdef", [A]), (cid, ["tg", "nope"])],
         [("0123456789abcdef", [A]), (cid, ["nope"])],  # missing is cached, unsupported never
-        bound=bound,
+        **ways,
     ).collect()
     assert [(r["request_seq"], r["property"], r["cached"], r["evals"]) for r in got] == [
         (0, A, False, 1), (0, A, False, 0), (0, B, False, 0), (1, A, True, 0), (1, "tg", False, 1),
