@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from assayframe.functions.columns import content_id
 from assayframe.operators.filters import core_triple
-from assayframe.operators.scale import HOT_ROWS, group_quantiles
+from assayframe.operators.scale import fits_one_map, group_quantiles
 from assayframe.sources.registry import Registry
 from assayframe.sources.storage import cut_lineage
 
@@ -52,7 +52,7 @@ def build_candidates(
     if not properties:
         return rows.groupBy(*key_columns(key)).agg(*plain)
     wanted = {f"{name}_median": (name, 0.5) for name in properties}
-    if rows_bound is not None and rows_bound <= HOT_ROWS:
+    if fits_one_map(rows_bound):
         medians = [F.median(name).alias(f"{name}_median") for name in properties]
         return rows.groupBy(*key_columns(key)).agg(*medians, *plain)
     medians = group_quantiles(rows, key_columns(key), wanted, hot_rows=hot_rows)
@@ -99,7 +99,7 @@ def noise_floor(
     replicated = long.where(F.col("n") >= MIN_REPLICATES).select(
         "property", "abs_std", F.when(F.col("scale") > 0, F.col("abs_std") / F.col("scale")).alias("rel_std")
     )
-    if rows_bound is not None and rows_bound <= HOT_ROWS:
+    if fits_one_map(rows_bound):
         return replicated.groupBy("property").agg(
             F.count("*").alias("n_groups"),
             F.median("abs_std").alias("median_abs_std"),

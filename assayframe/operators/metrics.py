@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from assayframe.functions.columns import ceil_div, exact_sum
 from assayframe.operators.filters import holds
 from assayframe.operators.logchecks import EVALUATION, ITERATION_CLOSED, NO_MATCH, RUN_CLOSED, RUN_OPENED, SELECTION
-from assayframe.operators.scale import HOT_ROWS, chunk_of, cut_points, fits_one_task, group_quantiles, running
+from assayframe.operators.scale import chunk_of, cut_points, fits_one_map, fits_one_task, group_quantiles, running
 from assayframe.sources.storage import cut_lineage
 
 BEAM = ["run_id", "iteration", "beam"]
@@ -88,7 +88,7 @@ def beam_metrics(picks: DataFrame, *, rows_bound: int | None = None) -> DataFram
         F.count("objective").alias("n_ok"),
         F.count_if(F.coalesce("feasible", F.lit(False))).alias("n_feasible"),
     ]
-    if rows_bound is not None and rows_bound <= HOT_ROWS:
+    if fits_one_map(rows_bound):
         table = picks.groupBy(*BEAM).agg(*stats, F.median("objective").alias("median_objective"))
     else:
         medians = group_quantiles(picks, BEAM, {"median_objective": ("objective", 0.5)})

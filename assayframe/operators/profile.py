@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from assayframe.functions.columns import in_range, percent, unpivot
 from assayframe.operators.filters import in_property_range
-from assayframe.operators.scale import PERCENTILE_ROWS, chunk_of, cut_points, fits_one_task, quantiles, running
+from assayframe.operators.scale import chunk_of, cut_points, fits_one_task, percentile_pays, quantiles, running
 from assayframe.sources.registry import Property, Registry
 from assayframe.sources.storage import cut_lineage
 
@@ -188,7 +188,7 @@ def feasible_set(
 ) -> DataFrame:
     """Candidates at or below a quantile of one median and at or above a minimum of another."""
     narrow = candidates.select(F.col(limited).alias("limited"), F.col(required).alias("required"))
-    if rows_bound is None or rows_bound > PERCENTILE_ROWS:
+    if not percentile_pays(rows_bound):
         narrow = cut_lineage(narrow)  # two columns of a table that is costly to derive, read several times
     bound = quantiles(narrow, {"quantile_cut": ("limited", q)}, rows_bound=rows_bound)
     joined = narrow.withColumn("_one", F.lit(1)).join(F.broadcast(bound.withColumn("_one", F.lit(1))), "_one")

@@ -47,6 +47,16 @@ def fits_one_task(rows_bound: int | None) -> bool:
     return rows_bound is not None and rows_bound <= TASK_ROWS
 
 
+def fits_one_map(rows_bound: int | None) -> bool:
+    """Whether a proven bound lets ``percentile`` hold any single group."""
+    return rows_bound is not None and rows_bound <= HOT_ROWS
+
+
+def percentile_pays(rows_bound: int | None) -> bool:
+    """Whether a proven bound makes ``percentile`` over the whole table the cheaper way."""
+    return rows_bound is not None and rows_bound <= PERCENTILE_ROWS
+
+
 class Cuts(NamedTuple):
     """Ascending cut points of a column and how often to split the span between two of them."""
 
@@ -211,7 +221,7 @@ def quantiles(
     ``wanted`` maps an output name to ``(column, probability)``; ``task_rows``
     replaces ``TASK_ROWS`` as the size at which the search for a rank ends.
     """
-    if rows_bound is not None and rows_bound <= PERCENTILE_ROWS:
+    if percentile_pays(rows_bound):
         aggregates, results = _percentiles(wanted)
         return df.agg(*aggregates).select(*results)
     columns = sorted({column for column, _ in wanted.values()})
@@ -275,7 +285,7 @@ def group_quantiles(
     def plain(rows: DataFrame) -> DataFrame:
         return rows.groupBy(*keys).agg(*aggregates).select(*keys, *results)
 
-    if rows_bound is not None and rows_bound <= HOT_ROWS:
+    if fits_one_map(rows_bound):
         return plain(df)
     calm, hot = split_by_group_size(df, keys, hot_rows)
     if hot is None:

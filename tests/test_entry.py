@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from assayframe.operators import scale
 
 SF_DIR = Path(driver.SMOKE_DIR)
 QUERIES, ORACLES = driver.queries(), driver.oracle_sql()
@@ -34,8 +35,7 @@ def test_entry(spark):
     assert driver.entry(spark).count() == 4
 
 
-@pytest.mark.parametrize("name", list(ORACLES))
-def test_query_agrees_with_sql(spark, db, name):
+def compare(spark, db, name):
     df = QUERIES[name](spark, str(SF_DIR))
     columns = sorted(df.columns)
     cursor = db.execute(ORACLES[name])
@@ -48,6 +48,37 @@ def test_query_agrees_with_sql(spark, db, name):
     assert not any(isinstance(v, float) and math.isnan(v) for row in got for v in row)
 
 
+@pytest.mark.parametrize("name", list(ORACLES))
+def test_query_agrees_with_sql(spark, db, name):
+    compare(spark, db, name)
+
+
+LARGE = [
+    "candidate_build", "noise_floor", "feasible_set", "rank_correlation", "quantile_window", "population_capture", "evaluate_cached_charged",
+    "budget_cutoff", "budget_greedy", "run_metrics", "log_lifecycle", "replay_conformance", "topk_thresholds",
+]
+NO_BROADCAST = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+}
+
+
+@pytest.mark.parametrize("name", LARGE)
+def test_the_ways_for_large_tables_agree_too(spark, db, monkeypatch, name):
+    """Every size limit shrunk below the tables, no automatic broadcast, skewed joins split."""
+    for limit, value in {"TASK_ROWS": 2_000, "HOT_ROWS": 500, "PERCENTILE_ROWS": 500, "POSITION_WIDTH": 1_000}.items():
+        monkeypatch.setattr(scale, limit, value)
+    before = {key: spark.conf.get(key, None) for key in NO_BROADCAST}
+    for key, value in NO_BROADCAST.items():
+        spark.conf.set(key, value)
+    try:
+        compare(spark, db, name)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def test_file_manifest_audit(spark):
     got = {r["name"]: r["status"] for r in QUERIES["file_manifest_audit"](spark, str(SF_DIR)).collect()}
     assert got.pop("region.parquet") == "mismatch" and got.pop("ghost.parquet") == "absent"
