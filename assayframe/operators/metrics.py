@@ -81,9 +81,10 @@ def thresholds(
     )
 
 
-def beam_metrics(picks: DataFrame, *, rows_bound: int | None = None) -> DataFrame:
-    """Per beam: selected, answered, median objective and feasible share."""
+def beam_metrics(picks: DataFrame, *, also: Sequence[Column] = (), rows_bound: int | None = None) -> DataFrame:
+    """Per beam: selected, answered, median objective and feasible share, and any aggregates ``also`` asked for."""
     stats = [
+        *also,
         F.count("*").alias("n_selected"),
         F.count("objective").alias("n_ok"),
         F.count_if(F.coalesce("feasible", F.lit(False))).alias("n_feasible"),
@@ -153,29 +154,51 @@ def reduce_run(
     """
     keys = list(keys)
     references = thresholds(members, keys, sign, rows_bound=rows_bound)
-    beams = reported.join(beam_metrics(picks, rows_bound=rows_bound), BEAM, "left")
-    names = populations if populations is not None else references.select(*keys)
     if "run_id" in keys:
-        spread = beams.join(names, "run_id")
-        spread_picks = picks.join(names, "run_id")
+        names = populations if populations is not None else references.select(*keys)
+        beams = reported.join(beam_metrics(picks, rows_bound=rows_bound), BEAM, "left").join(names, "run_id")
+        counted = hits(picks.join(names, "run_id"), references, keys, sign)
+        spread = beams.join(counted, [*BEAM, "population"], "left")
     else:
-        listed = F.explode(F.array(*[F.lit(row["population"]) for row in names.select("population").distinct().collect()]))
-        spread, spread_picks = beams.withColumn("population", listed), picks.withColumn("population", listed)
-    rows = percent_worse(spread, members, keys, sign, rows_bound=rows_bound)
-    counted = hits(spread_picks, references, keys, sign)
-    group = [*BEAM, "population"]
-    out = rows.join(references, keys, "left").join(counted.select(*group, "hits_top10", "hits_top1"), group, "left")
-    hit = [
+        spread = _spread_over_shared(reported, picks, references, populations, sign, rows_bound)
+    out = percent_worse(spread, members, keys, sign, rows_bound=rows_bound).join(references, keys, "left")
+    counts = [
         F.when(F.col("n_feasible") > 0, F.coalesce(f"hits_{name}", F.lit(0))).alias(f"hits_{name}") for name in TOP_DIVISORS
     ]
     return out.select(
         *[name for name in ("run_id", "seq", "iteration", "beam", "population") if name in out.columns],
         F.coalesce("n_selected", F.lit(0)).alias("n_selected"), F.coalesce("n_ok", F.lit(0)).alias("n_ok"),
         "median_objective", "feasible_frac", F.coalesce("n_population", F.lit(0)).alias("n_population"),
-        "pct_of_population", *hit,
+        "pct_of_population", *counts,
     )
 
 
+def _spread_over_shared(
+    reported: DataFrame, picks: DataFrame, references: DataFrame, populations: DataFrame, sign: Column, rows_bound: int | None
+) -> DataFrame:
+    """Beams against populations shared by all runs: one pass over the picks counts the hits of all of them.
+
+    The shared populations are a short, given list; their thresholds travel as one row.
+    """
+    names = sorted(row["population"] for row in populations.select("population").distinct().collect())
+    limits = references.agg(
+        F.map_from_entries(F.collect_list(F.struct("population", F.struct(*TOP_DIVISORS).alias("tops")))).alias("_limits"),
+        F.lit(1).alias("_one"),
+    )
+    good = F.coalesce("feasible", F.lit(False))
+    counts = [
+        F.count_if(good & (sign * F.col("objective") >= sign * F.try_element_at("_limits", F.lit(name))[top])).alias(f"_{i}_{top}")
+        for i, name in enumerate(names) for top in TOP_DIVISORS
+    ]
+    limited = picks.withColumn("_one", F.lit(1)).join(F.broadcast(limits), "_one")
+    beams = reported.join(beam_metrics(limited, also=counts, rows_bound=rows_bound), BEAM, "left")
+    cells = F.array(*[
+        F.struct(F.lit(name).alias("population"), *[F.col(f"_{i}_{top}").alias(f"hits_{top}") for top in TOP_DIVISORS])
+        for i, name in enumerate(names)
+    ])
+    return beams.select(*[name for name in beams.columns if not name.startswith("_")], F.inline(cells))
+
+
 def trends(metrics: DataFrame) -> DataFrame:
     """Per beam and population: percentile and count by iteration, and where the beam first appears.
 
