@@ -32,7 +32,7 @@ from assayframe.llm.batches import sliced, texts_of
 # Distinct words that a Python worker remembers; then it starts anew.
 CACHE_WORDS = 200_000
 # Bytes of text whose new words are encoded together.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 12 << 20
 # White space as Unicode has it, and the pieces of a text that are encoded on their own.
 BLANKS = r"\t-\r \x85\xa0  -     　"
 PIECE = regex.compile(rf"\n|'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{BLANKS}\p{{L}}\p{{N}}]+")
@@ -95,8 +95,8 @@ class Vocabulary:
         yield held
 
 
-def merge_all(vocabulary: Vocabulary, pieces: list[bytes]) -> list[np.ndarray]:
-    """Ids of every piece, by the pair occurrence index over all of them."""
+def merge_all(vocabulary: Vocabulary, pieces: list[bytes]) -> tuple[np.ndarray, list[int]]:
+    """The ids of all pieces in a row, and where each piece ends, by the pair occurrence index over all of them."""
     lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
     raw = np.frombuffer(b"".join(pieces), np.uint8)
     total = len(raw)
@@ -134,14 +134,13 @@ def merge_all(vocabulary: Vocabulary, pieces: list[bytes]) -> list[np.ndarray]:
     while active:
         rank = heapq.heappop(active)
         lists = index.pop(rank)
-        at = lists[0] if len(lists) == 1 else np.unique(np.concatenate(lists))
+        at = lists[0] if len(lists) == 1 else np.concatenate(lists)
         a, b = vocabulary.left[rank], vocabulary.right[rank]
         following = after[at]
         valid = alive[at] & (symbol[at] == a) & (following < total)
         at = at[valid]
-        at = at[symbol[after[at]] == b]
+        at = np.unique(at[symbol[after[at]] == b])
         if a == b and len(at) > 1:  # in a run of the same symbol every other pair, from the left
-            at = np.sort(at)
             joined = after[at[:-1]] == at[1:]
             start = np.r_[True, ~joined]
             place = np.arange(len(at))
@@ -156,10 +155,10 @@ def merge_all(vocabulary: Vocabulary, pieces: list[bytes]) -> list[np.ndarray]:
         inside = onward < total
         before[onward[inside]] = at[inside]
         left = before[at]
-        add(np.unique(np.concatenate([at, left[left >= 0]])))
+        add(np.concatenate([at, left[left >= 0]]))
     ids = symbol[alive].astype("<u4")
     counts = np.add.reduceat(alive.astype(np.int64), ends - lengths)
-    return np.split(ids, np.cumsum(counts)[:-1])
+    return ids, np.cumsum(counts).tolist()
 
 
 class Encoder:
@@ -171,46 +170,56 @@ class Encoder:
 
     def __init__(self, file: str, cache_words: int = CACHE_WORDS) -> None:
         self.vocabulary, self.cache_words = Vocabulary(file), cache_words
-        self.words: dict[bytes, tuple[bytes, bytes]] = {b"": (b"", b"")}
+        self.ids: dict[bytes, bytes] = {b"": b""}
+        self.shown: dict[bytes, bytes] = {b"": b""}
         self.pieces: dict[str, tuple[bytes, bytes]] = {}
 
     def room(self, cache: dict, wanted, new: int) -> dict:
         return cache if len(cache) + new <= self.cache_words else {key: cache[key] for key in wanted if key in cache}
 
-    def learn(self, words: set[bytes]) -> None:
-        """Encode the words that are not in the cache yet."""
-        new = [word for word in words if word not in self.words]
-        if not new:
-            return
-        self.words = self.room(self.words, words, len(new))
-        parts = list(self.vocabulary.pieces(new))
-        asked = {piece: None for some in parts for piece in some}
+    def learn_pieces(self, asked: dict[str, None]) -> None:
         missing = [piece for piece in asked if piece not in self.pieces]
         self.pieces = self.room(self.pieces, asked, len(missing))
         special, shown = self.vocabulary.special, self.vocabulary.shown
-        plain = [piece for piece in missing if piece not in special]
+        plain = []
         for piece in missing:
             if piece in special:
                 self.pieces[piece] = (special[piece].to_bytes(4, "little"), shown[special[piece]])
+            else:
+                plain.append(piece)
         if plain:
-            for piece, ids in zip(plain, merge_all(self.vocabulary, [piece.encode() for piece in plain]), strict=True):
-                self.pieces[piece] = (ids.tobytes(), b"".join([shown[i] for i in ids.tolist()]))
-        known = self.pieces
+            ids, ends = merge_all(self.vocabulary, [piece.encode() for piece in plain])
+            packed, texts, start = ids.tobytes(), [shown[i] for i in ids.tolist()], 0
+            for piece, end in zip(plain, ends, strict=True):
+                self.pieces[piece] = (packed[4 * start : 4 * end], b"".join(texts[start:end]))
+                start = end
+
+    def learn(self, words: set[bytes]) -> None:
+        """Encode the words that are not in the cache yet."""
+        new = [word for word in words if word not in self.ids]
+        if not new:
+            return
+        self.ids, self.shown = self.room(self.ids, words, len(new)), self.room(self.shown, words, len(new))
+        parts = list(self.vocabulary.pieces(new))
+        self.learn_pieces({piece: None for some in parts for piece in some})
+        known, ids, shown = self.pieces, self.ids, self.shown
         for word, some in zip(new, parts, strict=True):
             if len(some) == 1:
-                self.words[word] = known[some[0]]
+                ids[word], shown[word] = known[some[0]]
             else:
                 both = [known[piece] for piece in some]
-                self.words[word] = (b"".join([ids for ids, _ in both]), b"".join([text for _, text in both]))
+                ids[word], shown[word] = b"".join([i for i, _ in both]), b"".join([t for _, t in both])
 
     def encode(self, texts: list[bytes | None]) -> Iterator[tuple[bytes, bytes]]:
         """Per text its ids as little-endian 32-bit integers and its decoded form in UTF-8."""
         split = [text.split() if text else [] for text in texts]
-        self.learn({word for words in split for word in words})
-        known = self.words
+        asked: set[bytes] = set()
+        for words in split:
+            asked.update(words)
+        self.learn(asked)
+        ids, shown = self.ids.__getitem__, self.shown.__getitem__
         for words in split:
-            both = [known[word] for word in words]
-            yield b"".join([ids for ids, _ in both]), b"".join([shown for _, shown in both])[:-1]
+            yield b"".join(map(ids, words)), b"".join(map(shown, words))[:-1]
 
 
 @lru_cache(maxsize=2)

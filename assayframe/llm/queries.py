@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from assayframe.llm import pair_bpe, source_mix, url_rules
+from assayframe.llm import byte_cnn, pair_bpe, source_mix, url_rules, weak_toxicity
 
 QUERIES, ORACLES = {}, {}
 
@@ -13,6 +13,11 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_weak_toxicity(spark, sf_dir):
+    """Toxicity of every document, learned outside the held-out fold."""
+    return weak_toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_pair_index_bpe(spark, sf_dir):
     """Ids and decoded texts of all documents, as digests."""
     return pair_bpe.encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -28,6 +33,11 @@ def op8_url_rules(spark, sf_dir):
     return url_rules.judge_urls(table(spark, sf_dir, "pages"))
 
 
-for _query in (op5_pair_index_bpe, op7_source_mix, op8_url_rules):
+def op10_byte_cnn(spark, sf_dir):
+    """Language of every document, learned outside the held-out fold."""
+    return byte_cnn.identify(table(spark, sf_dir, "documents"))
+
+
+for _query in (op3_weak_toxicity, op5_pair_index_bpe, op7_source_mix, op8_url_rules, op10_byte_cnn):
     QUERIES[_query.__name__] = _query
 ORACLES["op8_url_rules"] = url_rules.judge_sql()
