@@ -30,7 +30,7 @@ MOST_LABELLED = 6000
 # Words and beginnings that the classifier looks at, and voters of the label model.
 MOST_FEATURES = 1200
 MOST_VOTERS = 160
-SHORTEST, LONGEST = 3, 7
+SHORTEST, LONGEST, LONGEST_REST = 3, 8, 4
 CACHE_WORDS = 300_000
 # A seed lexicon of common insults.
 SEED = (
@@ -52,8 +52,11 @@ def normal(word: str) -> str:
 
 
 def forms(word: str) -> list[str]:
-    """The word and its beginnings."""
-    return [word + "="] + [word[:n] for n in range(SHORTEST, min(LONGEST, len(word)) + 1)] if word else []
+    """The word, its beginnings, and each beginning with the letters that are left if they are few (an inflected stem)."""
+    size = len(word)
+    starts = range(SHORTEST, min(LONGEST, size) + 1)
+    few = [f"{word[:n]}+{size - n}" for n in starts if 0 < size - n <= LONGEST_REST]
+    return [word + "="] + [word[:n] for n in starts] + few if word else []
 
 
 @dataclass
