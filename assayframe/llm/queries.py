@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from assayframe.llm import byte_cnn, pair_bpe, source_mix, url_rules, weak_toxicity
+from assayframe.llm import byte_cnn, fertility, pair_bpe, source_mix, url_rules, weak_toxicity
 
 QUERIES, ORACLES = {}, {}
 
@@ -18,6 +18,11 @@ def op3_weak_toxicity(spark, sf_dir):
     return weak_toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_fertility(spark, sf_dir):
+    """Base counts, tokeniser fertility and verdict of every document."""
+    return fertility.judge(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_pair_index_bpe(spark, sf_dir):
     """Ids and decoded texts of all documents, as digests."""
     return pair_bpe.encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -38,6 +43,6 @@ def op10_byte_cnn(spark, sf_dir):
     return byte_cnn.identify(table(spark, sf_dir, "documents"))
 
 
-for _query in (op3_weak_toxicity, op5_pair_index_bpe, op7_source_mix, op8_url_rules, op10_byte_cnn):
+for _query in (op3_weak_toxicity, op4_fertility, op5_pair_index_bpe, op7_source_mix, op8_url_rules, op10_byte_cnn):
     QUERIES[_query.__name__] = _query
 ORACLES["op8_url_rules"] = url_rules.judge_sql()
