@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from assayframe.llm import byte_cnn, fertility, pair_bpe, source_mix, url_rules, weak_toxicity
+from assayframe.llm import byte_cnn, fertility, lsh_forest, pair_bpe, source_mix, url_rules, weak_toxicity
 
 QUERIES, ORACLES = {}, {}
 
@@ -13,6 +13,11 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_lsh_forest(spark, sf_dir):
+    """Near-duplicate component of every document, at a similarity of 0.85."""
+    return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"), 85)
+
+
 def op3_weak_toxicity(spark, sf_dir):
     """Toxicity of every document, learned outside the held-out fold."""
     return weak_toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -43,6 +48,6 @@ def op10_byte_cnn(spark, sf_dir):
     return byte_cnn.identify(table(spark, sf_dir, "documents"))
 
 
-for _query in (op3_weak_toxicity, op4_fertility, op5_pair_index_bpe, op7_source_mix, op8_url_rules, op10_byte_cnn):
+for _query in (op2_lsh_forest, op3_weak_toxicity, op4_fertility, op5_pair_index_bpe, op7_source_mix, op8_url_rules, op10_byte_cnn):
     QUERIES[_query.__name__] = _query
 ORACLES["op8_url_rules"] = url_rules.judge_sql()
