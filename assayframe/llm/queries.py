@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from assayframe.llm import byte_cnn, fertility, lsh_forest, pair_bpe, source_mix, url_rules, weak_toxicity
+from assayframe.llm import byte_cnn, fertility, lsh_forest, page_diff, pair_bpe, source_mix, srs_search, url_rules, weak_toxicity
 
 QUERIES, ORACLES = {}, {}
 
@@ -13,6 +13,11 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_page_diff(spark, sf_dir):
+    """Main text of every page."""
+    return page_diff.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_lsh_forest(spark, sf_dir):
     """Near-duplicate component of every document, at a similarity of 0.85."""
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"), 85)
@@ -43,11 +48,19 @@ def op8_url_rules(spark, sf_dir):
     return url_rules.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op9_srs_search(spark, sf_dir):
+    """The 20 nearest vectors of every twentieth."""
+    return srs_search.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_byte_cnn(spark, sf_dir):
     """Language of every document, learned outside the held-out fold."""
     return byte_cnn.identify(table(spark, sf_dir, "documents"))
 
 
-for _query in (op2_lsh_forest, op3_weak_toxicity, op4_fertility, op5_pair_index_bpe, op7_source_mix, op8_url_rules, op10_byte_cnn):
+for _query in (
+    op1_page_diff, op2_lsh_forest, op3_weak_toxicity, op4_fertility, op5_pair_index_bpe, op7_source_mix, op8_url_rules, op9_srs_search,
+    op10_byte_cnn,
+):
     QUERIES[_query.__name__] = _query
 ORACLES["op8_url_rules"] = url_rules.judge_sql()
