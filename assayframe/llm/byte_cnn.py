@@ -176,6 +176,26 @@ def fit(docs: DataFrame, doc_id="doc_id", text="text", lang="lang", held_out=(3,
     return train(data, np.array([place[row["lang"]] for row in rows]), languages)
 
 
+def label(network: Network | None, texts: list[str | None]) -> list[tuple[str, float]]:
+    """(language, score) of whole texts; ``und`` with score 0 for a text that is missing or has no letter."""
+    found = [(UNKNOWN, 0.0)] * len(texts)
+    wanted = [i for i, value in enumerate(texts) if network is not None and value and HAS_LETTER.search(value)]
+    if wanted:
+        pieces = [cut(texts[i].lower().encode()) for i in wanted]
+        every = np.concatenate(pieces)
+        counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        starts = np.cumsum(counts) - counts
+        weight = LETTER[every].sum(axis=1) + np.float32(1e-3)
+        total = np.add.reduceat(network.log_probabilities(every) * weight[:, None], starts, axis=0)
+        mean = total / np.add.reduceat(weight, starts)[:, None]
+        odds = np.exp(mean - mean.max(axis=1, keepdims=True))
+        odds /= odds.sum(axis=1, keepdims=True)
+        for i, one in zip(wanted, odds, strict=True):
+            best = int(one.argmax())
+            found[i] = (network.languages[best], float(min(1.0, one[best])))
+    return found
+
+
 def predict(docs: DataFrame, network: Network | None, doc_id="doc_id", text="text") -> DataFrame:
     """(doc_id, lang_pred, score) for every whole text, one row per row of ``docs``.
 
@@ -186,27 +206,8 @@ def predict(docs: DataFrame, network: Network | None, doc_id="doc_id", text="tex
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches):
-        net = shared.value
         for batch in sliced(batches, "text"):
-            found: list[tuple[str, float]] = []
-            wanted, pieces = [], []
-            for row, value in enumerate(batch.column("text").to_pylist()):
-                found.append((UNKNOWN, 0.0))
-                if net is not None and value and HAS_LETTER.search(value):
-                    wanted.append(row)
-                    pieces.append(cut(value.lower().encode()))
-            if wanted:
-                every = np.concatenate(pieces)
-                counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
-                starts = np.cumsum(counts) - counts
-                weight = LETTER[every].sum(axis=1) + np.float32(1e-3)
-                total = np.add.reduceat(net.log_probabilities(every) * weight[:, None], starts, axis=0)
-                mean = total / np.add.reduceat(weight, starts)[:, None]
-                odds = np.exp(mean - mean.max(axis=1, keepdims=True))
-                odds /= odds.sum(axis=1, keepdims=True)
-                for row, one in zip(wanted, odds, strict=True):
-                    best = int(one.argmax())
-                    found[row] = (net.languages[best], float(min(1.0, one[best])))
+            found = label(shared.value, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                 schema=schema,
@@ -216,6 +217,20 @@ def predict(docs: DataFrame, network: Network | None, doc_id="doc_id", text="tex
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, network: Network | None, text="text", least: float = 0.35) -> DataFrame:
+    """The rows of ``docs`` whose text has a language that the network is at least that sure of; all rows where nothing was learned."""
+    if network is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(network)
+
+    def run(batches):
+        for batch in sliced(batches, text):
+            found = label(shared.value, batch.column(text).to_pylist())
+            yield batch.filter(pa.array([name != UNKNOWN and score >= least for name, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, doc_id="doc_id", text="text", lang="lang", held_out=(3, 1)) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): learn outside the held-out fold, predict every row."""
     found = predict(docs, fit(docs, doc_id, text, lang, held_out), doc_id, text)

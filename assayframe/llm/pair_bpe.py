@@ -229,13 +229,13 @@ def encoder(file: str, cache_words: int = CACHE_WORDS) -> Encoder:
 
 
 def encode_texts(docs: DataFrame, file: str, doc_id="doc_id", text="text", keep_ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids, decoded]) of every whole text.
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]) of every whole text.
 
     A missing text counts as empty: no ids, an empty decoded text.  Every row is
     encoded, repeated ones too.  ``file`` is a path that every executor can read.
     """
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
-    fields += [("ids", pa.binary()), ("decoded", pa.string())] if keep_ids else []
+    fields += [("ids", pa.binary())] if keep_ids else []
     schema = pa.schema(fields)
 
     def run(batches):
@@ -249,10 +249,10 @@ def encode_texts(docs: DataFrame, file: str, doc_id="doc_id", text="text", keep_
                 pa.array([hashlib.sha256(shown).hexdigest() for _, shown in both], pa.string()),
             ]
             if keep_ids:
-                columns += [pa.array([ids for ids, _ in both], pa.binary()), pa.array([shown.decode() for _, shown in both], pa.string())]
+                columns.append(pa.array([ids for ids, _ in both], pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    spec = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary, decoded string" if keep_ids else "")
+    spec = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if keep_ids else "")
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, spec)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from assayframe.llm import byte_cnn, fertility, lsh_forest, page_diff, pair_bpe, source_mix, srs_search, url_rules, weak_toxicity
+from assayframe.llm import byte_cnn, context_mixing, fertility, lsh_forest, page_diff, pair_bpe, source_mix, srs_search, url_rules, weak_toxicity
 
 QUERIES, ORACLES = {}, {}
 
@@ -38,6 +38,11 @@ def op5_pair_index_bpe(spark, sf_dir):
     return pair_bpe.encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_context_mixing(spark, sf_dir):
+    """Log-probability of every document under word counts and under context mixing."""
+    return context_mixing.score(table(spark, sf_dir, "documents"))
+
+
 def op7_source_mix(spark, sf_dir):
     """Words that the mix takes of every document."""
     return source_mix.mix_taken(table(spark, sf_dir, "documents"))
@@ -59,7 +64,7 @@ def op10_byte_cnn(spark, sf_dir):
 
 
 for _query in (
-    op1_page_diff, op2_lsh_forest, op3_weak_toxicity, op4_fertility, op5_pair_index_bpe, op7_source_mix, op8_url_rules, op9_srs_search,
+    op1_page_diff, op2_lsh_forest, op3_weak_toxicity, op4_fertility, op5_pair_index_bpe, op6_context_mixing, op7_source_mix, op8_url_rules, op9_srs_search,
     op10_byte_cnn,
 ):
     QUERIES[_query.__name__] = _query

@@ -227,6 +227,18 @@ def score(docs: DataFrame, classifier: Classifier, doc_id="doc_id", text="text")
     return rows.mapInArrow(run, "doc_id long, score double")
 
 
+def keep_clean(docs: DataFrame, classifier: Classifier, text="text", threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast((classifier.weights, classifier.bias))
+
+    def run(batches):
+        engine = Classifier(*shared.value)
+        for batch in sliced(batches, text):
+            yield batch.filter(pa.array([engine.score(value) < threshold for value in texts_of(batch.column(text))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, held_out=(3, 1), **names) -> DataFrame:
     """(doc_id, held_out, score, predicted): learn outside the held-out fold, score every row."""
     found = score(docs, fit(docs, labels, held_out=held_out, **names), names.get("doc_id", "doc_id"), names.get("text", "text"))
