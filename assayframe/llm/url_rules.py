@@ -48,7 +48,7 @@ class HostRule:
 # What the method itself blocks: hosts and paths of advertising, gambling, adult, drug and link-farm sites.
 PATTERN_RULES = (
     PatternRule(r"\bcasino\b", ("casino",)),
-    PatternRule(r"\b(free|best|live)[-_.]?bets?\b", ("bets",)),
+    PatternRule(r"\b(free|best|live)[-_.]bets\b", ("bets",)),
     PatternRule(r"\bpoker\b", ("poker",)),
     PatternRule(r"\bcheap[-_.]pills\b", ("cheap", "pills")),
     PatternRule(r"\bviagra\b", ("viagra",)),
@@ -57,9 +57,10 @@ PATTERN_RULES = (
     PatternRule(r"\bxxx\b", ("xxx",)),
     PatternRule(r"\bspam[-_.]farm\b", ("spam", "farm")),
     PatternRule(r"\bads[-_.]track", ("ads",)),
-    PatternRule(r"://ads?\.", ("ad",)),
+    PatternRule(r"://ads\.", ("ads",)),
+    PatternRule(r"://ad\.", ("ad",)),
     PatternRule(r"\bdoubleclick\b", ("doubleclick",)),
-    PatternRule(r"/ads?/", ("ads",)),
+    PatternRule(r"/ads/", ("ads",)),
     PatternRule(r"\bpayday[-_.]loans?\b", ("payday",)),
 )
 HOST_RULES = (
