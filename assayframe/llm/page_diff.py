@@ -80,8 +80,8 @@ def part_of(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
         elif name in ("class", "id") and tag not in ("body", "html", "main"):
             for word in value.split():
                 pieces = re.split(r"[-_]+", word)
-                if {pieces[0], pieces[-1]} & TEMPLATE_NAMES and not CONTENT_NAMES.intersection(pieces):
-                    template = True
+                own_title = pieces[-1] == "header" and pieces[0] in CONTENT_NAMES
+                template = template or bool({pieces[0], pieces[-1]} & TEMPLATE_NAMES) and not own_title
     return article and not template, template
 
 

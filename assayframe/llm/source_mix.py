@@ -145,8 +145,10 @@ def mix_documents(docs: DataFrame, doc_id="doc_id", text="text", source="source"
     cuts = write_shared(
         plan.groupBy("source").agg(F.max("epochs").alias("_epochs"), F.max(F.when(inside, F.col("key"))).alias("_cut")), "mix-cuts"
     ).withColumnRenamed("source", "_source")
-    again = (F.coalesce(random_key(F.col(doc_id), F.col(text)) <= F.col("_cut"), F.lit(False))).cast("long")
-    copies = F.when(word_count(F.col(text)) > 0, F.col("_epochs") + again).otherwise(0).cast("int")
-    joined = docs.join(cuts, F.col(source).cast("string").eqNullSafe(F.col("_source")))
-    repeated = joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies)))
-    return repeated.select(*docs.columns)
+    packed = docs.select(  # whatever the documents' columns are called, they cannot clash
+        F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("doc"), F.col(source).cast("string").alias("_of"),
+        random_key(F.col(doc_id), F.col(text)).alias("_key"), word_count(F.col(text)).alias("_size"),
+    )
+    copies = F.when(F.col("_size") > 0, F.col("_epochs") + F.coalesce(F.col("_key") <= F.col("_cut"), F.lit(False)).cast("long")).otherwise(0)
+    joined = packed.join(cuts, F.col("_of").eqNullSafe(F.col("_source")))
+    return joined.select("doc", F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("_copy")).select("doc.*")
