@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assayframe.functions.columns import BEAM_NAME_PATTERN, CANDIDATE_ID_PATTERN, TIMESTAMP_PATTERN, case, is_finite, matches
 from assayframe.functions.strictjson import is_canonical_line, strict_json
@@ -257,6 +258,7 @@ def population_violations(events: DataFrame, headers: DataFrame) -> DataFrame:
     return violations(
         opened,
         {
+            "the run has no population": F.coalesce(F.size(populations), F.lit(0)) < 1,
             "primary is not a population": ~F.array_contains(names, F.col("payload.primary")),
             "population names repeat": F.size(F.array_distinct(names)) != F.size(names),
             "constraint arrays are not the problem's": F.exists(
@@ -341,12 +343,6 @@ def plan_row_violations(rows: DataFrame) -> DataFrame:
     return gaps.unionByName(names).unionByName(repeats)
 
 
-def _listing(position: str | Column, candidate: str | Column) -> Column:
-    """One candidate's share of a list fingerprint; shares add up, so a list is never collected."""
-    position = F.col(position) if isinstance(position, str) else position
-    return F.xxhash64(position.cast("int"), candidate).cast("decimal(38,0)")
-
-
 def expected_sequence(plan: DataFrame) -> DataFrame:
     """The events a plan records, one row per event: ``run_id, iteration, pos, event, beam, candidate_id, listed``.
 
@@ -360,13 +356,16 @@ def expected_sequence(plan: DataFrame) -> DataFrame:
     plan = plan.dropna(subset=[*key, "beam_pos"])
     beams = plan.groupBy(*key, "beam_pos", "beam").agg(
         F.count("candidate_id").alias("n"),
-        F.sum(F.when(F.col("candidate_id").isNotNull(), _listing("cand_pos", "candidate_id"))).cast("string").alias("listed"),
+        # A plan lists at most a thousand candidates in a beam.
+        F.transform(
+            F.array_sort(F.collect_list(F.when(F.col("candidate_id").isNotNull(), F.struct("cand_pos", "candidate_id")))), lambda c: c["candidate_id"]
+        ).alias("listed"),
     )
     earlier = Window.partitionBy(*key).orderBy("beam_pos").rowsBetween(Window.unboundedPreceding, -1)
     starts = beams.withColumn("start", F.coalesce(F.sum(F.col("n") + 1).over(earlier), F.lit(0)) + 1)
-    nothing = F.lit(None).cast("string")
     candidate_type = plan.schema["candidate_id"].dataType
     no_candidate = F.lit(None).cast(candidate_type)
+    nothing = F.lit(None).cast(T.ArrayType(candidate_type))
     chosen = starts.select(
         *key, F.col("start").alias("pos"), F.when(F.col("n") == 0, NO_MATCH).otherwise(SELECTION).alias("event"),
         "beam", no_candidate.alias("candidate_id"), F.when(F.col("n") > 0, F.col("listed")).alias("listed"),
@@ -383,7 +382,7 @@ def expected_sequence(plan: DataFrame) -> DataFrame:
             F.struct(F.lit(0).cast("long").alias("pos"), F.lit(ITERATION_OPENED).alias("event")),
             F.struct(F.col("last").alias("pos"), F.lit(ITERATION_CLOSED).alias("event")),
         )),
-    ).select(*key, "pos", "event", nothing.alias("beam"), no_candidate.alias("candidate_id"), nothing.alias("listed"))
+    ).select(*key, "pos", "event", F.lit(None).cast("string").alias("beam"), no_candidate.alias("candidate_id"), nothing.alias("listed"))
     return chosen.unionByName(evaluated).unionByName(frame)
 
 
@@ -392,9 +391,7 @@ def recorded_sequence(events: DataFrame) -> DataFrame:
     key = ["run_id", "iteration"]
     opened = events.where(F.col("event") == ITERATION_OPENED).groupBy(*key).agg(F.min("seq").alias("_from"))
     inside = events.where(~F.col("event").isin(*RUN_LEVEL)).join(opened, key)
-    shares = F.transform("payload.candidates", lambda c, i: _listing(i, c))
-    total = F.aggregate(shares, F.lit(0).cast("decimal(38,0)"), lambda a, b: (a + b).cast("decimal(38,0)"))
-    listed = F.when(F.col("event") == SELECTION, total.cast("string"))
+    listed = F.when(F.col("event") == SELECTION, F.col("payload.candidates"))
     return inside.select(
         *key, (F.col("seq") - F.col("_from")).alias("pos"), "event", F.col("payload.beam").alias("beam"),
         F.when(F.col("event") == EVALUATION, F.col("payload.candidate_id")).alias("candidate_id"), listed.alias("listed"),
@@ -414,7 +411,7 @@ def replay_differences(recorded: DataFrame, expected: DataFrame) -> DataFrame:
     for name in ("event", "beam", "candidate_id", "listed"):
         same = same & F.col(name).eqNullSafe(F.col(f"_{name}"))
     differing = joined.where(~same).select(
-        *key, F.struct("pos", F.col("event").alias("recorded"), F.coalesce("_event", F.lit("no further event")).alias("planned")).alias("d")
+        *key, F.struct("pos", F.col("event").alias("recorded"), F.coalesce("_event", F.lit("(end of plan)")).alias("planned")).alias("d")
     )
     first = differing.groupBy(*key).agg(F.min("d").alias("d"))
     return first.select(*key, "d.pos", "d.recorded", "d.planned")

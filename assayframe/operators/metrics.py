@@ -81,10 +81,9 @@ def thresholds(
     )
 
 
-def beam_metrics(picks: DataFrame, *, also: Sequence[Column] = (), rows_bound: int | None = None) -> DataFrame:
-    """Per beam: selected, answered, median objective and feasible share, and any aggregates ``also`` asked for."""
+def beam_metrics(picks: DataFrame, *, rows_bound: int | None = None) -> DataFrame:
+    """Per beam: selected, answered, median objective and feasible share."""
     stats = [
-        *also,
         F.count("*").alias("n_selected"),
         F.count("objective").alias("n_ok"),
         F.count_if(F.coalesce("feasible", F.lit(False))).alias("n_feasible"),
@@ -176,27 +175,21 @@ def reduce_run(
 def _spread_over_shared(
     reported: DataFrame, picks: DataFrame, references: DataFrame, populations: DataFrame, sign: Column, rows_bound: int | None
 ) -> DataFrame:
-    """Beams against populations shared by all runs: one pass over the picks counts the hits of all of them.
+    """Beams against populations shared by all runs.
 
-    The shared populations are a short, given list; their thresholds travel as one row.
+    The shared populations with their thresholds are a short, given list; it
+    travels as one row and unfolds beside every beam, and beside every pick.
     """
-    names = sorted(row["population"] for row in populations.select("population").distinct().collect())
-    limits = references.agg(
-        F.map_from_entries(F.collect_list(F.struct("population", F.struct(*TOP_DIVISORS).alias("tops")))).alias("_limits"),
-        F.lit(1).alias("_one"),
+    listed = populations.select("population").distinct().join(references, "population", "left").agg(
+        F.array_sort(F.collect_list(F.struct("population", *TOP_DIVISORS))).alias("_listed")
     )
-    good = F.coalesce("feasible", F.lit(False))
-    counts = [
-        F.count_if(good & (sign * F.col("objective") >= sign * F.try_element_at("_limits", F.lit(name))[top])).alias(f"_{i}_{top}")
-        for i, name in enumerate(names) for top in TOP_DIVISORS
-    ]
-    limited = picks.withColumn("_one", F.lit(1)).join(F.broadcast(limits), "_one")
-    beams = reported.join(beam_metrics(limited, also=counts, rows_bound=rows_bound), BEAM, "left")
-    cells = F.array(*[
-        F.struct(F.lit(name).alias("population"), *[F.col(f"_{i}_{top}").alias(f"hits_{top}") for top in TOP_DIVISORS])
-        for i, name in enumerate(names)
-    ])
-    return beams.select(*[name for name in beams.columns if not name.startswith("_")], F.inline(cells))
+    beams = reported.join(beam_metrics(picks, rows_bound=rows_bound), BEAM, "left").crossJoin(listed)  # one row
+    beams = beams.select(*[name for name in beams.columns if name != "_listed"], F.explode(F.col("_listed.population")).alias("population"))
+    good = picks.where(F.coalesce("feasible", F.lit(False)) & F.col("objective").isNotNull()).crossJoin(listed)
+    counted = good.select(*BEAM, "objective", F.inline("_listed")).groupBy(*BEAM, "population").agg(
+        *[F.count_if(sign * F.col("objective") >= sign * F.col(name)).alias(f"hits_{name}") for name in TOP_DIVISORS]
+    )
+    return beams.join(counted, [*BEAM, "population"], "left")
 
 
 def trends(metrics: DataFrame) -> DataFrame:
@@ -263,14 +256,21 @@ def log_results(events: DataFrame) -> DataFrame:
 
 def log_members(events: DataFrame, headers: DataFrame) -> DataFrame:
     """Population members of every run: ``run_id, population, pos, objective, feasible``."""
-    opened = events.where(F.col("event") == RUN_OPENED).select("run_id", F.explode("payload.populations").alias("p"))
-    cells = opened.select(
-        "run_id", F.col("p.name").alias("population"), F.col("p.constraints").alias("arrays"),
-        F.posexplode("p.objective").alias("pos", "objective"),
-    ).withColumn("values", F.transform_values("arrays", lambda _, a: F.get(a, F.col("pos")))).drop("arrays")
     rules = headers.select("run_id", F.col("problem.constraints").alias("constraints"))
-    return cells.join(rules, "run_id").select(
-        "run_id", "population", "pos", "objective", holds(F.col("constraints"), F.col("values")).alias("feasible")
+    opened = events.where(F.col("event") == RUN_OPENED).select("run_id", F.explode("payload.populations").alias("p")).join(rules, "run_id")
+
+    def member(objective: Column, pos: Column) -> Column:
+        values = F.transform_values("p.constraints", lambda _, array: F.get(array, pos))
+        return F.struct(pos.alias("pos"), objective.alias("objective"), holds(F.col("constraints"), values).alias("feasible"))
+
+    # The arrays are folded into members before they are unfolded, so no member row carries an array.
+    return opened.select("run_id", F.col("p.name").alias("population"), F.inline(F.transform("p.objective", member)))
+
+
+def log_populations(events: DataFrame) -> DataFrame:
+    """Populations of every run in the order it lists them, those without a member too: ``run_id, population_pos, population``."""
+    return events.where(F.col("event") == RUN_OPENED).select(
+        "run_id", F.posexplode(F.transform("payload.populations", lambda p: p["name"])).alias("population_pos", "population")
     )
 
 
@@ -284,17 +284,17 @@ def log_metrics(events: DataFrame, headers: DataFrame, *, rows_bound: int | None
     def signed(df: DataFrame) -> DataFrame:
         return df.join(signs, "run_id").withColumn("objective", F.col("sign") * F.col("objective")).drop("sign")
 
-    rows = reduce_run(reported, signed(log_picks(events, headers)), signed(log_members(events, headers)), F.lit(1.0), rows_bound=rows_bound)
+    names = log_populations(events).select("run_id", "population").distinct()
+    rows = reduce_run(
+        reported, signed(log_picks(events, headers)), signed(log_members(events, headers)), F.lit(1.0), populations=names, rows_bound=rows_bound
+    )
     restored = rows.join(signs, "run_id")
     return restored.withColumn("median_objective", F.col("sign") * F.col("median_objective")).drop("sign")
 
 
 def report_order(metrics: DataFrame, events: DataFrame) -> DataFrame:
     """Log order, then the order in which the run listed its populations."""
-    opened = events.where(F.col("event") == RUN_OPENED).select(
-        "run_id", F.posexplode(F.transform("payload.populations", lambda p: p["name"])).alias("population_pos", "population")
-    )
-    return metrics.join(opened, ["run_id", "population"]).orderBy("run_id", "seq", "population_pos")
+    return metrics.join(log_populations(events), ["run_id", "population"]).orderBy("run_id", "seq", "population_pos")
 
 
 def usage(results: DataFrame) -> DataFrame:

@@ -19,6 +19,8 @@ import math
 from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,8 +35,10 @@ HOT_ROWS = 1_000_000
 MOST_HOT_GROUPS = 100_000
 # Rows up to which one ``percentile`` over a whole table beats the search for its rank.
 PERCENTILE_ROWS = 100_000
-# Pieces the sketch cuts the values of a column into, and the accuracy of the sketch that places the cuts.
-MAX_PIECES = 128
+# Least pieces that the values of a column are cut into, the accuracy of the sketch that places the cuts, and the most
+# cuts that are searched by nested comparisons.
+MIN_PIECES = 128
+MOST_BRANCHES = 1024
 SKETCH_ACCURACY = 2_000
 # Width of a chunk over integer positions: a chunk holds at most this many distinct positions.
 POSITION_WIDTH = 1_000_000
@@ -57,41 +61,33 @@ def percentile_pays(rows_bound: int | None) -> bool:
     return rows_bound is not None and rows_bound <= PERCENTILE_ROWS
 
 
-class Cuts(NamedTuple):
-    """Ascending cut points of a column and how often to split the span between two of them."""
+def cut_points(df: DataFrame, columns: Sequence[str]) -> dict[str, list]:
+    """Ascending cut points that spread each column evenly, all from one mergeable sketch pass.
 
-    points: list
-    fine: int = 1
-
-
-def cut_points(df: DataFrame, columns: Sequence[str]) -> dict[str, Cuts]:
-    """Cut points that spread each column evenly, all from one mergeable sketch pass.
-
-    The sketch places a fixed number of cuts.  An input that needs more pieces
-    than that to fit its tasks gets equal-width steps between the cuts.
+    There are as many as keep every chunk within a task, however the values
+    cluster; only rows of one and the same value cannot be cut, and those
+    collapse to one row with a count before they are ordered.
     """
-    grid = [i / MAX_PIECES for i in range(MAX_PIECES + 1)]
-    found = df.agg(
-        F.count("*").alias("rows"), *[F.percentile_approx(name, grid, SKETCH_ACCURACY).alias(f"q_{name}") for name in columns]
-    ).first()
-    fine = max(1, math.ceil(found["rows"] / TASK_ROWS / MAX_PIECES))
-    return {name: Cuts(sorted(set(found[f"q_{name}"] or [])), fine) for name in columns}
+    pieces = max(MIN_PIECES, math.ceil(2 * df.count() / TASK_ROWS))
+    grid = [i / pieces for i in range(pieces + 1)]
+    found = df.agg(*[F.percentile_approx(name, grid, max(SKETCH_ACCURACY, 16 * pieces)).alias(f"q_{name}") for name in columns]).first()
+    return {name: sorted(set(found[f"q_{name}"] or [])) for name in columns}
+
 
+def chunk_of(column: Column, points: Sequence) -> Column:
+    """Chunk number of a value, monotone in the value: a balanced tree of comparisons, or a vectorised search for very many points."""
+    if len(points) > MOST_BRANCHES:
+        ordered = np.array(points)
 
-def chunk_of(column: Column, cuts: Cuts) -> Column:
-    """Chunk number of a value: a balanced tree of comparisons, monotone in the value."""
-    points, fine = cuts
+        @F.pandas_udf("int")
+        def search(values: pd.Series) -> pd.Series:
+            return pd.Series(np.searchsorted(ordered, values.to_numpy(), side="right")).where(values.notna().to_numpy()).astype("Int32")
 
-    def leaf(below: int) -> Column:
-        if fine == 1 or below in (0, len(points)):
-            return F.lit(below * fine)
-        low, high = points[below - 1], points[below]
-        step = F.floor((column - F.lit(low)) / F.lit(high - low) * F.lit(fine)).cast("int")
-        return F.lit(below * fine) + F.least(step, F.lit(fine - 1))
+        return search(column)
 
     def branch(low: int, high: int) -> Column:
         if low == high:
-            return leaf(low)
+            return F.lit(low)
         middle = (low + high) // 2
         return F.when(column < F.lit(points[middle]), branch(low, middle)).otherwise(branch(middle + 1, high))
 
@@ -173,8 +169,8 @@ def value_at_rank(
         if size <= (TASK_ROWS if task_rows is None else task_rows):
             found.update(_pick_in_task(part, column, offset, wanted))
             continue
-        cuts = cut_points(part, [column])[column].points
-        below = chunk_of(value, Cuts(cuts))
+        cuts = cut_points(part, [column])[column]
+        below = chunk_of(value, cuts)
         on_cut = value.isin(*cuts) if cuts else F.lit(False)
         slices = (
             part.groupBy((below * 2 - on_cut.cast("int")).alias("slice"))

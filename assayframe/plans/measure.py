@@ -11,7 +11,7 @@ from assayframe.operators import filters, findings, identity, populations, profi
 from assayframe.plans.registering import Shelf
 from assayframe.plans.rounding import rounded
 from assayframe.plans.tables import CANDIDATE_KEY, MEASURED, MEASUREMENTS, SQL_TRIPLE, TRIPLE, measurements, row_bound, table
-from assayframe.sources.measurements import load_accounting, with_row_index
+from assayframe.sources.measurements import load_accounting, nans_to_null, with_row_index
 
 SHELF = Shelf()
 query = SHELF.query
@@ -200,6 +200,27 @@ def label_audit(spark, sf_dir):
     return identity.label_resolution_audit(identity.resolve_labels(rows, "l_orderkey", "label"), key="l_orderkey", label="label")
 
 
+@query(
+    "row_index",
+    "SELECT l_orderkey, l_linenumber, row_number() OVER () - 1 AS row_index FROM lineitem",
+)
+def row_index(spark, sf_dir):
+    """The place of every line in its source."""
+    return with_row_index(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"))
+
+
+@query(
+    "missing_numbers",
+    """SELECT l_suppkey, count(nullif(l_tax, 0.0)) AS n, median(nullif(l_tax, 0.0)) AS middle, max(nullif(l_tax, 0.0)) AS highest FROM lineitem GROUP BY 1""",
+)
+def missing_numbers(spark, sf_dir):
+    """NaN planted for a zero counts as missing everywhere, as NULL does in SQL."""
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", F.when(F.col("l_tax") == 0, F.lit(float("nan"))).otherwise(F.col("l_tax")).alias("tax"))
+    return nans_to_null(lines).groupBy("l_suppkey").agg(
+        F.count("tax").alias("n"), F.median("tax").alias("middle"), F.max("tax").alias("highest")
+    )
+
+
 @query("label_audit_by_row_index", _AUDIT_SQL)
 def label_audit_by_row_index(spark, sf_dir):
     """The same for a resolved table that lost its source labels: they come back by row index."""

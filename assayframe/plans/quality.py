@@ -9,7 +9,7 @@ from assayframe.operators import findings, logchecks, masking
 from assayframe.operators.filters import core_triple
 from assayframe.plans.registering import Shelf
 from assayframe.plans.tables import MEASURED, MEASUREMENTS, SQL_TRIPLE, TRIPLE, measurements, table
-from assayframe.sources.manifest import audit_files, file_hashes, parse_manifest
+from assayframe.sources.manifest import audit_files, parse_manifest
 from assayframe.sources.registry import registry_violations
 
 SHELF = Shelf()
@@ -195,12 +195,24 @@ def mask_named_values(spark, sf_dir):
     return rows.select("conv_id", "turn", F.explode("m").alias("name", "value"))
 
 
-@query("file_manifest_audit")
-def file_manifest_audit(spark, sf_dir):
-    """The tables' files against a manifest that misstates one size and lists one file too many."""
-    observed = file_hashes(spark, sf_dir, "*.parquet")
-    size = F.when(F.col("name") == "region.parquet", F.col("n_bytes") + 1).otherwise(F.col("n_bytes"))
-    lines = observed.select(F.concat_ws("  ", "sha256", size.cast("string"), "name").alias("value"))
-    ghost = observed.select(F.max("sha256").alias("sha256")).select(F.concat_ws("  ", "sha256", F.lit("1"), F.lit("ghost.parquet")).alias("value"))
-    audited = audit_files(parse_manifest(lines.unionByName(ghost)), observed)
-    return audited.select("name", "sha256", "n_bytes", "status")
+@query(
+    "text_manifest_audit",
+    """WITH d AS (SELECT doc_id, 'doc-' || doc_id AS own, CASE WHEN doc_id % 11 = 3 THEN 'gone-' || doc_id ELSE 'doc-' || doc_id END AS name,
+    sha256(text) AS real_hash, strlen(text) AS real_bytes,
+    CASE WHEN doc_id % 7 = 2 THEN sha256(text || 'x') ELSE sha256(text) END AS sha256, strlen(text) + CASE WHEN doc_id % 13 = 5 THEN 1 ELSE 0 END AS n_bytes
+  FROM documents WHERE strlen(text) > 0)
+SELECT name, sha256, n_bytes, CASE WHEN name <> own THEN 'absent' WHEN sha256 = real_hash AND n_bytes = real_bytes THEN 'verified' ELSE 'mismatch' END AS status FROM d""",
+)
+def text_manifest_audit(spark, sf_dir):
+    """Document texts against manifest lines that misstate some hashes and sizes and name some texts that are not there."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").where(F.octet_length("text") > 0)
+    key, text = F.col("doc_id"), F.col("text")
+    digest = F.sha2(F.when(key % 7 == 2, F.concat(text, F.lit("x"))).otherwise(text).cast("binary"), 256)
+    size = F.octet_length(text) + F.when(key % 13 == 5, 1).otherwise(0)
+    name = F.concat(F.when(key % 11 == 3, "gone-").otherwise("doc-"), key.cast("string"))
+    lines = docs.select(F.concat_ws("  ", digest, size.cast("string"), name).alias("value"))
+    observed = docs.select(
+        F.concat(F.lit("doc-"), key.cast("string")).alias("name"), F.sha2(text.cast("binary"), 256).alias("sha256"),
+        F.octet_length(text).cast("long").alias("n_bytes"),
+    )
+    return audit_files(parse_manifest(lines), observed).select("name", "sha256", "n_bytes", "status")

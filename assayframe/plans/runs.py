@@ -25,7 +25,8 @@ def better():
 
 
 def _bound(spark, sf_dir) -> int:
-    return row_bound(spark, sf_dir, "lineitem", "orders", "part")
+    """Bounds any union of two reports per line, order and part."""
+    return 2 * row_bound(spark, sf_dir, "lineitem", "orders", "part")
 
 
 # -- populations and metrics -----------------------------------------------------------------
@@ -321,7 +322,7 @@ def _sequence_sql(prefix: str, where: str) -> str:
 
 
 _REPLAY_SQL = f"""WITH {_sequence_sql('plan', '')}, {_sequence_sql('rec', "WHERE l_shipdate < TIMESTAMP '2000-01-01'")},
-diff AS (SELECT r.run_id, r.iteration, r.pos, r.event AS recorded, coalesce(p.event, 'no further event') AS planned
+diff AS (SELECT r.run_id, r.iteration, r.pos, r.event AS recorded, coalesce(p.event, '(end of plan)') AS planned
   FROM rec_seq r LEFT JOIN plan_seq p ON r.run_id = p.run_id AND r.iteration = p.iteration AND r.pos = p.pos
   WHERE r.event IS DISTINCT FROM p.event OR r.beam IS DISTINCT FROM p.beam OR r.candidate IS DISTINCT FROM p.candidate OR r.listed IS DISTINCT FROM p.listed)
 SELECT run_id, iteration, min(pos) AS pos, arg_min(recorded, pos) AS recorded, arg_min(planned, pos) AS planned FROM diff GROUP BY 1, 2"""
@@ -331,7 +332,7 @@ def _plan(spark, sf_dir, bound, where: str):
     """Plan rows: the beams of a year in priority order, the parts of a beam in key order."""
     lines = order_lines(spark, sf_dir).where(where).select(
         F.col("o_custkey").alias("run_id"), iteration_of().alias("iteration"), F.col("o_orderpriority").alias("beam"),
-        F.substring("o_orderpriority", 1, 1).cast("int").alias("beam_pos"), F.col("l_partkey").alias("candidate_id"),
+        F.col("o_orderpriority").alias("beam_pos"), F.col("l_partkey").alias("candidate_id"),
     ).distinct()
     chunk = None if fits_one_task(bound) else position_chunk("candidate_id")
     placed = running(lines, [*BEAM, "beam_pos"], ["candidate_id"], {"place": ("sum", F.lit(1))}, chunk=chunk)
@@ -356,6 +357,52 @@ def expected_events(spark, sf_dir):
     return planned.drop("listed")
 
 
+_OPENED = """opened AS (SELECT p_brand AS run_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS pos, p_retailprice AS objective,
+  p_size::DOUBLE AS size FROM part)"""
+
+
+def opening_log(spark, sf_dir):
+    """Headers and opening events of one run per brand: its parts as parallel arrays in key order, and a population without a member."""
+    parts = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("run_id")).agg(
+        F.array_sort(F.collect_list(F.struct("p_partkey", "p_retailprice", F.col("p_size").cast("double").alias("size")))).alias("parts")
+    )
+    kind = "array<struct<name:string,objective:array<double>,constraints:map<string,array<double>>>>"
+    empty = F.struct(F.lit("none").alias("name"), F.array().cast("array<double>").alias("objective"), F.create_map(F.lit("size"), F.array().cast("array<double>")).alias("constraints"))
+    whole = F.struct(
+        F.lit("brand").alias("name"), F.transform("parts", lambda p: p["p_retailprice"]).alias("objective"),
+        F.create_map(F.lit("size"), F.transform("parts", lambda p: p["size"])).alias("constraints"),
+    )
+    events = parts.select(
+        "run_id", F.lit(1).cast("long").alias("seq"), F.lit(logchecks.RUN_OPENED).alias("event"),
+        F.struct(F.lit("brand").alias("primary"), F.array(whole, empty).cast(kind).alias("populations")).alias("payload"),
+    )
+    rule = F.array(F.struct(F.lit("size").alias("property"), F.lit("<=").alias("op"), F.lit(25.0).alias("value")))
+    return parts.select("run_id", F.struct(rule.alias("constraints")).alias("problem")), events
+
+
+@query(
+    "log_members",
+    f"WITH {_OPENED} SELECT run_id, 'brand' AS population, pos, objective, size <= 25 AS feasible FROM opened",
+)
+def log_members(spark, sf_dir):
+    """Members of the populations that the opening events list."""
+    headers, events = opening_log(spark, sf_dir)
+    return metrics.log_members(events, headers).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(
+    "log_populations",
+    f"""WITH {_OPENED} SELECT run_id, 'brand' AS population, count(objective) AS n_population, count(*) FILTER (WHERE size <= 25 AND objective IS NOT NULL) AS n_feasible
+FROM opened GROUP BY 1 UNION ALL SELECT DISTINCT run_id, 'none', 0, 0 FROM opened""",
+)
+def log_populations(spark, sf_dir):
+    """Every listed population with its sizes, the one without a member too."""
+    headers, events = opening_log(spark, sf_dir)
+    sizes = metrics.thresholds(metrics.log_members(events, headers), ["run_id", "population"], better())
+    joined = metrics.log_populations(events).join(sizes, ["run_id", "population"], "left")
+    return joined.select("run_id", "population", *[F.coalesce(name, F.lit(0)).alias(name) for name in ("n_population", "n_feasible")])
+
+
 @query(
     "provenance_match",
     """SELECT o_orderkey AS run_id, CASE WHEN o_orderstatus <> 'F' THEN 'snapshot' WHEN o_orderpriority <> '1-URGENT' THEN 'registry_version' END AS field
@@ -379,7 +426,7 @@ UNION ALL SELECT run_id, 'a candidate repeats in a beam', beam FROM rows GROUP B
 def plan_checks(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("run_id"), iteration_of().alias("iteration"),
-        F.lower(F.substring("o_orderpriority", 3, 100)).alias("beam"), F.col("o_orderkey").alias("candidate_id"),
+        F.lower(F.expr("substring(o_orderpriority, 3)")).alias("beam"), F.col("o_orderkey").alias("candidate_id"),
     )
     return logchecks.plan_row_violations(rows)
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from assayframe.functions.columns import normalise_label
 from assayframe.operators.scale import fits_one_task, running
-from assayframe.session import size_shuffles, tune
+from assayframe.session import tune
+from assayframe.sources.measurements import nans_to_null
 from assayframe.sources.registry import Property, Registry
 
 MEASURED = Registry(
@@ -36,14 +37,13 @@ MAX_SIZE = 25.0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table with its missing numbers missing: NaN is NULL from the scan on."""
+    return nans_to_null(tune(spark).read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def row_bound(spark: SparkSession, sf_dir: str, *names: str) -> int:
-    """Rows of the largest of the named tables, from the Parquet footers; sizes the shuffles for them."""
-    rows = max(table(spark, sf_dir, name).count() for name in names)
-    size_shuffles(spark, rows)
-    return rows
+    """Rows of the named tables together, from the Parquet footers."""
+    return sum(spark.read.parquet(f"{sf_dir}/{name}.parquet").count() for name in names)
 
 
 # -- measurements ----------------------------------------------------------------------------

@@ -122,7 +122,19 @@ def write_replay(replayed: Replay, out: str) -> None:
                "pct_of_population", "hits_top10", "hits_top1"]
     runlogs.write_results_csv(replayed.metrics.select(*columns), f"{out}/results")
     runlogs.write_json(replayed.usage, f"{out}/usage")
-    runlogs.write_json(replayed.status.join(replayed.trends.drop("first_seq"), "run_id"), f"{out}/summary")
+    runlogs.write_json(run_summaries(replayed), f"{out}/summary")
+
+
+def run_summaries(replayed: Replay) -> DataFrame:
+    """One row per run, those without a beam too: its status and its trends in report order, nested.
+
+    As many trends as the run has beams and populations.
+    """
+    place = replayed.metrics.select("run_id", "population", "population_pos").distinct()
+    trend = F.struct("first_seq", "population_pos", "beam", "population", "percentile_trend", "count_trend")
+    nested = replayed.trends.join(place, ["run_id", "population"]).groupBy("run_id").agg(F.array_sort(F.collect_list(trend)).alias("trends"))
+    rows = replayed.status.join(nested, "run_id", "left").withColumn("trends", F.coalesce("trends", F.array().cast(nested.schema["trends"].dataType)))
+    return rows.withColumn("trends", F.transform("trends", lambda t: t.dropFields("first_seq", "population_pos")))
 
 
 def unfinished_work(plan: DataFrame, events: DataFrame) -> DataFrame:

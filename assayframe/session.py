@@ -22,16 +22,13 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-# Rows a shuffle partition should hold, and the most partitions worth scheduling.
+# Rows a shuffle partition should hold.
 ROWS_PER_PARTITION = 2_000_000
-MOST_PARTITIONS = 100_000
 
 
-def size_shuffles(spark: SparkSession, rows: int) -> None:
-    """Raise the shuffle partitions for an input of ``rows``; adaptive coalescing undoes any excess."""
-    needed = min(-(-rows // ROWS_PER_PARTITION), MOST_PARTITIONS)
-    if needed > int(spark.conf.get("spark.sql.shuffle.partitions")):
-        spark.conf.set("spark.sql.shuffle.partitions", str(needed))
+def shuffle_partitions(rows: int) -> int:
+    """Shuffle partitions for an input of ``rows``, to pass to ``build_session``; adaptive coalescing undoes any excess."""
+    return max(1, -(-rows // ROWS_PER_PARTITION))
 
 
 def build_session(app: str = "assayframe", master: str | None = None, **settings: str) -> SparkSession:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,22 +33,34 @@ def read_measurements_csv(
     types = {name: declared.get(name, "string") for name in header.columns}
     schema = ", ".join(f"`{name}` {kind}" for name, kind in types.items())
     df = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").option("nanValue", "NaN").csv(path)
-    return df.withColumns({name: nan_to_null(name) for name, kind in types.items() if kind == "double"})
+    return nans_to_null(df)
+
+
+def nans_to_null(df: DataFrame) -> DataFrame:
+    """Every NaN of a floating column is a missing value."""
+    floating = [name for name, kind in df.dtypes if kind in ("double", "float")]
+    return df.withColumns({name: nan_to_null(name) for name in floating}) if floating else df
 
 
 def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
-    """Contiguous positions in scan order, for a DataFrame straight from files.
+    """Contiguous positions in source order, for a DataFrame straight from Parquet or text files.
 
-    One row per input partition is aggregated for the offsets; the rows
-    themselves never move.
+    Files count in the order of their paths.  Parquet tells the place of a row
+    in its file.  For other formats the blocks of a file count by their start,
+    and the place inside a block is that of the scan.  One row per file or block
+    is aggregated for the offsets; the rows themselves never move.
     """
-    low_bits = F.lit((1 << 33) - 1)
-    tagged = df.withColumns({"_part": F.spark_partition_id(), "_id": F.monotonically_increasing_id()})
-    sizes = df.select(F.spark_partition_id().alias("_part")).groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    indexed = tagged.join(offsets, "_part")
-    return indexed.withColumn(name, F.col("_offset") + F.col("_id").bitwiseAND(low_bits)).drop("_part", "_id", "_offset")
+    try:
+        tagged = df.withColumns({"_file": F.col("_metadata.file_path"), "_start": F.lit(0).cast("long"), "_id": F.col("_metadata.row_index")})
+    except AnalysisException:
+        tagged = df.withColumns({
+            "_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start"), "_id": F.monotonically_increasing_id(),
+        })
+    blocks = tagged.groupBy("_file", "_start").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)  # one row per file or block
+    offsets = blocks.select("_file", "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    indexed = tagged.join(offsets, ["_file", "_start"])
+    return indexed.withColumn(name, F.col("_offset") + F.col("_id") - F.col("_first")).drop("_file", "_start", "_id", "_offset", "_first")
 
 
 def load_accounting(df: DataFrame, second: str | Column, key: str | Column) -> DataFrame:
@@ -98,11 +111,20 @@ def provenance_of(df: DataFrame) -> dict[str, str]:
     return {}
 
 
-def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None, **expected: str) -> DataFrame:
-    """Pruned Parquet scan, refused when a named provenance fact is not the expected one."""
-    df = spark.read.parquet(path)
-    found = provenance_of(df)
+def read_table(
+    spark: SparkSession, path: str, columns: Sequence[str] | None = None, *, where: str | None = None, **expected: str
+) -> DataFrame:
+    """Pruned Parquet scan with NaN as NULL, refused when a named provenance fact is not the expected one.
+
+    ``where`` is a condition that a missing value does not pass.  It is pushed
+    to the scan as it is, and holds again once NaN is missing; a condition set
+    on the result instead cannot be pushed for floating columns.
+    """
+    raw = spark.read.parquet(path)
+    found = provenance_of(raw)
     for fact, value in expected.items():
         if found.get(fact) != value:
             raise SourceError(f"{path}: {fact} is {found.get(fact)!r}, expected {value!r}")
+    df = nans_to_null(raw if where is None else raw.where(where))
+    df = df if where is None else df.where(where)
     return df if columns is None else df.select(*[name for name in columns if name in df.columns])

@@ -33,7 +33,8 @@ def tiny_tasks(monkeypatch):
     monkeypatch.setattr(scale, "TASK_ROWS", 3)
     monkeypatch.setattr(scale, "HOT_ROWS", 3)
     monkeypatch.setattr(scale, "PERCENTILE_ROWS", 3)
-    monkeypatch.setattr(scale, "MAX_PIECES", 5)
+    monkeypatch.setattr(scale, "MIN_PIECES", 5)
+    monkeypatch.setattr(scale, "MOST_BRANCHES", 20)
     monkeypatch.setattr(scale, "POSITION_WIDTH", 3)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from assayframe.operators import logchecks as checks
 from assayframe.operators import lookups as ops
 from assayframe.operators import metrics
+from assayframe.plans import workflows
 from assayframe.sources import runlogs
 
 # The result table of the golden log, per population.
@@ -314,3 +315,54 @@ def test_timestamps_and_ids(spark):
     ).first()
     assert tuple(row) == (TS, RUN, None, None, True, False)
     assert PROBLEM["budget"]["beams"] == 2
+
+
+def test_forty_thousand_members_unfold_in_linear_time(spark):
+    import time
+
+    size = 40_000
+    opened = spark.range(1).select(
+        F.lit("r").alias("run_id"), F.lit("run_opened").alias("event"),
+        F.struct(F.lit("all").alias("primary"), F.array(F.struct(
+            F.lit("all").alias("name"), F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: i.cast("double")).alias("objective"),
+            F.create_map(
+                F.lit("a"), F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: (i % 10).cast("double")),
+                F.lit("b"), F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: (i % 7).cast("double")),
+            ).alias("constraints"),
+        )).alias("populations")).alias("payload"),
+    )
+    rule = lambda name, op, value: F.struct(F.lit(name).alias("property"), F.lit(op).alias("op"), F.lit(value).alias("value"))
+    headers = spark.range(1).select(F.lit("r").alias("run_id"), F.struct(F.array(rule("a", "<=", 4.0), rule("b", ">=", 3.0)).alias("constraints")).alias("problem"))
+    start = time.time()
+    row = metrics.log_members(opened, headers).agg(F.count("*").alias("n"), F.count_if("feasible").alias("good"), F.max("pos").alias("last")).first()
+    assert (row["n"], row["last"]) == (size, size - 1) and time.time() - start < 30
+    assert row["good"] == sum(i % 10 <= 4 and i % 7 >= 3 for i in range(1, size + 1))
+
+
+def test_an_empty_population_keeps_its_rows_and_a_run_without_one_is_refused(spark, write_log):
+    records = golden_records()
+    opened = next(r for r in records if r.get("event") == "run_opened")
+    opened["payload"]["populations"][1] |= {"objective": [], "constraints": {"dielectric_const_dc": [], "tg": []}}
+    headers, events = runlogs.read_log(spark, write_log(records))
+    rows = metrics.log_metrics(events, headers).collect()
+    assert len([r for r in rows if r["population"] == "triple"]) == len([r for r in rows if r["population"] == "flagged"]) == 4
+    for row in rows:
+        if row["population"] == "triple":
+            assert row["n_population"] == 0 and row["pct_of_population"] is None and row["hits_top10"] is None and row["hits_top1"] is None
+    opened["payload"]["populations"] = []
+    path = write_log(records, "bare.jsonl")
+    assert "the run has no population" in {r["rule"] for r in workflows.log_violations(spark, path).collect()}
+    with pytest.raises(workflows.Refused):
+        workflows.replay(spark, path)
+
+
+def test_a_run_without_a_beam_has_a_summary(spark, write_log):
+    records = [r for r in golden_records() if r.get("event") in (None, "run_opened", "run_closed")]
+    for number, record in enumerate(records[1:], 1):
+        record["seq"] = number
+    summary = workflows.run_summaries(workflows.replay(spark, write_log(records))).collect()
+    assert len(summary) == 1 and summary[0]["trends"] == [] and summary[0]["status"] == "completed"
+    full = workflows.run_summaries(workflows.replay(spark, write_log(golden_records(), "full.jsonl"))).first()
+    assert [(t["beam"], t["population"]) for t in full["trends"]] == [
+        (beam, population) for beam in ("full", "random", "chem") for population in ("flagged", "triple")
+    ]

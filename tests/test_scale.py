@@ -109,11 +109,21 @@ def test_cuts_change_nothing(spark):
     """Any cut points give the same chunked result; only the spread of the work depends on them."""
     df = frame(spark, [("a", float(i % 11)) for i in range(50)])
     results = []
-    for points, fine in (([], 1), ([3.0], 1), ([0.0, 1.0, 5.0, 10.0], 1), ([1.0, 5.0, 9.0], 3), ([0.0, 10.0], 64)):
+    for points in ([], [3.0], [0.0, 1.0, 5.0, 10.0], [i / 999 for i in range(9990)]):
         entries = df.groupBy("k", "v").count()
-        chunk = scale.chunk_of(F.col("v"), scale.Cuts(points, fine))
+        chunk = scale.chunk_of(F.col("v"), points)
         ran = scale.running(entries, ["k"], ["v"], {"n": ("sum", F.col("count"))}, chunk=chunk)
         results.append(sorted(ran.select("v", "n").collect()))
     assert all(result == results[0] for result in results)
-    chunks = df.select("v", scale.chunk_of(F.col("v"), scale.Cuts([0.0, 10.0], 64)).alias("c")).distinct().orderBy("v").collect()
-    assert [r["c"] for r in chunks] == sorted(r["c"] for r in chunks) and len({r["c"] for r in chunks}) == 11
+
+
+@pytest.mark.parametrize("branches", [2, 1024])
+def test_clustered_values_fill_no_chunk_beyond_twice_the_limit(spark, monkeypatch, branches):
+    monkeypatch.setattr(scale, "TASK_ROWS", 200)
+    monkeypatch.setattr(scale, "MOST_BRANCHES", branches)
+    df = spark.range(40_000).select((F.col("id") % 50 * 1000 + F.col("id") / 1e6).alias("v"))  # fifty narrow clusters
+    points = scale.cut_points(df, ["v"])["v"]
+    sizes = df.groupBy(scale.chunk_of(F.col("v"), points).alias("c")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    rows = sizes.orderBy("c").collect()
+    assert max(r["n"] for r in rows) <= 400 and sum(r["n"] for r in rows) == 40_000
+    assert all(a["high"] < b["low"] for a, b in zip(rows, rows[1:], strict=False))

@@ -66,7 +66,7 @@ def test_strict_cast_fails_the_job(spark):
 
 def test_pruned_and_pushed_scan(spark, tmp_path):
     spark.range(10).select("id", F.lit(1.0).alias("a"), F.lit("x").alias("b")).write.parquet(str(tmp_path / "t"))
-    df = measurements.read_table(spark, str(tmp_path / "t"), ["id", "a"]).where("a > 0").select("id")
+    df = measurements.read_table(spark, str(tmp_path / "t"), ["id", "a"], where="a > 0").select("id")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(a,0.0)" in plan and "struct<id:bigint,a:double>" in plan
 
@@ -162,3 +162,21 @@ def test_registry(spark):
         ("tg", "ladder rungs must be positive and distinct"), ("tg", "column is not an identifier"), ("tg", "unit status is not known"),
         ("tg", "key repeats"), ("rg", "key is missing"), ("odd", "key is not expected"),
     }
+
+
+def test_nan_is_missing_at_the_parquet_scan(spark, tmp_path):
+    spark.createDataFrame([(float("nan"),), (1.0,)], "v double").write.parquet(str(tmp_path / "nan"))
+    row = measurements.read_table(spark, str(tmp_path / "nan")).agg(F.count("v").alias("n"), F.median("v").alias("m"), F.max("v").alias("x")).first()
+    assert tuple(row) == (1, 1.0, 1.0)
+
+
+def test_row_index_follows_the_source(spark, tmp_path):
+    for part, size in (("a", 5), ("b", 300), ("c", 7)):  # the largest file is packed first, but counts second
+        spark.range(size).select(F.lit(part).alias("p"), "id").coalesce(1).write.parquet(str(tmp_path / "t" / f"{part}"))
+    df = measurements.with_row_index(spark.read.parquet(*[str(tmp_path / "t" / part) for part in "cab"]))
+    rows = sorted((r["row_index"], r["p"], r["id"]) for r in df.collect())
+    assert [r[1:] for r in rows] == [("a", i) for i in range(5)] + [("b", i) for i in range(300)] + [("c", i) for i in range(7)]
+    assert [r[0] for r in rows] == list(range(312))
+    spark.range(50).selectExpr("cast(id as string) as v").coalesce(1).write.text(str(tmp_path / "lines"))
+    text = measurements.with_row_index(spark.read.text(str(tmp_path / "lines")))
+    assert all(r["row_index"] == int(r["value"]) for r in text.collect())
