@@ -14,7 +14,6 @@ once per cache.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 from assayframe.llm.batches import sliced, texts_of
 from assayframe.sources.storage import write_shared
 
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 # Base rules: fewest words, and the percentage of words in repeated three-word windows.
 FEWEST_WORDS, MOST_REPEATED = 50, 50
 # The bands, in quartile ranges from the median: each figure alone, their sum, and the upper side.
@@ -113,11 +112,6 @@ class Fertility:
         return len(tokens), int(self.is_byte[tokens].sum()), float(-(share * np.log2(share)).sum())
 
 
-@lru_cache(maxsize=2)
-def fertility(file: str) -> Fertility:
-    return Fertility(file)
-
-
 SPEC = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
     "language string, n_tokens long, byte_share double, chars_per_token double, entropy double"
@@ -130,7 +124,7 @@ def measure(docs: DataFrame, file: str, doc_id="doc_id", text="text", lang: str
     schema = pa.schema(list(zip([field.split()[0] for field in SPEC.split(", ")], kinds, strict=True)))
 
     def run(batches):
-        engine = fertility(file)
+        engine = Fertility(file)
         for batch in sliced(batches, "text"):
             texts = texts_of(batch.column("text"))
             split = [text.split() if text else [] for text in texts]

@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 
 from assayframe.llm.batches import sliced, texts_of
 
-# Distinct words that a Python worker remembers; then it starts anew.
-CACHE_WORDS = 200_000
+# Distinct words, and distinct pieces of words, that a task remembers.
+CACHE_WORDS = 120_000
 # Bytes of text whose new words are encoded together.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 6 << 20
 # White space as Unicode has it, and the pieces of a text that are encoded on their own.
 BLANKS = r"\t-\r \x85\xa0  -     　"
 PIECE = regex.compile(rf"\n|'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{BLANKS}\p{{L}}\p{{N}}]+")
@@ -169,7 +169,7 @@ class Encoder:
     """
 
     def __init__(self, file: str, cache_words: int = CACHE_WORDS) -> None:
-        self.vocabulary, self.cache_words = Vocabulary(file), cache_words
+        self.vocabulary, self.cache_words = vocabulary(file), cache_words
         self.ids: dict[bytes, bytes] = {b"": b""}
         self.shown: dict[bytes, bytes] = {b"": b""}
         self.pieces: dict[str, tuple[bytes, bytes]] = {}
@@ -223,9 +223,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(file: str, cache_words: int = CACHE_WORDS) -> Encoder:
-    """One encoder per Python worker and vocabulary, so its cache outlives a task."""
-    return Encoder(file, cache_words)
+def vocabulary(file: str) -> Vocabulary:
+    """One vocabulary per Python worker; the caches of words go with their task."""
+    return Vocabulary(file)
 
 
 def encode_texts(docs: DataFrame, file: str, doc_id="doc_id", text="text", keep_ids: bool = False) -> DataFrame:
@@ -239,7 +239,7 @@ def encode_texts(docs: DataFrame, file: str, doc_id="doc_id", text="text", keep_
     schema = pa.schema(fields)
 
     def run(batches):
-        engine = encoder(file)
+        engine = Encoder(file)
         for batch in sliced(batches, "text", SLICE_BYTES):
             both = list(engine.encode(texts_of(batch.column("text"))))
             columns = [
@@ -258,5 +258,5 @@ def encode_texts(docs: DataFrame, file: str, doc_id="doc_id", text="text", keep_
 
 def decode_ids(ids: bytes, file: str) -> str:
     """The text that stands for the ids: their tokens with one blank between them, special tokens included."""
-    shown = encoder(file).vocabulary.shown
+    shown = vocabulary(file).shown
     return b"".join([shown[i] for i in np.frombuffer(ids, "<u4").tolist()])[:-1].decode()

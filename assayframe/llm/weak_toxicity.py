@@ -31,7 +31,7 @@ MOST_LABELLED = 6000
 MOST_FEATURES = 1200
 MOST_VOTERS = 160
 SHORTEST, LONGEST, LONGEST_REST = 3, 8, 4
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 # A seed lexicon of common insults.
 SEED = (
     "idiot moron stupid dumb loser trash garbage scum clown pathetic worthless disgusting vermin bastard bitch retard freak filth "
