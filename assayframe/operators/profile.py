@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayframe.functions.columns import in_range, percent, unpivot
+from assayframe.functions.columns import case, in_range, percent, unpivot
 from assayframe.operators.filters import in_property_range
 from assayframe.operators.scale import chunk_of, cut_points, fits_one_task, percentile_pays, quantiles, running
 from assayframe.sources.registry import Property, Registry
@@ -101,14 +101,12 @@ def violation_share(df: DataFrame, mask: Column, value: str, root: str) -> DataF
     return counted.withColumn("pct", percent(F.col("violations"), F.col("population")))
 
 
-def average_ranks(counted: DataFrame, column: str, weight: str, *, rows_bound: int | None = None) -> DataFrame:
-    """Average rank of every distinct value of ``column``, each row standing for ``weight`` rows."""
-    entries = counted.groupBy(column).agg(F.sum(weight).alias("_n"))
-    chunk = None
-    if not fits_one_task(rows_bound):
-        chunk = chunk_of(F.col(column), cut_points(counted, [column])[column])
-    ranked = running(entries, [], [column], {"_upto": ("sum", F.col("_n"))}, chunk=chunk)
-    return ranked.select(column, (F.col("_upto") - (F.col("_n") - 1) / 2).alias("rank"))
+def _average_ranks(counted: DataFrame, side: str, columns: Sequence[str], cuts: Mapping[str, list]) -> DataFrame:
+    """Average rank of every distinct value of ``side`` within its pair, in chunks of the pair's column."""
+    entries = counted.groupBy("pair", side).agg(F.sum("c").alias("_n"))
+    chunk = case((F.col("pair") == i, chunk_of(F.col(side), cuts[column])) for i, column in enumerate(columns))
+    ranked = running(entries, ["pair"], [side], {"_upto": ("sum", F.col("_n"))}, chunk=chunk)
+    return ranked.select("pair", side, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(f"r{side}"))
 
 
 def rank_correlation(
@@ -116,40 +114,39 @@ def rank_correlation(
 ) -> DataFrame:
     """Spearman correlation per column pair over complete rows inside ``mask``.
 
-    Rows collapse to distinct value pairs with a count before the ranks are
-    joined in, and the Pearson sums of the ranks combine on the map side.
+    All pairs unfold from one scan and collapse to distinct value pairs with a
+    count before they are ranked; the Pearson sums of the ranks combine on the
+    map side.
     """
     kept = df.where(mask)
-    parts = []
-    for left, right in pairs:
-        complete = kept.select(F.col(left).alias("x"), F.col(right).alias("y")).dropna()
-        counted = complete.groupBy("x", "y").agg(F.count("*").alias("c"))
-        if not fits_one_task(rows_bound):
-            counted = cut_lineage(counted)  # read by both rankings and the sums
-        rx = average_ranks(counted, "x", "c", rows_bound=rows_bound).withColumnRenamed("rank", "rx")
-        ry = average_ranks(counted, "y", "c", rows_bound=rows_bound).withColumnRenamed("rank", "ry")
-        sums = (
-            counted.join(rx, "x").join(ry, "y")
-            .agg(
-                F.sum("c").alias("n"),
-                F.sum(F.col("c") * F.col("rx") * F.col("ry")).alias("xy"),
-                F.sum(F.col("c") * F.col("rx") * F.col("rx")).alias("xx"),
-                F.sum(F.col("c") * F.col("ry") * F.col("ry")).alias("yy"),
-            )
-        )
-        # The mean of average ranks is exactly (n + 1) / 2.
-        shift = F.col("n") * F.pow((F.col("n") + 1) / 2, F.lit(2))
-        spread = F.sqrt((F.col("xx") - shift) * (F.col("yy") - shift))
-        parts.append(
-            sums.select(
-                F.lit(left).alias("left_column"), F.lit(right).alias("right_column"),
-                F.when(spread > 0, (F.col("xy") - shift) / spread).alias("spearman"),
-            )
-        )
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    number = lambda name: F.col(name).cast("double")
+    cells = F.array(*[F.struct(F.lit(i).alias("pair"), number(left).alias("x"), number(right).alias("y")) for i, (left, right) in enumerate(pairs)])
+    counted = kept.select(F.inline(cells)).dropna().groupBy("pair", "x", "y").agg(F.count("*").alias("c"))
+    if fits_one_task(rows_bound):
+        ranks = {}
+        for side in ("x", "y"):
+            upto = F.sum("c").over(Window.partitionBy("pair").orderBy(side).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+            ranks[f"r{side}"] = upto - (F.sum("c").over(Window.partitionBy("pair", side)) - 1) / 2
+        ranked = counted.withColumns(ranks)
+    else:
+        counted = cut_lineage(counted)  # read by both rankings and the sums
+        columns = sorted({name for pair in pairs for name in pair})
+        cuts = cut_points(kept.select(*[number(name).alias(name) for name in columns]), columns)
+        rx, ry = (_average_ranks(counted, side, [pair[i] for pair in pairs], cuts) for i, side in enumerate(("x", "y")))
+        ranked = counted.join(rx, ["pair", "x"]).join(ry, ["pair", "y"])
+    sums = ranked.groupBy("pair").agg(
+        F.sum("c").alias("n"),
+        F.sum(F.col("c") * F.col("rx") * F.col("ry")).alias("xy"),
+        F.sum(F.col("c") * F.col("rx") * F.col("rx")).alias("xx"),
+        F.sum(F.col("c") * F.col("ry") * F.col("ry")).alias("yy"),
+    )
+    # The mean of average ranks is exactly (n + 1) / 2.
+    shift = F.col("n") * F.pow((F.col("n") + 1) / 2, F.lit(2))
+    spread = F.sqrt((F.col("xx") - shift) * (F.col("yy") - shift))
+    names = df.sparkSession.createDataFrame([(i, *pair) for i, pair in enumerate(pairs)], "pair int, left_column string, right_column string")
+    return names.join(sums, "pair", "left").select(
+        "left_column", "right_column", F.when(spread > 0, (F.col("xy") - shift) / spread).alias("spearman")
+    )
 
 
 def quantile_window(
