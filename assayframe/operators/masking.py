@@ -26,7 +26,7 @@ VALUE_SHAPES = (
     WORD_START + "A[KS]IA[0-9A-Z]{16}",
     WORD_START + "xox[bapsr]-[0-9A-Za-z-]{10,}",
     "-----BEGIN [A-Z ]*PRIVATE KEY[A-Z ]*-----",
-    WORD_START + r"[Bb][Ee][Aa][Rr][Ee][Rr]\s+[A-Za-z0-9._~+/=-]{20,}",
+    WORD_START + r"(?i:bearer)\s+[A-Za-z0-9._~+/=-]{20,}",
     r"(^|[^A-Za-z0-9_.-])eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*",
 )
 # Plain texts one of which every text of the shape at the same place contains.

@@ -20,7 +20,7 @@ def require_columns(df: DataFrame, required: Sequence[str], what: str = "source"
     """``df`` unchanged, or an error naming every missing column; runs no job."""
     missing = sorted(set(required) - set(df.columns))
     if missing:
-        raise SourceError(f"{what}: missing required columns: {', '.join(missing)}")
+        raise SourceError(f"{what} lacks the columns {', '.join(missing)}")
     return df
 
 

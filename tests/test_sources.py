@@ -29,7 +29,7 @@ def test_csv_scan(spark, tmp_path):
     df = measurements.read_measurements_csv(spark, path, DECLARED, ["key", "a"])
     assert dict(df.dtypes) == {"key": "string", "a": "double", "flag": "boolean", "chain": "string"}
     assert rows_of(df.orderBy("key")) == [("x", 1.5, True, "007"), ("y", None, None, "1e3"), ("z", None, False, None)]
-    with pytest.raises(measurements.SourceError, match="missing required columns: b, c"):
+    with pytest.raises(measurements.SourceError, match="lacks the columns b, c"):
         measurements.read_measurements_csv(spark, path, DECLARED, ["c", "a", "b"])
 
 

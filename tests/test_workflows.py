@@ -38,7 +38,7 @@ def test_load(spark, loaded):
 
 
 def test_load_needs_its_columns(spark, tmp_path):
-    with pytest.raises(measurements.SourceError, match="missing required columns: Rg"):
+    with pytest.raises(measurements.SourceError, match="lacks the columns Rg"):
         workflows.load_source(source_frame(spark, ROWS).drop("Rg"), str(tmp_path), REGISTRY, raw="raw", second="second", label="label", facts=FACTS)
 
 
