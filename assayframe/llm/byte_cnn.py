@@ -217,7 +217,7 @@ def predict(docs: DataFrame, network: Network | None, doc_id="doc_id", text="tex
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, network: Network | None, text="text", least: float = 0.35) -> DataFrame:
+def keep_known(docs: DataFrame, network: Network | None, text="text", least: float = 0.3) -> DataFrame:
     """The rows of ``docs`` whose text has a language that the network is at least that sure of; all rows where nothing was learned."""
     if network is None:
         return docs
