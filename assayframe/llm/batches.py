@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 # Bytes of text handled at once; one longer text is handled alone.
 SLICE_BYTES = 4 << 20
+# Rows of an Arrow batch of texts.
+BATCH_ROWS = 2000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 # The characters that separate words.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -53,6 +56,14 @@ def crc_remainder(key, folds: int) -> int:
     return zlib.crc32(b"" if key is None else str(key).encode()) % folds
 
 
-def mapped(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``mapInArrow`` with the schema first read once, so that batches can be built by name."""
-    return df.mapInArrow(fn, schema)
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df`` unchanged; its session hands texts to Python in batches of at most ``BATCH_ROWS`` rows from now on.
+
+    A batch is held whole by the JVM and by Python, so its rows bound the memory
+    of a task that maps texts.  A smaller setting of the session stays.
+    """
+    settings = df.sparkSession.conf
+    rows = int(settings.get(BATCH_SETTING, "10000"))
+    if rows <= 0 or rows > BATCH_ROWS:
+        settings.set(BATCH_SETTING, str(BATCH_ROWS))
+    return df

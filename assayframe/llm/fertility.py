@@ -21,7 +21,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayframe.llm.batches import sliced, texts_of
+from assayframe.llm.batches import sliced, small_batches, texts_of
 from assayframe.sources.storage import write_shared
 
 CACHE_WORDS = 150_000
@@ -151,7 +151,7 @@ def measure(docs: DataFrame, file: str, doc_id="doc_id", text="text", lang: str
 
     language = F.lit(None).cast("string") if lang is None else F.col(lang).cast("string")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), language.alias("lang"))
-    return rows.mapInArrow(run, SPEC)
+    return small_batches(rows).mapInArrow(run, SPEC)
 
 
 def length_class(tokens: Column) -> Column:

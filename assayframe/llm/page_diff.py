@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayframe.llm.batches import sliced
+from assayframe.llm.batches import sliced, small_batches
 from assayframe.llm.url_rules import host_of, path_of
 
 # Elements by their part in a page.
@@ -245,4 +245,4 @@ def extract(pages: DataFrame, page_id="page_id", url="url", page="html") -> Data
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html"))
     rows = rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     rows = rows.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    return rows.mapInArrow(run, spec)
+    return small_batches(rows).mapInArrow(run, spec)

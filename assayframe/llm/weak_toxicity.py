@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayframe.llm.batches import crc_fold, sliced, texts_of
+from assayframe.llm.batches import crc_fold, sliced, small_batches, texts_of
 
 # The bound of the labelled sample, per class.
 MOST_LABELLED = 6000
@@ -164,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", toxic=
                 names=["words", "patterns", "toxic"],
             )
 
-    rows = sample.select("text", "toxic").mapInArrow(gather, "words array<string>, patterns array<int>, toxic int")
+    rows = small_batches(sample).select("text", "toxic").mapInArrow(gather, "words array<string>, patterns array<int>, toxic int")
     # One of each group of near copies, by the least hash of its words, so that a copied text is no evidence on its own.
     rows = rows.withColumn("least", F.array_min(F.transform("words", lambda w: F.xxhash64(w)))).dropDuplicates(["least", "toxic"]).drop("least")
 
@@ -224,7 +224,7 @@ def score(docs: DataFrame, classifier: Classifier, doc_id="doc_id", text="text")
             )
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double")
+    return small_batches(rows).mapInArrow(run, "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, classifier: Classifier, text="text", threshold: float = 0.7) -> DataFrame:
@@ -236,7 +236,7 @@ def keep_clean(docs: DataFrame, classifier: Classifier, text="text", threshold:
         for batch in sliced(batches, text):
             yield batch.filter(pa.array([engine.score(value) < threshold for value in texts_of(batch.column(text))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, held_out=(3, 1), **names) -> DataFrame:
