@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayframe.llm.batches import crc_fold, sliced, small_batches, texts_of
+from assayframe.sources.storage import write_shared
 
 # The bound of the labelled sample, per class.
 MOST_LABELLED = 6000
@@ -137,7 +138,7 @@ def fit_linear(x: np.ndarray, target: np.ndarray, rounds: int = 900, ridge: floa
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, toxic: str, held_out) -> DataFrame:
-    """(text, toxic): at most about ``MOST_LABELLED`` labelled texts per class outside the held-out fold, near copies once."""
+    """(doc_id, text, toxic): at most about ``MOST_LABELLED`` labelled texts per class outside the held-out fold."""
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(toxic).cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1))
     known = known.where(crc_fold(F.col("doc_id"), held_out[0]) != held_out[1]).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {row["toxic"]: row["count"] for row in known.groupBy("toxic").count().collect()}
@@ -147,12 +148,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str,
     return texts.join(F.broadcast(chosen), "doc_id")  # at most about 2 x MOST_LABELLED short rows
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", toxic="toxic", held_out=(3, 1)) -> Classifier:
-    """Mine forms, weigh voters, train the classifier; without both classes every text scores 0."""
-    sample = labelled_sample(docs, labels, doc_id, text, toxic, held_out)
+def evidence(sample: DataFrame) -> DataFrame:
+    """(words, patterns, toxic): the distinct words of each labelled text; texts of one class with the same set of words once, by their least id."""
 
     def gather(batches):
-        """Per text its distinct words, for the counts and then for the votes."""
         for batch in sliced(batches, "text"):
             rows = []
             for value in texts_of(batch.column("text")):
@@ -160,13 +159,23 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", toxic=
                 whole = value.decode("utf-8", "replace")
                 rows.append((sorted(words), [i for i, p in enumerate(PATTERNS) if p.search(whole)]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.list_(pa.string())), pa.array([r[1] for r in rows], pa.list_(pa.int32())), batch.column("toxic").cast(pa.int32())],
-                names=["words", "patterns", "toxic"],
+                [
+                    batch.column("doc_id").cast(pa.int64()), pa.array([r[0] for r in rows], pa.list_(pa.string())),
+                    pa.array([r[1] for r in rows], pa.list_(pa.int32())), batch.column("toxic").cast(pa.int32()),
+                ],
+                names=["doc_id", "words", "patterns", "toxic"],
             )
 
-    rows = small_batches(sample).select("text", "toxic").mapInArrow(gather, "words array<string>, patterns array<int>, toxic int")
-    # One of each group of near copies, by the least hash of its words, so that a copied text is no evidence on its own.
-    rows = rows.withColumn("least", F.array_min(F.transform("words", lambda w: F.xxhash64(w)))).dropDuplicates(["least", "toxic"]).drop("least")
+    rows = small_batches(sample).select("doc_id", "text", "toxic").mapInArrow(gather, "doc_id long, words array<string>, patterns array<int>, toxic int")
+    # The words are sorted and hold no blank, so equal digests are equal sets: a copied text is no evidence on its own.
+    rows = rows.groupBy(F.sha2(F.array_join("words", " "), 256).alias("digest"), "toxic").agg(F.min(F.struct("doc_id", "patterns", "words")).alias("least"))
+    return rows.select("least.words", "least.patterns", "toxic")
+
+
+def fit(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", toxic="toxic", held_out=(3, 1)) -> Classifier:
+    """Mine forms, weigh voters, train the classifier; without both classes every text scores 0."""
+    # Written once: sizes, counts and votes come from the same texts.
+    rows = write_shared(evidence(labelled_sample(docs, labels, doc_id, text, toxic, held_out)), "labelled")
 
     def count(batches):
         held = Counter(), Counter()
