@@ -13,25 +13,30 @@ other words there, and what stands in the declared article stays even if the
 neighbour is a copy or quotes the same passage.
 
 Pages are dealt out by a range sort with the page id as last key, so a host
-with a third of all pages is spread over many tasks.  A page whose neighbours
-fell into other tasks, or whose host has no other page, is read by its markup.
+with a third of all pages is spread over many tasks.  The first and last pages
+of a task meet their neighbours in other tasks in a second pass over the few
+pages at the cuts.  A page whose host has no other page is read by its markup.
 """
 
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayframe.llm.batches import sliced, small_batches
 from assayframe.llm.url_rules import host_of, path_of
+from assayframe.sources.storage import write_shared
 
 # Elements by their part in a page.
-RAW = ("script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "canvas", "select", "button", "math", "audio", "video")
+PLAIN = ("script", "style", "textarea")  # hold no markup and run to the end of the page if nothing closes them
+RAW = ("noscript", "template", "svg", "iframe", "object", "canvas", "select", "button", "math", "audio", "video")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BREAKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head "
@@ -46,9 +51,10 @@ TEMPLATE_NAMES = frozenset(
 )
 TEMPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 CONTENT_NAMES = frozenset("article articlebody body content entry main post story text".split())
+SKIPPED = r"<!--.*?(?:-->|\Z)|<(" + "|".join(PLAIN) + r")(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
+RAW_TAG = re.compile(SKIPPED + "|<(/?)(" + "|".join(RAW) + r")(?=[\s/>])(?:[^>]*[\s\"'])?(?:(/)>|[^>]*>)", re.S | re.I)
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[a-zA-Z/!?][^>]*(?:>|\Z)",
+    SKIPPED + r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[a-zA-Z/!?][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 NAMED = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-label)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -85,6 +91,22 @@ def part_of(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
     return article and not template, template
 
 
+def raw_ends(page: str) -> dict[int, int]:
+    """Where each closed raw element starts and ends; one that is closed in its own tag, or never, is not in it."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    for match in RAW_TAG.finditer(page):
+        if not match[3]:
+            continue
+        starts = opened.setdefault(match[3].lower(), [])
+        if match[2]:
+            if starts:
+                ends[starts.pop()] = match.end()
+        elif not match[4]:
+            starts.append(match.start())
+    return ends
+
+
 def lines_of(page: str) -> list[Line]:
     """The blocks of a page in page order, without scripts, styles and markup."""
     lines: list[Line] = []
@@ -99,13 +121,14 @@ def lines_of(page: str) -> list[Line]:
             if text:
                 lines.append(Line(text, article, template, box))
 
-    for match in TOKEN.finditer(page):
+    ends = raw_ends(page)
+    while match := TOKEN.search(page, at):
         if match.start() > at:
             held.append(page[at : match.start()])
-        at = match.end()
+        at = ends.get(match.start(), match.end())
         tag = match[3].lower() if match[3] else ""
-        if not tag:
-            if match[1]:
+        if not tag or tag in RAW:
+            if match[1] or tag:
                 held.append(" ")
             continue
         if tag in ("br", "td", "th"):
@@ -209,40 +232,68 @@ def extract(pages: DataFrame, page_id="page_id", url="url", page="html") -> Data
     a page is passed over for the neighbour on the other side.
     """
     fields = [("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_lines", pa.int64()), ("n_shared", pa.int64())]
-    schema, spec = pa.schema(fields), "page_id long, url string, text string, n_chars long, n_lines long, n_shared long"
+    keys = [("host", pa.string()), ("path", pa.string()), ("html", pa.string()), ("digest", pa.int64()), ("task", pa.int32()), ("place", pa.int64()), ("edge", pa.bool_())]
+    spec = "page_id long, url string, text string, n_chars long, n_lines long, n_shared long"
+    wide = spec + ", host string, path string, html string, digest long, task int, place long, edge boolean"
+    given = ("page_id", "url", "host", "path", "html", "digest")
 
-    def read(batches):
+    def batch_of(out, kinds):
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(zip(*out, strict=True), kinds, strict=True)], schema=pa.schema(kinds))
+
+    def read(batches, names):
+        """(row, lines) of every page."""
         for batch in sliced(batches, "html"):
-            for key, address, host, path, page in zip(*(batch.column(n).to_pylist() for n in ("page_id", "url", "host", "path", "html")), strict=True):
-                yield key, address, host, path, lines_of(page) if page else []
+            for row in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
+                yield row, lines_of(row[4]) if row[4] else []
 
     def judged(before, this, after):
-        key, address, host, path, lines = this
-        near = [x for x in (before, after) if x is not None and host and x[2] == host]
-        near.sort(key=lambda x: -alike(path, x[3]))
+        (key, address, host, path, *_), lines = this
+        near = [x for x in (before, after) if x is not None and host and x[0][2] == host]
+        near.sort(key=lambda x: -alike(path, x[0][3]))
         shared: set[int] = set()
         for other in near:
-            shared = shared_lines(lines, other[4])
+            shared = shared_lines(lines, other[1])
             if shared:
                 break
         text = main_text(lines, shared)
         return key, address, text, len(text), len(lines), len(shared)
 
     def run(batches):
+        """The pages inside a task judged; of its two ends the page and the one next to it, as they are."""
+        context = TaskContext.get()
+        task = context.partitionId() if context else 0
         before = this = None
-        out = []
-        for after in read(batches):
-            if this is not None:
-                out.append(judged(before, this, after))
-            before, this = this, after
+        out, ends, count = [], [], 0
+        for after in read(batches, given):
+            if count > 1:
+                out.append((*judged(before, this, after), *[None] * len(keys)))
+            if count < 2:
+                ends.append((count, after[0]))
+            before, this, count = this, after, count + 1
             if len(out) >= 256:
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(zip(*out, strict=True), fields, strict=True)], schema=schema)
+                yield batch_of(out, fields + keys)
                 out = []
-        if this is not None:
-            out.append(judged(before, this, None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(zip(*out, strict=True), fields, strict=True)], schema=schema)
+        if count > 3:
+            ends.append((count - 2, before[0]))
+        if count > 2:
+            ends.append((count - 1, this[0]))
+        out += [(key, address, *[None] * 4, *rest, task, place, place in (0, count - 1)) for place, (key, address, *rest) in ends]
+        if out:
+            yield batch_of(out, fields + keys)
+
+    def at_cuts(batches):
+        """The first and last pages of tasks, judged among the pages on both sides of the cuts."""
+        before = this = None
+        for after in itertools.chain(read(batches, (*given, "edge")), [None]):
+            if this is not None and this[0][-1]:
+                yield batch_of([judged(before, this, after)], fields)
+            before, this = this, after
 
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html"))
-    rows = rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    rows = rows.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    return small_batches(rows).mapInArrow(run, spec)
+    rows = rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url")), "digest": F.xxhash64("url", "html")})
+    order = ("host", "path", "page_id", "digest")
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    found = write_shared(small_batches(rows).mapInArrow(run, wide), "pages")
+    few = found.where("task IS NOT NULL").select(*given, "edge", "task", "place")  # four rows a task at most
+    few = few.repartition(1).sortWithinPartitions(*order, "task", "place").drop("task", "place")
+    return found.where("task IS NULL").select(*[name for name, _ in fields]).union(few.mapInArrow(at_cuts, spec))

@@ -70,6 +70,38 @@ def test_differencing_deletes_what_neighbours_share(spark):
     assert page_diff.extract(empty).count() == 0
 
 
+def test_raw_elements_end_where_they_are_closed():
+    article = "<article><p>one</p>%s<p>two</p></article>"
+    for raw in ("<svg viewBox='0 0 1 1' />", "<iframe/>", "<svg><path d='x'/>no</svg>", "<button>no</button>", "<svg><svg>no</svg>no</svg>", "<script>'<svg>'</script>"):
+        assert text_of(article % raw) == "one\ntwo", raw
+    assert text_of(article % "<button>a <b>bold</b>") == "one\na bold\ntwo"
+    assert text_of((article % "<select>") + "<div><select><option>no</select></div>") == "one\ntwo"
+    assert text_of(article % "<button-bar>yes</button-bar>") == "one\nyes\ntwo"
+    assert text_of(article % "<textarea>no") == "one"
+
+
+def test_differencing_does_not_depend_on_the_number_of_tasks(spark):
+    def page(i):
+        return f"<div><p>Site name</p><p>Top bar</p><p>build {i}</p><p>Top end</p></div><div><p>story{i}</p><p>more story{i}</p></div><div>Imprint</div>"
+
+    rows = [(i, f"http://h{i % 3}.example/a/{i}", page(i)) for i in range(30)]
+    rows += [(100 + i, f"http://two{i // 2}.example/{i}", page(i)) for i in range(12)]
+    rows += [(200 + i, "http://copies.example/x", page(i // 2)) for i in range(8)] + [(300, None, page(0)), (301, "http://h0.example/b", None)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    before = {name: spark.conf.get(name) for name in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    found = []
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for tasks in (1, 7, 200):
+            spark.conf.set("spark.sql.shuffle.partitions", tasks)
+            found.append(sorted(map(tuple, page_diff.extract(frame.repartition(5)).collect())))
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(rows)
+    assert all(row[2] == f"story{row[0] % 100}\nmore story{row[0] % 100}" for row in found[0] if row[0] < 112)
+
+
 URLS = [
     "http://a.net/en/x", "https://WWW.Example.NET/en/1?q=/de/", "http://example.com/de/", "http://example.com/de", "http://sub.example.com/de/a#b", "http://x.org/fr/z",
     "http://free-bets.example.com/en/1", "http://casinoroyal.example.com/", "http://m.casino-win.example.org/fr/2", "http://a.net", "net/", None, "", "no scheme casino",
