@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from assayframe.llm import byte_cnn, context_mixing, fertility, lsh_forest, page_diff, pair_bpe, source_mix, srs_search, url_rules, weak_toxicity
+from assayframe.llm import byte_cnn, context_mixing, fertility, lsh_forest, page_diff, pair_bpe, source_mix, srs_search, strassen_negatives, url_rules, weak_toxicity
 
 QUERIES, ORACLES = {}, {}
 
@@ -63,9 +63,15 @@ def op10_byte_cnn(spark, sf_dir):
     return byte_cnn.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_strassen_negatives(spark, sf_dir):
+    """Hard negatives per anchor and positive."""
+    return strassen_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 for _query in (
     op1_page_diff, op2_lsh_forest, op3_weak_toxicity, op4_fertility, op5_pair_index_bpe, op6_context_mixing, op7_source_mix, op8_url_rules, op9_srs_search,
-    op10_byte_cnn,
+    op10_byte_cnn, op11_strassen_negatives,
 ):
     QUERIES[_query.__name__] = _query
 ORACLES["op8_url_rules"] = url_rules.judge_sql()
+ORACLES["op11_strassen_negatives"] = strassen_negatives.negatives_sql()
