@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from assayframe.llm import byte_cnn, context_mixing, fertility, lsh_forest, page_diff, pair_bpe, source_mix, srs_search, strassen_negatives, url_rules, weak_toxicity
+from assayframe.llm import (
+    byte_cnn, context_mixing, fertility, lsh_forest, packed_ids, page_diff, pair_bpe, source_mix, srs_search, strassen_negatives, turn_repair, url_rules,
+    weak_toxicity,
+)
 
 QUERIES, ORACLES = {}, {}
 
@@ -68,9 +71,19 @@ def op11_strassen_negatives(spark, sf_dir):
     return strassen_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
 
 
+def op12_packed_ids(spark, sf_dir):
+    """Ids of all documents through the bit-packed file format and back."""
+    return packed_ids.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_turn_repair(spark, sf_dir):
+    """Faults and cheapest repair of every conversation after damage."""
+    return turn_repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 for _query in (
     op1_page_diff, op2_lsh_forest, op3_weak_toxicity, op4_fertility, op5_pair_index_bpe, op6_context_mixing, op7_source_mix, op8_url_rules, op9_srs_search,
-    op10_byte_cnn, op11_strassen_negatives,
+    op10_byte_cnn, op11_strassen_negatives, op12_packed_ids, op13_turn_repair,
 ):
     QUERIES[_query.__name__] = _query
 ORACLES["op8_url_rules"] = url_rules.judge_sql()
