@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from assayframe.plans import logrules, lookup, measure, quality, runs
+from assayframe.plans import growing, logrules, lookup, measure, quality, runs
 
-_SHELVES = (measure.SHELF, lookup.SHELF, runs.SHELF, logrules.SHELF, quality.SHELF)
+_SHELVES = (measure.SHELF, lookup.SHELF, runs.SHELF, logrules.SHELF, quality.SHELF, growing.SHELF)
 
 
 def all_queries():

@@ -12,7 +12,7 @@ from assayframe.functions.columns import plain_structure_key
 from assayframe.operators import candidates as cand
 from assayframe.operators import logchecks, lookups, metrics
 from assayframe.operators.identity import with_identity, with_structure_key
-from assayframe.sources import measurements, runlogs
+from assayframe.sources import caches, measurements, runlogs
 from assayframe.sources.registry import Registry
 from assayframe.sources.storage import cut_lineage
 
@@ -56,7 +56,7 @@ def answer_requests(
     asked = lookups.explode_requests(requests)
     preloaded = None
     if cache is not None:
-        known = runlogs.read_cache(spark, cache).where(
+        known = caches.read_cache(spark, cache).where(
             (F.col("backend") == backend.get("backend", "table")) & (F.col("source") == backend.get("source", ""))
         )
         stored = known.select("candidate_id", "property", *[F.col(f"result.{name}").alias(name) for name in lookups.STORED])
@@ -67,7 +67,7 @@ def answer_requests(
         if over:
             raise Refused(f"requested {over[0]['evals']} evals of limit {limit}")
     if cache is not None:
-        runlogs.append_cache(results, cache)
+        caches.append_cache(results, cache)
     return lookups.response_order(results)
 
 

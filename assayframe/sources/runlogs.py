@@ -1,4 +1,4 @@
-"""Run logs: JSONL scans into headers and typed events, caches, and the result sinks."""
+"""Run logs: JSONL scans into headers and typed events, and the result sinks."""
 
 from __future__ import annotations
 
@@ -32,26 +32,23 @@ LINE = (
 )
 PLAN = "schema_version int, iterations array<struct<iteration: bigint, beams: array<struct<beam: string, candidates: array<string>>>>>"
 REQUEST = "run_id string, iteration bigint, batch array<struct<candidate_id: string, properties: array<string>>>"
-CACHE_LINE = f"`key` array<string>, result {RESULT}, _bad string"
 
 
-class LogError(ValueError):
-    """A log or cache that cannot be read."""
-
-
-def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_log_lines(spark: SparkSession, path: str | list[str], *carry: str) -> DataFrame:
     """Lines with ``file, line, value, file_bytes``; lines are numbered from 1 within their file.
 
+    ``carry`` names further members of the file's metadata to keep.
+
     A long file is read in splits.  A split is one chunk of the numbering, so no
     task ever holds more of a file than it scanned.
     """
     meta = F.col("_metadata")
     raw = spark.read.option("lineSep", "\n").text(path).select(
         meta["file_path"].alias("file"), meta["file_size"].alias("file_bytes"),
-        meta["file_block_start"].alias("_split"), F.monotonically_increasing_id().alias("_id"), "value",
+        meta["file_block_start"].alias("_split"), F.monotonically_increasing_id().alias("_id"), "value", *[meta[name].alias(name) for name in carry],
     )
     numbered = running(raw, ["file"], ["_id"], {"line": ("sum", F.lit(1))}, chunk=F.col("_split"))
-    return numbered.select("file", "line", "value", "file_bytes")
+    return numbered.select("file", "line", "value", "file_bytes", *carry)
 
 
 def parse_log(lines: DataFrame) -> DataFrame:
@@ -98,39 +95,6 @@ def explode_plan(plans: DataFrame) -> DataFrame:
     )
 
 
-def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """Result cache: the last line of a key wins; a bad line fails the job and names its position."""
-    lines = read_log_lines(spark, path).where(F.trim("value") != "")
-    record = F.from_json("value", CACHE_LINE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    parsed = lines.withColumn("r", record)
-    sound = (
-        strict_json("value") & F.col("r._bad").isNull() & (F.size("r.key") == 4) & F.col("r.result.status").isNotNull()
-        & F.col("r.result.cached").isNotNull() & F.col("r.result.cost").isNotNull()
-    )
-    complaint = F.concat(F.col("file"), F.lit(":"), F.col("line"), F.lit(": malformed cache line"))
-    checked = parsed.select(
-        "line", F.when(F.coalesce(sound, F.lit(False)), F.col("r.key")).otherwise(F.raise_error(complaint)).alias("key"),
-        "r.result",
-    )
-    latest = checked.groupBy("key").agg(F.max_by("result", "line").alias("result"))
-    return latest.select(
-        *[F.col("key")[i].alias(name) for i, name in enumerate(["candidate_id", "property", "backend", "source"])], "result"
-    )
-
-
-def append_cache(results: DataFrame, path: str) -> None:
-    """Append fresh ok and missing answers, stored as uncached."""
-    fresh = results.where(F.col("status").isin("ok", "missing") & ~F.col("cached"))
-    names = ["candidate_id", "property", "status", "value", "unit", "n_replicates", "spread", "backend", "source",
-             "provenance_tier", "reason"]
-    fields = {name: F.col(name) for name in names}
-    fields["cached"] = F.lit(False)
-    fields["cost"] = F.struct(F.col("cpu_hours").alias("cpu_hours"), F.col("evals").alias("evals"))
-    key = F.array("candidate_id", "property", "backend", "source")
-    line = sorted_json({"key": key, "result": F.struct(*[fields[name].alias(name) for name in sorted(fields)])})
-    fresh.select(line.alias("value")).write.mode("append").text(path)
-
-
 def write_results_csv(metrics: DataFrame, path: str) -> None:
     """Long result table as CSV; NULL is an empty cell and a non-finite number fails the job."""
     doubles = [name for name, kind in metrics.dtypes if kind == "double"]

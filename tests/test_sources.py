@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from assayframe.operators import candidates as cand
 from assayframe.operators import lookups as ops
-from assayframe.sources import manifest, measurements, registry, runlogs
+from assayframe.sources import caches, manifest, measurements, registry, runlogs
 
 A, B, C = CORE
 DECLARED = {"a": "double", "flag": "boolean"}
@@ -101,9 +101,9 @@ def test_cache_round_trip(spark, table, tmp_path):
         "run_id string, request_seq long, entry_pos long, prop_pos long, candidate_id string, property string",
     )
     results = ops.evaluate(looked, table, REGISTRY, rows_bound=10, backend="table", source="s@1", tier="simulated")
-    runlogs.append_cache(results, path)
-    runlogs.append_cache(results.where("status = 'ok'").withColumn("value", F.lit(9.0)), path + "/more")
-    back = runlogs.read_cache(spark, path)
+    caches.append_cache(results, path)
+    caches.append_cache(results.where("status = 'ok'").withColumn("value", F.lit(9.0)), path + "/more")
+    back = caches.read_cache(spark, path)
     assert sorted(rows_of(back.select("candidate_id", "property", "result.status", "result.cached"))) == [
         ("7ec8cb49ff317efc", A, "ok", False), ("81b997b85ccd2069", A, "missing", False),
     ]
@@ -118,10 +118,10 @@ def test_last_cache_line_wins_and_bad_lines_are_named(spark, tmp_path):
         return json.dumps({"key": ["a", "p", "table", "s"], "result": result})
 
     path = write(tmp_path / "c.jsonl", line(1.0) + "\n\n" + line(2.0) + "\n")
-    assert runlogs.read_cache(spark, path).select("result.value").first()[0] == 2.0
+    assert caches.read_cache(spark, path).select("result.value").first()[0] == 2.0
     bad = write(tmp_path / "d.jsonl", line(1.0) + "\n" + line(2.0)[:-3] + "\n")
     with pytest.raises(PySparkException, match="d.jsonl:2: malformed cache line"):
-        runlogs.read_cache(spark, bad).collect()
+        caches.read_cache(spark, bad).collect()
 
 
 def test_result_sinks(spark, tmp_path):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from assayframe.operators import populations
 from assayframe.plans import workflows
-from assayframe.sources import measurements, runlogs
+from assayframe.sources import caches, measurements, runlogs
 
 A, B, C = CORE
 FACTS = {"snapshot": "invented@1", "source_sha256": "ab" * 32}
@@ -75,7 +75,7 @@ def test_answering_with_cache_and_budget(spark, loaded, tmp_path):
     asked = request(tmp_path, "a.json", [("7ec8cb49ff317efc", [A, B]), ("0123456789abcdef", [A])])
     first = workflows.answer_requests(spark, asked, table, REGISTRY, limit=1, **facts)
     assert rows_of(first.select("status", "cached", "evals")) == [("ok", False, 1), ("ok", False, 0), ("missing", False, 0)]
-    runlogs.append_cache(first, cache)
+    caches.append_cache(first, cache)
     again = workflows.answer_requests(spark, asked, table, REGISTRY, cache=cache, limit=0, **facts)
     assert rows_of(again.select("status", "cached", "evals")) == [("ok", True, 0), ("ok", True, 0), ("missing", True, 0)]
     other = workflows.answer_requests(spark, asked, table, REGISTRY, cache=cache, **(facts | {"source": "invented@2"}))
