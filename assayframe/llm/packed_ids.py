@@ -28,6 +28,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,14 +39,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assayframe.llm.batches import sliced, texts_of
-from assayframe.sources.storage import shared_folder, write_shared
+from assayframe.sources.storage import shared_folder
 
 MAGIC, HEAD = b"AFIDS01\x00", struct.Struct("<8s4IQ")
 GROUP = 64
 # Ids of a block, and of a shard; a document is never cut, so a longer one is a shard of its own.
 BLOCK_IDS, SHARD_IDS = 4096, 1 << 20
-# Bytes of text encoded at once, and distinct words that a task remembers.
-SLICE_BYTES, CACHE_WORDS = 4 << 20, 200_000
+# Bytes of text encoded at once, and distinct words that a Python worker remembers.
+SLICE_BYTES, CACHE_WORDS = 4 << 20, 500_000
 PART_BYTES = 32 << 20
 END_ID = 1
 
@@ -55,6 +56,11 @@ def bits_for(largest: int) -> int:
     return max(1, int(largest).bit_length())
 
 
+def whole_bytes(bits: int) -> str:
+    """The least little-endian integer type that holds ids of this width."""
+    return "<u1" if bits <= 8 else "<u2" if bits <= 16 else "<u4"
+
+
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """``ids`` side by side in ``bits`` each, filled up with zeros to whole groups of 64."""
     groups = -(-len(ids) // GROUP)
@@ -157,38 +163,44 @@ class WordIds:
         self.held: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes | None], end: int = END_ID) -> Iterator[bytes]:
-        """Per text its ids, the end id last, as little-endian 32-bit integers."""
+        """Per text its ids, the end id last, as 32-bit integers of this machine's byte order."""
         split = [text.split() if text else [] for text in texts]
         asked = set().union(*split)
-        new = [word for word in asked if word not in self.held]
+        new = list(asked.difference(self.held))
         if len(self.held) + len(new) > self.cache_words:
             self.held = {word: self.held[word] for word in asked if word in self.held}
         encoded = self.tokenizer.encode_batch_fast([word.decode("utf-8", "replace") for word in new], add_special_tokens=False)
         for word, one in zip(new, encoded, strict=True):
-            self.held[word] = np.array(one.ids, "<u4").tobytes()
-        last, find = end.to_bytes(4, "little"), self.held.__getitem__
+            self.held[word] = array("I", one.ids).tobytes()
+        last, find = array("I", [end]).tobytes(), self.held.__getitem__
         for words in split:
             yield b"".join([*map(find, words), last])
 
 
+@lru_cache(maxsize=1)
+def engine_of(file: str) -> WordIds:
+    """One per Python worker: tasks that follow find the words of those before."""
+    return WordIds(file)
+
+
 def encoded_docs(docs: DataFrame, file: str, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, tie, n_tokens, packed): every text's ids with the end id; ``tie`` orders documents of one id."""
-    bits = bits_for(largest_id(file))
-    schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("n_tokens", pa.int64()), ("packed", pa.binary())])
+    """(doc_id, tie, n_tokens, ids): every text's ids with the end id, in whole bytes; ``tie`` orders documents of one id."""
+    kind = whole_bytes(bits_for(largest_id(file)))
+    schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        engine = WordIds(file)
+        engine = engine_of(file)
         for batch in sliced(batches, "text", SLICE_BYTES):
-            parts = [np.frombuffer(ids, "<u4") for ids in engine.encode(texts_of(batch.column("text")))]
+            parts = [np.frombuffer(ids, np.uint32) for ids in engine.encode(texts_of(batch.column("text")))]
             columns = [
                 batch.column("doc_id"), batch.column("tie"), pa.array([len(part) for part in parts], pa.int64()),
-                pa.array([pack(part, bits) for part in parts], pa.binary()),
+                pa.array([part.astype(kind).tobytes() for part in parts], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("tie"), "text")
-    return rows.mapInArrow(run, "doc_id long, tie long, n_tokens long, packed binary")
+    return rows.mapInArrow(run, "doc_id long, tie long, n_tokens long, ids binary")
 
 
 def write_ids(docs: DataFrame, file: str, path: str, doc_id="doc_id", text="text", shard_ids: int = SHARD_IDS) -> None:
@@ -196,14 +208,16 @@ def write_ids(docs: DataFrame, file: str, path: str, doc_id="doc_id", text="text
 
     ``path/shards`` has (part, number, n_ids, n_docs, image) and ``path/index``
     (part, number, first, n_ids, n_docs), where ``first`` counts the ids of all
-    shards before.  Missing document ids come first; documents of one id are in
+    shards before; ``path/encoded`` holds the ids before they were ordered.  Missing document ids come first; documents of one id are in
     the order of their text's hash.  A missing text counts as empty: its only id
     is the end.
     """
     spark = docs.sparkSession
     bits = bits_for(largest_id(file))
-    encoded = write_shared(encoded_docs(docs, file, doc_id, text), "ids-encoded")
-    size = encoded.agg(F.sum(F.length("packed") + 24)).first()[0] or 0
+    kind = whole_bytes(bits)
+    encoded_docs(docs, file, doc_id, text).write.option("compression", "zstd").parquet(f"{path}/encoded")
+    encoded = spark.read.parquet(f"{path}/encoded")
+    size = encoded.agg(F.sum(F.col("n_tokens") * int(kind[2]) + 24)).first()[0] or 0
     parts = max(1, -(-size // PART_BYTES))
     schema = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("n_ids", pa.int64()), ("n_docs", pa.int64()), ("image", pa.binary())])
 
@@ -216,19 +230,19 @@ def write_ids(docs: DataFrame, file: str, path: str, doc_id="doc_id", text="text
             return pa.RecordBatch.from_arrays([pa.array([value], kind.type) for value, kind in zip(values, schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for key, count, packed in zip(*(batch.column(name).to_pylist() for name in ("doc_id", "n_tokens", "packed")), strict=True):
+            for key, count, raw in zip(*(batch.column(name).to_pylist() for name in ("doc_id", "n_tokens", "ids")), strict=True):
                 if keys and size + count > shard_ids:
                     yield shard()
                     keys, held, size, number = [], [], 0, number + 1
                 keys.append(key)
-                held.append(unpack(packed, bits)[:count])
+                held.append(np.frombuffer(raw, kind))
                 size += count
         if keys:
             yield shard()
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
-    ranges = encoded.repartitionByRange(int(parts), *order).sortWithinPartitions(*order).select("doc_id", "n_tokens", "packed")
-    ranges.mapInArrow(build, "part int, number int, n_ids long, n_docs long, image binary").write.parquet(f"{path}/shards")
+    ranges = encoded.repartitionByRange(int(parts), *order).sortWithinPartitions(*order).select("doc_id", "n_tokens", "ids")
+    ranges.mapInArrow(build, "part int, number int, n_ids long, n_docs long, image binary").write.option("compression", "zstd").parquet(f"{path}/shards")
     # Two levels of running counts: over the parts (one row each), and over the shards of a part.
     shards = spark.read.parquet(f"{path}/shards").select("part", "number", "n_ids", "n_docs")
     parts_before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
