@@ -6,10 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from assayframe.operators import digests
 from assayframe.plans.registering import Shelf
+from assayframe.plans.runs import METRICS_SQL, run_metrics
 from assayframe.plans.tables import table
 from assayframe.sources import caches
-from assayframe.sources.storage import shared_folder
+from assayframe.sources.storage import shared_folder, write_shared
 
 SHELF = Shelf()
 query = SHELF.query
@@ -79,3 +81,33 @@ def cache_compacted(spark, sf_dir):
     caches.append_cache(answers.where("late"), path, "late", _ANSWER_ORDER)
     caches.compact(spark, path)
     return _shown(caches.read_cache(spark, path))
+
+
+_METRIC_KEY = ["run_id", "iteration", "beam", "population"]
+
+
+@query(
+    "stored_metric_differences",
+    f"""WITH {METRICS_SQL}
+SELECT run_id, iteration, beam, population, 'hits_top1' AS "column" FROM metrics WHERE run_id % 97 = 5 AND iteration = 1 AND population = 'all' AND run_id % 101 <> 7
+UNION ALL SELECT run_id, iteration, beam, population, 'median_objective' FROM metrics
+  WHERE run_id % 89 = 3 AND iteration = 1 AND population = 'promo' AND median_objective IS NOT NULL AND run_id % 101 <> 7
+UNION ALL SELECT run_id, iteration, beam, population, '(row)' FROM metrics WHERE run_id % 101 = 7
+UNION ALL SELECT run_id, iteration, beam, population, '(row)' FROM metrics WHERE run_id % 103 = 9 AND run_id % 101 <> 7""",
+)
+def stored_metric_differences(spark, sf_dir):
+    """Stored metrics with changed hits and medians, lost runs and a run stored twice, against the recomputed ones."""
+    computed = write_shared(run_metrics(spark, sf_dir), "metrics")
+
+    def run_is(every: int, at: int):
+        return F.pmod("run_id", F.lit(every)) == at
+
+    first = F.col("iteration") == 1
+    changed = computed.where(~run_is(101, 7)).withColumns({
+        "hits_top1": F.col("hits_top1") + F.when(run_is(97, 5) & first & (F.col("population") == "all"), 1).otherwise(0),
+        "median_objective": F.col("median_objective") + F.when(run_is(89, 3) & first & (F.col("population") == "promo"), 1.0).otherwise(0.0),
+    })
+    stored = changed.unionByName(changed.where(run_is(103, 9)))
+    here = digests.store(stored, _METRIC_KEY, scratch(spark, "stored"))
+    there = digests.store(computed, _METRIC_KEY, scratch(spark, "computed"), here.shape)
+    return digests.differences(spark, here, there, _METRIC_KEY, tolerance=1e-9).select(*_METRIC_KEY, "column")

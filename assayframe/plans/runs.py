@@ -112,7 +112,7 @@ def hits(spark, sf_dir):
     return metrics.hits(spread, references, ["population"], better())
 
 
-_METRICS = f"""{PICKS}, {_BEAMS}, {_THRESHOLDS}, {_HITS}, {_WORSE},
+METRICS_SQL = f"""{PICKS}, {_BEAMS}, {_THRESHOLDS}, {_HITS}, {_WORSE},
 metrics AS (SELECT run_id, seq, iteration, beam, population, coalesce(n_selected, 0) AS n_selected, coalesce(n_ok, 0) AS n_ok,
   median_objective, feasible_frac, n_population, pct AS pct_of_population, coalesce(hits_top10, 0) AS hits_top10, coalesce(hits_top1, 0) AS hits_top1
   FROM placed LEFT JOIN worse USING (population, median_objective) LEFT JOIN thresholds USING (population)
@@ -128,7 +128,7 @@ def _metrics(spark, sf_dir, bound):
 
 @query(
     "run_metrics",
-    f"""WITH {_METRICS} SELECT run_id, seq, iteration, beam, population, n_selected, n_ok, round(median_objective, 6) AS median_objective,
+    f"""WITH {METRICS_SQL} SELECT run_id, seq, iteration, beam, population, n_selected, n_ok, round(median_objective, 6) AS median_objective,
   round(feasible_frac, 6) AS feasible_frac, n_population, round(pct_of_population, 6) AS pct_of_population, hits_top10, hits_top1 FROM metrics""",
 )
 def run_metrics(spark, sf_dir):
@@ -144,7 +144,7 @@ def _points(column: str):
 
 @query(
     "trends",
-    f"""WITH {_METRICS} SELECT run_id, beam, population, min(seq) AS first_seq,
+    f"""WITH {METRICS_SQL} SELECT run_id, beam, population, min(seq) AS first_seq,
   string_agg(iteration || '=' || coalesce(pct_of_population::DECIMAL(12,4)::VARCHAR, '-'), ' ' ORDER BY iteration) AS percentile_trend,
   string_agg(iteration || '=' || n_selected::DECIMAL(12,4)::VARCHAR, ' ' ORDER BY iteration) AS count_trend FROM metrics GROUP BY ALL""",
 )
