@@ -34,11 +34,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assayframe.llm.batches import sliced, texts_of
+from assayframe.llm.batches import sliced
 from assayframe.sources.storage import shared_folder
 
 MAGIC, HEAD = b"AFIDS01\x00", struct.Struct("<8s4IQ")
@@ -47,7 +48,8 @@ GROUP = 64
 BLOCK_IDS, SHARD_IDS = 4096, 1 << 20
 # Bytes of text encoded at once, and distinct words that a Python worker remembers.
 SLICE_BYTES, CACHE_WORDS = 4 << 20, 500_000
-PART_BYTES = 32 << 20
+# Words of a text whose ids are gathered at once, and bytes of ids of a range.
+GATHER_WORDS, PART_BYTES = 1 << 20, 32 << 20
 END_ID = 1
 
 
@@ -151,30 +153,81 @@ def largest_id(file: str) -> int:
     return max(max(tokenizer(file).get_vocab(with_added_tokens=True).values()), END_ID)
 
 
+def byte_letters() -> dict[int, int]:
+    """What the vocabulary writes for each byte: printable ones stand for themselves, the others for the characters from 256 on, in order."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {byte: 256 + place for place, byte in enumerate(sorted(set(range(256)) - set(shown)))}
+
+
 class WordIds:
     """Ids of texts, each distinct word encoded once while a bounded cache holds it.
 
     The vocabulary drops white space and never joins across it, so a text's ids
-    are those of its words in order.
+    are those of its words in order.  A word of Latin letters, perhaps with
+    punctuation after it, needs no normal form but lower case and falls into
+    those two pieces, so its letters go straight to the library's merges; any
+    other word goes through the library as a whole.
     """
 
     def __init__(self, file: str, cache_words: int = CACHE_WORDS) -> None:
         self.tokenizer, self.cache_words = tokenizer(file), cache_words
+        self.merge, self.letters = self.tokenizer.model.tokenize, byte_letters()
         self.held: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[bytes | None], end: int = END_ID) -> Iterator[bytes]:
-        """Per text its ids, the end id last, as 32-bit integers of this machine's byte order."""
-        split = [text.split() if text else [] for text in texts]
-        asked = set().union(*split)
-        new = list(asked.difference(self.held))
+        self.rest: dict[str, bytes] = {"": b""}
+
+    def letters_ids(self, word: str) -> bytes | None:
+        """The ids of a word of Latin letters and punctuation after them; None for any other word."""
+        letters = word.rstrip(".,;:!?")
+        lower = letters.lower()
+        if not lower.isalpha() or max(lower) >= "\u0250" or len(lower) != len(letters):
+            return None
+        if not lower.isascii():
+            lower = lower.encode().decode("latin-1").translate(self.letters)
+        ids = array("I", [token.id for token in self.merge(lower)]).tobytes()
+        rest = word[len(letters) :]
+        if rest not in self.rest:
+            if len(self.rest) >= self.cache_words:
+                self.rest = {"": b""}
+            self.rest[rest] = array("I", self.tokenizer.encode(rest, add_special_tokens=False).ids).tobytes()
+        return ids + self.rest[rest]
+
+    def words(self, asked: list[bytes]) -> list[bytes]:
+        """The ids of distinct words, as 32-bit integers of this machine's byte order."""
+        new = [word for word in asked if word not in self.held]
         if len(self.held) + len(new) > self.cache_words:
             self.held = {word: self.held[word] for word in asked if word in self.held}
-        encoded = self.tokenizer.encode_batch_fast([word.decode("utf-8", "replace") for word in new], add_special_tokens=False)
-        for word, one in zip(new, encoded, strict=True):
+        others: list[tuple[bytes, str]] = []
+        for word in new:
+            shown = word.decode("utf-8", "replace")
+            ids = self.letters_ids(shown)
+            if ids is None:
+                others.append((word, shown))
+            else:
+                self.held[word] = ids
+        encoded = self.tokenizer.encode_batch_fast([shown for _, shown in others], add_special_tokens=False)
+        for (word, _), one in zip(others, encoded, strict=True):
             self.held[word] = array("I", one.ids).tobytes()
-        last, find = array("I", [end]).tobytes(), self.held.__getitem__
-        for words in split:
-            yield b"".join([*map(find, words), last])
+        return [self.held[word] for word in asked]
+
+    def encode(self, texts: pa.Array, end: int = END_ID) -> Iterator[np.ndarray]:
+        """Per text its ids, the end id last."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        parts = [*self.words(coded.dictionary.cast(pa.binary()).to_pylist()), array("I", [end]).tobytes()]
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        flat, starts = np.frombuffer(b"".join(parts), np.uint32), np.cumsum(lengths) - lengths
+        index, ends = np.asarray(coded.indices), np.cumsum(np.asarray(pc.list_value_length(split)))
+        first = 0
+        for stop in ends.tolist():
+            words = np.append(index[first:stop], len(parts) - 1)
+            found = []
+            for at in range(0, len(words), GATHER_WORDS):
+                some = words[at : at + GATHER_WORDS]
+                sizes = lengths[some]
+                before = np.cumsum(sizes) - sizes
+                found.append(flat[np.arange(sizes.sum()) + np.repeat(starts[some] - before, sizes)])
+            yield found[0] if len(found) == 1 else np.concatenate(found)
+            first = stop
 
 
 @lru_cache(maxsize=1)
@@ -191,7 +244,7 @@ def encoded_docs(docs: DataFrame, file: str, doc_id: str, text: str) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = engine_of(file)
         for batch in sliced(batches, "text", SLICE_BYTES):
-            parts = [np.frombuffer(ids, np.uint32) for ids in engine.encode(texts_of(batch.column("text")))]
+            parts = list(engine.encode(batch.column("text")))
             columns = [
                 batch.column("doc_id"), batch.column("tie"), pa.array([len(part) for part in parts], pa.int64()),
                 pa.array([part.astype(kind).tobytes() for part in parts], pa.binary()),
