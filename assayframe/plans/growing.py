@@ -7,11 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from assayframe.operators import digests
+from assayframe.operators.scale import fits_one_task, position_chunk, running
 from assayframe.plans.registering import Shelf
 from assayframe.plans.runs import METRICS_SQL, run_metrics
-from assayframe.plans.tables import table
+from assayframe.plans.tables import LOG, event_log, row_bound, table
 from assayframe.sources import caches
 from assayframe.sources.storage import shared_folder, write_shared
+from assayframe.streaming import runs
 
 SHELF = Shelf()
 query = SHELF.query
@@ -111,3 +113,66 @@ def stored_metric_differences(spark, sf_dir):
     here = digests.store(stored, _METRIC_KEY, scratch(spark, "stored"))
     there = digests.store(computed, _METRIC_KEY, scratch(spark, "computed"), here.shape)
     return digests.differences(spark, here, there, _METRIC_KEY, tolerance=1e-9).select(*_METRIC_KEY, "column")
+
+
+# -- a log that grows ------------------------------------------------------------------------
+
+_STREAM_SQL = f"""WITH {LOG}, placed AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS place FROM log),
+kept AS (SELECT run_id, place AS seq, iteration, event FROM placed WHERE seq % 97 <> 5 UNION ALL SELECT run_id, place, iteration, event FROM placed WHERE seq % 89 = 3 AND seq % 97 <> 5),
+state AS (
+  SELECT *, row_number() OVER w AS position, lag(event) OVER w AS previous,
+    last_value(CASE WHEN event IN ('iteration_opened', 'iteration_closed') THEN event END IGNORE NULLS) OVER p AS mark,
+    last_value(CASE WHEN event IN ('iteration_opened', 'iteration_closed') THEN iteration END IGNORE NULLS) OVER p AS mark_iteration,
+    coalesce(last_value(CASE WHEN event = 'iteration_closed' THEN iteration END IGNORE NULLS) OVER p, 0) AS closed
+  FROM kept WINDOW w AS (PARTITION BY run_id ORDER BY seq),
+                   p AS (PARTITION BY run_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+opened AS (SELECT *, CASE WHEN mark = 'iteration_opened' THEN mark_iteration END AS open_iteration, event || '/' || iteration AS detail FROM state),
+keyed AS (SELECT run_id, seq, CASE WHEN event = 'selection' THEN 'beam' ELSE event END || '/' || iteration
+    || CASE WHEN event IN ('selection', 'evaluation') THEN '/b' ELSE '' END || CASE WHEN event = 'evaluation' THEN '/' || seq % 4 ELSE '' END AS k FROM kept)
+SELECT run_id::VARCHAR AS run_id, seq, 'seq is not its position' AS rule, 'expected ' || position AS detail FROM opened WHERE seq <> position
+UNION ALL SELECT run_id::VARCHAR, seq, 'first event is not run_opened', detail FROM opened WHERE previous IS NULL AND event <> 'run_opened'
+UNION ALL SELECT run_id::VARCHAR, seq, 'event follows run_closed', detail FROM opened WHERE previous = 'run_closed'
+UNION ALL SELECT run_id::VARCHAR, seq, 'iteration opens out of order', detail FROM opened WHERE event = 'iteration_opened' AND (open_iteration IS NOT NULL OR iteration <> closed + 1)
+UNION ALL SELECT run_id::VARCHAR, seq, 'event outside its iteration', detail FROM opened
+  WHERE event IN ('selection', 'evaluation', 'iteration_closed') AND NOT coalesce(iteration = open_iteration, false)
+UNION ALL SELECT run_id::VARCHAR, max(seq), 'duplicate event', k || ' x' || count(*) FROM keyed GROUP BY run_id, k HAVING count(*) > 1"""
+_LOG_BATCHES, _STATE_ROWS = 3, 20_000
+
+
+@query("log_stream_violations", _STREAM_SQL)
+def log_stream_violations(spark, sf_dir):
+    """User events as a log that lost some lines and repeats others, arriving in batches, every eleventh line one batch late."""
+    bound = row_bound(spark, sf_dir, "events")
+    log = event_log(spark, sf_dir, None if fits_one_task(bound) else position_chunk("seq"))
+    placed = running(log, ["run_id"], ["seq"], {"place": ("sum", F.lit(1))}, chunk=None if fits_one_task(bound) else position_chunk("seq"))
+    times = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"))
+    lines = placed.where(F.pmod("seq", F.lit(97)) != 5).join(times, "seq")
+    copies = F.when(F.pmod("seq", F.lit(89)) == 3, 2).otherwise(1)
+    lines = write_shared(
+        lines.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).select(
+            "run_id", F.col("place").alias("seq"), "ts", "iteration", "event", F.lit("b").alias("beam"),
+            F.pmod("place", F.lit(4)).cast("string").alias("candidate_id"), (F.pmod("seq", F.lit(11)) == 0).cast("int").alias("late"),
+        ), "log-lines",
+    )
+    span = lines.agg(F.unix_micros(F.min("ts")).alias("first"), F.unix_micros(F.max("ts")).alias("last")).first()
+    source, columns = scratch(spark, "log"), ["run_id", "seq", "ts", "iteration", "event", "beam", "candidate_id"]
+    width = max(1, (span["last"] - span["first"]) // _LOG_BATCHES + 1) if span["first"] is not None else 1
+    arrival = F.floor((F.unix_micros("ts") - F.lit(span["first"] or 0)) / F.lit(width)) + F.col("late")
+    # Lines of a run that nobody looks at move the time on, until every run counts as complete.
+    far = 4 * width + (span["last"] or 0)
+    clocks = [
+        spark.range(1).select(
+            F.lit(-1).cast(lines.schema["run_id"].dataType).alias("run_id"), F.lit(step).cast("long").alias("seq"), F.timestamp_micros(F.lit(far + step)).alias("ts"),
+            F.lit(None).cast("long").alias("iteration"), F.lit("run_opened").alias("event"), F.lit(None).cast("string").alias("beam"), F.lit(None).cast("string").alias("candidate_id"),
+        )
+        for step in (1, 2)
+    ]
+    sink, checkpoint = scratch(spark, "log-violations"), scratch(spark, "log-checkpoint")
+    delay, idle = f"{width // 1000 + 1} milliseconds", 2 * width // 1000
+    # At most as many parts of the state as the session shuffles into; few for few lines.
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + bound // _STATE_ROWS)
+    for part in [*[lines.where(arrival == batch).select(*columns) for batch in range(_LOG_BATCHES + 1)], *clocks]:
+        part.write.mode("append").parquet(source)  # each batch arrives on its own, and its query goes on from the checkpoint
+        stream = spark.readStream.schema(lines.select(*columns).schema).parquet(source)
+        runs.watch_runs(stream, sink, checkpoint, delay=delay, idle_ms=idle, partitions=parts).awaitTermination()
+    return spark.read.schema(runs.VIOLATION).parquet(sink).where("run_id <> '-1'")

@@ -125,14 +125,17 @@ class RunChecks(StatefulProcessor):
 
 
 @contextmanager
-def state_store(spark: SparkSession):
-    """The state store that these checks need, for queries started inside; the session's own setting comes back after."""
-    before = spark.conf.get(STORE_SETTING)
-    spark.conf.set(STORE_SETTING, STORE)
+def state_store(spark: SparkSession, partitions: int | None = None):
+    """The state store that these checks need, in ``partitions`` parts, for queries started inside; the session's own settings come back after."""
+    wanted = {STORE_SETTING: STORE} | ({} if partitions is None else {"spark.sql.shuffle.partitions": str(partitions)})
+    before = {name: spark.conf.get(name) for name in wanted}
     try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
         yield
     finally:
-        spark.conf.set(STORE_SETTING, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def run_violations(events: DataFrame, *, delay: str, idle_ms: int, first: int = 1) -> DataFrame:
@@ -152,10 +155,14 @@ def run_violations(events: DataFrame, *, delay: str, idle_ms: int, first: int =
     )
 
 
-def watch_runs(events: DataFrame, sink: str, checkpoint: str, *, delay: str, idle_ms: int, first: int = 1) -> StreamingQuery:
-    """Check the lines present, append what is settled to ``sink`` and stop; run again with the same checkpoint to go on."""
+def watch_runs(events: DataFrame, sink: str, checkpoint: str, *, delay: str, idle_ms: int, first: int = 1, partitions: int | None = None) -> StreamingQuery:
+    """Check the lines present, append what is settled to ``sink`` and stop; run again with the same checkpoint to go on.
+
+    The first start fixes the number of parts of the state: ``partitions``, or
+    else the session's shuffle partitions.
+    """
     broken = run_violations(events, delay=delay, idle_ms=idle_ms, first=first)
-    with state_store(events.sparkSession):
+    with state_store(events.sparkSession, partitions):
         return (
             broken.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
             .outputMode("append").trigger(availableNow=True).start()
