@@ -272,65 +272,50 @@ def _fold_runs(pairs: DataFrame, limit: int) -> DataFrame:
     )
 
 
-def _rounds(pending: DataFrame, known: DataFrame, left: DataFrame, limit: int) -> Iterator[DataFrame]:
-    """Decided requests of each round.
-
-    Costs only fall while the cache grows, so a stretch of requests whose costs
-    under the current cache fit the budget is accepted for certain, and requests
-    before the first one that fits are refused for certain.  Each round accepts
-    at least one charged request per live run: at most ``limit + 1`` rounds.
+def _rounds(pending: DataFrame) -> Iterator[DataFrame]:
+    """Decided requests of each round; ``pending`` has the pairs of undecided requests and what is ``left`` of their run's budget.
+
+    A round takes for granted that every small request, one that costs at most
+    half of what is left under the current cache, is accepted, and that no big
+    one is.  Under that guess the cost of every request at its turn and what is
+    left before it are one minimum per pair and one running sum.  The guess is
+    right up to the first small request that does not fit or the first big one
+    that does, and that request is decided too.  Either way less than half is
+    left, unless a big request has become cheap by what was cached since the
+    round began: rounds follow the logarithm of the largest cost, not the budget.
     """
     while not pending.isEmpty():
-        fresh = pending.join(known, PAIR, "left_anti")
-        costs = fresh.select(*REQUEST, "candidate_id").distinct().groupBy(*REQUEST).agg(F.count("*").alias("cost"))
-        costs = costs.join(left, "run_id")
-        fits = costs.where(F.col("cost") <= F.col("left")).groupBy("run_id").agg(F.min("request_seq").alias("start"))
-        staged = costs.join(fits, "run_id", "left")
-        tail = running(
-            staged.where(F.col("request_seq") >= F.col("start")), ["run_id"], ["request_seq"],
-            {"upto": ("sum", F.col("cost"))}, chunk=position_chunk("request_seq"),
-        )
-        stop = tail.where(F.col("upto") > F.col("left")).groupBy("run_id").agg(F.min("request_seq").alias("stop"))
-        bounds = cut_lineage(
-            costs.select("run_id").distinct().join(fits, "run_id", "left").join(stop, "run_id", "left")
-        )
-        placed = fresh.join(bounds, "run_id")
-        taken = placed.where(
-            (F.col("request_seq") >= F.col("start")) & (F.col("stop").isNull() | (F.col("request_seq") < F.col("stop")))
-        )
-        firsts = taken.groupBy(*PAIR).agg(F.min("request_seq").alias("request_seq"))
-        paid = firsts.select(*REQUEST, "candidate_id").distinct().groupBy(*REQUEST).agg(F.count("*").alias("evals"))
-        accepted = (
-            taken.select(*REQUEST).distinct().join(paid, REQUEST, "left")
-            .select(*REQUEST, F.coalesce("evals", F.lit(0)).alias("evals"), F.lit(True).alias("accepted"))
-        )
-        refused = (
-            costs.join(bounds, "run_id")
-            .where(F.col("start").isNull() | (F.col("request_seq") < F.col("start")))
-            .select(*REQUEST, F.col("cost").alias("evals"), F.lit(False).alias("accepted"))
-        )
-        decided = cut_lineage(accepted.unionByName(refused))
+        named = pending.groupBy(*REQUEST, "candidate_id").agg(F.first("left").alias("left"))
+        costs = named.groupBy(*REQUEST).agg(F.first("left").alias("left"), F.count("*").alias("most"))
+        costs = costs.withColumn("small", F.col("most") <= F.floor(F.col("left") / 2))
+        sized = pending.drop("left").join(costs.select(*REQUEST, "small"), REQUEST)
+        first = sized.where("small").groupBy(*PAIR).agg(F.min("request_seq").alias("_first"))
+        fresh = sized.join(first, PAIR, "left").where(F.col("_first").isNull() | (F.col("_first") >= F.col("request_seq")))
+        paid = fresh.select(*REQUEST, "candidate_id").distinct().groupBy(*REQUEST).agg(F.count("*").alias("evals"))
+        turns = costs.join(paid, REQUEST, "left").withColumn("evals", F.coalesce("evals", F.lit(0)))
+        charged = F.when(F.col("small"), F.col("evals")).otherwise(0)
+        placed = running(turns, ["run_id"], ["request_seq"], {"_spent": ("sum", charged)}, chunk=position_chunk("request_seq"), inclusive=False)
+        spare = F.col("left") - F.coalesce("_spent", F.lit(0))
+        placed = placed.withColumn("fits", F.col("evals") <= spare)
+        # A request that costs nothing changes nothing, so it ends no round.
+        wrong = (F.col("evals") > 0) & (F.col("small") != F.col("fits"))
+        placed = cut_lineage(placed.withColumn("wrong", wrong).select(*REQUEST, "left", "evals", "fits", "wrong"))
+        stop = placed.where("wrong").groupBy("run_id").agg(F.min("request_seq").alias("_stop"))
+        until = placed.join(stop, "run_id", "left").where(F.col("_stop").isNull() | (F.col("request_seq") <= F.col("_stop")))
+        decided = until.select(*REQUEST, "evals", F.col("fits").alias("accepted"))
         yield decided
-        spent = decided.where("accepted").groupBy("run_id").agg(F.sum("evals").alias("spent"))
-        left = cut_lineage(
-            left.join(spent, "run_id", "left").select("run_id", (F.col("left") - F.coalesce("spent", F.lit(0))).alias("left"))
-        )
-        known = cut_lineage(known.unionByName(firsts.select(*PAIR)))
-        # Requests without a fresh pair cost nothing and are accepted; they leave with the decided ones.
-        pending = cut_lineage(
-            pending.join(bounds.where("stop is not null"), "run_id")
-            .where(F.col("request_seq") >= F.col("stop"))
-            .select(*pending.columns)
-            .join(known, PAIR, "left_anti")
+        spent = until.groupBy("run_id").agg(
+            F.first("_stop").alias("_stop"), (F.first("left") - F.sum(F.when(F.col("fits"), F.col("evals")).otherwise(0))).alias("left")
         )
+        bought = pending.drop("left").join(until.where("fits AND evals > 0").select(*REQUEST), REQUEST, "left_semi").select(*PAIR).distinct()
+        # Requests that have no fresh pair any more cost nothing and are accepted; they leave with the decided ones.
+        later = pending.drop("left").join(spent.where("_stop IS NOT NULL"), "run_id").where(F.col("request_seq") > F.col("_stop")).drop("_stop")
+        pending = cut_lineage(later.join(bought, PAIR, "left_anti"))
 
 
 def _advance_runs(pairs: DataFrame, limit: int) -> DataFrame:
-    pending = cut_lineage(pairs)
-    known = pending.select(*PAIR).limit(0)
-    left = pending.select("run_id").distinct().withColumn("left", F.lit(limit).cast("long"))
     decided = None
-    for part in _rounds(pending, known, left, limit):
+    for part in _rounds(cut_lineage(pairs.withColumn("left", F.lit(limit).cast("long")))):
         decided = part if decided is None else decided.unionByName(part)
     if decided is None:
         return pairs.select(*REQUEST, F.lit(0).cast("long").alias("evals"), F.lit(True).alias("accepted")).limit(0)

@@ -168,6 +168,36 @@ def test_budget_greedy_both_ways(spark, seed, monkeypatch):
         assert got == expected, ways
 
 
+def greedy_rounds(spark, monkeypatch, pairs, limit):
+    """Decisions by rounds, and how many rounds they took."""
+    cuts = []
+    real = ops.cut_lineage
+    monkeypatch.setattr(ops, "cut_lineage", lambda df: cuts.append(1) or real(df))
+    answered = spark.createDataFrame(pairs, "run_id string, request_seq long, candidate_id string, property string").withColumn("status", F.lit("ok"))
+    got = {(r[0], r[1]): (r[2], r[3]) for r in ops.budget_greedy(answered, limit, hot_rows=0).collect()}
+    return got, (len(cuts) - 1) // 2
+
+
+def test_greedy_rounds_do_not_grow_with_the_budget(spark, monkeypatch):
+    rng = random.Random(6)
+    pairs = sorted({("hot", seq, f"c{rng.randrange(200_000)}", "x") for seq in range(30_000) for _ in range(rng.randint(1, 7))})
+    got, rounds = greedy_rounds(spark, monkeypatch, pairs, 60_000)
+    assert got == greedy_by_hand(pairs, 60_000)
+    assert sum(cost for cost, accepted in got.values() if accepted) == 60_000
+    assert rounds <= 5
+
+
+def test_greedy_rounds_with_large_and_overlapping_requests(spark, monkeypatch):
+    rng = random.Random(7)
+    sizes = [1, 40, 1, 39, 2, 30, 3, 17, 64, 1, 5, 9, 12, 33, 2, 1, 1, 70]
+    pairs = [("steps", seq, f"s{seq}.{i}", "x") for seq, size in enumerate(sizes) for i in range(size)]
+    pairs += [("windows", seq, f"w{seq + i}", "x") for seq in range(12) for i in range(30)]
+    pairs += sorted({("mixed", rng.randrange(60), f"m{rng.randrange(40)}", rng.choice("xy")) for _ in range(500)})
+    got, rounds = greedy_rounds(spark, monkeypatch, pairs, 45)
+    assert got == greedy_by_hand(pairs, 45)
+    assert rounds <= 20
+
+
 def test_state_is_rebuilt_from_results(spark, table):
     cid = "7ec8cb49ff317efc"
     results = ask(spark, table, [(cid, [A, "nope"])], [(cid, [A, B])], [("0123456789abcdef", [A])])
