@@ -16,11 +16,13 @@ results are the same for any cut points.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+import struct
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,52 +154,119 @@ def running(
     return joined.withColumns(out).drop("_place", *helpers)
 
 
-def value_at_rank(
-    df: DataFrame, column: str, ranks: Sequence[int], rows: int, *, task_rows: int | None = None
-) -> dict[int, float]:
-    """The values at zero-based ``ranks`` of the ``rows`` non-null values of ``column``.
+# Bits of a double that one scan decides, and entries of a histogram that a task holds before it compacts them.
+RADIX_BITS, HELD_BINS = 16, 1 << 19
 
-    Each round counts rows between cut points and keeps only the slices that
-    hold a wanted rank.  A cut value has a slice of its own, so a value shared
-    by any number of rows ends the search instead of stalling it.
-    """
-    found: dict[int, float] = {}
-    todo = [(df.select(column).where(F.col(column).isNotNull()), 0, rows, sorted(set(ranks)))]
-    value = F.col(column)
-    while todo:
-        part, offset, size, wanted = todo.pop()
-        if size <= (TASK_ROWS if task_rows is None else task_rows):
-            found.update(_pick_in_task(part, column, offset, wanted))
-            continue
-        cuts = cut_points(part, [column])[column]
-        below = chunk_of(value, cuts)
-        on_cut = value.isin(*cuts) if cuts else F.lit(False)
-        slices = (
-            part.groupBy((below * 2 - on_cut.cast("int")).alias("slice"))
-            .agg(F.count("*").alias("n"), F.min(column).alias("low"), F.max(column).alias("high"))
-            .orderBy("slice")
-            .collect()  # at most two rows per cut point
-        )
-        before = offset
-        for row in slices:
-            here = [rank for rank in wanted if before <= rank < before + row["n"]]
-            if here and row["low"] == row["high"]:
-                found.update({rank: row["low"] for rank in here})
-            elif here:
-                inside = part.where(value.between(row["low"], row["high"]) & (below * 2 - on_cut.cast("int") == row["slice"]))
-                todo.append((inside, before, row["n"], here))
-            before += row["n"]
-    return found
+
+def ordered_bits(values: np.ndarray) -> np.ndarray:
+    """The bits of doubles as unsigned integers in the order of the values; -0.0 counts as 0.0."""
+    bits = (values + 0.0).view(np.uint64)
+    sign = np.uint64(1 << 63)
+    return np.where(bits & sign, ~bits, bits | sign)
+
+
+def value_of_bits(bits: int) -> float:
+    """The double that ``ordered_bits`` turned into ``bits``."""
+    raw = bits & ~(1 << 63) if bits >> 63 else ~bits & (1 << 64) - 1
+    return struct.unpack("<d", struct.pack("<Q", raw))[0]
 
 
-def _pick_in_task(part: DataFrame, column: str, offset: int, wanted: Sequence[int]) -> dict[int, float]:
-    """Ranks inside a slice that is known to fit one task."""
-    counted = part.groupBy(column).agg(F.count("*").alias("n"))
-    upto = counted.select(column, F.sum("n").over(Window.orderBy(column)).alias("upto"))
-    row = upto.agg(
-        *[F.min(F.when(F.col("upto") > rank - offset, F.col(column))).alias(f"r{rank}") for rank in wanted]
-    ).first()
-    return {rank: row[f"r{rank}"] for rank in wanted}
+def _compacted(parts: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]:
+    """Entries (group, bin, n, low, high) with one per group and bin."""
+    group, bins, n, low, high = (np.concatenate(some) for some in zip(*parts, strict=True))
+    key, at = np.unique(group.astype(np.int64) << RADIX_BITS | bins, return_inverse=True)
+    total = np.bincount(at, weights=n, minlength=len(key)).astype(np.int64)
+    least, most = np.full(len(key), np.iinfo(np.uint64).max, np.uint64), np.zeros(len(key), np.uint64)
+    np.minimum.at(least, at, low)
+    np.maximum.at(most, at, high)
+    return [(key >> RADIX_BITS, key & (1 << RADIX_BITS) - 1, total, least, most)]
+
+
+def _histogram(df: DataFrame, groups: Sequence[tuple[str, int]], level: int) -> DataFrame:
+    """(group, bin, n, low, high): how many values of a column begin with the group's prefix, by their next ``RADIX_BITS`` bits.
+
+    ``groups`` are (column, prefix); a prefix has ``level * RADIX_BITS`` bits.
+    ``low`` and ``high`` are the least and greatest value of a bin, as bits.
+    One scan serves all groups, and a task holds a bounded histogram, whatever the values.
+    """
+    columns = sorted({column for column, _ in groups})
+    wanted = {column: sorted((prefix, place) for place, (source, prefix) in enumerate(groups) if source == column) for column in columns}
+    shift = np.uint64(64 - RADIX_BITS * (level + 1))
+    mask = np.uint64((1 << RADIX_BITS) - 1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            for column in columns:
+                bits = ordered_bits(np.asarray(batch.column(column).drop_null(), dtype=np.float64))
+                if level:
+                    prefixes = np.array([prefix for prefix, _ in wanted[column]], np.uint64)
+                    places = np.array([place for _, place in wanted[column]], np.int64)
+                    mine = bits >> (shift + np.uint64(RADIX_BITS))
+                    at = np.minimum(np.searchsorted(prefixes, mine), len(prefixes) - 1)
+                    inside = prefixes[at] == mine
+                    bits, group = bits[inside], places[at[inside]]
+                else:
+                    group = np.full(len(bits), wanted[column][0][1], np.int64)
+                if len(bits):
+                    one = _compacted([(group, (bits >> shift & mask).astype(np.int64), np.ones(len(bits)), bits, bits)])[0]
+                    parts.append(one)
+                    held += len(one[0])
+            if held > HELD_BINS:
+                parts = _compacted(parts)
+                held = len(parts[0][0])
+        if parts:
+            group, bins, n, low, high = _compacted(parts)[0]
+            # Unsigned bits travel as long, moved so that their order stays.
+            moved = [(x ^ np.uint64(1 << 63)).view(np.int64) for x in (low, high)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(group, pa.int32()), pa.array(bins, pa.int32()), pa.array(n, pa.int64()), *[pa.array(x, pa.int64()) for x in moved]],
+                names=["group", "bin", "n", "low", "high"],
+            )
+
+    parts = df.select(*[F.col(column).cast("double").alias(column) for column in columns]).mapInArrow(count, "group int, bin int, n long, low long, high long")
+    return parts.groupBy("group", "bin").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def values_at_ranks(df: DataFrame, spots: Mapping[str, Callable[[int], Iterable[int]]]) -> dict[str, dict[int, float]]:
+    """Per column the values at the zero-based ranks that ``spots`` names for its number of values, in at most four scans of all columns.
+
+    Radix selection: the first scan counts the values by their first 16 bits, in
+    an order that follows the values; each further scan counts by the next 16
+    bits, only below the bins that hold a wanted rank.  A bin of equal values
+    ends its search at once.  Histograms are summed and searched in Spark; one
+    row per rank comes back.
+    """
+    found: dict[str, dict[int, float]] = {column: {} for column in spots}
+    # What is left to find: per (column, prefix) the ranks, counted from the first value with that prefix, and their real ranks.
+    todo: dict[tuple[str, int], dict[int, int]] = {(column, 0): {} for column in spots}
+    for level in range(64 // RADIX_BITS):
+        groups = sorted(todo)
+        bins = cut_lineage(_histogram(df, groups, level))
+        if level == 0:
+            sizes = {row["group"]: row["n"] for row in bins.groupBy("group").agg(F.sum("n").alias("n")).collect()}
+            for place, (column, prefix) in enumerate(groups):
+                todo[column, prefix] = {rank: rank for rank in (spots[column](sizes[place]) if place in sizes else ())}
+        ranks = [(place, rank) for place, group in enumerate(groups) for rank in todo[group]]
+        if not ranks:
+            break
+        asked = df.sparkSession.createDataFrame(ranks, "group int, rank long")
+        # A group has at most 65,536 bins.
+        upto = F.sum("n").over(Window.partitionBy("group").orderBy("bin"))
+        placed = bins.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("n"))
+        hits = placed.join(asked, "group").where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("upto"))).collect()
+        later: dict[tuple[str, int], dict[int, int]] = {}
+        for row in hits:
+            column, prefix = groups[row["group"]]
+            real = todo[column, prefix][row["rank"]]
+            if row["low"] == row["high"]:
+                found[column][real] = value_of_bits((row["low"] + (1 << 64)) % (1 << 64) ^ 1 << 63)
+            else:
+                later.setdefault((column, prefix << RADIX_BITS | row["bin"]), {})[row["rank"] - row["before"]] = real
+        todo = later
+        if not todo:
+            break
+    return found
 
 
 def _percentiles(wanted: Mapping[str, tuple[str, float]]) -> tuple[list[Column], list[Column]]:
@@ -210,31 +279,32 @@ def _percentiles(wanted: Mapping[str, tuple[str, float]]) -> tuple[list[Column],
 
 
 def quantiles(
-    df: DataFrame, wanted: Mapping[str, tuple[str, float]], *, rows_bound: int | None = None, task_rows: int | None = None
+    df: DataFrame, wanted: Mapping[str, tuple[str, float]], *, rows_bound: int | None = None
 ) -> DataFrame:
-    """One row with an exact, linearly interpolated quantile per entry of ``wanted``.
-
-    ``wanted`` maps an output name to ``(column, probability)``; ``task_rows``
-    replaces ``TASK_ROWS`` as the size at which the search for a rank ends.
-    """
+    """One row with an exact, linearly interpolated quantile per entry of ``wanted``: ``(column, probability)`` by output name."""
     if percentile_pays(rows_bound):
         aggregates, results = _percentiles(wanted)
         return df.agg(*aggregates).select(*results)
-    columns = sorted({column for column, _ in wanted.values()})
-    counts = df.agg(*[F.count(column).alias(column) for column in columns]).first()
+    mine = {column: {name: q for name, (source, q) in wanted.items() if source == column} for column in sorted({column for column, _ in wanted.values()})}
+    sizes: dict[str, int] = {}
+
+    def ranks_of(column: str) -> Callable[[int], set[int]]:
+        def ranks(n: int) -> set[int]:
+            sizes[column] = n
+            return {place for q in mine[column].values() for place in (math.floor(q * (n - 1)), math.ceil(q * (n - 1)))}
+
+        return ranks
+
+    values = values_at_ranks(df, {column: ranks_of(column) for column in mine})
     results: dict[str, float | None] = {}
-    for column in columns:
-        n = counts[column]
-        mine = {name: q for name, (source, q) in wanted.items() if source == column}
-        if n == 0:
-            results.update({name: None for name in mine})
-            continue
-        spots = {name: q * (n - 1) for name, q in mine.items()}
-        ranks = {math.floor(spot) for spot in spots.values()} | {math.ceil(spot) for spot in spots.values()}
-        values = value_at_rank(df, column, sorted(ranks), n, task_rows=task_rows)
-        for name, spot in spots.items():
-            low, high = values[math.floor(spot)], values[math.ceil(spot)]
-            results[name] = low + (high - low) * (spot - math.floor(spot))
+    for column, names in mine.items():
+        for name, q in names.items():
+            if column not in sizes:
+                results[name] = None
+                continue
+            spot = q * (sizes[column] - 1)
+            low, high = values[column][math.floor(spot)], values[column][math.ceil(spot)]
+            results[name] = low if low == high else low + (high - low) * (spot - math.floor(spot))
     return df.sparkSession.range(1).select(
         *[F.lit(results[name]).cast("double").alias(name) for name in wanted]
     )

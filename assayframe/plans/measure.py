@@ -423,8 +423,8 @@ def descriptives(spark, sf_dir):
 
 @query("descriptives_chunked", _DESCRIBE)
 def descriptives_chunked(spark, sf_dir):
-    """The search for each rank goes on until fifty rows are left."""
-    return rounded(profile.descriptives(measurements(spark, sf_dir), "price", task_rows=50))
+    """The ranks by radix selection."""
+    return rounded(profile.descriptives(measurements(spark, sf_dir), "price"))
 
 
 @query(

@@ -44,6 +44,37 @@ def test_quantiles(spark, tiny_tasks, rows):
         assert got[name] == (None if values.empty else pytest.approx(values.quantile(q)))
 
 
+def test_ordered_bits_follow_the_values():
+    values = np.array([-np.inf, -1e300, -2.5, -5e-324, -0.0, 0.0, 5e-324, 1.0, 1.0000000000000002, 1e300, np.inf])
+    bits = scale.ordered_bits(values)
+    assert bits[4] == bits[5]
+    assert (np.sort(bits) == bits).all()
+    assert [scale.value_of_bits(int(b)) for b in bits] == values.tolist()
+
+
+def test_ranks_of_all_columns_in_four_scans(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    data = {
+        "close": 1.0 + rng.integers(0, 4000, 3000) * 2.0**-52,  # only the last bits differ
+        "wide": rng.normal(size=3000) * 10.0 ** rng.integers(-200, 200, 3000), "same": np.full(3000, -7.25), "whole": rng.integers(-5, 5, 3000).astype(float),
+    }
+    frame = pd.DataFrame(data).assign(empty=None)
+    frame.loc[::7, "wide"] = None
+    table = spark.createDataFrame([tuple(None if x is None or x != x else float(x) for x in row) for row in frame.itertuples(index=False)],
+                                  ", ".join(f"{name} double" for name in frame.columns)).repartition(5)
+    scans = []
+    real = scale._histogram
+    monkeypatch.setattr(scale, "_histogram", lambda *args: scans.append(1) or real(*args))
+    monkeypatch.setattr(scale, "HELD_BINS", 100)
+    found = scale.values_at_ranks(table, {name: lambda n: {0, n // 3, n // 2, n - 1} for name in frame.columns})
+    assert len(scans) <= 4
+    for name in data:
+        values = np.sort(frame[name].dropna().to_numpy(dtype=float))
+        assert found[name] == {rank: values[rank] for rank in (0, len(values) // 3, len(values) // 2, len(values) - 1)}, name
+    assert found["empty"] == {}
+    assert scale.values_at_ranks(table.limit(0), {"wide": lambda n: {0}}) == {"wide": {}}
+
+
 @pytest.mark.parametrize("most", [0, 1, 100], ids=["all chunked", "too many", "split"])
 def test_hot_and_calm_groups_together(spark, tiny_tasks, monkeypatch, most):
     monkeypatch.setattr(scale, "MOST_HOT_GROUPS", most)
