@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from assayframe.operators import digests
+from assayframe.operators import digests, upkeep
 from assayframe.operators.scale import fits_one_task, position_chunk, running
 from assayframe.plans.registering import Shelf
 from assayframe.plans.runs import METRICS_SQL, run_metrics
@@ -176,3 +176,34 @@ def log_stream_violations(spark, sf_dir):
         stream = spark.readStream.schema(lines.select(*columns).schema).parquet(source)
         runs.watch_runs(stream, sink, checkpoint, delay=delay, idle_ms=idle, partitions=parts).awaitTermination()
     return spark.read.schema(runs.VIOLATION).parquet(sink).where("run_id <> '-1'")
+
+
+# -- a candidate table under appends ---------------------------------------------------------
+
+_KEPT = ("price", "discount")
+
+
+@query(
+    "candidates_appended",
+    """WITH m AS (SELECT l_partkey AS key, nullif(l_returnflag, 'N') AS label, l_extendedprice AS price, nullif(l_discount, 0.0) AS discount FROM lineitem),
+e AS (SELECT key, min(label) AS lone, max(label) AS last FROM m GROUP BY key),
+r AS (SELECT m.*, coalesce(label, CASE WHEN lone = last THEN lone END, 'unknown') AS resolved_label FROM m JOIN e USING (key))
+SELECT key, resolved_label, count(*) AS n_rows, round(median(price), 6) AS price_median, count(price) AS price_n, min(price) AS price_min, max(price) AS price_max,
+  round(stddev_samp(price), 4) AS price_std, round(median(discount), 6) AS discount_median, count(discount) AS discount_n, min(discount) AS discount_min,
+  max(discount) AS discount_max, round(stddev_samp(discount), 4) AS discount_std
+FROM r GROUP BY key, resolved_label""",
+)
+def candidates_appended(spark, sf_dir):
+    """Lines up to 1993 as a candidate table, then two years and the rest appended, the second append repeated."""
+    path = scratch(spark, "candidates")
+    years = table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey"), F.nullif("l_returnflag", F.lit("N")).alias("label"), F.col("l_extendedprice").alias("price"),
+        F.nullif("l_discount", F.lit(0.0)).alias("discount"), F.coalesce(F.year("l_shipdate"), F.lit(0)).alias("year"),
+    )
+    bound = row_bound(spark, sf_dir, "lineitem")
+    slices = {"first": F.col("year") <= 1993, "1994": F.col("year") == 1994, "1995": F.col("year") == 1995, "rest": F.col("year") > 1995}
+    for batch, chosen in [*slices.items(), ("1994", slices["1994"])]:
+        upkeep.append_rows(years.where(chosen), _KEPT, path, key="l_partkey", label="label", batch=batch, rows_bound=bound)
+    table_now = upkeep.read_candidates(spark, path)
+    places = {f"{name}_{what}": digits for name in _KEPT for what, digits in (("median", 6), ("std", 4))}
+    return table_now.withColumns({name: F.round(name, digits) for name, digits in places.items()})

@@ -20,13 +20,13 @@ import uuid
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from assayframe.functions.strictjson import sorted_json, strict_json
 from assayframe.sources.runlogs import RESULT, read_log_lines
+from assayframe.sources.storage import create_once, hadoop_path
 
 CACHE_LINE = f"`key` array<string>, result {RESULT}, _bad string"
 KEY = ("candidate_id", "property", "backend", "source")
@@ -50,31 +50,9 @@ class Committed(NamedTuple):
     replayed: bool
 
 
-def _hadoop_path(spark: SparkSession, path: str):
-    """The path as the store's own client sees it, and that client."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def _create_once(spark: SparkSession, path: str, text: str) -> bool:
-    """Create a small file; False if it is already there."""
-    target, store = _hadoop_path(spark, path)
-    try:
-        out = store.create(target, False)
-    except Py4JJavaError as error:
-        if "AlreadyExists" in error.java_exception.getClass().getName():
-            return False
-        raise
-    try:
-        out.write(bytearray(text.encode()))
-    finally:
-        out.close()
-    return True
-
-
 def commits(spark: SparkSession, path: str) -> list[Commit]:
     """All generations of a cache in order; a commit file that was cut short counts as none."""
-    folder, store = _hadoop_path(spark, f"{path}/commits")
+    folder, store = hadoop_path(spark, f"{path}/commits")
     if not store.exists(folder):
         return []
     rows = spark.read.schema(COMMIT).json(f"{path}/commits").where("generation IS NOT NULL AND folder IS NOT NULL").collect()
@@ -91,7 +69,7 @@ def _commit(spark: SparkSession, path: str, batch: str, folder: str, covers: int
                 return Committed(commit.generation, True)
         number = max([number, *[commit.generation for commit in known]]) + 1
         text = json.dumps({"generation": number, "batch": batch, "folder": folder, "covers": covers}, sort_keys=True)
-        if _create_once(spark, f"{path}/commits/{number:012d}.json", text):
+        if create_once(spark, f"{path}/commits/{number:012d}.json", text):
             return Committed(number, False)
 
 
@@ -194,6 +172,6 @@ def drop_covered(spark: SparkSession, path: str) -> int:
     gone = 0
     for commit in known:
         if commit.folder not in live:
-            target, store = _hadoop_path(spark, f"{path}/{commit.folder}")
+            target, store = hadoop_path(spark, f"{path}/{commit.folder}")
             gone += bool(store.delete(target, True))
     return gone

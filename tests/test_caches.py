@@ -63,7 +63,7 @@ def test_lines_without_a_commit_do_not_exist(spark, tmp_path, monkeypatch):
 
 def test_writers_that_meet_take_different_generations(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "cache")
-    real, met = caches._create_once, []
+    real, met = caches.create_once, []
 
     def slow(session, file, text):
         if not met:  # another writer is faster, and a third one died while it wrote
@@ -72,7 +72,7 @@ def test_writers_that_meet_take_different_generations(spark, tmp_path, monkeypat
             assert real(session, file.replace("1.json", "2.json"), '{"generation": 2, "ba')
         return real(session, file, text)
 
-    monkeypatch.setattr(caches, "_create_once", slow)
+    monkeypatch.setattr(caches, "create_once", slow)
     assert caches.append_cache(answers(spark, ("a", 1.0)), path, "mine") == caches.Committed(3, False)
     assert [(c.generation, c.batch) for c in caches.commits(spark, path)] == [(1, "other"), (3, "mine")]
 
