@@ -88,3 +88,4 @@ for _query in (
     QUERIES[_query.__name__] = _query
 ORACLES["op8_url_rules"] = url_rules.judge_sql()
 ORACLES["op11_strassen_negatives"] = strassen_negatives.negatives_sql()
+ORACLES["op13_turn_repair"] = turn_repair.repair_sql()

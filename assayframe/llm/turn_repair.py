@@ -405,3 +405,68 @@ def repair_damaged(conversations: DataFrame, conv_id="conv_id", turn="turn", rol
     """
     typed = conversations.withColumn(conv_id, F.col(conv_id).cast("long"))
     return repair(damaged(typed, conv_id, turn, role, text), block_turns)
+
+
+def repair_sql() -> str:
+    """The same over ``conversations``: turn by turn, the least (cost, audit) per state, each kept as one text that sorts like the pair."""
+
+    def edited(state: str, cost: str, letter: str, line: str = "''") -> str:
+        key = f"lpad(CAST(CAST({state}.k[1:9] AS INTEGER) + {cost} AS VARCHAR), 9, '0') || {state}.k[10:] || '{letter}'"
+        return f"CASE WHEN {state} IS NOT NULL THEN {{'k': {key}, 't': {state}.t || {line}}} END"
+
+    def least(*options: str) -> str:
+        return f"list_aggregate(list_filter([{', '.join(options)}], lambda x: x IS NOT NULL), 'min')"
+
+    inserted_user = "chr(10) || 'user:'"
+    inserted_assistant = "chr(10) || 'assistant:'"
+    kept, rerole_user, rerole_assistant = "chr(10) || role || ':' || text", "chr(10) || 'user:' || text", "chr(10) || 'assistant:' || text"
+    before_user = least("s2", *(edited(state, str(INSERT), "I", inserted_user) for state in ("s0", "s1", "s3")))
+    before_assistant = least("s3", edited("b2", str(INSERT), "I", inserted_assistant))
+
+    def stays(letter: str, option: str) -> str:
+        return f"CASE WHEN NOT must_go AND initial = '{letter}' THEN {option} END"
+
+    def free(option: str) -> str:
+        return f"CASE WHEN NOT must_go THEN {option} END"
+
+    deleted = [edited(state, str(DELETE), "D") for state in ("s0", "s1", "b2", "b3")]
+    to_user = [x for state in ("s0", "s1", "b3") for x in (stays("u", edited(state, "extra", "K", kept)), free(edited(state, f"{REROLE} + extra", "R", rerole_user)))]
+    to_assistant = [stays("a", edited("b2", "extra", "K", kept)), free(edited("b2", f"{REROLE} + extra", "R", rerole_assistant))]
+    return f"""
+WITH RECURSIVE steps AS (
+    SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+named AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+fated AS (
+    SELECT n.*, xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(name) + 1), lambda i: CAST(ascii(name[i]) AS BIGINT))),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS fate FROM named n, steps),
+damaged AS (
+    SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+           CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM fated, range(2) c(copy) WHERE fate <> 0 AND (copy = 0 OR fate = 3)),
+seen AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS copy,
+           rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM damaged),
+rows AS (
+    SELECT *, role[1:1] AS initial, bare = '' AS blank, bare <> '' AND copy > 1 AS duplicate, bare <> '' AND copy = 1 AND bare[-1:] NOT IN ('.', '!', '?') AS truncated,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM seen),
+turns AS (
+    SELECT *, blank OR duplicate AS must_go, CAST(truncated AS INTEGER) AS extra, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM rows),
+counts AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE duplicate) AS duplicate,
+           count(*) FILTER (WHERE truncated) AS truncated, count(*) FILTER (WHERE before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+    FROM turns GROUP BY conv_id),
+ways AS (
+    SELECT conv_id, n, CAST(0 AS BIGINT) AS i, {{'k': '000000000', 't': ''}} AS s0, CAST(NULL AS STRUCT(k VARCHAR, t VARCHAR)) AS s1,
+           CAST(NULL AS STRUCT(k VARCHAR, t VARCHAR)) AS s2, CAST(NULL AS STRUCT(k VARCHAR, t VARCHAR)) AS s3 FROM counts
+    UNION ALL
+    SELECT conv_id, n, i, {deleted[0]}, {least(deleted[1], stays("s", edited("s0", "extra", "K", kept)))}, {least(deleted[2], *to_user)}, {least(deleted[3], *to_assistant)}
+    FROM (SELECT *, {before_assistant} AS b3 FROM (
+        SELECT w.conv_id, w.n, r.i, w.s0, w.s1, w.s3, r.role, r.text, r.initial, r.must_go, r.extra, {before_user} AS b2
+        FROM ways w JOIN turns r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1))),
+ends AS (SELECT *, {before_assistant} AS b3 FROM (SELECT *, {before_user} AS b2 FROM ways WHERE i = n)),
+best AS (SELECT conv_id, {least("s0", "b3")} AS found FROM ends)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, CAST(coalesce(found.k[1:9], '0') AS BIGINT) AS cost, coalesce(found.k[10:], '') AS audit, sha256(coalesce(found.t[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN counts k ON k.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id"""

@@ -270,3 +270,11 @@ def test_repair_equals_brute_force(spark, parts, block_turns):
 
 def test_repair_of_an_empty_table(spark):
     assert turn_repair.repair_damaged(spark.createDataFrame([], TURN_SPEC)).count() == 0
+
+
+def test_repair_sql_equals_brute_force():
+    rows = [row[:4] for row in turn_rows() if row[0] != 501]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    db.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", [list(row) for row in rows])
+    assert sorted(db.execute(turn_repair.repair_sql()).fetchall(), key=repr) == sorted(brute_repair(rows), key=repr)
