@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from assayframe.operators import digests, upkeep
+from assayframe.operators import digests, sketches, upkeep
 from assayframe.operators.scale import fits_one_task, position_chunk, running
 from assayframe.plans.registering import Shelf
 from assayframe.plans.runs import METRICS_SQL, run_metrics
@@ -207,3 +207,41 @@ def candidates_appended(spark, sf_dir):
     table_now = upkeep.read_candidates(spark, path)
     places = {f"{name}_{what}": digits for name in _KEPT for what, digits in (("median", 6), ("std", 4))}
     return table_now.withColumns({name: F.round(name, digits) for name, digits in places.items()})
+
+
+# -- stored approximations -------------------------------------------------------------------
+
+_SKETCHED = ("l_quantity", "l_extendedprice", "l_partkey")
+
+
+@query(
+    "sketches_rolled_up",
+    " UNION ALL ".join(
+        f"""SELECT '{name}' AS "column", count({name}) AS n, count(DISTINCT {name}) AS n_distinct, true AS distinct_within, true AS p90_within FROM lineitem"""
+        for name in _SKETCHED
+    ),
+)
+def sketches_rolled_up(spark, sf_dir):
+    """Sketches per ship day, stored and merged, beside the exact counts: whether each approximation is within its stated error."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("day", F.to_date("l_shipdate"))
+    stored = write_shared(sketches.build_sketches(lines, _SKETCHED, ["day"]), "sketches")
+    merged = sketches.roll_up(stored).select("column", "n", sketches.approx_distinct().alias("about"), sketches.approx_quantile(0.9).alias("p90"))
+    found = {row["column"]: row for row in merged.collect()}  # one row per column
+    exact = lines.agg(*[
+        total.alias(f"{what}_{name}")
+        for name in found
+        for what, total in (
+            ("distinct", F.count_distinct(name)), ("below", F.count_if(F.col(name) < F.lit(found[name]["p90"]))), ("upto", F.count_if(F.col(name) <= F.lit(found[name]["p90"])))
+        )
+    ]) if found else None
+    rows = []
+    for name, row in found.items():
+        n, distinct = F.lit(row["n"]), F.col(f"distinct_{name}")
+        within = (F.col(f"below_{name}") <= n * (0.9 + sketches.RANK_ERROR)) & (F.col(f"upto_{name}") >= n * (0.9 - sketches.RANK_ERROR))
+        rows.append(F.struct(
+            F.lit(name).alias("column"), n.alias("n"), distinct.alias("n_distinct"),
+            (F.abs(F.lit(row["about"]) - distinct) <= distinct * sketches.DISTINCT_ERROR).alias("distinct_within"), within.alias("p90_within"),
+        ))
+    if exact is None:
+        return spark.createDataFrame([], "column string, n long, n_distinct long, distinct_within boolean, p90_within boolean")
+    return exact.select(F.inline(F.array(*rows)))
