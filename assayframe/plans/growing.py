@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 
 from assayframe.operators import digests, sketches, upkeep
 from assayframe.operators.scale import fits_one_task, position_chunk, running
+from assayframe.plans import lookup
 from assayframe.plans.registering import Shelf
+from assayframe.plans.rounding import rounded
 from assayframe.plans.runs import METRICS_SQL, run_metrics
-from assayframe.plans.tables import LOG, event_log, row_bound, table
+from assayframe.plans.tables import LOG, candidates, event_log, lookups, row_bound, table
 from assayframe.sources import caches
+from assayframe.sources.bucketed import write_bucketed
 from assayframe.sources.storage import shared_folder, write_shared
 from assayframe.streaming import runs
 
@@ -245,3 +248,16 @@ def sketches_rolled_up(spark, sf_dir):
     if exact is None:
         return spark.createDataFrame([], "column string, n long, n_distinct long, distinct_within boolean, p90_within boolean")
     return exact.select(F.inline(F.array(*rows)))
+
+
+# -- tables laid out for joins ---------------------------------------------------------------
+
+_CANDIDATE_BUCKETS = 8
+
+
+@query("evaluate_status_bucketed", lookup.SHELF.oracles["evaluate_status"])
+def evaluate_status_bucketed(spark, sf_dir):
+    """Lookups answered from a candidate table in buckets of its key."""
+    bound = lookup.lookup_bound(spark, sf_dir)
+    held = write_bucketed(candidates(spark, sf_dir), scratch(spark, "candidates"), "candidate_id", _CANDIDATE_BUCKETS)
+    return rounded(lookup.answered_status(lookups(spark, sf_dir, bound), held))

@@ -43,8 +43,11 @@ _STATUS_COLUMNS = ["run_id", "request_seq", "entry_pos", "property", "candidate_
 )
 def evaluate_status(spark, sf_dir):
     bound = lookup_bound(spark, sf_dir)
-    answered = ops.answer(lookups(spark, sf_dir, bound), candidates(spark, sf_dir), SERVED, **FACTS)
-    return rounded(answered.select(*_STATUS_COLUMNS))
+    return rounded(answered_status(lookups(spark, sf_dir, bound), candidates(spark, sf_dir)))
+
+
+def answered_status(asked, known):
+    return ops.answer(asked, known, SERVED, **FACTS).select(*_STATUS_COLUMNS)
 
 
 _CHARGED_SQL = f"""WITH {RESULTS} SELECT run_id, request_seq, entry_pos, property, candidate_id, status, cached, evals::BIGINT AS evals FROM charged"""
