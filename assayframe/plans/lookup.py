@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from assayframe.functions.columns import format_timestamp, make_run_id, parse_timestamp
 from assayframe.operators import lookups as ops
 from assayframe.operators.backends import python_backend
+from assayframe.operators.scale import fits_one_task, running
 from assayframe.plans.registering import Shelf
 from assayframe.plans.rounding import rounded
 from assayframe.plans.tables import (
     ANSWERS, CANDIDATES, RESULTS, SERVED, candidates, lookups, order_lines, row_bound, table,
 )
+from assayframe.sources import runlogs
+from assayframe.sources.storage import shared_folder
 
 SHELF = Shelf()
 query = SHELF.query
@@ -236,3 +243,37 @@ def request_checks(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("request_seq"))
     entries = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("request_seq"))
     return ops.request_size_violations(orders, entries, most=8)
+
+
+@query(
+    "response_lines",
+    f"""WITH {RESULTS} SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY request_seq, entry_pos, prop_pos) AS place,
+  '{{"candidate_id":' || candidate_id || ',"entry_pos":' || entry_pos || ',"property":"' || property || '","reason":' || coalesce('"' || reason || '"', 'null')
+    || ',"request_seq":' || request_seq || ',"run_id":' || run_id || ',"status":"' || status || '"}}' AS line FROM charged""",
+)
+def response_lines(spark, sf_dir):
+    """Answers in response order as canonical lines, written and read back; ``place`` is where a run's lines stand in the files."""
+    path = f"{shared_folder(spark).rstrip('/')}/response-{uuid.uuid4().hex}"
+    ordered = ops.response_order(lookup_results(spark, sf_dir, lookup_bound(spark, sf_dir)))
+    runlogs.write_json(ordered.select("run_id", "request_seq", "entry_pos", "property", "candidate_id", "status", "reason"), path)
+    lines = runlogs.read_log_lines(spark, path).select("file", "line", "value", F.get_json_object("value", "$.run_id").cast("long").alias("run_id"))
+    place = Window.partitionBy("run_id").orderBy("file", "line")
+    if fits_one_task(lookup_bound(spark, sf_dir)):
+        numbered = lines.withColumn("place", F.row_number().over(place).cast("long"))
+    else:
+        numbered = running(lines, ["run_id"], ["file", "line"], {"place": ("sum", F.lit(1))}, chunk=F.col("file"))
+    return numbered.select("run_id", "place", F.col("value").alias("line"))
+
+
+@query(
+    "run_id_forms",
+    """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS stamp, date_trunc('second', ts) AS parsed,
+  CASE WHEN event_id % 5 <> 0 THEN strftime(ts, '%Y%m%dT%H%M%SZ') || '-' || md5(event_id::VARCHAR)[1:8] END AS run_id FROM events""",
+)
+def run_id_forms(spark, sf_dir):
+    """Stamps as text and back, and run ids; one token in five is too short."""
+    ts, token = F.col("ts").cast("timestamp"), F.substring(F.md5(F.col("event_id").cast("string").cast("binary")), 1, 8)
+    short = F.when(F.pmod("event_id", F.lit(5)) == 0, F.substring(token, 1, 7)).otherwise(token)
+    stamp = format_timestamp(ts)
+    parsed = parse_timestamp(stamp).cast("timestamp_ntz")
+    return table(spark, sf_dir, "events").select("event_id", stamp.alias("stamp"), parsed.alias("parsed"), make_run_id(ts, short).alias("run_id"))
