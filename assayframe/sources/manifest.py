@@ -10,18 +10,20 @@ ENTRY_PATTERN = r"\A\s*([0-9a-f]{64})\s+([0-9]+)\s+(\S.*?)\s*\z"
 REVISION_PATTERN = r"\A\s*#\s*revision:\s*(.*?)\s*\z"
 
 
-def parse_manifest(lines: DataFrame) -> DataFrame:
-    """Manifest text (column ``value``) to ``name, sha256, n_bytes``; a malformed line fails the job."""
+def parse_manifest(lines: DataFrame, *, strict: bool = True) -> DataFrame:
+    """Manifest text (column ``value``) to ``name, sha256, n_bytes, malformed``.
+
+    A malformed line, one of another form or for a file without a byte, fails the
+    job; unless ``strict``, it is marked, with as much of it as can be read.
+    """
     text = F.col("value")
     content = lines.where((F.trim(text) != "") & ~F.ltrim(text).startswith("#"))
     size = F.regexp_extract(text, ENTRY_PATTERN, 2).try_cast("bigint")
-    complaint = F.concat(F.lit("malformed manifest line: "), text)
-    return content.select(
-        F.when(text.rlike(ENTRY_PATTERN) & (size > 0), F.regexp_extract(text, ENTRY_PATTERN, 3))
-        .otherwise(F.raise_error(complaint)).alias("name"),
-        F.regexp_extract(text, ENTRY_PATTERN, 1).alias("sha256"),
-        size.alias("n_bytes"),
-    )
+    sound = F.coalesce(text.rlike(ENTRY_PATTERN) & (size > 0), F.lit(False))
+    name = F.regexp_extract(text, ENTRY_PATTERN, 3)
+    if strict:
+        name = F.when(sound, name).otherwise(F.raise_error(F.concat(F.lit("malformed manifest line: "), text)))
+    return content.select(name.alias("name"), F.regexp_extract(text, ENTRY_PATTERN, 1).alias("sha256"), size.alias("n_bytes"), (~sound).alias("malformed"))
 
 
 def manifest_revision(lines: DataFrame) -> DataFrame:
@@ -45,5 +47,5 @@ def audit_files(manifest: DataFrame, observed: DataFrame) -> DataFrame:
     """Status of every manifest entry; all entries are checked, none stops the audit."""
     seen = observed.select("name", F.col("sha256").alias("seen_sha256"), F.col("n_bytes").alias("seen_bytes"))
     same = (F.col("sha256") == F.col("seen_sha256")) & (F.col("n_bytes") == F.col("seen_bytes"))
-    status = F.when(F.col("seen_sha256").isNull(), "absent").when(same, "verified").otherwise("mismatch")
-    return manifest.join(seen, "name", "left").withColumn("status", status)
+    status = F.when(F.col("malformed"), "malformed").when(F.col("seen_sha256").isNull(), "absent").when(same, "verified").otherwise("mismatch")
+    return manifest.join(seen, "name", "left").withColumn("status", status).drop("malformed")
