@@ -5,17 +5,19 @@ pages of its host whose paths are most like its own.  A page's text is cut into
 lines (blocks).  The lines of a page and of its nearest neighbour are aligned
 by a longest common subsequence, and lines that both pages have are template:
 they are deleted, and with them the rest of any box that consists mostly of
-deleted lines.
+deleted lines.  All lines outside the declared article are asked, those of
+menus and footers too.
 
 Markup says more where it is there: what stands in a menu, header, footer,
 sidebar, form, notice, advert or comment box goes even if the neighbour has
 other words there, and what stands in the declared article stays even if the
 neighbour is a copy or quotes the same passage.
 
-Pages are dealt out by a range sort with the page id as last key, so a host
-with a third of all pages is spread over many tasks.  The first and last pages
-of a task meet their neighbours in other tasks in a second pass over the few
-pages at the cuts.  A page whose host has no other page is read by its markup.
+Only 64-bit marks of lines are sorted.  The range sort has the page id as last
+key, so a host with a third of all pages is spread over many tasks.  The first
+and last pages of each task meet those of the tasks beside it in joins on the
+task's number.  Texts are shuffled once, to meet the verdicts on their lines.
+A page whose host has no other page is read by its markup.
 """
 
 from __future__ import annotations
@@ -26,8 +28,9 @@ import re
 from dataclasses import dataclass
 
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayframe.llm.batches import sliced, small_batches
@@ -43,6 +46,7 @@ BREAKS = frozenset(
     "header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead title tr ul".split()
 )
 BOXES = frozenset("article aside body blockquote details dialog div dl figure footer form header main menu nav ol section table td th ul html".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TEMPLATE_TAGS = frozenset("nav footer aside form dialog menu head title".split())
 TEMPLATE_NAMES = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer gdpr "
@@ -86,6 +90,8 @@ def part_of(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
         elif name in ("class", "id") and tag not in ("body", "html", "main"):
             for word in value.split():
                 pieces = re.split(r"[-_]+", word)
+                if in_article and tag not in BOXES and (name == "id" or len(pieces) > 1 or tag in HEADINGS):
+                    continue  # a heading or paragraph of the article: at most a whole class says that it is none
                 own_title = pieces[-1] == "header" and pieces[0] in CONTENT_NAMES
                 template = template or bool({pieces[0], pieces[-1]} & TEMPLATE_NAMES) and not own_title
     return article and not template, template
@@ -189,31 +195,39 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
-def shared_lines(lines: list[Line], other: list[Line] | None) -> set[int]:
+def shared_lines(lines: list[tuple], other: list[tuple] | None) -> set[int]:
     """Lines outside the declared article that the neighbour has too, and the rest of boxes that mostly consist of such lines.
 
-    A neighbour that has every line is a copy and says nothing about a template.
+    A line is (mark, article, template, box); lines with equal marks are equal.
+    Template boxes are compared like all else outside the article.  A neighbour
+    that has every line outside template boxes is a copy and says nothing.
     """
-    free = [i for i, line in enumerate(lines) if not line.article and not line.template]
-    if other is None or not free:
+    if not other or not lines:
         return set()
-    common = common_lines([line.text for line in lines], [line.text for line in other]).intersection(free)
-    if len(common) == len(free):
+    common = common_lines([line[0] for line in lines], [line[0] for line in other])
+    body = [i for i, (_, _, template, _) in enumerate(lines) if not template]
+    if all(i in common for i in body):
         return set()
+    plain = [i for i in body if not lines[i][1]]
     held: dict[int, list[int]] = {}
-    for i in free:
-        held.setdefault(lines[i].box, []).append(i)
+    for i in plain:
+        held.setdefault(lines[i][3], []).append(i)
+    common.difference_update([i for i in body if lines[i][1]])
     for members in held.values():
-        if len(members) > 2 and len(members) < len(free) and sum(i in common for i in members) >= MOSTLY * len(members):
+        if len(members) > 2 and len(members) < len(plain) and sum(i in common for i in members) >= MOSTLY * len(members):
             common.update(members)
     return common
 
 
+def main_lines(lines: list[Line]) -> list[int]:
+    """Where a page's text may stand: in its declared article if it has one, else outside all template boxes."""
+    article = [i for i, line in enumerate(lines) if line.article and not line.template]
+    return article or [i for i, line in enumerate(lines) if not line.template]
+
+
 def main_text(lines: list[Line], shared: set[int]) -> str:
-    """What is left of a page: its declared article if it has one, else all that is neither template nor shared."""
-    if any(line.article and not line.template for line in lines):
-        return LINE.join(line.text for line in lines if line.article and not line.template)
-    return LINE.join(line.text for i, line in enumerate(lines) if not line.template and i not in shared)
+    """What is left of a page."""
+    return LINE.join(lines[i].text for i in main_lines(lines) if i not in shared)
 
 
 def alike(a: str, b: str) -> int:
@@ -224,76 +238,137 @@ def alike(a: str, b: str) -> int:
     return min(len(a), len(b))
 
 
+# A page without its text: what neighbours are compared by.
+PRINT = [
+    ("host", pa.string()), ("path", pa.string()), ("page_id", pa.int64()), ("digest", pa.int64()), ("marks", pa.list_(pa.int64())),
+    ("kinds", pa.binary()), ("boxes", pa.list_(pa.int32())),
+]
+PRINT_SPEC = "host string, path string, page_id long, digest long, marks array<long>, kinds binary, boxes array<int>"
+VERDICT = [("page_id", pa.int64()), ("digest", pa.int64()), ("shared", pa.list_(pa.bool_())), ("n_shared", pa.int64())]
+VERDICT_SPEC = "page_id long, digest long, shared array<boolean>, n_shared long"
+
+
+def batch_of(rows: list[tuple], kinds: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(zip(*rows, strict=True), kinds, strict=True)], schema=pa.schema(kinds))
+
+
+def parsed(batches):
+    """(row, lines) of every page; ``html`` is the last column."""
+    for batch in sliced(batches, "html"):
+        for *row, page in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            yield row, lines_of(page) if page else []
+
+
+def in_batches(rows, kinds, most: int = 512):
+    """Rows as Arrow batches of at most ``most`` rows."""
+    rows = iter(rows)
+    while some := list(itertools.islice(rows, most)):
+        yield batch_of(some, kinds)
+
+
+def prints_of(batches):
+    """The line marks of pages that have neighbours."""
+    def rows():
+        for (host, path, page_id, digest), lines in parsed(batches):
+            marks = [int.from_bytes(xxhash.xxh3_64_digest(line.text), "big", signed=True) for line in lines]
+            yield host, path, page_id, digest, marks, bytes(line.article + 2 * line.template for line in lines), [line.box for line in lines]
+
+    yield from in_batches(rows(), PRINT)
+
+
+def texts_of_pages(batches):
+    """The lines that may be a page's text, and where in the page they stand."""
+    kinds = [("page_id", pa.int64()), ("digest", pa.int64()), ("url", pa.string()), ("lines", pa.list_(pa.string())), ("places", pa.list_(pa.int32())), ("n_lines", pa.int64())]
+
+    def rows():
+        for (page_id, digest, url), lines in parsed(batches):
+            places = main_lines(lines)
+            yield page_id, digest, url, [lines[i].text for i in places], places, len(lines)
+
+    yield from in_batches(rows(), kinds, 128)
+
+
+def judged(before: dict | None, this: dict, after: dict | None):
+    """The verdict on a page: which of its lines its nearest neighbour, or else the one on the other side, shares; None if none."""
+    near = [x for x in (before, after) if x is not None and x["host"] == this["host"]]
+    near.sort(key=lambda x: -alike(this["path"], x["path"]))
+    lines = compared(this)
+    for other in near:
+        if shared := shared_lines(lines, compared(other)):
+            return this["page_id"], this["digest"], [i in shared for i in range(len(lines))], len(shared)
+    return None
+
+
+def compared(page: dict) -> list[tuple]:
+    return [(mark, bool(kind & 1), bool(kind & 2), box) for mark, kind, box in zip(page["marks"], page["kinds"], page["boxes"], strict=True)]
+
+
+def run_along(batches):
+    """Verdicts on the pages inside a task, and one row with the two first and the two last pages of the task."""
+    ends = pa.list_(pa.struct(PRINT))
+    kinds = [*VERDICT, ("task", pa.int32()), ("head", ends), ("tail", ends)]
+    context = TaskContext.get()
+    head, tail = [], []
+
+    def rows():
+        for page in (page for batch in batches for page in batch.to_pylist()):
+            if len(tail) == 2:
+                if found := judged(tail[0], tail[1], page):
+                    yield *found, None, None, None
+                del tail[0]
+            tail.append(page)
+            if len(head) < 2:
+                head.append(page)
+        if head:
+            yield None, None, None, None, context.partitionId() if context else 0, head, tail
+
+    yield from in_batches(rows(), kinds)
+
+
+def at_cuts(batches):
+    """Verdicts on the first and the last page of each task, among the pages on both sides of the cuts."""
+    def rows():
+        for task in (row for batch in batches for row in batch.to_pylist()):
+            head, tail = task["head"], task["tail"]
+            yield judged(task["before"], head[0], head[1] if len(head) > 1 else task["after"])
+            if len(head) > 1:
+                yield judged(tail[0], tail[1], task["after"])
+
+    yield from in_batches(filter(None, rows()), VERDICT)
+
+
+def verdicts(pages: DataFrame) -> DataFrame:
+    """(page_id, digest, shared, n_shared) of the pages that share a line with a neighbour; ``pages`` has a host in every row."""
+    order = ("host", "path", "page_id", "digest")
+    prints = write_shared(small_batches(pages.select(*order, "html")).mapInArrow(prints_of, PRINT_SPEC), "prints")
+    prints = prints.dropDuplicates(list(order)).repartitionByRange(*order).sortWithinPartitions(*order)
+    ends = f"array<struct<{PRINT_SPEC.replace(' ', ':').replace(',:', ',')}>>"
+    found = write_shared(prints.mapInArrow(run_along, f"{VERDICT_SPEC}, task int, head {ends}, tail {ends}"), "verdicts")
+    cuts = found.where("task IS NOT NULL").select("task", "head", "tail")
+    numbers = Window.orderBy("task")  # over the numbers of tasks, not over pages
+    beside = cuts.select("task", F.lag("task").over(numbers).alias("_left"), F.lead("task").over(numbers).alias("_right"))
+    left = cuts.select(F.col("task").alias("_left"), F.element_at("tail", -1).alias("before"))
+    right = cuts.select(F.col("task").alias("_right"), F.element_at("head", 1).alias("after"))
+    cuts = cuts.join(beside, "task").join(left, "_left", "left").join(right, "_right", "left").select("head", "tail", "before", "after")
+    inside = found.where("task IS NULL").select("page_id", "digest", "shared", "n_shared")
+    return inside.union(cuts.mapInArrow(at_cuts, VERDICT_SPEC))
+
+
 def extract(pages: DataFrame, page_id="page_id", url="url", page="html") -> DataFrame:
     """(page_id, url, text, n_chars, n_lines, n_shared): the main text of every page.
 
     A missing page has an empty text.  Pages without a host, or alone on theirs,
-    are read by their markup.  Repeated rows are separate pages; a copy next to
-    a page is passed over for the neighbour on the other side.
+    are read by their markup.  Repeated rows are one page to their neighbours
+    and are all returned; a copy under another URL is passed over for the
+    neighbour on the other side.  Missing ids are ids of their own.
     """
-    fields = [("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_lines", pa.int64()), ("n_shared", pa.int64())]
-    keys = [("host", pa.string()), ("path", pa.string()), ("html", pa.string()), ("digest", pa.int64()), ("task", pa.int32()), ("place", pa.int64()), ("edge", pa.bool_())]
-    spec = "page_id long, url string, text string, n_chars long, n_lines long, n_shared long"
-    wide = spec + ", host string, path string, html string, digest long, task int, place long, edge boolean"
-    given = ("page_id", "url", "host", "path", "html", "digest")
-
-    def batch_of(out, kinds):
-        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(zip(*out, strict=True), kinds, strict=True)], schema=pa.schema(kinds))
-
-    def read(batches, names):
-        """(row, lines) of every page."""
-        for batch in sliced(batches, "html"):
-            for row in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
-                yield row, lines_of(row[4]) if row[4] else []
-
-    def judged(before, this, after):
-        (key, address, host, path, *_), lines = this
-        near = [x for x in (before, after) if x is not None and host and x[0][2] == host]
-        near.sort(key=lambda x: -alike(path, x[0][3]))
-        shared: set[int] = set()
-        for other in near:
-            shared = shared_lines(lines, other[1])
-            if shared:
-                break
-        text = main_text(lines, shared)
-        return key, address, text, len(text), len(lines), len(shared)
-
-    def run(batches):
-        """The pages inside a task judged; of its two ends the page and the one next to it, as they are."""
-        context = TaskContext.get()
-        task = context.partitionId() if context else 0
-        before = this = None
-        out, ends, count = [], [], 0
-        for after in read(batches, given):
-            if count > 1:
-                out.append((*judged(before, this, after), *[None] * len(keys)))
-            if count < 2:
-                ends.append((count, after[0]))
-            before, this, count = this, after, count + 1
-            if len(out) >= 256:
-                yield batch_of(out, fields + keys)
-                out = []
-        if count > 3:
-            ends.append((count - 2, before[0]))
-        if count > 2:
-            ends.append((count - 1, this[0]))
-        out += [(key, address, *[None] * 4, *rest, task, place, place in (0, count - 1)) for place, (key, address, *rest) in ends]
-        if out:
-            yield batch_of(out, fields + keys)
-
-    def at_cuts(batches):
-        """The first and last pages of tasks, judged among the pages on both sides of the cuts."""
-        before = this = None
-        for after in itertools.chain(read(batches, (*given, "edge")), [None]):
-            if this is not None and this[0][-1]:
-                yield batch_of([judged(before, this, after)], fields)
-            before, this = this, after
-
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html"))
-    rows = rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url")), "digest": F.xxhash64("url", "html")})
-    order = ("host", "path", "page_id", "digest")
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = write_shared(small_batches(rows).mapInArrow(run, wide), "pages")
-    few = found.where("task IS NOT NULL").select(*given, "edge", "task", "place")  # four rows a task at most
-    few = few.repartition(1).sortWithinPartitions(*order, "task", "place").drop("task", "place")
-    return found.where("task IS NULL").select(*[name for name, _ in fields]).union(few.mapInArrow(at_cuts, spec))
+    rows = rows.withColumn("digest", F.xxhash64("page_id", "url", "html"))
+    hosted = rows.where("html <> ''").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}).where("host <> ''")
+    known = verdicts(hosted).withColumnsRenamed({"page_id": "_page_id", "digest": "_digest"})
+    spec = "page_id long, digest long, url string, lines array<string>, places array<int>, n_lines long"
+    texts = small_batches(rows.select("page_id", "digest", "url", "html")).mapInArrow(texts_of_pages, spec)
+    texts = texts.join(known, (F.col("digest") == F.col("_digest")) & F.col("page_id").eqNullSafe(F.col("_page_id")), "left")
+    left = F.when(F.col("shared").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda line, i: ~F.col("shared")[F.col("places")[i]]))
+    texts = texts.withColumn("text", F.array_join(left, LINE))
+    return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_lines", F.coalesce("n_shared", F.lit(0)).alias("n_shared"))

@@ -32,6 +32,11 @@ def text_of(body, page=PAGE):
         ("<div>bare <b>text</b></div><!-- no --><p>2 < 3</p>", "bare text\n2 < 3"),
         ("<article><p>cut &am</p><p>unclosed <i>tag", "cut &am\nunclosed tag"),
         ("<p a=\">\" b='x'>quoted</p></div></p>", "quoted"),
+        (
+            "<article><h2 id='related-work'>Related work</h2><p class='share-price'>up</p><p id='search-for-truth'>yes</p><p class=advert>no</p>"
+            "<div class='share-buttons'>no</div><h3 class=notice>kept</h3></article>",
+            "Related work\nup\nyes\nkept",
+        ),
         ("", ""),
     ],
 )
@@ -70,6 +75,19 @@ def test_differencing_deletes_what_neighbours_share(spark):
     assert page_diff.extract(empty).count() == 0
 
 
+def test_differencing_asks_menus_and_footers_too(spark):
+    def page(i):
+        return PAGE % f"<article><p>quoted by all</p><p>story{i}</p></article>"
+
+    rows = [(i, f"http://h.example/{i:02}", page(i)) for i in range(20)] + [(50, "http://h.example/05", page(5)), (None, "http://h.example/07", page(7))] * 3
+    rows += [(60, "http://long.example/" + "x" * 20_000, "<div>" + "<p>word</p>" * 20_000 + "</div>"), (61, "http://long.example/", "<div><p>word</p></div>")]
+    got = page_diff.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()
+    assert len(got) == len(rows)
+    assert all(r["text"].startswith("quoted by all\nstory") for r in got if r["url"].startswith("http://h."))
+    assert sum(r["n_shared"] >= 3 for r in got if r["url"].startswith("http://h.")) >= 20
+    assert {r["page_id"]: r["n_lines"] for r in got if r["page_id"] in (60, 61)} == {60: 20_000, 61: 1}
+
+
 def test_raw_elements_end_where_they_are_closed():
     article = "<article><p>one</p>%s<p>two</p></article>"
     for raw in ("<svg viewBox='0 0 1 1' />", "<iframe/>", "<svg><path d='x'/>no</svg>", "<button>no</button>", "<svg><svg>no</svg>no</svg>", "<script>'<svg>'</script>"):
