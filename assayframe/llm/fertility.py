@@ -2,10 +2,12 @@
 
 A public vocabulary with byte fallback encodes every word of a text.  Three
 figures follow: characters per token, the share of byte-fallback tokens and the
-entropy of the tokens.  What is usual differs by language (by script where the
-language is not known) and, for the entropy, by length, so medians and quartile
-ranges are taken per language and length class over all texts that pass the
-base rules, and a text far outside its band is rejected.
+entropy of the tokens.  What is usual differs by language and, for the entropy,
+by length, so medians and quartile ranges are taken per language and length
+class over all texts that pass the base rules, and a text far outside its band
+is rejected.  Where a language has too few texts for a band (or is not known),
+the band of the text's script counts, and where that has too few, a wide fixed
+one.  Texts of other scripts never enter a band.
 
 Pieces of the vocabulary never span two words, so each distinct word is encoded
 once per cache.
@@ -30,8 +32,12 @@ FEWEST_WORDS, MOST_REPEATED = 50, 50
 # The bands, in quartile ranges from the median: each figure alone, their sum, and the upper side.
 LOW, LOW_SUM, HIGH = -4.0, -4.0, 8.0
 MOST_BYTES_OVER = 0.2
-# Texts that a band needs; with fewer, the band of the language, then of all texts, is used.
+# Texts that a band needs; with fewer, the band of the language, then of the script, then the wide one is used.
 FEWEST_TEXTS = 40
+# Rows that a quartile of a band may be off, as a share of the band's texts: at most one in this many.
+ACCURACY = 2000
+# The wide bands: middle and range of characters per token and entropy, usual byte share.  Scripts beyond the vocabulary fall back to bytes altogether.
+WIDE_LATIN, WIDE_OTHER = (2.8, 0.4, 7.0, 1.5, 0.0), (1.2, 0.6, 7.0, 1.5, 1.0)
 # Least quartile ranges, so that a band of equal texts is not a line.
 LEAST_RANGE = {"chars_per_token": 0.02, "entropy": 0.04}
 SYMBOLS = re.compile(rb"[#*$%&|<>]")
@@ -114,13 +120,13 @@ class Fertility:
 
 SPEC = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
-    "language string, n_tokens long, byte_share double, chars_per_token double, entropy double"
+    "language string, script string, n_tokens long, byte_share double, chars_per_token double, entropy double"
 )
 
 
 def measure(docs: DataFrame, file: str, doc_id="doc_id", text="text", lang: str | None = "lang") -> DataFrame:
     """Base counts and fertility figures of every whole text; a missing or empty text has zeros and no figures."""
-    kinds = [pa.int64()] * 6 + [pa.bool_(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+    kinds = [pa.int64()] * 6 + [pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
     schema = pa.schema(list(zip([field.split()[0] for field in SPEC.split(", ")], kinds, strict=True)))
 
     def run(batches):
@@ -142,7 +148,7 @@ def measure(docs: DataFrame, file: str, doc_id="doc_id", text="text", lang: str
                 failed = len(words) < FEWEST_WORDS or 100 * repeated > MOST_REPEATED * len(words)
                 rows.append((
                     key, len(words), chars, len(SYMBOLS.findall(text)), repeated_lines(text), repeated, failed,
-                    language if language is not None else "script:" + script_of(text), tokens,
+                    language, script_of(text), tokens,
                     fallback / tokens if tokens else None, chars / tokens if tokens else None, entropy if tokens else None,
                 ))
             yield pa.RecordBatch.from_arrays(
@@ -159,41 +165,57 @@ def length_class(tokens: Column) -> Column:
 
 
 def bands(measured: DataFrame) -> DataFrame:
-    """Median and quartile range of each figure per language and length class, per language, and over all texts."""
-    quartiles = lambda name: F.percentile_approx(name, [0.25, 0.5, 0.75], 2000)
+    """Median and quartile range of each figure per language and length class, per language, per script and length class, and per script."""
+    quartiles = lambda name: F.percentile_approx(name, [0.25, 0.5, 0.75], ACCURACY)
     wanted = [quartiles(name).alias(name) for name in ("chars_per_token", "entropy", "byte_share")] + [F.count(F.lit(1)).alias("n")]
     good = measured.where(~F.col("base_failed")).withColumn("size", length_class(F.col("n_tokens")))
-    fine = good.groupBy("language", "size").agg(*wanted)
-    wide = good.groupBy("language").agg(*wanted).withColumn("size", F.lit(None).cast("int"))
-    whole = good.agg(*wanted).withColumns({"language": F.lit(None).cast("string"), "size": F.lit(None).cast("int")})
-    return fine.unionByName(wide).unionByName(whole).where(F.col("n") >= FEWEST_TEXTS)
+    # Each text counts in four groups; map-side aggregation leaves one row per task and group.
+    groups = F.array(*[
+        F.struct(F.lit(by).alias("by"), F.col(by).alias("name"), size.alias("size"))
+        for by in ("language", "script") for size in (F.col("size"), F.lit(-1))
+    ])
+    good = good.select("chars_per_token", "entropy", "byte_share", F.explode(groups).alias("group")).where("group.name IS NOT NULL")
+    return good.groupBy("group").agg(*wanted).where(F.col("n") >= FEWEST_TEXTS).select("group.*", "chars_per_token", "entropy", "byte_share")
 
 
 def verdicts(measured: DataFrame) -> DataFrame:
-    """``measured`` with ``kept``: false where a base rule fails or a figure leaves its band."""
+    """``measured`` with ``kept``: false where a base rule fails or a figure leaves its band.
+
+    A quartile may be off by one in ``ACCURACY`` of its band's texts, so a text
+    at the very edge of a band can be judged either way by another dealing of rows.
+    """
     spread = lambda name: F.greatest(F.col(name)[2] - F.col(name)[0], F.lit(LEAST_RANGE.get(name, 0.0)))
-    known = write_shared(bands(measured), "fertility-bands").select(
-        "language", "size",
+    band = F.struct(
         *[x for name in ("chars_per_token", "entropy") for x in (F.col(name)[1].alias(f"{name}_mid"), spread(name).alias(f"{name}_range"))],
         F.col("byte_share")[1].alias("byte_mid"),
     )
-    figures = [name for name in known.columns if name not in ("language", "size")]
-    fine = known.where(F.col("size").isNotNull()).withColumnsRenamed({"language": "_language", "size": "_size"})
-    wide = known.where(F.col("size").isNull() & F.col("language").isNotNull()).drop("size")
-    wide = wide.withColumnsRenamed({name: f"wide_{name}" for name in figures} | {"language": "_wide"})
-    whole = known.where(F.col("language").isNull()).drop("size", "language").withColumnsRenamed({name: f"all_{name}" for name in figures})
+    known = write_shared(bands(measured).select("by", "name", "size", band.alias("band")), "fertility-bands")
+    figures = known.schema["band"].dataType.names
     rows = measured.withColumn("size", length_class(F.col("n_tokens")))
-    rows = rows.join(fine, (F.col("language") == F.col("_language")) & (F.col("size") == F.col("_size")), "left")
-    rows = rows.join(wide, F.col("language") == F.col("_wide"), "left").join(F.broadcast(whole), how="left")  # one row at most
-    figure = {name: F.coalesce(name, f"wide_{name}", f"all_{name}") for name in figures}
-    far = {name: (F.col(name) - figure[f"{name}_mid"]) / figure[f"{name}_range"] for name in LEAST_RANGE}
-    outside = (F.col("byte_share") > figure["byte_mid"] + MOST_BYTES_OVER) | (sum(far.values()) < LOW_SUM)
+    held = []
+    for by in ("language", "script"):
+        for fine in (True, False):
+            held.append(f"_{by}_{fine}")
+            one = known.where((F.col("by") == by) & (F.col("size") >= 0 if fine else F.col("size") < 0))
+            one = one.select(F.col("name").alias("_name"), F.col("size").alias("_size"), F.col("band").alias(held[-1]))
+            match = F.col(by) == F.col("_name")
+            rows = rows.join(one, match & (F.col("size") == F.col("_size")) if fine else match, "left").drop("_name", "_size")
+    wide = [F.struct(*[F.lit(x).alias(name) for name, x in zip(figures, values, strict=True)]) for values in (WIDE_LATIN, WIDE_OTHER)]
+    last = F.when(F.col("script").isin("Latin", "none"), wide[0]).otherwise(wide[1])
+    rows = rows.withColumn("_band", F.coalesce(*held, last))
+    far = {name: (F.col(name) - F.col(f"_band.{name}_mid")) / F.col(f"_band.{name}_range") for name in LEAST_RANGE}
+    outside = (F.col("byte_share") > F.col("_band.byte_mid") + MOST_BYTES_OVER) | (sum(far.values()) < LOW_SUM)
     for value in far.values():
         outside = outside | (value < LOW) | (value > HIGH)
-    kept = ~F.col("base_failed") & ~F.coalesce(outside, F.lit(False))  # no band anywhere: nothing to reject by
+    kept = ~F.col("base_failed") & ~F.coalesce(outside, F.lit(False))  # a text without a token has failed before
     return rows.select(*measured.columns, kept.alias("kept"))
 
 
 def judge(docs: DataFrame, file: str, **names) -> DataFrame:
-    """Base counts, fertility figures and the verdict for every document."""
+    """Base counts, fertility figures and the verdict for every document, one row per row of ``docs``.
+
+    A missing, empty or blank text has zeros and no figures and fails the base
+    rules.  Repeated rows are judged alike and all count in their band; a missing
+    language leaves the band of the script; a very long text is measured whole.
+    """
     return verdicts(write_shared(measure(docs, file, **names), "fertility"))
