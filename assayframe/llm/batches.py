@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,26 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
             yield batch.slice(start)
 
 
+def hand_back() -> None:
+    """Return freed memory to the system, which the allocators of Python and Arrow otherwise hold for a worker's next task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        return
+
+
+def tidy(run: Callable) -> Callable:
+    """``run`` over a task's batches; what it held goes back to the system when the task ends, so idle workers stay small."""
+
+    def whole(batches):
+        yield from run(batches)
+        hand_back()
+
+    return whole
+
+
 def texts_of(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a text column."""
     return column.cast(pa.binary()).to_pylist()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayframe.llm.batches import crc_fold, sliced, small_batches
+from assayframe.llm.batches import crc_fold, sliced, small_batches, tidy
 
 LENGTH = 192
 CHANNELS = 8
@@ -166,7 +166,7 @@ def fit(docs: DataFrame, doc_id="doc_id", text="text", lang="lang", held_out=(3,
                         names.append(name)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(names, pa.string())], names=["window", "lang"])
 
-    rows = small_batches(sample).mapInArrow(windows, "window binary, lang string").collect()
+    rows = small_batches(sample).mapInArrow(tidy(windows), "window binary, lang string").collect()
     rows.sort(key=lambda row: (row["lang"], bytes(row["window"])))  # the order of arrival must not matter
     languages = sorted({row["lang"] for row in rows})
     if not rows:
@@ -214,7 +214,7 @@ def predict(docs: DataFrame, network: Network | None, doc_id="doc_id", text="tex
             )
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return small_batches(rows).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return small_batches(rows).mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, network: Network | None, text="text", least: float = 0.3) -> DataFrame:
@@ -228,7 +228,7 @@ def keep_known(docs: DataFrame, network: Network | None, text="text", least: flo
             found = label(shared.value, batch.column(text).to_pylist())
             yield batch.filter(pa.array([name != UNKNOWN and score >= least for name, score in found], pa.bool_()))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(tidy(run), docs.schema)
 
 
 def identify(docs: DataFrame, doc_id="doc_id", text="text", lang="lang", held_out=(3, 1)) -> DataFrame:

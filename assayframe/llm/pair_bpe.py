@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayframe.llm.batches import sliced, small_batches, texts_of
+from assayframe.llm.batches import sliced, small_batches, texts_of, tidy
 
 # Distinct words, and distinct pieces of words, that a task remembers.
 CACHE_WORDS = 120_000
@@ -253,7 +253,7 @@ def encode_texts(docs: DataFrame, file: str, doc_id="doc_id", text="text", keep_
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     spec = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if keep_ids else "")
-    return small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, spec)
+    return small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(tidy(run), spec)
 
 
 def decode_ids(ids: bytes, file: str) -> str:

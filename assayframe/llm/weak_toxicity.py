@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayframe.llm.batches import crc_fold, sliced, small_batches, texts_of
+from assayframe.llm.batches import crc_fold, sliced, small_batches, texts_of, tidy
 from assayframe.sources.storage import write_shared
 
 # The bound of the labelled sample, per class.
@@ -166,7 +166,7 @@ def evidence(sample: DataFrame) -> DataFrame:
                 names=["doc_id", "words", "patterns", "toxic"],
             )
 
-    rows = small_batches(sample).select("doc_id", "text", "toxic").mapInArrow(gather, "doc_id long, words array<string>, patterns array<int>, toxic int")
+    rows = small_batches(sample).select("doc_id", "text", "toxic").mapInArrow(tidy(gather), "doc_id long, words array<string>, patterns array<int>, toxic int")
     # The words are sorted and hold no blank, so equal digests are equal sets: a copied text is no evidence on its own.
     rows = rows.groupBy(F.sha2(F.array_join("words", " "), 256).alias("digest"), "toxic").agg(F.min(F.struct("doc_id", "patterns", "words")).alias("least"))
     return rows.select("least.words", "least.patterns", "toxic")
@@ -194,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", toxic=
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     if not n0 or not n1:
         return Classifier({}, -40.0)
-    counted = rows.mapInArrow(count, "form string, clean long, toxic long").groupBy("form").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counted = rows.mapInArrow(tidy(count), "form string, clean long, toxic long").groupBy("form").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     lift = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("clean") + 0.5) / (n0 + 1))
     ranked = counted.where((F.col("toxic") >= 4) & (lift > 1.6)).withColumn("merit", lift * F.sqrt("toxic"))
     ranked = ranked.orderBy(F.desc("merit"), F.length("form"), "form").limit(MOST_FEATURES).select("form", "clean", "toxic").collect()
@@ -207,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", toxic=
             held = [sorted({place[f] for w in words for f in forms(w) if f in place}) for words in batch.column("words").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.int32())), batch.column("patterns"), batch.column("toxic")], names=["held", "patterns", "toxic"])
 
-    collected = rows.mapInArrow(present, "held array<int>, patterns array<int>, toxic int").collect()
+    collected = rows.mapInArrow(tidy(present), "held array<int>, patterns array<int>, toxic int").collect()
     collected.sort(key=lambda row: (row["toxic"], row["held"], row["patterns"]))
     x = np.zeros((len(collected), len(names)), np.float32)
     marks = np.zeros((len(collected), len(PATTERNS)))
@@ -233,7 +233,7 @@ def score(docs: DataFrame, classifier: Classifier, doc_id="doc_id", text="text")
             )
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return small_batches(rows).mapInArrow(run, "doc_id long, score double")
+    return small_batches(rows).mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, classifier: Classifier, text="text", threshold: float = 0.7) -> DataFrame:
@@ -245,7 +245,7 @@ def keep_clean(docs: DataFrame, classifier: Classifier, text="text", threshold:
         for batch in sliced(batches, text):
             yield batch.filter(pa.array([engine.score(value) < threshold for value in texts_of(batch.column(text))], pa.bool_()))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(tidy(run), docs.schema)
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, held_out=(3, 1), **names) -> DataFrame:
