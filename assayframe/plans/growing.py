@@ -15,6 +15,7 @@ from assayframe.plans.runs import METRICS_SQL, run_metrics
 from assayframe.plans.tables import LOG, candidates, event_log, lookups, row_bound, table
 from assayframe.sources import caches
 from assayframe.sources.bucketed import write_bucketed
+from assayframe.sources.layout import write_clustered
 from assayframe.sources.storage import shared_folder, write_shared
 from assayframe.streaming import runs
 
@@ -261,3 +262,33 @@ def evaluate_status_bucketed(spark, sf_dir):
     bound = lookup.lookup_bound(spark, sf_dir)
     held = write_bucketed(candidates(spark, sf_dir), scratch(spark, "candidates"), "candidate_id", _CANDIDATE_BUCKETS)
     return rounded(lookup.answered_status(lookups(spark, sf_dir, bound), held))
+
+
+_CLUSTERED_ROWS = 1_000_000  # rows of a file of the clustered copy
+
+
+@query(
+    "clustered_windows",
+    """WITH bounds AS (SELECT max(l_partkey) AS most FROM lineitem),
+w AS (SELECT 'key' AS "window", l_returnflag, l_extendedprice FROM lineitem, bounds WHERE l_partkey BETWEEN most * 0.40 AND most * 0.45
+UNION ALL SELECT 'value', l_returnflag, l_extendedprice FROM lineitem WHERE l_extendedprice BETWEEN 30000 AND 33000
+UNION ALL SELECT 'both', l_returnflag, l_extendedprice FROM lineitem, bounds
+WHERE l_partkey BETWEEN most * 0.40 AND most * 0.45 AND l_extendedprice BETWEEN 30000 AND 33000)
+SELECT "window", l_returnflag, count(*) AS n_rows, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents,
+       min(l_extendedprice) AS least, max(l_extendedprice) AS most FROM w GROUP BY ALL""",
+)
+def clustered_windows(spark, sf_dir):
+    """Rows per flag in a window of keys, a window of values and both, from a copy of the lines clustered on key and value."""
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_extendedprice", "l_returnflag")
+    size = lines.agg(F.count(F.lit(1)).alias("n"), F.max("l_partkey").alias("most")).first()
+    files = max(1, -(-size["n"] // _CLUSTERED_ROWS))
+    held = write_clustered(lines, scratch(spark, "clustered"), ["l_partkey", "l_extendedprice"], files)
+    # Whole bounds, so that the column is compared as it is stored and the condition reaches the scan.
+    low, high = -(-(size["most"] or 0) * 40 // 100), (size["most"] or 0) * 45 // 100
+    by_key, by_value = F.col("l_partkey").between(low, high), F.col("l_extendedprice").between(30000.0, 33000.0)
+    windows = [held.where(chosen).withColumn("window", F.lit(name)) for name, chosen in (("key", by_key), ("value", by_value), ("both", by_key & by_value))]
+    cents = F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents")
+    value = F.col("l_extendedprice")
+    return windows[0].union(windows[1]).union(windows[2]).groupBy("window", "l_returnflag").agg(
+        F.count(F.lit(1)).alias("n_rows"), cents, F.min(value).alias("least"), F.max(value).alias("most")
+    )
