@@ -131,10 +131,13 @@ def hits(picks: DataFrame, references: DataFrame, keys: Sequence[str], sign: Col
     """Per beam and population: feasible picks at least as good as each threshold.
 
     ``picks`` already carries the population key columns (one row per
-    population it is reported against).
+    population it is reported against).  Populations shared by all runs are a
+    short, given list, so their thresholds travel to the picks: a join by
+    population would put all picks of one into one task.
     """
     good = picks.where(F.coalesce("feasible", F.lit(False)) & F.col("objective").isNotNull())
-    joined = good.join(references.select(*keys, *TOP_DIVISORS), list(keys))
+    marks = references.select(*keys, *TOP_DIVISORS)
+    joined = good.join(marks if "run_id" in keys else F.broadcast(marks), list(keys))
     group = [*BEAM, *[key for key in keys if key not in BEAM]]
     return joined.groupBy(*group).agg(
         *[F.count_if(sign * F.col("objective") >= sign * F.col(name)).alias(f"hits_{name}") for name in TOP_DIVISORS]
