@@ -48,7 +48,8 @@ def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
     Files count in the order of their paths.  Parquet tells the place of a row
     in its file.  For other formats the blocks of a file count by their start,
     and the place inside a block is that of the scan.  One row per file or block
-    is aggregated for the offsets; the rows themselves never move.
+    is aggregated for the offsets, and they are broadcast, as the driver lists
+    the files anyway: the rows themselves never move, and no file is one task's.
     """
     try:
         tagged = df.withColumns({"_file": F.col("_metadata.file_path"), "_start": F.lit(0).cast("long"), "_id": F.col("_metadata.row_index")})
@@ -59,7 +60,7 @@ def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
     blocks = tagged.groupBy("_file", "_start").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
     before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)  # one row per file or block
     offsets = blocks.select("_file", "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    indexed = tagged.join(offsets, ["_file", "_start"])
+    indexed = tagged.join(F.broadcast(offsets), ["_file", "_start"])
     return indexed.withColumn(name, F.col("_offset") + F.col("_id") - F.col("_first")).drop("_file", "_start", "_id", "_offset", "_first")
 
 
