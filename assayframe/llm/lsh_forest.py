@@ -10,6 +10,10 @@ large, each node is paired with its next neighbours in every order.  A sketch
 of the whole signature drops pairs that cannot reach the similarity (five
 standard deviations below it).
 
+What a dense region leaves out is found exactly: all nodes that ever stood in
+one are joined by the rarest shingles of their whole sets (a prefix filter with
+sizes and positions), as far as they are not in one component yet.
+
 Candidates are confirmed on whole shingle sets, in three rounds, so that a
 large group is joined by about one comparison per node instead of all pairs:
 each node's best candidate first, then the best between each two components,
@@ -43,6 +47,8 @@ REGION = 24  # nodes of a region of which all pairs are candidates
 NEIGHBOURS = 3  # next nodes in an order that a node of a dense region is paired with
 ORDER_ROWS = 40_000  # rows of a sorted order that one task holds
 CACHE_WORDS = 150_000
+ORDER_SLOTS = 1 << 20  # counters that put shingles in an order from rare to frequent
+BLOCK = 512  # rows of one shingle that a task joins with the others
 SLOTS = 1 << 22  # bits of the filter that spares texts of documents without a candidate a shuffle
 DEVIATIONS = 5.0
 
@@ -141,14 +147,24 @@ def _leaves(prefix: np.ndarray, start: int, stop: int, depth: int):
         yield from _leaves(prefix, a, b, depth + 1)
 
 
-def neighbours(prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of candidates in a sorted order."""
+def _regions(prefix: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches of a sorted order that share a prefix of ``SHALLOW`` values."""
     if len(prefix) < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return []
     joined = (prefix[1:, :SHALLOW] == prefix[:-1, :SHALLOW]).all(axis=1)
     edges = np.flatnonzero(np.diff(np.r_[0, joined.astype(np.int8), 0]))
+    return list(zip(edges[::2].tolist(), (edges[1::2] + 1).tolist(), strict=True))
+
+
+def crowded(prefix: np.ndarray) -> list[int]:
+    """Indexes in dense regions, of which not all pairs are candidates."""
+    return [at for start, stop in _regions(prefix) if stop - start > REGION for at in range(start, stop)]
+
+
+def neighbours(prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of candidates in a sorted order."""
     left, right = [], []
-    for start, stop in zip(edges[::2].tolist(), (edges[1::2] + 1).tolist(), strict=True):
+    for start, stop in _regions(prefix):
         if stop - start > REGION:
             for step in range(1, NEIGHBOURS + 1):
                 left.append(np.arange(start, stop - step))
@@ -174,8 +190,8 @@ def _candidates(nodes: list[bytes], prefix: np.ndarray, sketch: np.ndarray, leas
                 yield min(nodes[a], nodes[b]), max(nodes[a], nodes[b]), m
 
 
-def candidate_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, matches): candidate pairs of nodes, each once."""
+def candidate_pairs(nodes: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(a, b, matches): candidate pairs of nodes, each once; and the nodes that stood in a dense region."""
     least = least_matches(similarity)
     count = nodes.count()
     tasks = max(1, math.ceil(count * TREES / ORDER_ROWS))
@@ -214,9 +230,11 @@ def candidate_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
         names, prefixes = whole.column("node").to_pylist(), whole.column("prefix").to_pylist()
         sketch = np.frombuffer(b"".join(whole.column("sketch").to_pylist()), np.uint8).reshape(len(names), -1)
         prefix = np.frombuffer(b"".join(prefixes), ">u4").astype(np.uint32).reshape(len(names), DEPTH)
-        cuts = np.flatnonzero(np.diff(trees)) + 1
+        cuts, dense = np.flatnonzero(np.diff(trees)) + 1, set()
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(names)], strict=True):
             yield rows(_candidates(names[a:b], prefix[a:b], sketch[a:b], least), [])
+            dense.update(names[a + at] for at in crowded(prefix[a:b]))
+        yield rows([(node, None, 0) for node in dense], [])
         kept = set()
         for end, step in ((0, 1), (len(names) - 1, -1)):
             at = end
@@ -232,13 +250,89 @@ def candidate_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
         prefix = np.frombuffer(b"".join(frame["prefix"]), ">u4").astype(np.uint32).reshape(len(frame), DEPTH)
         import pandas as pd
 
-        return pd.DataFrame(list(_candidates(list(frame["a"]), prefix, sketch, least)), columns=["a", "b", "matches"])
+        names = list(frame["a"])
+        dense = [(names[at], None, 0) for at in crowded(prefix)]
+        return pd.DataFrame([*_candidates(names, prefix, sketch, least), *dense], columns=["a", "b", "matches"])
 
     ordered = nodes.select("node", "signature").mapInArrow(tidy(spread), "tree int, prefix binary, node binary, sketch binary")
     ordered = ordered.repartitionByRange(tasks, "tree", "prefix", "node").sortWithinPartitions("tree", "prefix", "node")
     found = write_shared(ordered.mapInArrow(tidy(forest), spec), "forest")
     ends = found.where("tree IS NOT NULL").groupBy("tree").applyInPandas(at_cuts, "a binary, b binary, matches long")
-    return found.where("tree IS NULL").select("a", "b", "matches").union(ends).groupBy("a", "b").agg(F.max("matches").alias("matches"))
+    every = found.where("tree IS NULL").select("a", "b", "matches").union(ends).groupBy("a", "b").agg(F.max("matches").alias("matches"))
+    every = write_shared(every, "pairs")
+    return every.where("b IS NOT NULL"), every.where("b IS NULL").select(F.col("a").alias("node"))
+
+
+def _rank_slots(values: np.ndarray) -> np.ndarray:
+    return (values & np.uint64(ORDER_SLOTS - 1)).astype(np.int64)
+
+
+def shingle_counts(texts: DataFrame) -> np.ndarray:
+    """About how many of the texts hold a shingle, in ``ORDER_SLOTS`` counters.  It decides an order only."""
+
+    def run(batches):
+        hashes = WordHashes()
+        for batch in sliced(batches, "text"):
+            sets = [shingles(value, hashes) for value in texts_of(batch.column("text"))]
+            if sets:
+                slots, n = np.unique(_rank_slots(np.concatenate(sets)), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(n.astype(np.int64))], names=["slot", "n"])
+
+    counted = small_batches(texts.select("text")).mapInArrow(tidy(run), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    filled = np.zeros(ORDER_SLOTS, np.int64)
+    table = counted.toArrow()
+    filled[table.column("slot").to_numpy()] = table.column("n").to_numpy()
+    return filled
+
+
+def rare_shingles(texts: DataFrame, percent: int) -> DataFrame:
+    """(node, size, token, pos, short): the rarest shingles of each set, so many that two similar sets share one.
+
+    Of two sets the larger one needs all rows, the smaller one those with ``short``.
+    """
+    held = texts.sparkSession.sparkContext.broadcast(shingle_counts(texts))
+    spec = "node binary, size long, token long, pos long, short boolean"
+
+    def run(batches):
+        hashes = WordHashes()
+        for batch in sliced(batches, "text"):
+            columns = [[], [], [], [], []]
+            for node, value in zip(batch.column("node").to_pylist(), texts_of(batch.column("text")), strict=True):
+                every = shingles(value, hashes)
+                size = len(every)
+                probe = size - -(-percent * size // 100) + 1
+                index = size - -(-2 * percent * size // (100 + percent)) + 1
+                chosen = every[np.lexsort((every, held.value[_rank_slots(every)]))[:probe]]
+                for column, part in zip(columns, ([node] * len(chosen), [size] * len(chosen), chosen.view(np.int64).tolist(), range(len(chosen)), [at < index for at in range(len(chosen))]), strict=True):
+                    column.extend(part)
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=["node", "size", "token", "pos", "short"])
+
+    return write_shared(small_batches(texts.select("node", "text")).mapInArrow(tidy(run), spec), "rare-shingles")
+
+
+def prefix_pairs(rare: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """(a, b, matches): every pair in different components that can reach the similarity, by an exact prefix filter.
+
+    A shingle that all its nodes' components have in common tells nothing new and
+    goes at once.  Rows of a frequent one are dealt out in blocks.
+    """
+    named = known.select(F.col("node").alias("_node"), "root")
+    rows = rare.join(named, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "node")).drop("_node")
+    rows = write_shared(rows, "rare-rooted")
+    several = rows.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("_low"), F.max("root").alias("_high"))
+    several = several.where("_low <> _high").select("token", F.floor(F.col("n") / BLOCK).cast("int").alias("last"))
+    rows = rows.join(several, "token")
+    probe = rows.select("token", F.explode(F.sequence(F.lit(0), "last")).alias("block"), *[F.col(name).alias(f"{name}_a") for name in ("node", "size", "pos", "root")])
+    index = rows.where("short").select(
+        "token", F.pmod(F.hash("node"), F.col("last") + 1).alias("block"), *[F.col(name).alias(f"{name}_b") for name in ("node", "size", "pos", "root")]
+    )
+    larger = F.struct("size_b", "node_b") < F.struct("size_a", "node_a")
+    rest = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
+    can = (rest * (100 + percent) >= percent * (F.col("size_a") + F.col("size_b"))) & (100 * F.col("size_b") >= percent * F.col("size_a"))
+    met = probe.join(index, ["token", "block"]).where((F.col("root_a") != F.col("root_b")) & larger & can)
+    pairs = met.groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).agg(F.count("*").alias("matches"))
+    return write_shared(pairs, "prefix-pairs")
 
 
 def bit_filter(ids: DataFrame, name: str) -> np.ndarray:
@@ -269,13 +363,12 @@ def sift(rows: DataFrame, name: str, filled: np.ndarray, hit: bool = True) -> Da
     return marked.mapInArrow(tidy(run), marked.schema).drop("_slot")
 
 
-def texts_of_nodes(docs: DataFrame, signed: DataFrame, pairs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(node, text): the text of one document of every node that a candidate pair names.
+def texts_of_nodes(docs: DataFrame, signed: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(node, text): the text of one document of every wanted node.
 
     A bit filter of the document ids keeps most other texts from being
     shuffled; the join after it is exact.
     """
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     chosen = signed.groupBy("node").agg(F.min("doc_id").alias("_doc_id")).join(wanted, "node")
     chosen = write_shared(chosen, "chosen")
     rows = docs.select(F.col(doc_id).cast("long").alias("_doc_id"), F.col(text).cast("string").alias("text"))
@@ -320,17 +413,27 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 def links(docs: DataFrame, signed: DataFrame, similarity_percent: int, doc_id: str, text: str) -> DataFrame | None:
     """Confirmed links (a, b) between nodes that join every component; None where there is no candidate."""
     nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("signature").alias("signature"))
-    pairs = write_shared(candidate_pairs(nodes, similarity_percent / 100), "pairs")
-    if pairs.isEmpty():
+    pairs, dense = candidate_pairs(nodes, similarity_percent / 100)
+    if pairs.isEmpty() and dense.isEmpty():
         return None
-    texts = texts_of_nodes(docs, signed, pairs, doc_id, text)
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(dense).distinct()
+    texts = texts_of_nodes(docs, signed, wanted, doc_id, text)
     # Round one: the best candidate of every node.
     best = pairs.select("a", "b", "matches", F.explode(F.array("a", "b")).alias("of")).groupBy("of").agg(
         F.max_by(F.struct("a", "b"), F.struct("matches", "a", "b")).alias("p")
     )
     tried = write_shared(best.select("p.a", "p.b").distinct(), "tried")
-    found = confirm(tried, texts, similarity_percent)
-    # Round two: the best candidate between each two components; round three: every other that joins two components.
+    found = _join_rest(pairs, tried, confirm(tried, texts, similarity_percent), texts, similarity_percent)
+    if dense.isEmpty():
+        return found
+    # The pairs that dense regions left out, as far as they would join two components.
+    rare = rare_shingles(texts.join(dense, "node", "left_semi"), similarity_percent)
+    known = write_shared(components(found), "components")
+    return _join_rest(prefix_pairs(rare, known, similarity_percent), tried, found, texts, similarity_percent)
+
+
+def _join_rest(pairs: DataFrame, tried: DataFrame, found: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The links found so far, and those of the untried pairs that join two components: first the best between each two, then every other."""
     for only_best in (True, False):
         left = _across(pairs.join(tried, ["a", "b"], "left_anti"), found)
         if only_best:
@@ -339,7 +442,7 @@ def links(docs: DataFrame, signed: DataFrame, similarity_percent: int, doc_id: s
         if left.isEmpty():
             break
         tried = tried.union(left)
-        found = found.union(confirm(left, texts, similarity_percent))
+        found = found.union(confirm(left, texts, percent))
     return found
 
 

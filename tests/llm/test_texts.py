@@ -330,3 +330,27 @@ def test_bits_of_all_words_are_a_distribution():
     final = (mixed + model.refined[bits.node, context_mixing.step_of(stretched)]) / 2
     chance = np.where(bits.value > 0, final, 1 - final).reshape(256, 4, 8)[:, 2].prod(axis=1)
     assert math.isclose(chance.sum(), 1.0, rel_tol=1e-5)
+
+
+def test_dense_family_loses_no_link(spark):
+    """Texts of one template, too different from each other to be linked, and some with one partner each."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(220)]
+
+    def changed(words, places, mark):
+        words = list(words)
+        for place in places:
+            words[place] = f"{mark}.{place}"
+        return words
+
+    rows, expected = [], {}
+    for i in range(2_400):
+        places = rng.sample(range(5, 215, 5), 7)
+        mine = changed(base, places[:4], f"x{i}")
+        rows.append((i, " ".join(mine)))
+        expected[i] = i
+        if i % 4 == 0:
+            rows.append((10_000 + i, " ".join(changed(mine, places[4:], f"y{i}"))))
+            expected[10_000 + i] = i
+    found = lsh_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 85).collect()
+    assert {row["doc_id"]: row["component_id"] for row in found} == expected
