@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayframe.functions.columns import CANDIDATE_ID_PATTERN, exact_sum, matches, spread_if_replicated
-from assayframe.operators.scale import fits_one_task, position_chunk, running, split_by_group_size
+from assayframe.operators.scale import fits_one_map, fits_one_task, position_chunk, running, split_by_group_size
 from assayframe.sources.registry import Registry
 from assayframe.sources.storage import cut_lineage
 
@@ -102,19 +102,22 @@ def answer(
 
 
 def flag_cached(
-    answered: DataFrame, *, preloaded: DataFrame | None = None, asked: DataFrame | None = None, rows_bound: int | None = None
+    answered: DataFrame, *, preloaded: DataFrame | None = None, asked: DataFrame | None = None, rows_bound: int | None = None,
+    by_candidate: bool = False,
 ) -> DataFrame:
     """Add ``cached``: the pair was answered ok or missing in an earlier request of its run.
 
     ``preloaded`` (``run_id, candidate_id, property``) counts as answered before
     the first request.  ``asked`` may hold the same lookups without answers when
     a pair gets the same answer every time; it spares answering them twice.
-    ``rows_bound`` bounds the rows of one candidate of one run.
+    ``rows_bound`` bounds the rows of one candidate of one run.  With
+    ``by_candidate`` it bounds those of one candidate, whose rows lie together.
     """
     cacheable = F.when(F.col("status").isin(*CACHEABLE), F.col("request_seq"))
     if preloaded is None and fits_one_task(rows_bound):
         first = F.min(cacheable).over(Window.partitionBy(*PAIR))
-        together = answered.repartition("run_id", "candidate_id")  # serves this window and the charge window
+        # Either partitioning serves this window and the charge window.
+        together = answered if by_candidate else answered.repartition("run_id", "candidate_id")
         return together.withColumn("cached", F.coalesce(first < F.col("request_seq"), F.lit(False)))
     tried = answered.where(cacheable.isNotNull()) if asked is None else asked
     firsts = tried.select(*PAIR, "request_seq", F.lit(False).alias("_before"))
@@ -159,24 +162,29 @@ def charge(flagged: DataFrame, *, rows_bound: int | None = None) -> DataFrame:
 
 def evaluate(
     lookups: DataFrame, candidates: DataFrame, registry: Registry, *, preloaded: DataFrame | None = None,
-    rows_bound: int | None = None, hot_rows: int | None = None, **backend: str,
+    rows_bound: int | None = None, candidate_bound: int | None = None, hot_rows: int | None = None, **backend: str,
 ) -> DataFrame:
     """Answers with cache flags and costs, in no particular order (see ``response_order``).
 
     A ``preloaded`` cache that holds whole answers also replaces the fresh ones.
     Candidates a run asks for seldom settle in one shuffle; those it asks for
     more than ``hot_rows`` times (normally ``HOT_ROWS``) settle by aggregates.
+    ``candidate_bound`` bounds the lookups of one candidate in all runs; where it
+    is small, ``lookups`` should come partitioned by candidate, and then nothing
+    is counted and no lookup moves again.
     """
 
-    def settle(asked: DataFrame, bound: int | None) -> DataFrame:
+    def settle(asked: DataFrame, bound: int | None, by_candidate: bool = False) -> DataFrame:
         answered = answer(asked, candidates, registry, **backend)
         if preloaded is not None and set(STORED) <= set(preloaded.columns):
             answered = with_stored_answers(answered, preloaded)
-        flagged = flag_cached(answered, preloaded=preloaded, asked=asked, rows_bound=bound)
+        flagged = flag_cached(answered, preloaded=preloaded, asked=asked, rows_bound=bound, by_candidate=by_candidate)
         return charge(flagged, rows_bound=bound)
 
     if fits_one_task(rows_bound):
         return settle(lookups, rows_bound)
+    if fits_one_map(candidate_bound):
+        return settle(lookups, 0, by_candidate=True)
     calm, hot = split_by_group_size(lookups, ["run_id", "candidate_id"], hot_rows)
     parts = ([] if calm is None else [settle(calm, 0)]) + ([] if hot is None else [settle(hot, None)])
     return reduce(DataFrame.unionByName, parts)

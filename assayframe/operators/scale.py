@@ -317,14 +317,15 @@ class Split(NamedTuple):
     hot: DataFrame | None
 
 
-def split_by_group_size(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> Split:
+def split_by_group_size(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None, *, sized: DataFrame | None = None) -> Split:
     """Tell groups of more than ``hot_rows`` rows from the rest, by one narrow count.
 
-    The large groups are named in a broadcast, which their number allows: there
+    ``sized`` may stand in for ``df`` in the count: rows with the same keys that
+    are cheaper to read and at least as many per group.  The large groups are named in a broadcast, which their number allows: there
     are at most ``MOST_HOT_GROUPS``, or else all rows count as hot.
     """
     limit = HOT_ROWS if hot_rows is None else hot_rows
-    sizes = df.groupBy(*[F.col(key).alias(f"_hot_{key}") for key in keys]).agg(F.count("*").alias("_n"))
+    sizes = (df if sized is None else sized).groupBy(*[F.col(key).alias(f"_hot_{key}") for key in keys]).agg(F.count("*").alias("_n"))
     large = cut_lineage(sizes.where(F.col("_n") > limit).drop("_n"))
     n = large.count()
     if n == 0:
@@ -336,6 +337,18 @@ def split_by_group_size(df: DataFrame, keys: Sequence[str], hot_rows: int | None
     return Split(df.join(named, same, "left_anti"), df.join(named, same, "left_semi"))
 
 
+def running_by_size(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], measures: Mapping[str, tuple[str, Column]], *, chunk: Column,
+    rows_bound: int | None, sized: DataFrame | None = None,
+) -> DataFrame:
+    """``running`` for keys of any size: one window a key, chunks only for the keys that a count finds large."""
+    if fits_one_task(rows_bound):
+        return running(df, keys, order, measures, chunk=None)
+    calm, hot = split_by_group_size(df, keys, sized=sized)
+    parts = [running(part, keys, order, measures, chunk=how) for part, how in ((calm, None), (hot, chunk)) if part is not None]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def group_quantiles(
     df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, float]], *, rows_bound: int | None = None,
     hot_rows: int | None = None,

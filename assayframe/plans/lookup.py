@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from assayframe.functions.columns import format_timestamp, make_run_id, parse_timestamp
 from assayframe.operators import lookups as ops
 from assayframe.operators.backends import python_backend
-from assayframe.operators.scale import fits_one_task, running
+from assayframe.operators.scale import fits_one_map, fits_one_task, running_by_size
 from assayframe.plans.registering import Shelf
 from assayframe.plans.rounding import rounded
 from assayframe.plans.tables import (
@@ -30,9 +29,16 @@ def lookup_bound(spark, sf_dir) -> int:
     return 3 * row_bound(spark, sf_dir, "lineitem")
 
 
+def candidate_bound(spark, sf_dir) -> int:
+    """The most lookups of any one candidate, over all runs: its lines times the most properties a line asks for."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"))
+    return 3 * (lines.agg(F.max("n")).first()[0] or 0)
+
+
 def lookup_results(spark, sf_dir, bound, hot_rows=None):
-    asked = lookups(spark, sf_dir, bound)
-    return ops.evaluate(asked, candidates(spark, sf_dir), SERVED, rows_bound=bound, hot_rows=hot_rows, **FACTS)
+    most = None if hot_rows is not None or fits_one_task(bound) else candidate_bound(spark, sf_dir)
+    asked = lookups(spark, sf_dir, bound, by_candidate=fits_one_map(most))
+    return ops.evaluate(asked, candidates(spark, sf_dir), SERVED, rows_bound=bound, candidate_bound=most, hot_rows=hot_rows, **FACTS)
 
 
 _STATUS_COLUMNS = ["run_id", "request_seq", "entry_pos", "property", "candidate_id", "status", "reason", "value", "unit",
@@ -255,13 +261,14 @@ def response_lines(spark, sf_dir):
     """Answers in response order as canonical lines, written and read back; ``place`` is where a run's lines stand in the files."""
     path = f"{shared_folder(spark).rstrip('/')}/response-{uuid.uuid4().hex}"
     ordered = ops.response_order(lookup_results(spark, sf_dir, lookup_bound(spark, sf_dir)))
-    runlogs.write_json(ordered.select("run_id", "request_seq", "entry_pos", "property", "candidate_id", "status", "reason"), path)
+    runlogs.write_json(ordered.select("run_id", "request_seq", "entry_pos", "property", "candidate_id", "status", "reason"), path, compression="gzip")
     lines = runlogs.read_log_lines(spark, path).select("file", "line", "value", F.get_json_object("value", "$.run_id").cast("long").alias("run_id"))
-    place = Window.partitionBy("run_id").orderBy("file", "line")
-    if fits_one_task(lookup_bound(spark, sf_dir)):
-        numbered = lines.withColumn("place", F.row_number().over(place).cast("long"))
-    else:
-        numbered = running(lines, ["run_id"], ["file", "line"], {"place": ("sum", F.lit(1))}, chunk=F.col("file"))
+    asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("run_id")).join(
+        table(spark, sf_dir, "lineitem").select("l_orderkey", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("_copy")), "l_orderkey"
+    )
+    numbered = running_by_size(
+        lines, ["run_id"], ["file", "line"], {"place": ("sum", F.lit(1))}, chunk=F.col("file"), rows_bound=lookup_bound(spark, sf_dir), sized=asked,
+    )
     return numbered.select("run_id", "place", F.col("value").alias("line"))
 
 

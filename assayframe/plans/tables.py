@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayframe.functions.columns import normalise_label
-from assayframe.operators.scale import fits_one_task, running
+from assayframe.operators.scale import running, running_by_size
 from assayframe.session import tune
 from assayframe.sources.measurements import nans_to_null
 from assayframe.sources.registry import Property, Registry
@@ -142,13 +142,21 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey)
 
 
-def lookups(spark: SparkSession, sf_dir: str, rows_bound: int | None) -> DataFrame:
-    """Orders as requests: a customer is a run, a line an entry, two or three properties per entry."""
-    chunk = None
-    if not fits_one_task(rows_bound):
-        chunk = F.struct("l_linenumber", F.floor(F.col("l_partkey") / 1_000_000))
+def lookups(spark: SparkSession, sf_dir: str, rows_bound: int | None, *, by_candidate: bool = False) -> DataFrame:
+    """Orders as requests: a customer is a run, a line an entry, two or three properties per entry.
+
+    ``by_candidate`` brings the lines of a candidate together before they unfold
+    into lookups, which spares what follows a shuffle of all lookups.
+    """
+    chunk = F.struct("l_linenumber", F.floor(F.col("l_partkey") / 1_000_000))
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
-    placed = running(order_lines(spark, sf_dir), ["l_orderkey"], order, {"place": ("sum", F.lit(1))}, chunk=chunk)
+    # An order is one row, so it has no more rows in the join than lines.
+    placed = running_by_size(
+        order_lines(spark, sf_dir), ["l_orderkey"], order, {"place": ("sum", F.lit(1))}, chunk=chunk, rows_bound=rows_bound,
+        sized=table(spark, sf_dir, "lineitem").select("l_orderkey"),
+    )
+    if by_candidate:
+        placed = placed.select("o_custkey", "o_orderkey", "place", "l_partkey", "l_linestatus").repartition("l_partkey")
     long_list = F.array(F.lit("size"), F.lit("weight"), F.lit("retail"))
     properties = F.when(F.col("l_linestatus") == "F", long_list).otherwise(F.array(F.lit("retail"), F.lit("size")))
     return placed.select(

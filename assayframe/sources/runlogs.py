@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assayframe.functions.columns import is_finite
 from assayframe.functions.strictjson import sorted_json, strict_json
-from assayframe.operators.scale import running
 
 COST = "struct<evals: bigint, cpu_hours: double>"
 RESULT = (
@@ -39,16 +38,19 @@ def read_log_lines(spark: SparkSession, path: str | list[str], *carry: str) -> D
 
     ``carry`` names further members of the file's metadata to keep.
 
-    A long file is read in splits.  A split is one chunk of the numbering, so no
-    task ever holds more of a file than it scanned.
+    A long file is read in splits.  Lines are numbered where they are read; only
+    the number of lines in each split, one row, is shuffled and broadcast.
     """
     meta = F.col("_metadata")
     raw = spark.read.option("lineSep", "\n").text(path).select(
         meta["file_path"].alias("file"), meta["file_size"].alias("file_bytes"),
         meta["file_block_start"].alias("_split"), F.monotonically_increasing_id().alias("_id"), "value", *[meta[name].alias(name) for name in carry],
     )
-    numbered = running(raw, ["file"], ["_id"], {"line": ("sum", F.lit(1))}, chunk=F.col("_split"))
-    return numbered.select("file", "line", "value", "file_bytes", *carry)
+    splits = raw.groupBy(F.col("file").alias("_file"), F.col("_split").alias("_from")).agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    earlier = Window.partitionBy("_file").orderBy("_from").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1)
+    numbered = raw.join(F.broadcast(offsets), (F.col("file") == F.col("_file")) & (F.col("_split") == F.col("_from")))
+    return numbered.select("file", (F.col("_id") + F.col("_offset")).alias("line"), "value", "file_bytes", *carry)
 
 
 def parse_log(lines: DataFrame) -> DataFrame:
@@ -107,6 +109,6 @@ def write_results_csv(metrics: DataFrame, path: str) -> None:
     metrics.withColumns(checked).write.mode("overwrite").option("header", True).option("nullValue", "").csv(path)
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    """One compact, key-sorted JSON object per row."""
-    df.select(sorted_json({name: F.col(name) for name in df.columns}).alias("value")).write.mode("overwrite").text(path)
+def write_json(df: DataFrame, path: str, *, compression: str = "none") -> None:
+    """One compact, key-sorted JSON object per row; a compressed file is read by one task."""
+    df.select(sorted_json({name: F.col(name) for name in df.columns}).alias("value")).write.mode("overwrite").option("compression", compression).text(path)

@@ -8,8 +8,9 @@ import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
-from assayframe.operators import metrics
-from assayframe.sources import measurements
+from assayframe.operators import lookups, metrics, scale
+from assayframe.plans.tables import SERVED
+from assayframe.sources import measurements, runlogs
 
 
 def plan_of(df) -> str:
@@ -53,3 +54,49 @@ def test_row_index_moves_no_row(spark, tmp_path, large_joins):
     indexed = measurements.with_row_index(spark.read.parquet(str(tmp_path / "t")))
     assert "SortMergeJoin" not in plan_of(indexed) and "BroadcastHashJoin" in plan_of(indexed)
     assert sorted(row["row_index"] for row in indexed.collect()) == list(range(100))
+
+
+def test_log_lines_are_numbered_where_they_are_read(spark, tmp_path, large_joins):
+    spark.range(0, 500, 1, 3).selectExpr("concat('line ', id) AS value").write.text(str(tmp_path / "log"))
+    with set_to(spark, spark__sql__files__maxPartitionBytes="600", spark__sql__files__openCostInBytes="1"):
+        lines = runlogs.read_log_lines(spark, str(tmp_path / "log"))
+        assert "SortMergeJoin" not in plan_of(lines) and "BroadcastHashJoin" in plan_of(lines)
+        found = {(row["file"].rsplit("/", 1)[1], row["line"]): row["value"] for row in lines.collect()}
+    files = sorted((tmp_path / "log").glob("part-*"))
+    assert found == {(file.name, n): text for file in files for n, text in enumerate(file.read_text().splitlines(), 1)}
+
+
+def _asked(spark):
+    """Lookups of 40 requests; one candidate is in every request, some come twice in one."""
+    rows = [
+        (seq % 3, seq, entry, at, candidate, prop)
+        for seq in range(40) for entry, candidate in enumerate((0, seq % 7, seq % 2)) for at, prop in enumerate(("retail", "size", "weight"))
+    ]
+    return spark.createDataFrame(rows, "run_id long, request_seq long, entry_pos int, prop_pos int, candidate_id long, property string")
+
+
+def test_few_lookups_a_candidate_need_no_second_shuffle(spark, large_joins):
+    parts = spark.range(6).selectExpr(
+        "id AS candidate_id", "IF(id = 2, NULL, id * 1.5D) AS retail_median", "2L AS retail_n", "0.5D AS retail_std",
+        "id * 2D AS size_median", "1L AS size_n", "0D AS size_std",
+    )
+    asked = _asked(spark)
+    by_candidate = lookups.evaluate(asked.repartition(4, "candidate_id"), parts, SERVED, candidate_bound=300)
+    counted = lookups.evaluate(asked, parts, SERVED, hot_rows=2)
+    assert "Exchange hashpartitioning(run_id" not in plan_of(by_candidate)
+    assert sorted(map(str, rows_of(by_candidate))) == sorted(map(str, rows_of(counted)))
+
+
+@pytest.mark.parametrize("hot", [2, 10, 1_000])
+def test_running_by_size(spark, monkeypatch, hot):
+    monkeypatch.setattr(scale, "HOT_ROWS", hot)
+    rows = spark.range(60).selectExpr("IF(id % 3 = 0, 0, id % 20) AS key", "id AS at")
+    found = scale.running_by_size(rows, ["key"], ["at"], {"place": ("sum", F.lit(1))}, chunk=F.floor(F.col("at") / 7), rows_bound=None)
+    if hot == 1_000:
+        assert "Join" not in plan_of(found)  # no key is large, so nothing is stitched together
+    expected, seen = set(), {}
+    for at in range(60):
+        key = 0 if at % 3 == 0 else at % 20
+        seen[key] = seen.get(key, 0) + 1
+        expected.add((key, at, seen[key]))
+    assert set(rows_of(found.select("key", "at", "place"))) == expected
