@@ -13,21 +13,26 @@ later than the watermark allows and counts them in the query's progress.
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from assayframe.operators.logchecks import ITERATION_CLOSED, ITERATION_OPENED, RUN_CLOSED, RUN_LEVEL, RUN_OPENED, event_key
 
 VIOLATION = "run_id string, seq long, rule string, detail string"
-# What a run remembers: the events folded so far and the last of each kind that matters.
+# What a run remembers, read and written at once: the events folded so far and the last of each kind that matters, its latest
+# stamp, the timer that it relies on, a few waiting lines and event counts, whether more lines are listed, how many counts
+# are stored beside it and by how many bits of their hash.
 FOLDED = "n long, previous string, mark_event string, mark_iteration long, close_iteration long"
+HELD = f"{FOLDED}, last_stamp long, timer long, lines string, counts string, listed boolean, stored long, bits int"
 WAITING = "seq long, stamp long, iteration long, event string"
-SEEN = "n long, seq long"
+# Lines or counts that are kept in the value itself or in one part of the stored counts, and counts a call gathers before it stores them.
+PACKED, GATHERED = 512, 100_000
 STORE_SETTING, STORE = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -63,62 +68,148 @@ class Fold:
             self.close_iteration = iteration
 
 
+class Held:
+    """What a run remembers between two calls; ``fold`` has the counters as ``Fold`` takes them."""
+
+    def __init__(self, row: tuple | None) -> None:
+        self.fold = tuple(row[:5]) if row else None
+        self.last, self.timer, lines, counts, listed, stored, bits = row[5:] if row else (None, None, "[]", "{}", False, 0, 0)
+        self.lines, self.counts = [tuple(line) for line in json.loads(lines)], {name: tuple(count) for name, count in json.loads(counts).items()}
+        self.listed, self.stored, self.bits = listed, stored, bits
+
+    def row(self) -> tuple:
+        fold = self.fold or (0, None, None, None, None)
+        return (*fold, self.last, self.timer, json.dumps(self.lines), json.dumps(self.counts), self.listed, self.stored, self.bits)
+
+
+def merged(one: tuple[int, int] | None, other: tuple[int, int]) -> tuple[int, int]:
+    """(count, latest seq) of one event key from two shares of its lines."""
+    return other if one is None else (one[0] + other[0], max(one[1], other[1]))
+
+
+def part_of(name: str, bits: int) -> int:
+    """The part that an event key is stored in: the first bits of its hash."""
+    return zlib.crc32(name.encode()) >> 32 - bits
+
+
 class RunChecks(StatefulProcessor):
-    """One state per run: the fold, the lines that wait for the watermark, and the counts of event keys."""
+    """One state per run: the fold, the lines that wait for the watermark, and the counts of event keys.
+
+    A run with few lines is one value, read once and written once a call.  Lines
+    beyond ``PACKED`` go to a list; counts beyond it to parts by the hash of the
+    event key, which are cut in four as they fill, so a call holds one part.
+    """
 
     def __init__(self, idle_ms: int, first: int) -> None:
         self.idle_ms, self.first = idle_ms, first
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.folded = handle.getValueState("folded", FOLDED)
-        self.last_stamp = handle.getValueState("last_stamp", "stamp long")
+        self.held = handle.getValueState("held", HELD)
         self.waiting = handle.getListState("waiting", WAITING)
-        self.seen = handle.getMapState("seen", "event_key string", SEEN)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        latest = None
-        for part in rows:
-            self.waiting.appendList([
-                (int(seq), int(stamp), None if pd.isna(iteration) else int(iteration), event)
-                for seq, stamp, iteration, event in zip(part["seq"], part["stamp"], part["iteration"], part["event"], strict=True)
-            ])
-            for name, some in part.groupby("event_key")["seq"]:  # one read and one write per key, not per line
-                held = self.seen.getValue((name,)) if self.seen.containsKey((name,)) else (0, 0)
-                self.seen.updateValue((name,), (held[0] + len(some), max(held[1], int(some.max()))))
-            newest = int(part["stamp"].max())
-            latest = newest if latest is None else max(latest, newest)
+        self.seen = handle.getMapState("seen", "bits int, part long", "counts string")
+
+    def _part(self, bits: int, part: int) -> dict[str, tuple[int, int]]:
+        row = self.seen.getValue((bits, part))
+        return {} if row is None else {name: tuple(count) for name, count in json.loads(row[0]).items()}
+
+    def _store_counts(self, state: Held) -> None:
+        """Add the gathered counts to the stored parts, and cut the parts once they are full."""
+        shares: dict[int, dict] = {}
+        for name, count in state.counts.items():
+            shares.setdefault(part_of(name, state.bits), {})[name] = count
+        for part, share in shares.items():
+            known = self._part(state.bits, part)
+            before = len(known)
+            for name, count in share.items():
+                known[name] = merged(known.get(name), count)
+            state.stored += len(known) - before
+            self.seen.updateValue((state.bits, part), (json.dumps(known),))
+        state.counts = {}
+        while state.stored > PACKED << state.bits and state.bits < 32:
+            for part in range(1 << state.bits):
+                finer: dict[int, dict] = {}
+                for name, count in self._part(state.bits, part).items():
+                    finer.setdefault(part_of(name, state.bits + 2), {})[name] = count
+                for place, share in finer.items():
+                    self.seen.updateValue((state.bits + 2, place), (json.dumps(share),))
+                self.seen.removeKey((state.bits, part))
+            state.bits += 2
+
+    def _all_counts(self, state: Held) -> Iterator[dict[str, tuple[int, int]]]:
+        """The counts of all event keys, each key in one dictionary only."""
+        if not state.stored:
+            yield state.counts
+            return
+        self._store_counts(state)
+        for _, (counts,) in self.seen.iterator():
+            yield json.loads(counts)
+
+    def _wait(self, state: Held, lines: list[tuple]) -> None:
+        """Keep lines until the watermark has passed them."""
+        if not state.listed and len(state.lines) + len(lines) <= PACKED:
+            state.lines += lines
+            return
+        self.waiting.appendList(state.lines + lines)
+        state.lines, state.listed = [], True
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        state, latest, lines = Held(self.held.get()), None, []
+        for row in rows:
+            seq, stamp, name = row.seq, row.stamp, row.event_key
+            lines.append((seq, stamp, row.iteration, row.event))
+            if name is not None:
+                state.counts[name] = merged(state.counts.get(name), (1, seq))
+            if latest is None or stamp > latest:
+                latest = stamp
+            if len(lines) > GATHERED:
+                self._wait(state, lines)
+                lines = []
+            if len(state.counts) > GATHERED:
+                self._store_counts(state)
         if latest is not None:
-            self.handle.registerTimer(latest // 1000 + 1)
-            known = self.last_stamp.get()[0] if self.last_stamp.exists() else None
-            if known is None or latest > known:
-                self.last_stamp.update((latest,))
-                self.handle.registerTimer(latest // 1000 + 1 + self.idle_ms)
+            self._wait(state, lines)
+            if len(state.counts) > PACKED:
+                self._store_counts(state)
+            state.last = latest if state.last is None else max(state.last, latest)
+            due = latest // 1000 + 1
+            if state.timer is None or due < state.timer:
+                self.handle.registerTimer(due)
+                state.timer = due
+            self.held.update(state.row())
         yield from ()
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        settled = timerValues.getCurrentWatermarkInMs() * 1000
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        row = self.held.get()
+        if row is None:  # a timer of a run that is sealed already
+            return
+        state, settled = Held(row), timerValues.getCurrentWatermarkInMs() * 1000
         ready, later = [], []
-        for row in self.waiting.get():
-            (ready if row[1] <= settled else later).append(tuple(row))
-        found = []
+        for line in [*state.lines, *(tuple(line) for line in (self.waiting.get() if state.listed else ()))]:
+            (ready if line[1] <= settled else later).append(line)
         if ready:
-            fold = Fold(tuple(self.folded.get()) if self.folded.exists() else None, self.first)
-            for seq, _, iteration, event in sorted(ready, key=lambda row: (row[0], -1 if row[2] is None else row[2], row[3])):
-                found += [(key[0], seq, rule, detail) for rule, detail in fold.step(seq, iteration, event)]
-            self.folded.update(fold.values())
-            if later:
-                self.waiting.put(later)
-            else:
+            fold = Fold(state.fold, self.first)
+            for seq, _, iteration, event in sorted(ready, key=lambda line: (line[0], -1 if line[2] is None else line[2], line[3])):
+                for rule, detail in fold.step(seq, iteration, event):
+                    yield Row(run_id=key[0], seq=seq, rule=rule, detail=detail)
+            state.fold = fold.values()
+            if state.listed:
                 self.waiting.clear()
-        if not later and self.last_stamp.exists() and settled >= self.last_stamp.get()[0] + self.idle_ms * 1000:
-            for name, (count, seq) in self.seen.iterator():
-                if count > 1:
-                    found.append((key[0], seq, "duplicate event", f"{name[0]} x{count}"))
-            for state in (self.folded, self.last_stamp, self.waiting, self.seen):
-                state.clear()
-        if found:
-            yield pd.DataFrame(found, columns=["run_id", "seq", "rule", "detail"])
+            state.lines, state.listed = [], False
+            self._wait(state, later)
+        if not later and settled >= state.last + self.idle_ms * 1000:
+            for counts in self._all_counts(state):
+                for name, (count, seq) in counts.items():
+                    if count > 1:
+                        yield Row(run_id=key[0], seq=seq, rule="duplicate event", detail=f"{name} x{count}")
+            self.held.clear()
+            if state.stored:
+                self.seen.clear()
+        else:
+            if expiredTimerInfo.getExpiryTimeInMs() >= state.timer:  # the one relied on; the next is for the lines left, or else for the silence
+                state.timer = max(line[1] for line in later) // 1000 + 1 if later else state.last // 1000 + 1 + self.idle_ms
+                self.handle.registerTimer(state.timer)
+            self.held.update(state.row())
 
     def close(self) -> None:
         pass
@@ -150,7 +241,7 @@ def run_violations(events: DataFrame, *, delay: str, idle_ms: int, first: int =
         F.col("run_id").cast("string").alias("run_id"), F.col("seq").cast("long").alias("seq"), "ts", F.unix_micros("ts").alias("stamp"),
         F.col("iteration").cast("long").alias("iteration"), F.col("event"), event_key(events).alias("event_key"),
     )
-    return keyed.withWatermark("ts", delay).groupBy("run_id").transformWithStateInPandas(
+    return keyed.withWatermark("ts", delay).groupBy("run_id").transformWithState(
         statefulProcessor=RunChecks(idle_ms, first), outputStructType=VIOLATION, outputMode="Append", timeMode="EventTime"
     )
 

@@ -6,6 +6,7 @@ import datetime
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from assayframe.operators import logchecks
@@ -89,3 +90,66 @@ def test_the_session_keeps_its_state_store(spark):
     with runs.state_store(spark):
         assert spark.conf.get(runs.STORE_SETTING) == runs.STORE
     assert spark.conf.get(runs.STORE_SETTING) == before
+
+
+class Calls:
+    """States in memory that count the calls a run makes, as each one is a round trip."""
+
+    def __init__(self):
+        self.value, self.rows, self.entries, self.timers, self.calls = None, [], {}, set(), 0
+
+    def counted(self):
+        self.calls += 1
+        return self
+
+    def getValueState(self, name, schema):
+        return type("Value", (), {"get": lambda _: self.counted().value, "update": lambda _, row: setattr(self.counted(), "value", row), "clear": lambda _: setattr(self.counted(), "value", None)})()
+
+    def getListState(self, name, schema):
+        return type("List", (), {"get": lambda _: iter(self.counted().rows), "appendList": lambda _, rows: self.counted().rows.extend(rows), "clear": lambda _: self.counted().rows.clear()})()
+
+    def getMapState(self, name, key, value):
+        return type("Map", (), {
+            "getValue": lambda _, key: self.counted().entries.get(key), "updateValue": lambda _, key, row: self.counted().entries.update({key: row}),
+            "removeKey": lambda _, key: self.counted().entries.pop(key, None), "iterator": lambda _: iter(list(self.counted().entries.items())), "clear": lambda _: self.counted().entries.clear(),
+        })()
+
+    def registerTimer(self, due):
+        self.counted().timers.add(due)
+
+
+def through_states(lines, pieces):
+    """(violations, calls, most event keys in one stored part) of one run whose lines come in ``pieces``; the time moves on behind each."""
+    held, checks, found, widest = Calls(), runs.RunChecks(50, 1), [], 0
+    checks.init(held)
+    size = -(-len(lines) // pieces)
+
+    def fire(now):
+        for due in sorted(held.timers):
+            if due <= now:
+                held.timers.remove(due)
+                times = type("T", (), {"getCurrentWatermarkInMs": lambda _: now, "getExpiryTimeInMs": lambda _: due})()
+                found.extend(tuple(row) for row in checks.handleExpiredTimer(("r",), times, times))
+
+    for start in range(0, len(lines), size):
+        part = [Row(seq=seq, stamp=stamp, iteration=iteration, event=event, event_key=key) for seq, stamp, iteration, event, key in lines[start : start + size]]
+        list(checks.handleInputRows(("r",), iter(part), None))
+        widest = max([widest, *(len(runs.json.loads(row[0])) for row in held.entries.values())])
+        fire(part[-1].stamp // 1000 - 5)
+    for now in (10**6, 2 * 10**6):
+        fire(now)
+    assert (held.value, held.rows, held.entries, held.timers) == (None, [], {}, set())
+    return sorted(found), held.calls, widest
+
+
+def test_a_small_run_takes_few_calls_and_a_large_one_small_parts(monkeypatch):
+    lines = [(i + 1, 1000 * i, 1, "evaluation", f"evaluation/1/b/{i % 700}") for i in range(900)]
+    few, calls, _ = through_states(lines[:40], 4)
+    assert len(few) == 41  # the first one is not run_opened, and all are outside an iteration
+    assert calls <= 40  # one state call per event key, three times over, before
+    whole, _, _ = through_states(lines, 3)
+    assert sum(row[2] == "duplicate event" for row in whole) == 200
+    monkeypatch.setattr(runs, "PACKED", 8)
+    parted, _, widest = through_states(lines, 3)
+    assert parted == whole
+    assert widest <= 32
