@@ -23,11 +23,12 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayframe.functions.columns import case
-from assayframe.sources.storage import cut_lineage
+from assayframe.sources.storage import cut_lineage, write_shared
 
 # Rows of one group that a single task may order (it can still spill).
 TASK_ROWS = 4_000_000
@@ -156,6 +157,8 @@ def running(
 
 # Bits of a double that one scan decides, and entries of a histogram that a task holds before it compacts them.
 RADIX_BITS, HELD_BINS = 16, 1 << 19
+# Rows of an Arrow batch that a task hands back.
+ENTRY_ROWS = 10_000
 
 
 def ordered_bits(values: np.ndarray) -> np.ndarray:
@@ -373,28 +376,101 @@ def group_quantiles(
     return ranked if calm is None else plain(calm).unionByName(ranked)
 
 
+def _chunk_counts(df: DataFrame, keys: Sequence[str], columns: Sequence[str], cuts: Mapping[str, list]) -> DataFrame:
+    """(keys, _c, _chunk, _n, _low, _high): how many values of a key and a column lie in each chunk, with the least and the greatest.
+
+    A task counts before anything moves, so a key sends at most one row per chunk
+    and task's share however many rows it has, and it can be brought together by
+    one shuffle, which serves all that follows.
+    """
+    names = [f"_k{i}" for i in range(len(keys))]
+    values = [F.col(name).cast("double") + F.lit(0.0) for name in columns]  # -0.0 counts as 0.0
+    # NaN is the greatest value and has a chunk of its own.
+    chunks = [F.when(F.isnan(v), F.lit(len(cuts[name]) + 1)).otherwise(chunk_of(v, cuts[name])) for name, v in zip(columns, values, strict=True)]
+    entry = [*names, "_c", "_chunk", "_n", "_low", "_high"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for place in range(len(columns)):
+                mine = table.select([*names, f"_chunk{place}", f"_v{place}"]).rename_columns([*names, "_chunk", "_v"])
+                mine = mine.filter(pc.is_valid(mine["_v"])).group_by([*names, "_chunk"], use_threads=False).aggregate([("_v", "count"), ("_v", "min"), ("_v", "max")])
+                mine = mine.append_column("_c", pa.array(np.full(mine.num_rows, place), pa.int32()))
+                held.append(mine.select([*names, "_c", "_chunk", "_v_count", "_v_min", "_v_max"]).rename_columns(entry))
+                rows += mine.num_rows
+            if rows > HELD_BINS:
+                yield from summed(held).to_batches(max_chunksize=ENTRY_ROWS)
+                held, rows = [], 0
+        if held:
+            yield from summed(held).to_batches(max_chunksize=ENTRY_ROWS)
+
+    def summed(tables: list[pa.Table]) -> pa.Table:
+        total = pa.concat_tables(tables).group_by([*names, "_c", "_chunk"], use_threads=False).aggregate([("_n", "sum"), ("_low", "min"), ("_high", "max")])
+        return total.select([*names, "_c", "_chunk", "_n_sum", "_low_min", "_high_max"]).rename_columns(entry)
+
+    kinds = {field.name: field.dataType.simpleString() for field in df.schema}
+    spec = ", ".join(f"{name} {kinds[key]}" for name, key in zip(names, keys, strict=True)) + ", _c int, _chunk int, _n long, _low double, _high double"
+    narrow = df.select(
+        *[F.col(key).alias(name) for name, key in zip(names, keys, strict=True)],
+        *[part for i, (v, chunk) in enumerate(zip(values, chunks, strict=True)) for part in (v.alias(f"_v{i}"), chunk.cast("int").alias(f"_chunk{i}"))],
+    )
+    parts = narrow.mapInArrow(count, spec).repartition(*names)
+    counts = parts.groupBy(*names, "_c", "_chunk").agg(F.sum("_n").alias("_n"), F.min("_low").alias("_low"), F.max("_high").alias("_high"))
+    unordered = case((F.col("_c") == i, F.lit(len(cuts[name]) + 1)) for i, name in enumerate(columns)) == F.col("_chunk")
+    return counts.withColumns({side: F.when(unordered, F.lit(float("nan"))).otherwise(F.col(side)) for side in ("_low", "_high")})
+
+
 def _chunked_quantiles(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, float]]) -> DataFrame:
-    """Group quantiles from distinct values, counted on the map side and ranked by a chunked running count."""
+    """Group quantiles from counts per chunk: a running count finds the chunk of a rank.
+
+    The rank is the chunk's least or greatest value, or else the values of that
+    chunk alone are ordered.
+    """
     columns = sorted({column for column, _ in wanted.values()})
     cuts = cut_points(df, columns)
-    cells = [F.struct(F.lit(i).alias("_c"), F.col(name).cast("double").alias("_v")) for i, name in enumerate(columns)]
-    entries = (
-        df.select(*keys, F.inline(F.array(*cells))).where(F.col("_v").isNotNull())
-        .groupBy(*keys, "_c", "_v").agg(F.count("*").alias("_n"))
-    )
-    chunk = case((F.col("_c") == i, chunk_of(F.col("_v"), cuts[name])) for i, name in enumerate(columns))
-    ranked = running(entries, [*keys, "_c"], ["_v"], {"_upto": ("sum", F.col("_n"))}, chunk=chunk, totals=["_upto"])
-    picks = []
+    names = [f"_k{i}" for i in range(len(keys))]
+    whole = Window.partitionBy(*names, "_c")
+    upto = F.sum("_n").over(whole.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = _chunk_counts(df, keys, columns, cuts).withColumns({"_upto": upto, "_all": F.sum("_n").over(whole)})
+    picks, sides = [], []
     for name, (column, q) in wanted.items():
-        spot = (F.col("_upto_all") - 1) * F.lit(float(q))
+        spot = (F.col("_all") - 1) * F.lit(float(q))
         mine = F.col("_c") == columns.index(column)
         picks.append(F.max(F.when(mine, spot)).alias(f"_{name}_spot"))
         for side, rank in (("low", F.floor(spot)), ("high", F.ceil(spot))):
-            covers = mine & (F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto"))
-            picks.append(F.max(F.when(covers, F.col("_v"))).alias(f"_{name}_{side}"))
-    picked = ranked.groupBy(*keys).agg(*picks)
+            inside = rank - (F.col("_upto") - F.col("_n"))
+            covers = mine & (inside >= 0) & (inside < F.col("_n"))
+            known = F.when((inside == 0) | (F.col("_low") == F.col("_high")), F.col("_low")).when(inside == F.col("_n") - 1, F.col("_high"))
+            sides.append((f"_{name}_{side}", columns.index(column)))
+            picks.append(F.max(F.when(covers, known)).alias(sides[-1][0]))
+            picks.append(F.max(F.when(covers & known.isNull(), F.struct(F.col("_chunk").alias("chunk"), inside.alias("rank")))).alias(f"{sides[-1][0]}_in"))
+    picked = write_shared(ranked.groupBy(*names).agg(*picks), "chunked-quantiles")
+    spots = [F.struct(F.lit(i).alias("_side"), F.lit(c).alias("_c"), F.col(f"{side}_in.chunk").alias("_chunk"), F.col(f"{side}_in.rank").alias("_rank")) for i, (side, c) in enumerate(sides)]
+    left = picked.select(*names, F.inline(F.array(*spots))).where(F.col("_chunk").isNotNull())
+    n = left.count()
+    if n:
+        found = _within_chunks(df, keys, columns, cuts, F.broadcast(left) if n <= MOST_HOT_GROUPS else left)
+        values = found.groupBy(*[F.col(name).alias(f"_of{name}") for name in names]).agg(*[F.max(F.when(F.col("_side") == i, F.col("_v"))).alias(f"{side}_v") for i, (side, _) in enumerate(sides)])
+        same = [F.col(name).eqNullSafe(F.col(f"_of{name}")) for name in names]
+        picked = picked.join(values, same, "left").withColumns({side: F.coalesce(side, f"{side}_v") for side, _ in sides})
     outputs = []
     for name in wanted:
         low, high, spot = F.col(f"_{name}_low"), F.col(f"_{name}_high"), F.col(f"_{name}_spot")
         outputs.append((low + (high - low) * (spot - F.floor(spot))).alias(name))
-    return picked.select(*keys, *outputs)
+    return picked.select(*[F.col(name).alias(key) for name, key in zip(names, keys, strict=True)], *outputs)
+
+
+def _within_chunks(df: DataFrame, keys: Sequence[str], columns: Sequence[str], cuts: Mapping[str, list], asked: DataFrame) -> DataFrame:
+    """(keys, _side, _v) for ``asked`` (keys, _side, _c, _chunk, _rank): the value at a rank of one key's values in one chunk of a column."""
+    names = [f"_k{i}" for i in range(len(keys))]
+    cells = [
+        F.struct(F.lit(i).alias("_c_"), (F.col(name).cast("double") + F.lit(0.0)).alias("_v"), chunk_of(F.col(name).cast("double"), cuts[name]).cast("int").alias("_chunk_"))
+        for i, name in enumerate(columns)
+    ]
+    rows = df.select(*[F.col(key).alias(f"_own{name}") for name, key in zip(names, keys, strict=True)], F.inline(F.array(*cells))).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    place = [*[F.col(f"_own{name}").eqNullSafe(F.col(name)) for name in names], F.col("_c_") == F.col("_c"), F.col("_chunk_") == F.col("_chunk")]
+    # A chunk holds few enough distinct values for one task; a repeated one is one row.
+    counted = rows.join(asked, place).groupBy(*names, "_side", "_rank", "_v").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*names, "_side").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return counted.withColumn("_upto", upto).where((F.col("_upto") - F.col("_n") <= F.col("_rank")) & (F.col("_rank") < F.col("_upto"))).select(*names, "_side", "_v")

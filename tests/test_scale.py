@@ -158,3 +158,17 @@ def test_clustered_values_fill_no_chunk_beyond_twice_the_limit(spark, monkeypatc
     rows = sizes.orderBy("c").collect()
     assert max(r["n"] for r in rows) <= 400 and sum(r["n"] for r in rows) == 40_000
     assert all(a["high"] < b["low"] for a, b in zip(rows, rows[1:], strict=False))
+
+
+def test_chunks_of_a_group_move_once(spark, monkeypatch):
+    """Counts per chunk are brought together by one shuffle, and a key without ties needs its one chunk only."""
+    monkeypatch.setattr(scale, "MIN_PIECES", 4)
+    rows = [(k, float(v)) for k in (None, "a", "b") for v in range(101)] + [("b", -0.0)] * 60 + [("nan", float("nan"))] * 3 + [("nan", 1.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    counts = scale._chunk_counts(df, ["k"], ["v"], {"v": [25.0, 50.0, 75.0]})
+    ranked = counts.groupBy("_k0").agg(F.sum("_n"))
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(") == 1
+    got = {row["k"]: (row["m"], row["p"]) for row in scale._chunked_quantiles(df, ["k"], {"m": ("v", 0.5), "p": ("v", 0.99)}).collect()}
+    assert {k: got[k] for k in (None, "a", "b")} == {None: (50.0, 99.0), "a": (50.0, 99.0), "b": (20.0, pytest.approx(98.4))}
+    assert all(np.isnan(x) for x in got["nan"])
