@@ -397,7 +397,8 @@ def _chunk_counts(df: DataFrame, keys: Sequence[str], columns: Sequence[str], cu
                 mine = table.select([*names, f"_chunk{place}", f"_v{place}"]).rename_columns([*names, "_chunk", "_v"])
                 mine = mine.filter(pc.is_valid(mine["_v"])).group_by([*names, "_chunk"], use_threads=False).aggregate([("_v", "count"), ("_v", "min"), ("_v", "max")])
                 mine = mine.append_column("_c", pa.array(np.full(mine.num_rows, place), pa.int32()))
-                held.append(mine.select([*names, "_c", "_chunk", "_v_count", "_v_min", "_v_max"]).rename_columns(entry))
+                # Built anew, because a column that never is null in one batch has another schema there.
+                held.append(pa.Table.from_arrays(mine.select([*names, "_c", "_chunk", "_v_count", "_v_min", "_v_max"]).columns, names=entry))
                 rows += mine.num_rows
             if rows > HELD_BINS:
                 yield from summed(held).to_batches(max_chunksize=ENTRY_ROWS)
