@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayframe.functions.columns import content_id
 from assayframe.operators.filters import core_triple
-from assayframe.operators.scale import fits_one_map, group_quantiles
+from assayframe.operators.scale import chunked_quantiles, fits_one_map, group_quantiles, split_by_group_size
 from assayframe.sources.registry import Registry
 from assayframe.sources.storage import cut_lineage
 
@@ -36,9 +37,9 @@ def build_candidates(
     ``key`` may be the natural key (structure key and label), which spares a
     hash per row; ``with_candidate_id`` then adds the id once per candidate.
 
-    Everything but the median combines on the map side.  ``group_quantiles``
-    finds the medians, so a candidate with a third of all rows is spread over
-    many tasks; an input proven small takes them in the same pass.
+    Everything but the median combines on the map side.  The medians of small
+    candidates, which a count tells from large ones, are taken in the same pass;
+    a candidate with a third of all rows is ranked in chunks over many tasks.
     """
     plain = [F.count("*").alias("n_rows")]
     for name in properties:
@@ -52,11 +53,18 @@ def build_candidates(
     if not properties:
         return rows.groupBy(*key_columns(key)).agg(*plain)
     wanted = {f"{name}_median": (name, 0.5) for name in properties}
+    medians = [F.median(name).alias(f"{name}_median") for name in properties]
     if fits_one_map(rows_bound):
-        medians = [F.median(name).alias(f"{name}_median") for name in properties]
         return rows.groupBy(*key_columns(key)).agg(*medians, *plain)
-    medians = group_quantiles(rows, key_columns(key), wanted, hot_rows=hot_rows)
-    return rows.groupBy(*key_columns(key)).agg(*plain).join(medians, key_columns(key), "left")
+    parts = []
+    calm, hot = split_by_group_size(rows, key_columns(key), hot_rows)
+    if calm is not None:
+        parts.append(calm.groupBy(*key_columns(key)).agg(*medians, *plain))
+    if hot is not None:
+        ranked = chunked_quantiles(hot, key_columns(key), wanted).withColumnsRenamed({name: f"_of_{name}" for name in key_columns(key)})
+        same = [F.col(name).eqNullSafe(F.col(f"_of_{name}")) for name in key_columns(key)]
+        parts.append(hot.groupBy(*key_columns(key)).agg(*plain).join(ranked, same, "left").drop(*[f"_of_{name}" for name in key_columns(key)]))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def replicate_structure(candidates: DataFrame) -> DataFrame:

@@ -372,7 +372,7 @@ def group_quantiles(
     calm, hot = split_by_group_size(df, keys, hot_rows)
     if hot is None:
         return plain(calm)
-    ranked = _chunked_quantiles(hot, keys, wanted)
+    ranked = chunked_quantiles(hot, keys, wanted)
     return ranked if calm is None else plain(calm).unionByName(ranked)
 
 
@@ -422,7 +422,7 @@ def _chunk_counts(df: DataFrame, keys: Sequence[str], columns: Sequence[str], cu
     return counts.withColumns({side: F.when(unordered, F.lit(float("nan"))).otherwise(F.col(side)) for side in ("_low", "_high")})
 
 
-def _chunked_quantiles(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, float]]) -> DataFrame:
+def chunked_quantiles(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, float]]) -> DataFrame:
     """Group quantiles from counts per chunk: a running count finds the chunk of a rank.
 
     The rank is the chunk's least or greatest value, or else the values of that

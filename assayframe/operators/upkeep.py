@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from assayframe.functions.columns import UNKNOWN_LABEL, known_label, normalise_label
 from assayframe.operators.candidates import build_candidates
+from assayframe.operators.scale import fits_one_map
 from assayframe.sources.storage import create_once, hadoop_path, write_shared
 
 BUCKETS = 64
@@ -81,6 +82,10 @@ def derive(counts: DataFrame, properties: Sequence[str], *, rows_bound: int | No
     rows = resolved.where(F.col("property") == ROWS).groupBy(*identity).agg(F.sum("n").alias("n_rows"))
     if not properties:
         return rows
+    if not fits_one_map(rows_bound):
+        # The evidence tells how many rows the largest key has; no candidate has more values of a property.
+        sizes = counts.where(F.col("property") == ROWS).groupBy("key").agg(F.sum("n").alias("n"))
+        rows_bound = sizes.agg(F.max("n")).first()[0]
     # Each value as often as it was measured: the statistics then share the ways for hot groups.
     long = resolved.where(F.col("property") != ROWS).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     measured = build_candidates(long, ["value"], key=[*identity, "property"], rows_bound=rows_bound)

@@ -169,12 +169,12 @@ def test_chunks_of_a_group_move_once(spark, monkeypatch):
     ranked = counts.groupBy("_k0").agg(F.sum("_n"))
     plan = ranked._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(") == 1
-    got = {row["k"]: (row["m"], row["p"]) for row in scale._chunked_quantiles(df, ["k"], {"m": ("v", 0.5), "p": ("v", 0.99)}).collect()}
+    got = {row["k"]: (row["m"], row["p"]) for row in scale.chunked_quantiles(df, ["k"], {"m": ("v", 0.5), "p": ("v", 0.99)}).collect()}
     assert {k: got[k] for k in (None, "a", "b")} == {None: (50.0, 99.0), "a": (50.0, 99.0), "b": (20.0, pytest.approx(98.4))}
     assert all(np.isnan(x) for x in got["nan"])
 
 
 def test_columns_that_are_never_null_in_one_share_only(spark, tiny_tasks):
     df = spark.createDataFrame([("a", 1.0, None), ("a", 2.0, 5.0), ("b", 4.0, 7.0)], "k string, v double, w double").select("k", F.lit("x").alias("p"), F.coalesce("v", F.lit(0.0)).alias("v"), "w")
-    got = scale._chunked_quantiles(df, ["k", "p"], {"m": ("v", 0.5), "n": ("w", 0.5)}).collect()
+    got = scale.chunked_quantiles(df, ["k", "p"], {"m": ("v", 0.5), "n": ("w", 0.5)}).collect()
     assert sorted(tuple(row) for row in got) == [("a", "x", 1.5, 5.0), ("b", "x", 4.0, 7.0)]

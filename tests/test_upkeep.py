@@ -91,3 +91,14 @@ def test_a_batch_counts_once_and_writers_do_not_overwrite_each_other(spark, tmp_
     append(spark, path, [], "nothing")
     got = upkeep.read_candidates(spark, path).select("n_rows", "a_n", F.col("a_max")).collect()
     assert [tuple(row) for row in got] == [(2, 2, 2.0)]
+
+
+def test_small_candidates_of_a_large_table_take_one_pass(spark, tmp_path, monkeypatch):
+    """Without a bound of the rows the evidence tells that no key is large; nothing is counted or joined for the medians."""
+    from assayframe.operators import candidates
+
+    monkeypatch.setattr(candidates, "split_by_group_size", lambda *_, **__: pytest.fail("small candidates were counted again"))
+    data, path = rows(), str(tmp_path / "table")
+    append(spark, path, data[:600], "one", bound=None)
+    append(spark, path, data[600:], "two", bound=None)
+    assert shown(upkeep.read_candidates(spark, path)) == rebuilt(spark, data)
