@@ -77,3 +77,13 @@ def test_the_ways_for_large_tables_agree_too(spark, db, monkeypatch, name):
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_the_report_builds_its_candidates_once(spark, monkeypatch):
+    """One table of all candidates serves two sections; the feasible ones are another population."""
+    from assayframe.operators import candidates
+
+    built, real = [], candidates.build_candidates
+    monkeypatch.setattr(candidates, "build_candidates", lambda rows, properties, **how: built.append(tuple(properties)) or real(rows, properties, **how))
+    QUERIES["validation_report"](spark, str(SF_DIR))
+    assert len(built) == 2 and all(built)
