@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from assayframe.functions.columns import CANDIDATE_ID_PATTERN, exact_sum, matches, spread_if_replicated
 from assayframe.operators.scale import fits_one_map, fits_one_task, position_chunk, running, split_by_group_size
 from assayframe.sources.registry import Registry
-from assayframe.sources.storage import cut_lineage
+from assayframe.sources.storage import cut_lineage, write_shared
 
 # The closed vocabulary of answers.
 OK, MISSING, UNSUPPORTED, ERROR = "ok", "missing", "unsupported", "error"
@@ -220,7 +220,7 @@ def budget_cutoff(costs: DataFrame, limit: Column, *, rows_bound: int | None = N
 
 
 def budget_greedy(
-    answered: DataFrame, limit: int, *, rows_bound: int | None = None, hot_rows: int | None = None
+    answered: DataFrame, limit: int, *, rows_bound: int | None = None, hot_rows: int | None = None, candidate_bound: int | None = None
 ) -> DataFrame:
     """Independent callers under one budget: a refused request is skipped and caches nothing.
 
@@ -228,18 +228,42 @@ def budget_greedy(
     request costs at its turn.  A refusal changes later cache hits, so a run is
     a sequential fold.  Small runs are folded in one ordered pass.  Runs of more
     than ``hot_rows`` answers (normally ``HOT_ROWS``) advance together, a stretch
-    of requests per round, each round spread over all tasks.
+    of requests per round, each round spread over all tasks.  ``candidate_bound``
+    bounds the answers of one candidate; where it is small, ``answered`` should
+    come partitioned by candidate.
     """
-    requests = answered.select(*REQUEST).distinct()
-    pairs = answered.where(F.col("status") == OK).select(*REQUEST, "candidate_id", "property").distinct()
     if fits_one_task(rows_bound):
-        decided = _fold_runs(pairs, limit)
-    else:
-        calm, hot = split_by_group_size(pairs, ["run_id"], hot_rows)
-        parts = ([] if calm is None else [_fold_runs(calm, limit)]) + ([] if hot is None else [_advance_runs(hot, limit)])
-        decided = reduce(DataFrame.unionByName, parts)
+        pairs = answered.where(F.col("status") == OK).select(*REQUEST, "candidate_id", "property").distinct()
+        return _with_free(answered, _fold_runs(pairs, limit))
+    named = _named(answered, candidate_bound)
+    calm, hot = split_by_group_size(named, ["run_id"], hot_rows, sized=_pairs(named).select("run_id"))
+    parts = ([] if calm is None else [_with_free(calm, _fold_runs(_pairs(calm), limit))]) + ([] if hot is None else [_advance_runs(hot, limit)])
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _with_free(asked: DataFrame, decided: DataFrame) -> DataFrame:
+    """Every request of ``asked``; one that no pair decides costs nothing."""
     free = F.coalesce(F.col("evals"), F.lit(0)).alias("evals"), F.coalesce(F.col("accepted"), F.lit(True)).alias("accepted")
-    return requests.join(decided, REQUEST, "left").select(*REQUEST, *free)
+    return asked.select(*REQUEST).distinct().join(decided, REQUEST, "left").select(*REQUEST, *free)
+
+
+def _named(answered: DataFrame, candidate_bound: int | None) -> DataFrame:
+    """One row per request and candidate: the ``properties`` it has answers for, and whether another request of the run has answers ``again``."""
+    served = F.collect_set(F.when(F.col("status") == OK, F.col("property")))  # at most the properties of one request's entries
+    named = answered.groupBy(*REQUEST, "candidate_id").agg(served.alias("properties"))
+    owner = ["run_id", "candidate_id"]
+    if fits_one_map(candidate_bound):
+        seq, whole = F.when(F.size("properties") > 0, F.col("request_seq")), Window.partitionBy(*owner)
+        again = F.min(seq).over(whole) < F.max(seq).over(whole)
+        return write_shared(named.withColumn("again", F.coalesce(again, F.lit(False))), "named")
+    named = write_shared(named, "named")
+    repeated = named.where(F.size("properties") > 0).groupBy(*owner).agg(F.count("*").alias("_n")).where("_n > 1")
+    marked = named.join(repeated, owner, "left").withColumn("again", F.col("_n").isNotNull()).drop("_n")
+    return write_shared(marked, "named")
+
+
+def _pairs(named: DataFrame) -> DataFrame:
+    return named.select(*REQUEST, "candidate_id", F.explode("properties").alias("property"))
 
 
 def _fold_runs(pairs: DataFrame, limit: int) -> DataFrame:
@@ -280,8 +304,13 @@ def _fold_runs(pairs: DataFrame, limit: int) -> DataFrame:
     )
 
 
-def _rounds(pending: DataFrame) -> Iterator[DataFrame]:
-    """Decided requests of each round; ``pending`` has the pairs of undecided requests and what is ``left`` of their run's budget.
+def _rounds(pending: DataFrame, pairs: DataFrame) -> Iterator[DataFrame]:
+    """Decided requests of each round.
+
+    ``pending`` has the undecided requests with ``base``, the number of their
+    candidates that no other request of the run asks for, whether they are
+    ``linked``, and what is ``left`` of their run's budget.  ``pairs`` has the
+    other pairs of linked requests, as far as nobody has paid for them.
 
     A round takes for granted that every small request, one that costs at most
     half of what is left under the current cache, is accepted, and that no big
@@ -292,15 +321,22 @@ def _rounds(pending: DataFrame) -> Iterator[DataFrame]:
     left, unless a big request has become cheap by what was cached since the
     round began: rounds follow the logarithm of the largest cost, not the budget.
     """
-    while not pending.isEmpty():
-        named = pending.groupBy(*REQUEST, "candidate_id").agg(F.first("left").alias("left"))
-        costs = named.groupBy(*REQUEST).agg(F.first("left").alias("left"), F.count("*").alias("most"))
-        costs = costs.withColumn("small", F.col("most") <= F.floor(F.col("left") / 2))
-        sized = pending.drop("left").join(costs.select(*REQUEST, "small"), REQUEST)
-        first = sized.where("small").groupBy(*PAIR).agg(F.min("request_seq").alias("_first"))
-        fresh = sized.join(first, PAIR, "left").where(F.col("_first").isNull() | (F.col("_first") >= F.col("request_seq")))
-        paid = fresh.select(*REQUEST, "candidate_id").distinct().groupBy(*REQUEST).agg(F.count("*").alias("evals"))
-        turns = costs.join(paid, REQUEST, "left").withColumn("evals", F.coalesce("evals", F.lit(0)))
+    while True:
+        # Nothing changes the cost of a request that is not linked, and what is left only shrinks.
+        settled = ~F.col("linked") & ((F.col("base") == 0) | (F.col("base") > F.col("left")))
+        yield pending.where(settled).select(*REQUEST, F.col("base").alias("evals"), (F.col("base") == 0).alias("accepted"))
+        pending = pending.where(~settled)
+        if pending.isEmpty():
+            return
+        small = F.col("most") <= F.floor(F.col("left") / 2)
+        plain = pending.where("NOT linked").withColumn("most", F.col("base")).withColumn("evals", F.col("base"))
+        more = pairs.select(*REQUEST, "candidate_id").distinct().groupBy(*REQUEST).agg(F.count("*").alias("_more"))
+        linked = pending.where("linked").join(more, REQUEST, "left").withColumn("most", F.col("base") + F.coalesce("_more", F.lit(0))).drop("_more")
+        first = pairs.join(linked.where(small).select(*REQUEST), REQUEST, "left_semi").groupBy(*PAIR).agg(F.min("request_seq").alias("_first"))
+        fresh = pairs.join(first, PAIR, "left").where(F.col("_first").isNull() | (F.col("_first") >= F.col("request_seq")))
+        paid = fresh.select(*REQUEST, "candidate_id").distinct().groupBy(*REQUEST).agg(F.count("*").alias("_paid"))
+        linked = linked.join(paid, REQUEST, "left").withColumn("evals", F.col("base") + F.coalesce("_paid", F.lit(0))).drop("_paid")
+        turns = plain.unionByName(linked).select(*REQUEST, "left", "evals", small.alias("small"))
         charged = F.when(F.col("small"), F.col("evals")).otherwise(0)
         placed = running(turns, ["run_id"], ["request_seq"], {"_spent": ("sum", charged)}, chunk=position_chunk("request_seq"), inclusive=False)
         spare = F.col("left") - F.coalesce("_spent", F.lit(0))
@@ -310,24 +346,24 @@ def _rounds(pending: DataFrame) -> Iterator[DataFrame]:
         placed = cut_lineage(placed.withColumn("wrong", wrong).select(*REQUEST, "left", "evals", "fits", "wrong"))
         stop = placed.where("wrong").groupBy("run_id").agg(F.min("request_seq").alias("_stop"))
         until = placed.join(stop, "run_id", "left").where(F.col("_stop").isNull() | (F.col("request_seq") <= F.col("_stop")))
-        decided = until.select(*REQUEST, "evals", F.col("fits").alias("accepted"))
-        yield decided
+        yield until.select(*REQUEST, "evals", F.col("fits").alias("accepted"))
         spent = until.groupBy("run_id").agg(
             F.first("_stop").alias("_stop"), (F.first("left") - F.sum(F.when(F.col("fits"), F.col("evals")).otherwise(0))).alias("left")
         )
-        bought = pending.drop("left").join(until.where("fits AND evals > 0").select(*REQUEST), REQUEST, "left_semi").select(*PAIR).distinct()
-        # Requests that have no fresh pair any more cost nothing and are accepted; they leave with the decided ones.
-        later = pending.drop("left").join(spent.where("_stop IS NOT NULL"), "run_id").where(F.col("request_seq") > F.col("_stop")).drop("_stop")
-        pending = cut_lineage(later.join(bought, PAIR, "left_anti"))
-
-
-def _advance_runs(pairs: DataFrame, limit: int) -> DataFrame:
-    decided = None
-    for part in _rounds(cut_lineage(pairs.withColumn("left", F.lit(limit).cast("long")))):
-        decided = part if decided is None else decided.unionByName(part)
-    if decided is None:
-        return pairs.select(*REQUEST, F.lit(0).cast("long").alias("evals"), F.lit(True).alias("accepted")).limit(0)
-    return decided
+        spent = spent.where("_stop IS NOT NULL")
+        later = F.col("request_seq") > F.col("_stop")
+        bought = pairs.join(until.where("fits AND evals > 0").select(*REQUEST), REQUEST, "left_semi").select(*PAIR).distinct()
+        pairs = write_shared(pairs.join(spent.select("run_id", "_stop"), "run_id").where(later).drop("_stop").join(bought, PAIR, "left_anti"), "pairs")
+        pending = cut_lineage(pending.drop("left").join(spent, "run_id").where(later).drop("_stop"))
+
+
+def _advance_runs(named: DataFrame, limit: int) -> DataFrame:
+    """Candidates that one request of a run asks for are counted once; only what several ask for takes part in the rounds as pairs."""
+    served = F.size("properties") > 0
+    requests = named.groupBy(*REQUEST).agg(
+        F.count_if(served & ~F.col("again")).alias("base"), F.bool_or(served & F.col("again")).alias("linked"), F.lit(limit).cast("long").alias("left")
+    )
+    return reduce(DataFrame.unionByName, _rounds(cut_lineage(requests), _pairs(named.where("again"))))
 
 
 def rebuild_cache(results: DataFrame) -> DataFrame:

@@ -328,6 +328,8 @@ def split_by_group_size(df: DataFrame, keys: Sequence[str], hot_rows: int | None
     are at most ``MOST_HOT_GROUPS``, or else all rows count as hot.
     """
     limit = HOT_ROWS if hot_rows is None else hot_rows
+    if limit <= 0:
+        return Split(None, df)
     sizes = (df if sized is None else sized).groupBy(*[F.col(key).alias(f"_hot_{key}") for key in keys]).agg(F.count("*").alias("_n"))
     large = cut_lineage(sizes.where(F.col("_n") > limit).drop("_n"))
     n = large.count()

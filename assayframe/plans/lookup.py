@@ -152,9 +152,9 @@ def budget_greedy(spark, sf_dir):
 
 @query("budget_greedy_rounds", _GREEDY_SQL)
 def budget_greedy_rounds(spark, sf_dir):
-    bound = lookup_bound(spark, sf_dir)
-    answered = ops.answer(lookups(spark, sf_dir, bound), candidates(spark, sf_dir), SERVED)
-    return ops.budget_greedy(answered, LIMIT, hot_rows=0)
+    most = candidate_bound(spark, sf_dir)
+    asked = lookups(spark, sf_dir, lookup_bound(spark, sf_dir), by_candidate=fits_one_map(most))
+    return ops.budget_greedy(ops.answer(asked, candidates(spark, sf_dir), SERVED), LIMIT, hot_rows=0, candidate_bound=most)
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 from conftest import CORE, REGISTRY, rows_of
@@ -198,6 +199,25 @@ def test_greedy_rounds_with_large_and_overlapping_requests(spark, monkeypatch):
     assert rounds <= 20
 
 
+def test_greedy_rounds_move_shared_pairs_only(spark, monkeypatch):
+    """A candidate that one request of a run asks for is a number; bounded and unbounded candidates give the same decisions."""
+    rng = random.Random(8)
+    pairs = sorted({(rng.choice("ab"), seq, f"c{rng.randrange(30)}", rng.choice("xy")) for seq in range(12) for _ in range(3)})
+    pairs += [("a", seq, f"own{seq}.{i}", key) for seq in range(12) for i in range(seq % 4) for key in "xy"]
+    asked = Counter((run, cid) for run, _, cid in {pair[:3] for pair in pairs})
+    answered = spark.createDataFrame(pairs, "run_id string, request_seq long, candidate_id string, property string").withColumn("status", F.lit("ok"))
+    missing = spark.createDataFrame([("a", 99, "c1", "x"), ("b", 3, "own0.0", "y")], "run_id string, request_seq long, candidate_id string, property string")
+    answered = answered.unionByName(missing.withColumn("status", F.lit("missing")))
+    expected = greedy_by_hand(pairs, 9) | {("a", 99): (0, True)}
+    expected.setdefault(("b", 3), (0, True))
+    real, moved = ops._rounds, []
+    monkeypatch.setattr(ops, "_rounds", lambda *tables: moved.append(tables[-1].count()) or real(*tables))
+    for ways in ({}, {"candidate_bound": 100}):
+        got = {(r[0], r[1]): (r[2], r[3]) for r in ops.budget_greedy(answered, 9, hot_rows=0, **ways).collect()}
+        assert got == expected, ways
+        assert moved.pop() == sum(asked[run, cid] > 1 for run, _, cid, _ in pairs) < len(pairs)
+
+
 def test_state_is_rebuilt_from_results(spark, table):
     cid = "7ec8cb49ff317efc"
     results = ask(spark, table, [(cid, [A, "nope"])], [(cid, [A, B])], [("0123456789abcdef", [A])])
