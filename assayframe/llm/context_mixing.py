@@ -29,6 +29,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,9 +51,9 @@ STEPS = 33  # of the refinement, over stretched probabilities from -8 to 8
 BASE_COUNT = 0.05
 CHUNK = 1 << 16
 HEAD_WORDS = 1 << 17
-CACHE_PAIRS = 250_000
+CACHE_PAIRS = 600_000
 COUNTED_PAIRS = 400_000
-BLOCK_BYTES = 160_000
+BLOCK_BYTES = 80_000
 # One batch in so many adds to the curvature of the mixing weights, with that weight.
 CURVE_EVERY = 4
 BATCH = 1 << 15
@@ -83,54 +84,92 @@ def pairs_of(text: bytes | None) -> tuple[list[bytes], list[tuple[int, bytes]]]:
     return words, list(zip(kinds, words, strict=True))
 
 
+# Per byte value: its bits, its bit-tree nodes, and the nodes of its two halves of four bits.
+_BYTES, _DEPTH = np.arange(256)[:, None], np.arange(8)
+VALUES = ((_BYTES >> (7 - _DEPTH)) & 1).astype(np.float32)
+NODES = ((1 << _DEPTH) | (_BYTES >> (8 - _DEPTH))).astype(np.int32)
+PLACES = (np.arange(3)[:, None] * 8 + _DEPTH).astype(np.int32)
+HALVES = np.concatenate([(1 << _DEPTH[:4]) | (half >> (4 - _DEPTH[:4])) for half in (_BYTES >> 4, _BYTES & 15)], axis=1).astype(np.int32)
+
+
 class Bits:
-    """All bit decisions of some (kind, word) pairs: values, bit-tree nodes and table slots, eight per byte."""
+    """All bit decisions of some (kind, word) pairs: values, bit-tree nodes and table slots, eight per byte.
+
+    A byte's bits and contexts are the same in all pairs of one kind that begin
+    alike.  With ``once``, a byte that the pair before has too is held once (so
+    pairs should come in order); ``byte`` leads from the bytes of the pairs to
+    those held.  The slots of half a byte lie side by side.
+    """
 
-    def __init__(self, pairs: list[tuple[int, bytes]], tables=range(len(TABLE_BITS))) -> None:
+    def __init__(self, pairs: list[tuple[int, bytes]], tables=range(len(TABLE_BITS)), once: bool = False) -> None:
         stream = [word if word == END else word + b" " for _, word in pairs]
         self.lengths = np.fromiter(map(len, stream), np.int64, len(stream))
         data = np.frombuffer(b"".join(stream), np.uint8)
-        starts = np.cumsum(self.lengths) - self.lengths
-        first = np.repeat(starts, self.lengths)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        first = np.repeat(self.starts, self.lengths)
         place = np.arange(len(data)) - first
-        kind = np.repeat(np.fromiter((k for k, _ in pairs), np.uint64, len(pairs)), self.lengths)
+        kind = np.repeat(np.fromiter((k + 1 for k, _ in pairs), np.uint64, len(pairs)) * np.uint64(0xD6E8FEB86659FD93), self.lengths)
         wide = data.astype(np.uint64)
+        powers = np.cumprod(np.full(len(data), _PRIME))
+        sums = np.r_[np.uint64(0), np.cumsum((wide + np.uint64(1)) * powers)]
+        undo = np.cumprod(np.full(len(data), _INVERSE))
+        at = np.arange(len(data))
+        self.byte = at
+        if once:
+            upto = (sums[1:] - sums[first]) * undo[first] + kind
+            before, length = np.r_[0, self.starts[:-1]], np.r_[0, self.lengths[:-1]]
+            above = np.repeat(before, self.lengths) + place
+            new = (place >= np.repeat(length, self.lengths)) | (upto != upto[np.minimum(above, len(data) - 1)])
+            # Place by place, a byte held before follows directly on its like.
+            order = np.argsort(np.minimum(place, 65_535).astype(np.uint16), kind="stable")
+            order = order if len(place) == 0 or place.max() < 65_535 else np.argsort(place, kind="stable")
+            new = new[order]
+            at, self.byte = order[new], np.empty(len(data), np.int64)
+            self.byte[order] = np.cumsum(new) - 1
+        place, first = place[at], first[at]
 
         def back(steps: int) -> np.ndarray:
-            out = np.zeros(len(data), np.uint64)
-            out[steps:] = wide[:-steps]
+            out = wide[at - np.minimum(steps, place)]
             out[place < steps] = 0
             return out
 
-        powers = np.cumprod(np.full(len(data), _PRIME))
-        sums = np.r_[np.uint64(0), np.cumsum((wide + np.uint64(1)) * powers)]
-        undo = np.cumprod(np.full(len(data), _INVERSE))
-        prefix = (sums[np.arange(len(data))] - sums[first]) * undo[first]
-        one, two = back(1), back(1) | back(2) << np.uint64(8)
+        prefix = (sums[at] - sums[first]) * undo[first]
+        one, data = back(1), data[at]
+        two = one | back(2) << np.uint64(8)
         four = two | back(3) << np.uint64(16) | back(4) << np.uint64(24)
-        depth = np.arange(8)
-        self.node = ((1 << depth) | (data[:, None].astype(np.int64) >> (8 - depth))).ravel()
-        self.value = ((data[:, None] >> (7 - depth).astype(np.uint8)) & 1).astype(np.float32).ravel()
-        node = self.node.astype(np.uint64)
-        contexts = (one, two, four, prefix, prefix + (kind + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+        self.node, self.value = NODES.take(data, axis=0).ravel(), VALUES.take(data, axis=0).ravel()
+        halves, high = HALVES.take(data, axis=0).ravel(), ((data >> 4).astype(np.uint64) + np.uint64(1)) * np.uint64(0x94D049BB133111EB)
+        contexts = (one, two, four, prefix, prefix + kind[at])
         self.slots: dict[int, np.ndarray] = {}
         for k in tables:
             if k == 0:
-                self.slots[k] = (np.repeat(one, 8) << np.uint64(8) | node).astype(np.int32)
+                self.slots[k] = np.repeat(one.astype(np.int32) << 8, 8) | self.node
                 continue
             mixed = (contexts[k] ^ (contexts[k] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            slot = (np.repeat(mixed, 8) + node * np.uint64(0x94D049BB133111EB)) * _PRIME >> np.uint64(64 - TABLE_BITS[k])
-            self.slots[k] = slot.astype(np.int32)
+            begin = np.empty((len(data), 2), np.int32)
+            begin[:, 0], begin[:, 1] = (x * _PRIME >> np.uint64(64 - TABLE_BITS[k]) for x in (mixed, mixed + high))
+            slots = np.repeat(begin.ravel(), 4)
+            slots += halves
+            slots &= (1 << TABLE_BITS[k]) - 1
+            self.slots[k] = slots
         # The gate without how often the beginning was seen: place of the byte in the word and of the bit in the byte.
-        self.place = np.minimum(np.repeat(place, 8), 2) * 8 + np.tile(depth, len(data))
-        self.starts = starts * 8
+        self.place = PLACES.take(np.minimum(place, 2), axis=0).ravel()
+
+    def weights(self, numbers: np.ndarray) -> np.ndarray:
+        """The weight of each bit, where each pair has that of ``numbers``."""
+        return np.repeat(np.bincount(self.byte, np.repeat(numbers, self.lengths)), 8)
 
     def gate(self, seen: np.ndarray) -> np.ndarray:
         return self.place * SEEN_LEVELS + LEVEL_OF[np.minimum(seen, SEEN[-1]).astype(np.int32)]
 
 
+def in_order(pairs: list[tuple[int, bytes]]) -> np.ndarray:
+    """Places of the pairs, by kind and word."""
+    return np.asarray(pc.array_sort_indices(pa.array([b"%c%b" % pair for pair in pairs], pa.binary())))
+
+
 def step_of(stretched: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint((stretched + 8) * ((STEPS - 1) / 16)), 0, STEPS - 1).astype(np.int64)
+    return np.clip(np.rint((stretched + 8) * ((STEPS - 1) / 16)), 0, STEPS - 1).astype(np.int32)
 
 
 class Model:
@@ -145,25 +184,28 @@ class Model:
 
     def sizes(self, pairs: list[tuple[int, bytes]]) -> np.ndarray:
         """Bits of each pair."""
-        out, start = [], 0
+        order, out, start = in_order(pairs), [], 0
+        pairs = [pairs[i] for i in order.tolist()]
         while start < len(pairs):
             stop, held = start, 0
             while stop < len(pairs) and (stop == start or held + len(pairs[stop][1]) < BLOCK_BYTES):
                 held += len(pairs[stop][1]) + 1
                 stop += 1
-            out.append(self._sizes(Bits(pairs[start:stop])))
+            out.append(self._sizes(Bits(pairs[start:stop], once=True)))
             start = stop
-        return np.concatenate(out) if out else np.zeros(0)
+        found = np.zeros(len(pairs))
+        found[order] = np.concatenate(out) if out else []
+        return found
 
     def _sizes(self, bits: Bits) -> np.ndarray:
-        gate = bits.place * SEEN_LEVELS + self.level[bits.slots[PREFIX]].astype(np.int64)
+        gate = bits.place * SEEN_LEVELS + self.level.take(bits.slots[PREFIX])
         total = np.zeros(len(gate), np.float32)
         for k, slots in bits.slots.items():
-            total += self.weights[k].take(gate) * self.stretched[k][slots]
+            total += self.weights[k].take(gate) * self.stretched[k].take(slots)
         mixed = 1 / (1 + np.exp(-np.clip(total, -15, 15)))
-        final = np.clip((mixed + self.refined[bits.node, step_of(total)]) / 2, 2.0**-18, 1 - 2.0**-18)
+        final = np.clip((mixed + self.refined.take(bits.node * STEPS + step_of(total))) / 2, 2.0**-18, 1 - 2.0**-18)
         cost = -np.log2(np.where(bits.value > 0, final, 1 - final))
-        return np.add.reduceat(cost.astype(np.float64), bits.starts)
+        return np.add.reduceat(cost.reshape(-1, 8).sum(axis=1, dtype=np.float64)[bits.byte], bits.starts)
 
 
 def count_pairs(docs: DataFrame) -> DataFrame:
@@ -193,7 +235,11 @@ def count_pairs(docs: DataFrame) -> DataFrame:
 
 
 def _blocks(batches):
-    """(pairs, counts) of rows of the vocabulary, of bounded size."""
+    """(pairs, counts) of rows of the vocabulary, of bounded size, each in order."""
+    def ordered(pairs, numbers):
+        order = in_order(pairs)
+        return [pairs[i] for i in order.tolist()], np.array(numbers, np.float64)[order]
+
     for batch in batches:
         words = batch.column("word").to_pylist()
         counts = np.stack([batch.column(f"k{i}").to_numpy() for i in range(KINDS)], axis=1)
@@ -203,10 +249,10 @@ def _blocks(batches):
             numbers.append(counts[row, kind])
             held += len(words[row]) + 1
             if held >= BLOCK_BYTES:
-                yield pairs, np.array(numbers, np.float64)
+                yield ordered(pairs, numbers)
                 pairs, numbers, held = [], [], 0
         if pairs:
-            yield pairs, np.array(numbers, np.float64)
+            yield ordered(pairs, numbers)
 
 
 def count_contexts(vocabulary: DataFrame) -> list[np.ndarray]:
@@ -217,8 +263,8 @@ def count_contexts(vocabulary: DataFrame) -> list[np.ndarray]:
         last = len(TABLE_BITS) - 1
 
         def count(pairs, numbers, chosen):
-            bits = Bits(pairs, chosen)
-            weight = np.repeat(numbers, bits.lengths * 8)
+            bits = Bits(pairs, chosen, once=True)
+            weight = bits.weights(numbers)
             ones = bits.value.astype(np.int32)
             for k, slots in bits.slots.items():
                 tables[k] += np.bincount(slots * 2 + ones, weight, len(tables[k]))
@@ -268,13 +314,13 @@ def learn_mixing(vocabulary: DataFrame, tables: list[np.ndarray]) -> tuple[np.nd
         weights, curve = np.full((GATES, size), start_weight), np.tile(FIRM * np.eye(size), (GATES, 1, 1))
         refined, mass, turn = np.zeros((2, 256, STEPS)), np.zeros(GATES), 0
         for pairs, numbers in _blocks(batches):
-            bits = Bits(pairs)
-            weight = np.repeat(numbers, bits.lengths * 8)
+            bits = Bits(pairs, once=True)
+            weight = bits.weights(numbers)
             value = bits.value
             inputs = np.empty((size, len(value)), np.float32)
             for k, slots in bits.slots.items():  # the occurrence itself is taken out
-                zeros = np.maximum(counts[k][0][slots] - (1 - value), 0)
-                ones = np.maximum(counts[k][1][slots] - value, 0)
+                zeros = np.maximum(counts[k][0].take(slots) - (1 - value), 0)
+                ones = np.maximum(counts[k][1].take(slots) - value, 0)
                 inputs[k] = np.log((ones + np.float32(BASE_COUNT)) / (zeros + np.float32(BASE_COUNT)))
                 if k == PREFIX:
                     gate = bits.gate(zeros + ones)

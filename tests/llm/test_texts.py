@@ -332,6 +332,26 @@ def test_bits_of_all_words_are_a_distribution():
     assert math.isclose(chance.sum(), 1.0, rel_tol=1e-5)
 
 
+def test_bytes_that_pairs_share_are_held_once():
+    """Pairs in order hold the bytes of a common beginning once; slots and sizes are those of each pair alone."""
+    import numpy as np
+
+    rng = random.Random(3)
+    pairs = sorted({(rng.randrange(3), bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 9)))) for _ in range(400)} | {(1, b"x" * 70_000), (1, b"x" * 70_001), (2, b"\n")})
+    once, each = context_mixing.Bits(pairs, once=True), context_mixing.Bits(pairs)
+    assert len(once.value) < len(each.value) * 0.7
+    for name in ("value", "node", "place"):
+        assert (getattr(once, name).reshape(-1, 8)[once.byte] == getattr(each, name).reshape(-1, 8)).all(), name
+    for k, slots in each.slots.items():
+        assert (once.slots[k].reshape(-1, 8)[once.byte] == slots.reshape(-1, 8)).all(), k
+    numbers = np.arange(len(pairs)) + 1.0
+    assert math.isclose(once.weights(numbers).sum(), each.weights(numbers).sum()) and each.weights(numbers)[0] == 1
+    tables = [np.random.default_rng(1).integers(0, 9, (2, 1 << bits)).astype(np.float32) for bits in context_mixing.TABLE_BITS]
+    model = context_mixing.Model(tables, np.full((context_mixing.GATES, len(tables)), 0.4), context_mixing.first_refinement())
+    shuffled = rng.sample(pairs[:-1], 60)
+    assert np.allclose(model.sizes(shuffled), [model.sizes([pair])[0] for pair in shuffled], rtol=1e-6)
+
+
 def test_dense_family_loses_no_link(spark):
     """Texts of one template, too different from each other to be linked, and some with one partner each."""
     rng = random.Random(11)
