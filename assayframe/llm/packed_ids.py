@@ -48,7 +48,7 @@ GROUP = 64
 BLOCK_IDS, SHARD_IDS = 4096, 1 << 20
 # Bytes of text encoded at once, and distinct words that a Python worker remembers.
 SLICE_BYTES, CACHE_WORDS = 4 << 20, 500_000
-# Words of a text whose ids are gathered at once, and bytes of ids of a range.
+# Words whose ids are gathered at once, and bytes of ids of a range.
 GATHER_WORDS, PART_BYTES = 1 << 20, 32 << 20
 END_ID = 1
 
@@ -173,17 +173,25 @@ class WordIds:
         self.tokenizer, self.cache_words = tokenizer(file), cache_words
         self.merge, self.letters = self.tokenizer.model.tokenize, byte_letters()
         self.held: dict[bytes, bytes] = {}
+        # Letters are shared by words in other cases and with other punctuation.
+        self.merged: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {"": b""}
 
     def letters_ids(self, word: str) -> bytes | None:
         """The ids of a word of Latin letters and punctuation after them; None for any other word."""
         letters = word.rstrip(".,;:!?")
         lower = letters.lower()
-        if not lower.isalpha() or max(lower) >= "\u0250" or len(lower) != len(letters):
-            return None
-        if not lower.isascii():
-            lower = lower.encode().decode("latin-1").translate(self.letters)
-        ids = array("I", [token.id for token in self.merge(lower)]).tobytes()
+        ids = self.merged.get(lower)
+        if ids is None or len(lower) != len(letters):
+            if not lower.isalpha() or not (lower.isascii() or max(lower) < "\u0250") or len(lower) != len(letters):
+                return None
+            shown = lower if lower.isascii() else lower.encode().decode("latin-1").translate(self.letters)
+            ids = array("I", [token.id for token in self.merge(shown)]).tobytes()
+            if len(self.merged) >= self.cache_words // 2:
+                self.merged = {}
+            self.merged[lower] = ids
+        if len(letters) == len(word):
+            return ids
         rest = word[len(letters) :]
         if rest not in self.rest:
             if len(self.rest) >= self.cache_words:
@@ -213,21 +221,19 @@ class WordIds:
         """Per text its ids, the end id last."""
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = split.flatten().dictionary_encode()
-        parts = [*self.words(coded.dictionary.cast(pa.binary()).to_pylist()), array("I", [end]).tobytes()]
+        parts = [*self.words(coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()), array("I", [end]).tobytes()]
         lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         flat, starts = np.frombuffer(b"".join(parts), np.uint32), np.cumsum(lengths) - lengths
-        index, ends = np.asarray(coded.indices), np.cumsum(np.asarray(pc.list_value_length(split)))
-        first = 0
-        for stop in ends.tolist():
-            words = np.append(index[first:stop], len(parts) - 1)
-            found = []
-            for at in range(0, len(words), GATHER_WORDS):
-                some = words[at : at + GATHER_WORDS]
-                sizes = lengths[some]
-                before = np.cumsum(sizes) - sizes
-                found.append(flat[np.arange(sizes.sum()) + np.repeat(starts[some] - before, sizes)])
-            yield found[0] if len(found) == 1 else np.concatenate(found)
-            first = stop
+        flat, starts = np.frombuffer(b"".join(parts), np.uint32), np.cumsum(lengths) - lengths
+        ends = np.cumsum(np.asarray(pc.list_value_length(split)))
+        words = np.insert(np.asarray(coded.indices), ends, len(parts) - 1)
+        upto = np.r_[0, np.cumsum(lengths[words])]
+        ids = np.empty(upto[-1], np.uint32)
+        for at in range(0, len(words), GATHER_WORDS):
+            some, before = words[at : at + GATHER_WORDS], upto[at : at + GATHER_WORDS + 1]
+            from_ = np.repeat(starts[some] - before[: len(some)], lengths[some])
+            ids[before[0] : before[len(some)]] = flat[from_ + np.arange(before[0], before[len(some)])]
+        yield from np.split(ids, upto[ends + np.arange(1, len(ends) + 1)][:-1]) if len(ends) else []
 
 
 @lru_cache(maxsize=1)

@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -146,6 +147,20 @@ def test_packed_ids_equal_the_library(spark, docs, doc_rows, monkeypatch, tmp_pa
     assert sum(row["n_ids"] for row in files) == len(every)
 
 
+def test_letters_are_merged_once(monkeypatch):
+    """Words that differ in case or in punctuation after them share their letters' merges; ids stay those of the library."""
+    monkeypatch.setattr(packed_ids, "GATHER_WORDS", 3)
+    engine = packed_ids.WordIds(FILE, cache_words=8)
+    asked, merge = [], engine.merge
+    engine.merge = lambda letters: asked.append(letters) or merge(letters)
+    texts = ["Stone stone, STONE! stone", None, "", "  \n", "Été été. ÉTÉ x1 STONE?!", "\u0130stone a,b <unk>", "one two three four five six seven"]
+    found = [part.tolist() for part in engine.encode(pa.array(texts, pa.string()))]
+    library = packed_ids.tokenizer(FILE)
+    assert found == [[*library.encode(text or "", add_special_tokens=False).ids, 1] for text in texts]
+    assert asked.count("stone") == 1 and len(engine.merged) <= 4
+    assert list(engine.encode(pa.array([], pa.string()))) == []
+
+
 def test_packed_ids_of_an_empty_table(spark, no_docs):
     assert packed_ids.round_trip(no_docs, FILE).count() == 0
 
