@@ -94,3 +94,13 @@ def test_content_of_other_types_counts(spark, tmp_path):
     there = digests.store(other, ["id"], str(tmp_path / "b"), here.shape)
     found = digests.differences(spark, here, there, ["id"]).collect()
     assert [(row["id"], row["column"]) for row in found] == [(3, "list")]
+
+
+def test_stored_metrics_are_not_written_twice(spark, monkeypatch):
+    """What is stored for the comparison comes from a written table: it is counted, and written only where it is stored."""
+    from assayframe.plans import growing
+
+    labels, real = [], digests.write_shared
+    monkeypatch.setattr(digests, "write_shared", lambda df, label: labels.append(label) or real(df, label))
+    growing.stored_metric_differences(spark, "/root/testdata/sf0.001")
+    assert labels and "digest-rows" not in labels
