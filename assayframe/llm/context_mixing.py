@@ -11,20 +11,19 @@ learned online, batch by batch, by Newton steps.  A last table refines the mixed
 bit-tree node.  The total of ``-log2 p`` over all bits is the size of the text.
 
 Contexts reach into the word before by its kind only, so a (kind, word) pair
-costs the same wherever it stands, and each is predicted once per cache.
+costs the same wherever it stands, and each is predicted once for all texts.
 Training is on counts of distinct (kind, word) pairs over all training texts;
 a pair is predicted with its own occurrence taken out of the tables, so
 weights are learned as for unseen text.
 
 Tables, weights and the refinement have fixed sizes; they are summed or
-averaged by Spark and broadcast.  Word counts are not: the most frequent words
-(``HEAD_WORDS``) are broadcast, counts of all others are joined.
+averaged by Spark and broadcast.  Counts and sizes of pairs are not: the most
+frequent pairs (up to ``HEAD_PAIRS``) are broadcast, all others are joined.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -34,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayframe.llm.batches import crc_fold, sliced, small_batches, texts_of
+from assayframe.llm.batches import crc_fold, sliced, small_batches
 from assayframe.sources.storage import write_shared
 
 END = b"\n"
@@ -50,10 +49,15 @@ GATES = 3 * 8 * SEEN_LEVELS
 STEPS = 33  # of the refinement, over stretched probabilities from -8 to 8
 BASE_COUNT = 0.05
 CHUNK = 1 << 16
-HEAD_WORDS = 1 << 17
-CACHE_PAIRS = 600_000
-COUNTED_PAIRS = 400_000
+HEAD_PAIRS = 1 << 18
+# Parts of a factor of two by which counts of pairs are told apart when the most frequent are chosen.
+HEAD_LEVELS = 16
+COUNTED_PAIRS = 1_000_000
+OUT_ROWS = 1 << 16
 BLOCK_BYTES = 80_000
+# Bytes of pairs whose contexts are counted at once, and that are put in order at once to be predicted.
+COUNTED_BYTES = 240_000
+PRICED_BYTES = 4 << 20
 # One batch in so many adds to the curvature of the mixing weights, with that weight.
 CURVE_EVERY = 4
 BATCH = 1 << 15
@@ -84,6 +88,58 @@ def pairs_of(text: bytes | None) -> tuple[list[bytes], list[tuple[int, bytes]]]:
     return words, list(zip(kinds, words, strict=True))
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+_KIND_OF = np.array(KIND_OF, np.uint8)
+
+
+def pairs_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The pairs of all texts as ``pairs_of`` gives them, each as the byte of its kind and its word; and how many of each text."""
+    texts = texts.cast(pa.binary()).fill_null(b"")
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    held = texts.buffers()[2]
+    data = _LOWER[np.frombuffer(held, np.uint8)[offsets[0] : offsets[-1]]] if held is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    letter = ~_BLANK[data]
+    # A word begins or ends where its neighbour is blank or lies in another text.
+    edge = np.ones(len(data) + 1, bool)
+    edge[1:-1] = ~letter[:-1]
+    edge[offsets] = True
+    starts = np.flatnonzero(letter & edge[:-1])
+    edge[:-1] = ~letter
+    edge[offsets] = True
+    ends = np.flatnonzero(letter & edge[1:])
+    upto = np.searchsorted(starts, offsets)
+    numbers = np.diff(upto) + 1
+    marks = np.cumsum(numbers) - 1
+    is_word = np.ones(len(starts) + len(marks), bool)
+    is_word[marks] = False
+    lengths, kinds = np.full(len(is_word), 2, np.int64), np.zeros(len(is_word) + 1, np.uint8)
+    lengths[is_word] = ends - starts + 2
+    kinds[1:][is_word] = _KIND_OF[data[ends]]
+    out_offsets = np.zeros(len(lengths) + 1, np.int64)
+    np.cumsum(lengths, out=out_offsets[1:])
+    out, from_text = np.empty(out_offsets[-1], np.uint8), np.ones(out_offsets[-1], bool)
+    out[out_offsets[:-1]], out[out_offsets[marks] + 1] = kinds[:-1], END[0]
+    from_text[out_offsets[:-1]] = from_text[out_offsets[marks] + 1] = False
+    out[from_text] = data[letter]
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(out_offsets.astype(np.int32)), pa.py_buffer(out)]), numbers
+
+
+def parted(keys: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Kinds and words of pairs that are held as one value each."""
+    if len(keys) == 0:
+        return pa.array([], pa.int32()), keys
+    offsets = np.frombuffer(keys.buffers()[1], np.int32)[keys.offset : keys.offset + len(keys) + 1]
+    data = np.frombuffer(keys.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    in_word = np.ones(len(data), bool)
+    in_word[offsets[:-1]] = False
+    words = [None, pa.py_buffer(offsets - np.arange(len(offsets), dtype=np.int32)), pa.py_buffer(data[in_word])]
+    return pa.array(data[offsets[:-1]].astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(keys), words)
+
+
 # Per byte value: its bits, its bit-tree nodes, and the nodes of its two halves of four bits.
 _BYTES, _DEPTH = np.arange(256)[:, None], np.arange(8)
 VALUES = ((_BYTES >> (7 - _DEPTH)) & 1).astype(np.float32)
@@ -209,50 +265,66 @@ class Model:
 
 
 def count_pairs(docs: DataFrame) -> DataFrame:
-    """(word, k0 ... k7): how often each word follows each kind, over all texts; an end mark counts as a word."""
+    """(word, k0 ... k7, kinds): how often each word follows each kind in texts to learn from, and a bit for each kind that it follows in any text.
+
+    ``docs`` has a text and whether to learn from it; an end mark counts as a word.
+    """
     def run(batches):
-        held: Counter = Counter()
+        parts, held = [], 0
 
-        def flush():
-            kinds, words = zip(*held, strict=True)
-            batch = pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.binary()), pa.array(kinds, pa.int32()), pa.array(held.values(), pa.int64())], names=["word", "kind", "n"]
-            )
-            held.clear()
-            return batch
+        def merged():
+            coded = pa.concat_arrays([keys for keys, _ in parts]).dictionary_encode()
+            numbers = np.concatenate([numbers for _, numbers in parts])
+            return coded.dictionary, np.bincount(coded.indices.to_numpy(), numbers, len(coded.dictionary))
+
+        def rows():
+            keys, numbers = merged()
+            for start in range(0, len(keys), OUT_ROWS):
+                kinds, words = parted(keys.slice(start, OUT_ROWS))
+                yield pa.RecordBatch.from_arrays([words, kinds, pa.array(numbers[start : start + OUT_ROWS].astype(np.int64))], names=["word", "kind", "n"])
 
         for batch in sliced(batches, "text"):
-            for text in texts_of(batch.column("text")):
-                held.update(pairs_of(text)[1])
-            if len(held) > COUNTED_PAIRS:
-                yield flush()
-        if held:
-            yield flush()
+            keys, numbers = pairs_in(batch.column("text"))
+            coded = keys.dictionary_encode()
+            learn = np.repeat(batch.column("learn").to_numpy(zero_copy_only=False).astype(np.float64), numbers)
+            parts.append((coded.dictionary, np.bincount(coded.indices.to_numpy(), learn, len(coded.dictionary))))
+            held += len(coded.dictionary)
+            if held > COUNTED_PAIRS:
+                parts = [merged()]
+                held = len(parts[0][0])
+                if held > COUNTED_PAIRS // 2:
+                    yield from rows()
+                    parts, held = [], 0
+        if parts:
+            yield from rows()
 
     parts = docs.mapInArrow(run, "word binary, kind int, n long")
     of_kind = lambda i: F.sum(F.when(F.col("kind") == i, F.col("n")).otherwise(0))
-    return parts.groupBy("word").agg(*[of_kind(i).alias(f"k{i}") for i in range(KINDS)])
+    return parts.groupBy("word").agg(*[of_kind(i).alias(f"k{i}") for i in range(KINDS)], F.expr("bit_or(shiftleft(1, kind))").alias("kinds"))
 
 
-def _blocks(batches):
-    """(pairs, counts) of rows of the vocabulary, of bounded size, each in order."""
+def _blocks(batches, most: int = BLOCK_BYTES, across: bool = False):
+    """(pairs, counts) of rows of the vocabulary, of bounded size, each in order; of several batches if ``across``."""
     def ordered(pairs, numbers):
         order = in_order(pairs)
         return [pairs[i] for i in order.tolist()], np.array(numbers, np.float64)[order]
 
+    pairs, numbers, held = [], [], 0
     for batch in batches:
         words = batch.column("word").to_pylist()
         counts = np.stack([batch.column(f"k{i}").to_numpy() for i in range(KINDS)], axis=1)
-        pairs, numbers, held = [], [], 0
         for row, kind in zip(*(x.tolist() for x in np.nonzero(counts)), strict=True):
             pairs.append((kind, words[row]))
             numbers.append(counts[row, kind])
             held += len(words[row]) + 1
-            if held >= BLOCK_BYTES:
+            if held >= most:
                 yield ordered(pairs, numbers)
                 pairs, numbers, held = [], [], 0
-        if pairs:
+        if pairs and not across:
             yield ordered(pairs, numbers)
+            pairs, numbers, held = [], [], 0
+    if pairs:
+        yield ordered(pairs, numbers)
 
 
 def count_contexts(vocabulary: DataFrame) -> list[np.ndarray]:
@@ -269,7 +341,7 @@ def count_contexts(vocabulary: DataFrame) -> list[np.ndarray]:
             for k, slots in bits.slots.items():
                 tables[k] += np.bincount(slots * 2 + ones, weight, len(tables[k]))
 
-        for pairs, numbers in _blocks(batches):
+        for pairs, numbers in _blocks(batches, COUNTED_BYTES, across=True):
             count(pairs, numbers, [last])
             # All other contexts lie within the word: its kinds count together.  A block holds all kinds of a word but for its ends.
             total: dict[bytes, float] = {}
@@ -366,6 +438,50 @@ def learn_mixing(vocabulary: DataFrame, tables: list[np.ndarray]) -> tuple[np.nd
     return weights, refined
 
 
+def price_pairs(vocabulary: DataFrame, model: Model) -> DataFrame:
+    """(word, kind, n, times, bits): the size of each (kind, word) pair of any text, and how often its word and itself occur in texts to learn from."""
+    shared = vocabulary.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        model = shared.value
+        parts, held = [], 0
+
+        def rows():
+            words, kinds, n, times = (np.concatenate(x) if i else [word for part in x for word in part] for i, x in enumerate(zip(*parts, strict=True)))
+            bits = model.sizes(list(zip(kinds.tolist(), words, strict=True)))
+            batch = pa.RecordBatch.from_arrays(
+                [pa.array(words, pa.binary()), pa.array(kinds, pa.int32()), pa.array(n), pa.array(times), pa.array(bits)], names=["word", "kind", "n", "times", "bits"]
+            )
+            for start in range(0, len(words), OUT_ROWS):
+                yield batch.slice(start, OUT_ROWS)
+
+        for batch in batches:
+            row, kind = np.nonzero((batch.column("kinds").to_numpy()[:, None] >> np.arange(KINDS)) & 1)
+            counts = np.stack([batch.column(f"k{i}").to_numpy() for i in range(KINDS)], axis=1)
+            words = batch.column("word").take(pa.array(row)).to_pylist()
+            parts.append((words, kind, batch.column("n").to_numpy()[row], counts[row, kind]))
+            held += sum(map(len, words)) + len(words)
+            if held >= PRICED_BYTES:
+                yield from rows()
+                parts, held = [], 0
+        if parts:
+            yield from rows()
+
+    return vocabulary.mapInArrow(run, "word binary, kind int, n long, times long, bits double")
+
+
+def head_of(pairs: DataFrame) -> pa.Table:
+    """(word, kind, n, bits) of the most frequent pairs, at most ``HEAD_PAIRS``, as many as a bound on their frequency gives."""
+    level = F.floor(F.log2("times") * HEAD_LEVELS)
+    total, least = 0, None
+    for row in pairs.where("times > 0").groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("pairs")).orderBy(F.desc("level")).collect():
+        total += row["pairs"]
+        if total > HEAD_PAIRS:
+            break
+        least = row["level"]
+    return pairs.where((F.col("times") > 0) & (level >= F.lit(least))).select("word", "kind", "n", "bits").toArrow()
+
+
 def score(docs: DataFrame, doc_id="doc_id", text="text", held_out=(5, 1)) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte): one row per row of ``docs``.
 
@@ -373,70 +489,67 @@ def score(docs: DataFrame, doc_id="doc_id", text="text", held_out=(5, 1)) -> Dat
     texts nothing is known, the base score is 0 and every bit costs one.
     """
     rows = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    training = rows.where(crc_fold(F.col("doc_id"), held_out[0]) != held_out[1])
-    counted = count_pairs(training).withColumn("n", sum(F.col(f"k{i}") for i in range(KINDS)))
+    counted = count_pairs(rows.select("text", (crc_fold(F.col("doc_id"), held_out[0]) != held_out[1]).alias("learn")))
+    counted = counted.withColumn("n", sum(F.col(f"k{i}") for i in range(KINDS)))
     vocabulary = write_shared(counted.sortWithinPartitions(F.xxhash64("word")), "vocabulary")
-    whole = vocabulary.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    learned = vocabulary.where("n > 0")
+    whole = learned.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     tokens, kinds = whole["n"] or 0, whole["v"]
     below = tokens + 0.5 * (kinds + 1)
-    tables = count_contexts(vocabulary)
-    model = Model(tables, *learn_mixing(vocabulary, tables))
+    tables = count_contexts(learned)
+    model = Model(tables, *learn_mixing(learned, tables))
     del tables
-    head = {bytes(row["word"]): row["n"] for row in vocabulary.orderBy(F.desc("n"), "word").limit(HEAD_WORDS).select("word", "n").collect()}
-    shared = docs.sparkSession.sparkContext.broadcast((model, head))
+    pairs = write_shared(price_pairs(vocabulary, model), "pairs")
+    head = head_of(pairs).combine_chunks()
+    head = [
+        pa.array([b"%c%b" % pair for pair in zip(head["kind"].to_pylist(), head["word"].to_pylist(), strict=True)], pa.binary()),
+        np.r_[np.log10((head["n"].to_numpy() + 0.5) / below), 0.0], np.r_[head["bits"].to_numpy(), 0.0],
+    ]
+    shared = docs.sparkSession.sparkContext.broadcast(head)
     schema = pa.schema([
-        ("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()),
-        ("bits", pa.float64()), ("bytes", pa.int64()), ("tail", pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32())]))),
+        ("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("bits", pa.float64()),
+        ("bytes", pa.int64()), ("tail", pa.list_(pa.struct([("word", pa.binary()), ("kind", pa.int32()), ("times", pa.int32())]))),
     ])
-    spec = "row long, doc_id long, n_tokens long, n_known long, base_score double, bits double, bytes long, tail array<struct<word:binary,times:int>>"
+    spec = (
+        "row long, doc_id long, n_tokens long, n_known long, base_score double, bits double, bytes long, "
+        "tail array<struct<word:binary,kind:int,times:int>>"
+    )
 
     def run(batches):
-        model, head = shared.value
+        head, base, bits = shared.value  # the last of base and bits, 0, stands for pairs that have to be joined
         context = TaskContext.get()
         number = (context.partitionId() if context else 0) << 33
-        cache: dict[tuple[int, bytes], int] = {}
-        bits, base = np.zeros(0), np.zeros(0)
         for batch in sliced(batches, "text"):
-            every = [pairs_of(text) for text in texts_of(batch.column("text"))]
-            asked = {pair for _, pairs in every for pair in pairs}
-            new = [pair for pair in asked if pair not in cache]
-            if len(cache) + len(new) > CACHE_PAIRS:
-                stay = [pair for pair in asked if pair in cache]
-                places = [cache[pair] for pair in stay]
-                bits, base = bits[places], base[places]
-                cache = {pair: i for i, pair in enumerate(stay)}
-            cache.update(zip(new, range(len(cache), len(cache) + len(new)), strict=True))
-            bits = np.concatenate([bits, model.sizes(new)])
-            # The base score of a frequent word; NaN where the count has to be joined.
-            base = np.concatenate([base, [math.log10((head[word] + 0.5) / below) if word in head else math.nan for _, word in new]])
-            found, words_out, times_out, offsets = [], [], [], [0]
-            for key, (words, pairs) in zip(batch.column("doc_id").to_pylist(), every, strict=True):
-                places = np.fromiter(map(cache.__getitem__, pairs), np.int64, len(pairs))
-                values = base[places]
-                rare = np.isnan(values)
-                if rare.any():
-                    for word, times in Counter([words[i] for i in np.flatnonzero(rare).tolist()]).items():
-                        words_out.append(word)
-                        times_out.append(times)
-                offsets.append(len(words_out))
-                found.append((
-                    number, key, len(words), int((~rare).sum()), float(values[~rare].sum()), float(bits[places].sum()), sum(map(len, words)) + len(words) - 1,
-                ))
-                number += 1
-            columns = [pa.array(c, field.type) for c, field in zip(zip(*found, strict=True), schema, strict=False)]
-            pairs = pa.StructArray.from_arrays([pa.array(words_out, pa.binary()), pa.array(times_out, pa.int32())], names=["word", "times"])
-            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)], schema=schema)
+            keys, numbers = pairs_in(batch.column("text"))
+            coded = keys.dictionary_encode()
+            distinct, codes = coded.dictionary, coded.indices.to_numpy()
+            place = pc.fill_null(pc.index_in(distinct, value_set=head), -1).to_numpy()
+            starts = np.cumsum(numbers) - numbers
+            per_text = lambda values: np.add.reduceat(values[codes], starts)  # noqa: B023, E731
+            sizes = np.asarray(pc.binary_length(distinct)).astype(np.int64)
+            rare = np.flatnonzero((place < 0)[codes])
+            spots, times = np.unique(np.repeat(np.arange(len(numbers)), numbers)[rare] * len(distinct) + codes[rare], return_counts=True)
+            kinds, words = parted(distinct.take(pa.array(spots % len(distinct))))
+            tail = pa.StructArray.from_arrays([words, kinds, pa.array(times.astype(np.int32))], names=["word", "kind", "times"])
+            offsets = np.searchsorted(spots, np.arange(len(numbers) + 1) * len(distinct)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.arange(number, number + len(numbers))), batch.column("doc_id"), pa.array(numbers), pa.array(per_text((place >= 0).astype(np.int64))),
+                pa.array(per_text(base[place])), pa.array(per_text(bits[place])), pa.array(per_text(sizes) - 1), pa.ListArray.from_arrays(pa.array(offsets), tail),
+            ], schema=schema)
+            number += len(numbers)
 
     scored = write_shared(rows.mapInArrow(run, spec), "scored")
-    tail = scored.select("row", F.inline("tail")).join(vocabulary.select("word", "n"), "word", "left")
-    value = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(below))
+    tail = scored.select("row", F.inline("tail")).join(pairs.select("word", "kind", "n", "bits"), ["word", "kind"])
+    value = F.log10((F.col("n") + 0.5) / F.lit(below))
     tail = tail.groupBy(F.col("row").alias("_row")).agg(
-        F.sum(F.col("times") * value).alias("tail_score"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("tail_known")
+        F.sum(F.col("times") * value).alias("tail_score"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("tail_known"),
+        F.sum(F.col("times") * F.col("bits")).alias("tail_bits"),
     )
     joined = scored.join(tail, F.col("row") == F.col("_row"), "left")
+    bits = F.col("bits") + F.coalesce("tail_bits", F.lit(0.0))
     return joined.select(
         "doc_id", (crc_fold(F.col("doc_id"), held_out[0]) == held_out[1]).alias("held_out"), "n_tokens",
         (F.col("n_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("tail_score", F.lit(0.0))).alias("base_score"),
-        (-F.col("bits") * math.log10(2)).alias("score"), (F.col("bits") / F.col("bytes")).alias("bits_per_byte"),
+        (-bits * math.log10(2)).alias("score"), (bits / F.col("bytes")).alias("bits_per_byte"),
     )

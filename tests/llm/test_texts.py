@@ -314,6 +314,65 @@ def test_context_mixing(docs, doc_rows, no_docs):
     assert context_mixing.score(no_docs).count() == 0
 
 
+def test_each_pair_is_predicted_once_for_all_tasks(docs, doc_rows, monkeypatch, tmp_path):
+    import uuid
+    from types import SimpleNamespace
+
+    from pyspark import cloudpickle
+
+    plain, folder = context_mixing.Model, str(tmp_path)
+
+    class Logged:
+        def __init__(self, *parts):
+            model = plain(*parts)
+
+            def sizes(pairs):
+                with open(f"{folder}/{uuid.uuid4().hex}", "w") as out:
+                    out.write(str(len(pairs)))
+                return model.sizes(pairs)
+
+            self.sizes = sizes
+
+        def __reduce__(self):
+            return cloudpickle.loads, (cloudpickle.dumps(SimpleNamespace(sizes=self.sizes)),)
+
+    monkeypatch.setattr(context_mixing, "Model", Logged)
+    assert context_mixing.score(docs.repartition(4)).count() == len(doc_rows)
+    pairs = {pair for row in doc_rows for pair in context_mixing.pairs_of((row[1] or "").encode())[1]}
+    assert sum(int(file.read_text()) for file in tmp_path.iterdir()) == len(pairs)
+
+
+def test_joined_pairs_score_like_broadcast_ones(docs, monkeypatch):
+    """Scores do not depend on which pairs are broadcast: none, some and all."""
+    found = []
+    for most in (0, 60, context_mixing.HEAD_PAIRS):
+        monkeypatch.setattr(context_mixing, "HEAD_PAIRS", most)
+        found.append({r["doc_id"]: r for r in context_mixing.score(docs).collect()})
+    for key, first in found[0].items():
+        for other in (found[1][key], found[2][key]):
+            assert (first["n_tokens"], first["n_known"]) == (other["n_tokens"], other["n_known"])
+            for name in ("base_score", "score", "bits_per_byte"):
+                assert math.isclose(first[name], other[name], rel_tol=1e-9), (key, name)
+
+
+def test_pairs_of_a_column_are_those_of_its_texts():
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    for _ in range(200):
+        texts = [
+            None if rng.random() < 0.1 else "".join(rng.choice("aB.é9 \n\t\v\f\r\x1c\x00") for _ in range(rng.choice([0, 1, 2, 5, 30]))) for _ in range(rng.randint(2, 8))
+        ]
+        for column, held in ((pa.array(texts, pa.string()), texts), (pa.array(texts, pa.string()).slice(1, len(texts) - 2), texts[1:-1])):
+            keys, numbers = context_mixing.pairs_in(column)
+            expected = [context_mixing.pairs_of(None if text is None else text.encode())[1] for text in held]
+            assert numbers.tolist() == [len(pairs) for pairs in expected]
+            every = [pair for pairs in expected for pair in pairs]
+            assert keys.to_pylist() == [b"%c%b" % pair for pair in every]
+            kinds, words = context_mixing.parted(keys)
+            assert list(zip(kinds.to_pylist(), words.to_pylist(), strict=True)) == every
+
+
 def test_bits_of_all_words_are_a_distribution():
     """The probabilities of all single bytes at one place add up to one."""
     import numpy as np
