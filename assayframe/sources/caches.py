@@ -11,6 +11,9 @@ Records are ordered by (generation, file, line).  ``compact`` writes the last
 records of all generations so far as one; generations committed meanwhile still
 come after it.  A folder without commits is read as plain files in the order in
 which they were last written.
+
+Lines are stored compressed.  A compressed file is read by one task, so a file
+holds at most ``FILE_LINES`` lines.
 """
 
 from __future__ import annotations
@@ -20,17 +23,19 @@ import uuid
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from assayframe.functions.strictjson import sorted_json, strict_json
 from assayframe.sources.runlogs import RESULT, read_log_lines
-from assayframe.sources.storage import create_once, hadoop_path
+from assayframe.sources.storage import create_once, hadoop_path, shuffles_dropped
 
 CACHE_LINE = f"`key` array<string>, result {RESULT}, _bad string"
 KEY = ("candidate_id", "property", "backend", "source")
 STORED = ("candidate_id", "property", "status", "value", "unit", "n_replicates", "spread", "backend", "source", "provenance_tier", "reason")
+# Lines of a stored file.
+FILE_LINES = 250_000
 COMMIT = "generation long, batch string, folder string, covers long"
 
 
@@ -73,14 +78,29 @@ def _commit(spark: SparkSession, path: str, batch: str, folder: str, covers: int
             return Committed(number, False)
 
 
+def _line(key: Column, fields: dict[str, Column]) -> Column:
+    """The canonical text of a cache line."""
+    return sorted_json({"key": key, "result": F.struct(*[fields[name].alias(name) for name in sorted(fields)])})
+
+
+def _line_of(key: str, result: str) -> Column:
+    """The canonical text of a record that was read."""
+    fields = {name: F.col(f"{result}.{name}") for name in (*STORED, "cached")}
+    return _line(F.col(key), fields | {"cost": F.struct(f"{result}.cost.cpu_hours", f"{result}.cost.evals")})
+
+
 def cache_line(results: DataFrame) -> DataFrame:
     """The ok and missing answers that were looked up afresh, as cache lines marked uncached, beside their columns."""
     fresh = results.where(F.col("status").isin("ok", "missing") & ~F.col("cached"))
     fields = {name: F.col(name) for name in STORED}
     fields["cached"] = F.lit(False)
     fields["cost"] = F.struct(F.col("cpu_hours").alias("cpu_hours"), F.col("evals").alias("evals"))
-    line = sorted_json({"key": F.array(*KEY), "result": F.struct(*[fields[name].alias(name) for name in sorted(fields)])})
-    return fresh.withColumn("_line", line)
+    return fresh.withColumn("_line", _line(F.array(*KEY), fields))
+
+
+def _write_lines(lines: DataFrame, path: str) -> None:
+    with shuffles_dropped(lines.sparkSession):
+        lines.write.option("compression", "gzip").option("maxRecordsPerFile", FILE_LINES).text(path)
 
 
 def append_cache(results: DataFrame, path: str, batch: str | None = None, order: Sequence[str] = KEY[:2]) -> Committed:
@@ -95,8 +115,10 @@ def append_cache(results: DataFrame, path: str, batch: str | None = None, order:
         if commit.batch == batch:
             return Committed(commit.generation, True)
     folder = f"lines/{uuid.uuid4().hex}"
-    lines = cache_line(results).repartitionByRange(*order).sortWithinPartitions(*order)
-    lines.select(F.col("_line").alias("value")).write.text(f"{path}/{folder}")
+    # Columns move, which are far smaller than the lines that are made of them.
+    fresh = results.where(F.col("status").isin("ok", "missing") & ~F.col("cached"))
+    ordered = fresh.repartitionByRange(*order).sortWithinPartitions(*order)
+    _write_lines(cache_line(ordered).select(F.col("_line").alias("value")), f"{path}/{folder}")
     return _commit(spark, path, batch, folder, 0)
 
 
@@ -113,8 +135,10 @@ def _checked(lines: DataFrame, *order: str) -> DataFrame:
     """``key``, ``result`` and the order of every line; a bad line fails the job and names its position."""
     record = F.from_json("value", CACHE_LINE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     parsed = lines.where(F.trim("value") != "").withColumn("r", record)
+    # A text that its own record spells again is strict JSON; only others are parsed for it.
+    same = F.coalesce(F.col("value") == _line_of("r.key", "r.result"), F.lit(False))
     sound = (
-        strict_json("value") & F.col("r._bad").isNull() & (F.size("r.key") == len(KEY)) & F.col("r.result.status").isNotNull()
+        F.when(same, True).otherwise(strict_json("value")) & F.col("r._bad").isNull() & (F.size("r.key") == len(KEY)) & F.col("r.result.status").isNotNull()
         & F.col("r.result.cached").isNotNull() & F.col("r.result.cost").isNotNull()
     )
     complaint = F.concat(F.col("file"), F.lit(":"), F.col("line"), F.lit(": malformed cache line"))
@@ -147,8 +171,10 @@ def read_cache(spark: SparkSession, path: str, as_of: int | None = None) -> Data
     numbers = [(commit.folder.rsplit("/", 1)[1], commit.covers or commit.generation) for commit in live]
     generations = spark.createDataFrame(numbers, "_token string, generation long")
     lines = read_log_lines(spark, [f"{path}/{commit.folder}" for commit in live])
-    lines = lines.withColumn("_token", F.element_at(F.split("file", "/"), -2)).join(generations, "_token")
-    return _last(_checked(lines, "generation", "file", "line"))
+    # One row per generation travels: a join that moves the lines would put those of a generation into one task.
+    parts = F.split("file", "/")
+    lines = lines.withColumns({"_token": F.element_at(parts, -2), "_name": F.element_at(parts, -1)}).join(F.broadcast(generations), "_token")
+    return _last(_checked(lines, "generation", "_name", "line"))
 
 
 def compact(spark: SparkSession, path: str) -> Committed | None:
@@ -158,10 +184,8 @@ def compact(spark: SparkSession, path: str) -> Committed | None:
     if len(live_commits(known)) < 2:
         return None
     folder = f"lines/{uuid.uuid4().hex}"
-    fields = sorted([*STORED, "cached", "cost"])
-    result = F.struct(*[F.col(f"result.{name}").alias(name) for name in fields])
-    line = sorted_json({"key": F.array(*KEY), "result": result.withField("cost", F.struct("result.cost.cpu_hours", "result.cost.evals"))})
-    read_cache(spark, path).select(line.alias("value")).write.text(f"{path}/{folder}")
+    latest = read_cache(spark, path).select(F.array(*KEY).alias("key"), "result")
+    _write_lines(latest.select(_line_of("key", "result").alias("value")), f"{path}/{folder}")
     return _commit(spark, path, f"compaction-{newest}-{uuid.uuid4().hex}", folder, newest)
 
 

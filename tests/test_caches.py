@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from assayframe.sources import caches
+from assayframe.sources import caches, storage
 
 SPEC = (
     "candidate_id string, property string, backend string, source string, provenance_tier string, status string, value double, unit string, "
@@ -135,3 +136,44 @@ def test_plain_files_are_read_in_the_order_of_their_writing(spark, tmp_path):
     assert values(spark, str(tmp_path / "plain")) == {"k": 2.0}
     os.utime(tmp_path / "plain/b.jsonl", (900_000, 900_000))
     assert values(spark, str(tmp_path / "plain")) == {"k": 1.0}
+
+
+def test_stored_lines_are_small_and_do_not_move_to_be_ordered(spark, tmp_path, monkeypatch):
+    """Lines are stored compressed, in files that one task can read, and only one row per generation travels to order them."""
+    monkeypatch.setattr(caches, "FILE_LINES", 3, raising=False)
+    path = str(tmp_path / "cache")
+    rows = answers(spark, *[(f"k{i % 20}", float(i)) for i in range(400)]).coalesce(1)
+    caches.append_cache(rows, path, "one", order=["n"])
+    caches.append_cache(rows.where("n < 10").withColumn("value", F.lit(-1.0)), path, "two", order=["n"])
+    files = [file for file in (tmp_path / "cache/lines").rglob("*") if file.name.startswith("part-")]
+    assert len(files) > 130 and all(file.suffix == ".gz" for file in files)
+    assert values(spark, path) == {f"k{i}": -1.0 if i < 10 else 380.0 + i for i in range(20)}
+    assert "SortMergeJoin" not in caches.read_cache(spark, path)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_line_in_another_spelling_is_still_checked(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    caches.append_cache(answers(spark, ("a", 1.0)), path, "one")
+    folder = next((tmp_path / "cache/lines").iterdir())
+    line = '{"result": {"status": "ok", "value": 2.0, "cached": false, "cost": {"evals": 1, "cpu_hours": 0.0}}, "key": ["b", "p", "table", "s"]%s}'
+    (folder / "part-a.txt").write_text(line % "" + "\n")
+    assert values(spark, path) == {"a": 1.0, "b": 2.0}
+    (folder / "part-b.txt").write_text(line % ', "key": ["c", "p", "table", "s"]' + "\n")
+    with pytest.raises(Exception, match="part-b.txt:1: malformed cache line"):
+        values(spark, path)
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_what_is_written_leaves_no_shuffle_files(spark, tmp_path):
+    before, setting = shuffle_files(spark), spark.conf.get(storage._SHUFFLE_CLEANUP, None)
+    caches.append_cache(answers(spark, *[(f"k{i}", 1.0) for i in range(50)]), str(tmp_path / "cache"), "one")
+    storage.write_shared(spark.range(1000).repartition(5, "id"), "kept")
+    until = time.time() + 20  # files go in the background
+    while shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.1)
+    assert shuffle_files(spark) <= before
+    assert spark.conf.get(storage._SHUFFLE_CLEANUP, None) == setting
