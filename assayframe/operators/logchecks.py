@@ -347,43 +347,43 @@ def expected_sequence(plan: DataFrame) -> DataFrame:
     """The events a plan records, one row per event: ``run_id, iteration, pos, event, beam, candidate_id, listed``.
 
     ``plan`` has one row per planned candidate (``beam_pos, cand_pos``), and one
-    row with a NULL candidate for an empty beam.  Positions are arithmetic: a
-    beam takes one row plus one per candidate, so only the handful of beams of
-    an iteration is ever ordered together.
+    row with a NULL candidate for an empty beam.
     """
     key = ["run_id", "iteration"]
-    # Said here once, the joins below infer nothing new and all branches share one shuffle of the plan.
-    plan = plan.dropna(subset=[*key, "beam_pos"])
-    beams = plan.groupBy(*key, "beam_pos", "beam").agg(
-        F.count("candidate_id").alias("n"),
+    beams = plan.dropna(subset=[*key, "beam_pos"]).groupBy(*key, "beam_pos", "beam").agg(
         # A plan lists at most a thousand candidates in a beam.
-        F.transform(
-            F.array_sort(F.collect_list(F.when(F.col("candidate_id").isNotNull(), F.struct("cand_pos", "candidate_id")))), lambda c: c["candidate_id"]
-        ).alias("listed"),
+        F.array_sort(F.collect_list(F.when(F.col("candidate_id").isNotNull(), F.struct("cand_pos", "candidate_id")))).alias("_chosen")
     )
-    earlier = Window.partitionBy(*key).orderBy("beam_pos").rowsBetween(Window.unboundedPreceding, -1)
-    starts = beams.withColumn("start", F.coalesce(F.sum(F.col("n") + 1).over(earlier), F.lit(0)) + 1)
-    candidate_type = plan.schema["candidate_id"].dataType
-    no_candidate = F.lit(None).cast(candidate_type)
-    nothing = F.lit(None).cast(T.ArrayType(candidate_type))
-    chosen = starts.select(
-        *key, F.col("start").alias("pos"), F.when(F.col("n") == 0, NO_MATCH).otherwise(SELECTION).alias("event"),
-        "beam", no_candidate.alias("candidate_id"), F.when(F.col("n") > 0, F.col("listed")).alias("listed"),
+    return listed_sequence(beams.withColumn("listed", F.transform("_chosen", lambda c: c["candidate_id"])))
+
+
+def listed_sequence(beams: DataFrame, *also: str) -> DataFrame:
+    """``expected_sequence`` of planned beams (``run_id, iteration, beam_pos, beam, listed``), which list their candidates in order.
+
+    ``also`` names columns that tell several plans of an iteration apart.
+    Positions are arithmetic: a beam takes one row plus one per candidate, so
+    only the handful of beams of an iteration is ever ordered together.  Every
+    event unfolds from its beam, the first beam of an iteration opens it and the
+    last one closes it, so nothing moves where an iteration's beams are together.
+    """
+    key = ["run_id", "iteration", *also]
+    in_order = Window.partitionBy(*key).orderBy("beam_pos")
+    n, before = F.size("listed"), in_order.rowsBetween(Window.unboundedPreceding, -1)
+    placed = beams.select(
+        *key, "beam", "listed", n.alias("_n"), (F.coalesce(F.sum(n + 1).over(before), F.lit(0)) + 1).alias("_start"),
+        F.lead(F.lit(True)).over(in_order).isNull().alias("_closes"),
     )
-    evaluated = plan.where(F.col("candidate_id").isNotNull()).join(
-        starts.select(*key, "beam_pos", "start"), [*key, "beam_pos"]
-    ).select(
-        *key, (F.col("start") + 1 + F.col("cand_pos")).alias("pos"), F.lit(EVALUATION).alias("event"), "beam", "candidate_id",
-        nothing.alias("listed"),
+    none = F.array(F.lit(None)).cast(beams.schema["listed"].dataType)
+    opens, nothing = F.col("_start") == 1, F.slice(none, 1, 0)
+    events = F.concat(F.when(opens, none).otherwise(nothing), none, F.col("listed"), F.when(F.col("_closes"), none).otherwise(nothing))
+    rows = placed.select("*", F.posexplode(events).alias("_at", "candidate_id"))
+    place = F.col("_at") - opens.cast("int")  # -1 opens, 0 selects, what follows the candidates closes
+    event = F.when(place < 0, ITERATION_OPENED).when(place > F.col("_n"), ITERATION_CLOSED).when(place > 0, EVALUATION)
+    return rows.select(
+        *key, (F.col("_start") + place).alias("pos"), event.when(F.col("_n") > 0, SELECTION).otherwise(NO_MATCH).alias("event"),
+        F.when((place >= 0) & (place <= F.col("_n")), F.col("beam")).alias("beam"), "candidate_id",
+        F.when((place == 0) & (F.col("_n") > 0), F.col("listed")).alias("listed"),
     )
-    ends = starts.groupBy(*key).agg((F.sum(F.col("n") + 1) + 1).alias("last"))
-    frame = ends.select(
-        *key, F.inline(F.array(
-            F.struct(F.lit(0).cast("long").alias("pos"), F.lit(ITERATION_OPENED).alias("event")),
-            F.struct(F.col("last").alias("pos"), F.lit(ITERATION_CLOSED).alias("event")),
-        )),
-    ).select(*key, "pos", "event", F.lit(None).cast("string").alias("beam"), no_candidate.alias("candidate_id"), nothing.alias("listed"))
-    return chosen.unionByName(evaluated).unionByName(frame)
 
 
 def recorded_sequence(events: DataFrame) -> DataFrame:
@@ -404,17 +404,21 @@ def replay_differences(recorded: DataFrame, expected: DataFrame) -> DataFrame:
     A recorded iteration may stop early (it is a prefix of the plan), so planned
     events beyond it are no difference.
     """
+    names = ["run_id", "iteration", "pos", "event", "beam", "candidate_id", "listed"]
+    sides = [side.select(*names, F.lit(mark).alias("recorded")) for side, mark in ((recorded, True), (expected, False))]
+    return side_differences(sides[0].unionByName(sides[1]))
+
+
+def side_differences(events: DataFrame) -> DataFrame:
+    """``replay_differences`` of one table of recorded events and planned ones (not ``recorded``): nothing moves where both lie together."""
     key = ["run_id", "iteration"]
-    ours = expected.select(*key, "pos", *[F.col(n).alias(f"_{n}") for n in ("event", "beam", "candidate_id", "listed")])
-    joined = recorded.join(ours, [*key, "pos"], "left")
-    same = F.lit(True)
-    for name in ("event", "beam", "candidate_id", "listed"):
-        same = same & F.col(name).eqNullSafe(F.col(f"_{name}"))
-    differing = joined.where(~same).select(
-        *key, F.struct("pos", F.col("event").alias("recorded"), F.coalesce("_event", F.lit("(end of plan)")).alias("planned")).alias("d")
+    content = F.struct("event", "beam", "candidate_id", "listed")
+    planned = F.max(F.when(~F.col("recorded"), content)).over(Window.partitionBy(*key, "pos"))  # at most one
+    differing = events.select(*key, "pos", "event", "recorded", content.alias("_ours"), planned.alias("_planned")).where(
+        F.col("recorded") & ~F.col("_ours").eqNullSafe(F.col("_planned"))
     )
-    first = differing.groupBy(*key).agg(F.min("d").alias("d"))
-    return first.select(*key, "d.pos", "d.recorded", "d.planned")
+    d = F.struct("pos", F.col("event").alias("recorded"), F.coalesce("_planned.event", F.lit("(end of plan)")).alias("planned"))
+    return differing.groupBy(*key).agg(F.min(d).alias("d")).select(*key, "d.pos", "d.recorded", "d.planned")
 
 
 def provenance_differences(headers: DataFrame, running_facts: Mapping[str, str]) -> DataFrame:

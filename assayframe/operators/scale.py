@@ -43,6 +43,8 @@ PERCENTILE_ROWS = 100_000
 MIN_PIECES = 128
 MOST_BRANCHES = 1024
 SKETCH_ACCURACY = 2_000
+# Rows of a part whose rows are brought together by key.
+PLACE_ROWS = 1_000_000
 # Width of a chunk over integer positions: a chunk holds at most this many distinct positions.
 POSITION_WIDTH = 1_000_000
 
@@ -97,6 +99,12 @@ def chunk_of(column: Column, points: Sequence) -> Column:
     return branch(0, len(points))
 
 
+def together(df: DataFrame, keys: Sequence[str], rows_bound: int) -> DataFrame:
+    """The rows of a key in one place, in parts of about ``PLACE_ROWS`` rows, so that what unfolds from a part can be ordered in memory."""
+    parts = math.ceil(rows_bound / PLACE_ROWS)
+    return df.repartition(parts, *keys) if parts > df.sparkSession.sparkContext.defaultParallelism else df.repartition(*keys)
+
+
 def position_chunk(column: str | Column) -> Column:
     """Chunk of an integer position."""
     column = F.col(column) if isinstance(column, str) else column

@@ -223,6 +223,43 @@ def test_replay_conformance(spark, write_log):
     assert differences(golden_records(plan=longer)) == [(1, 8, "no_match", "iteration_closed"), ]
 
 
+def test_several_plans_of_an_iteration_side_by_side(spark):
+    """Two plans told apart by a column unfold as each does alone, empty beams too."""
+    beams = [("r", 1, i, beam, ids) for i, (beam, ids) in enumerate([("a", ["x", "y"]), ("b", []), ("c", ["z"])])]
+    schema = "run_id string, iteration long, beam_pos int, beam string, listed array<string>"
+    plans = {True: beams[:2], False: beams, None: [("r", 2, 0, "d", [])]}
+    alone = {mark: sorted(map(repr, rows_of(checks.listed_sequence(spark.createDataFrame(rows, schema))))) for mark, rows in plans.items()}
+    both = spark.createDataFrame([(*row, mark) for mark, rows in plans.items() for row in rows], schema + ", recorded boolean")
+    names = ["run_id", "iteration", "pos", "event", "beam", "candidate_id", "listed"]
+    unfolded = checks.listed_sequence(both, "recorded").withColumn("mark", F.col("recorded")).drop("recorded")
+    assert {mark: sorted(map(repr, rows_of(unfolded.where(F.col("mark").eqNullSafe(F.lit(mark))).select(*names)))) for mark in plans} == alone
+    assert [(r["pos"], r["event"], r["beam"], r["candidate_id"], r["listed"]) for r in checks.listed_sequence(spark.createDataFrame(beams, schema)).orderBy("pos").collect()] == [
+        (0, "iteration_opened", None, None, None), (1, "selection", "a", None, ["x", "y"]), (2, "evaluation", "a", "x", None), (3, "evaluation", "a", "y", None),
+        (4, "no_match", "b", None, None), (5, "selection", "c", None, ["z"]), (6, "evaluation", "c", "z", None), (7, "iteration_closed", None, None, None),
+    ]
+    marked = both.where("recorded IS NOT NULL")
+    found = rows_of(checks.side_differences(checks.listed_sequence(marked, "recorded")))
+    assert found == [("r", 1, 5, "iteration_closed", "selection")]
+
+
+def test_lines_move_once_to_be_replayed(spark):
+    """Both sequences unfold from one table: the tables are joined once, and its lines are brought together once."""
+    from assayframe.plans import runs
+
+    with_joins = {"spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name) for name in with_joins}
+    for name, value in with_joins.items():
+        spark.conf.set(name, value)
+    try:
+        for query, scans in ((runs.replay_conformance, 2), (runs.expected_events, 2)):
+            plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+            full = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+            assert (plan.count("FileScan parquet"), full.count("Exchange ")) == (scans, 3)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def test_plan_rules(spark):
     plans = plan_frame(spark).withColumn("n_iterations", F.lit(2).cast("long"))
     assert checks.plan_violations(plans).count() == 0
