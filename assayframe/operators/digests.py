@@ -21,12 +21,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayframe.sources.storage import write_shared
+from assayframe.sources.storage import shuffles_dropped, write_shared
 
 # Bits by which the tree widens per level, rows a leaf should hold, and folders that the rows are laid out in.
 LEVEL_BITS, LEAF_ROWS, MOST_FOLDERS = 4, 512, 256
 LIMBS = 8
 SLOT, FOLDER = "_slot", "_folder"
+SIMPLE = ("string", "tinyint", "smallint", "int", "bigint", "double", "float", "boolean", "date", "timestamp", "decimal")
 
 
 class Stored(NamedTuple):
@@ -53,13 +54,16 @@ class Shape(NamedTuple):
         return sorted({0, *range(self.leaf_bits, 0, -LEVEL_BITS)})
 
 
+def _is_simple(kind: str) -> bool:
+    return kind.split("(")[0] in SIMPLE
+
+
 def _content(columns: Sequence[str], kinds: dict[str, str]) -> Column:
     """One text per row content: lengths keep neighbouring columns apart, and -0.0 counts as 0.0 as it does in a join."""
     parts = []
     for name in columns:
         value = F.col(name) + F.lit(0.0) if kinds[name] in ("double", "float") else F.col(name)
-        simple = kinds[name].split("(")[0] in ("string", "tinyint", "smallint", "int", "bigint", "double", "float", "boolean", "date", "timestamp", "decimal")
-        text = value.cast("string") if simple else F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"})
+        text = value.cast("string") if _is_simple(kinds[name]) else F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"})
         parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("~")))
     return F.concat(*parts) if parts else F.lit("")
 
@@ -81,17 +85,18 @@ def store(df: DataFrame, key: Sequence[str], path: str, shape: Shape | None = No
     # 62 bits of the key's hash, of which the first ones number the leaf.
     hashed = F.shiftrightunsigned(F.xxhash64(*[F.col(name) for name in key]), 2)
     slot = F.shiftright(hashed, 62 - shape.leaf_bits)
-    rows = written.withColumn(SLOT, slot).withColumn(FOLDER, F.shiftright(SLOT, shape.leaf_bits - shape.folder_bits))
-    # Ranges of leaves: a folder with many rows is written by several tasks, and row groups know their leaves.
-    laid = rows.repartitionByRange(FOLDER, SLOT, *key).sortWithinPartitions(FOLDER, SLOT)
-    laid.write.partitionBy(FOLDER).parquet(f"{path}/rows")
+    # Ranges of leaves, and so of folders: a folder with many rows is written by several tasks, and row groups know their leaves.
+    rows = written.repartitionByRange(slot, *key).withColumn(SLOT, slot).withColumn(FOLDER, F.shiftright(SLOT, shape.leaf_bits - shape.folder_bits))
+    with shuffles_dropped(df.sparkSession):
+        rows.sortWithinPartitions(FOLDER, SLOT).write.partitionBy(FOLDER).parquet(f"{path}/rows")
     stored = df.sparkSession.read.schema(rows.schema).parquet(f"{path}/rows")
     kinds = dict(df.dtypes)
     digest = F.sha2(_content(sorted(df.columns), kinds), 256)
     names = [f"d{i}" for i in range(LIMBS)]
     sums = [F.sum(name).alias(name) for name in names]
     leaves = stored.select(SLOT, digest.alias("_digest")).select(SLOT, *_limbs(F.col("_digest"))).groupBy(F.col(SLOT).alias("node")).agg(F.count("*").alias("n"), *sums)
-    leaves.select(F.lit(shape.leaf_bits).alias("bits"), "node", "n", *names).write.partitionBy("bits").parquet(f"{path}/tree")
+    with shuffles_dropped(df.sparkSession):
+        leaves.select(F.lit(shape.leaf_bits).alias("bits"), "node", "n", *names).write.partitionBy("bits").parquet(f"{path}/tree")
     below = shape.leaf_bits
     for bits in sorted(set(shape.levels()) - {shape.leaf_bits}, reverse=True):
         level = read_level(df.sparkSession, path, below)
@@ -149,12 +154,16 @@ def differences(spark: SparkSession, one: Stored, other: Stored, key: Sequence[s
     names = [name for name in one.schema.names if name not in (*key, SLOT, FOLDER)]
     kinds = {field.name: field.dataType.simpleString() for field in one.schema}
     everything = sorted([*key, *names])
-    # Bags: each content with its count, so a key that repeats a row millions of times is one row here.
+    # Bags: each content with its count, so a key that repeats a row millions of times is one row here.  Plain values are their
+    # own content and move without a hash, which is larger than they are.
+    plain = all(_is_simple(kinds[name]) for name in everything)
+    same = names if plain else ["_hash"]
     sides = []
     for stored, sign in ((one, 1), (other, -1)):
-        rows = rows_in_doubt(stored, leaves)
-        sides.append(rows.select(*key, *names, F.sha2(_content(everything, kinds), 256).alias("_hash"), F.lit(sign).alias("_sign")))
-    bags = sides[0].unionByName(sides[1]).groupBy(*key, "_hash").agg(F.sum("_sign").alias("_left"), *[F.first(name).alias(name) for name in names])
+        hashed = [] if plain else [F.sha2(_content(everything, kinds), 256).alias("_hash")]
+        sides.append(rows_in_doubt(stored, leaves).select(*key, *names, *hashed, F.lit(sign).alias("_sign")))
+    kept = [] if plain else [F.first(name).alias(name) for name in names]
+    bags = sides[0].unionByName(sides[1]).groupBy(*key, *same).agg(F.sum("_sign").alias("_left"), *kept)
     surplus = bags.where("_left <> 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.abs("_left"))))
     order = Window.partitionBy(*key, "_side").orderBy(*names, "_copy")
     surplus = surplus.withColumn("_side", F.col("_left") > 0).withColumn("_place", F.row_number().over(order))

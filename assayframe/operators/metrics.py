@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from assayframe.functions.columns import ceil_div, exact_sum
 from assayframe.operators.filters import holds
 from assayframe.operators.logchecks import EVALUATION, ITERATION_CLOSED, NO_MATCH, RUN_CLOSED, RUN_OPENED, SELECTION
-from assayframe.operators.scale import chunk_of, cut_points, fits_one_map, fits_one_task, group_quantiles, running
-from assayframe.sources.storage import cut_lineage
+from assayframe.operators.scale import Split, chunk_of, cut_points, fits_one_map, fits_one_task, group_quantiles, running, split_by_group_size
+from assayframe.sources.storage import write_shared
 
 BEAM = ["run_id", "iteration", "beam"]
 # The shares of the feasible members that count as top hits.
@@ -81,17 +81,28 @@ def thresholds(
     )
 
 
+def _large_beams(picks: DataFrame, rows_bound: int | None) -> Split:
+    return Split(picks, None) if fits_one_map(rows_bound) else split_by_group_size(picks, BEAM)
+
+
 def beam_metrics(picks: DataFrame, *, rows_bound: int | None = None) -> DataFrame:
     """Per beam: selected, answered, median objective and feasible share."""
+    return _beam_table(picks, _large_beams(picks, rows_bound))
+
+
+def _beam_table(picks: DataFrame, split: Split, *also: Column) -> DataFrame:
+    """``beam_metrics`` with further aggregates; without large beams it is one grouping."""
     stats = [
         F.count("*").alias("n_selected"),
         F.count("objective").alias("n_ok"),
         F.count_if(F.coalesce("feasible", F.lit(False))).alias("n_feasible"),
+        *also,
     ]
-    if fits_one_map(rows_bound):
-        table = picks.groupBy(*BEAM).agg(*stats, F.median("objective").alias("median_objective"))
+    if split.hot is None:
+        # Picks are smaller than what a task would make of the few of a beam that it holds.
+        table = picks.select(*BEAM, "objective", "feasible").repartition(*BEAM).groupBy(*BEAM).agg(*stats, F.median("objective").alias("median_objective"))
     else:
-        medians = group_quantiles(picks, BEAM, {"median_objective": ("objective", 0.5)})
+        medians = group_quantiles(picks, BEAM, {"median_objective": ("objective", 0.5)}, split=split)
         table = picks.groupBy(*BEAM).agg(*stats).join(medians, BEAM, "left")
     return table.withColumn("feasible_frac", F.col("n_feasible") / F.col("n_selected")).drop("n_feasible")
 
@@ -118,9 +129,9 @@ def percent_worse(
         known = F.col("_v").isNotNull() & (F.col("_worse_all") > 0)
         return counted.select(*medians.columns, F.when(known, share).alias("pct_of_population"))
     # Any number of beams may share a median: both sides shrink to distinct values first.
-    placed = cut_lineage(placed)
+    placed = write_shared(placed, "placed-medians")
     ours = placed.where(F.col("_v").isNotNull()).select(*keys, "_v").distinct().withColumn("_m", F.lit(0).cast("long"))
-    values = cut_lineage(theirs.unionByName(ours).groupBy(*keys, "_v").agg(F.sum("_m").alias("_m")))
+    values = write_shared(theirs.unionByName(ours).groupBy(*keys, "_v").agg(F.sum("_m").alias("_m")), "placed-values")
     counted = running(values, keys, ["_v"], count, chunk=_value_chunk(values, "_v", None), totals=["_worse"])
     share = F.lit(100) * (F.col("_worse") - F.col("_m")) / F.col("_worse_all")
     shares = counted.select(*keys, "_v", F.when(F.col("_worse_all") > 0, share).alias("pct_of_population"))
@@ -181,12 +192,25 @@ def _spread_over_shared(
     """Beams against populations shared by all runs.
 
     The shared populations with their thresholds are a short, given list; it
-    travels as one row and unfolds beside every beam, and beside every pick.
+    travels as one row and unfolds beside every beam.  The good values of a beam
+    that is not large are listed with its other figures and compared there; large
+    beams unfold it beside every pick.
     """
     listed = populations.select("population").distinct().join(references, "population", "left").agg(
         F.array_sort(F.collect_list(F.struct("population", *TOP_DIVISORS))).alias("_listed")
     )
-    beams = reported.join(beam_metrics(picks, rows_bound=rows_bound), BEAM, "left").crossJoin(listed)  # one row
+    split = _large_beams(picks, rows_bound)
+    if split.hot is None:
+        good = F.collect_list(F.when(F.coalesce("feasible", F.lit(False)), F.col("objective"))).alias("_good")
+        beams = reported.join(_beam_table(picks, split, good), BEAM, "left").crossJoin(listed)  # one row
+
+        def hits_of(population: Column, name: str) -> Column:
+            good_enough = F.filter(F.coalesce("_good", F.array().cast("array<double>")), lambda value: sign * value >= sign * population[name])
+            return F.size(good_enough).cast("long").alias(f"hits_{name}")
+
+        unfolded = F.transform("_listed", lambda p: F.struct(p["population"].alias("population"), *[hits_of(p, name) for name in TOP_DIVISORS]))
+        return beams.select(*[name for name in beams.columns if name not in ("_listed", "_good")], F.inline(unfolded))
+    beams = reported.join(_beam_table(picks, split), BEAM, "left").crossJoin(listed)
     beams = beams.select(*[name for name in beams.columns if name != "_listed"], F.explode(F.col("_listed.population")).alias("population"))
     good = picks.where(F.coalesce("feasible", F.lit(False)) & F.col("objective").isNotNull()).crossJoin(listed)
     counted = good.select(*BEAM, "objective", F.inline("_listed")).groupBy(*BEAM, "population").agg(

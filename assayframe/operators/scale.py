@@ -36,6 +36,8 @@ TASK_ROWS = 4_000_000
 # larger groups that are worth telling apart from the rest.
 HOT_ROWS = 1_000_000
 MOST_HOT_GROUPS = 100_000
+# Buckets of groups that are counted first: if none of them is larger than a large group, no group is.
+SIZE_BUCKETS = 1 << 14
 # Rows up to which one ``percentile`` over a whole table beats the search for its rank.
 PERCENTILE_ROWS = 100_000
 # Least pieces that the values of a column are cut into, the accuracy of the sketch that places the cuts, and the most
@@ -331,6 +333,7 @@ class Split(NamedTuple):
 def split_by_group_size(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None, *, sized: DataFrame | None = None) -> Split:
     """Tell groups of more than ``hot_rows`` rows from the rest, by one narrow count.
 
+    Buckets of groups are counted before anything moves; groups are counted only if a bucket may hold a large one.
     ``sized`` may stand in for ``df`` in the count: rows with the same keys that
     are cheaper to read and at least as many per group.  The large groups are named in a broadcast, which their number allows: there
     are at most ``MOST_HOT_GROUPS``, or else all rows count as hot.
@@ -338,7 +341,11 @@ def split_by_group_size(df: DataFrame, keys: Sequence[str], hot_rows: int | None
     limit = HOT_ROWS if hot_rows is None else hot_rows
     if limit <= 0:
         return Split(None, df)
-    sizes = (df if sized is None else sized).groupBy(*[F.col(key).alias(f"_hot_{key}") for key in keys]).agg(F.count("*").alias("_n"))
+    counted = df if sized is None else sized
+    buckets = counted.groupBy(F.pmod(F.xxhash64(*keys), F.lit(SIZE_BUCKETS)).alias("_bucket")).agg(F.count("*").alias("_n"))
+    if (buckets.agg(F.max("_n")).first()[0] or 0) <= limit:
+        return Split(df, None)
+    sizes = counted.groupBy(*[F.col(key).alias(f"_hot_{key}") for key in keys]).agg(F.count("*").alias("_n"))
     large = cut_lineage(sizes.where(F.col("_n") > limit).drop("_n"))
     n = large.count()
     if n == 0:
@@ -364,9 +371,9 @@ def running_by_size(
 
 def group_quantiles(
     df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, float]], *, rows_bound: int | None = None,
-    hot_rows: int | None = None,
+    hot_rows: int | None = None, split: Split | None = None,
 ) -> DataFrame:
-    """Exact interpolated quantiles per key; ``wanted`` maps a name to ``(column, probability)``.
+    """Exact interpolated quantiles per key; ``wanted`` maps a name to ``(column, probability)``, ``split`` tells large keys if that is known.
 
     A key without any value may be absent.  Small groups use ``percentile``, the
     rows of large ones (more than ``hot_rows``, normally ``HOT_ROWS``) are ranked
@@ -379,7 +386,7 @@ def group_quantiles(
 
     if fits_one_map(rows_bound):
         return plain(df)
-    calm, hot = split_by_group_size(df, keys, hot_rows)
+    calm, hot = split_by_group_size(df, keys, hot_rows) if split is None else split
     if hot is None:
         return plain(calm)
     ranked = chunked_quantiles(hot, keys, wanted)

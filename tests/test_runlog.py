@@ -403,3 +403,17 @@ def test_a_run_without_a_beam_has_a_summary(spark, write_log):
     assert [(t["beam"], t["population"]) for t in full["trends"]] == [
         (beam, population) for beam in ("full", "random", "chem") for population in ("flagged", "triple")
     ]
+
+
+def test_run_metrics_reads_its_picks_once(spark, monkeypatch, tiny_tasks):
+    """The joined picks are written once; beams that are not large are one grouping, and large ones give the same."""
+    from assayframe.operators import scale
+    from assayframe.plans import runs
+
+    labels, real = [], runs.write_shared
+    monkeypatch.setattr(runs, "write_shared", lambda df, label: labels.append(label) or real(df, label), raising=False)
+    large = sorted(map(repr, runs.run_metrics(spark, "/root/testdata/sf0.001").collect()))
+    monkeypatch.setattr(scale, "HOT_ROWS", 1_000)  # no beam is large, but the tables are
+    calm = runs.run_metrics(spark, "/root/testdata/sf0.001")
+    assert sorted(map(repr, calm.collect())) == large
+    assert labels == ["picks", "picks"]

@@ -178,3 +178,16 @@ def test_columns_that_are_never_null_in_one_share_only(spark, tiny_tasks):
     df = spark.createDataFrame([("a", 1.0, None), ("a", 2.0, 5.0), ("b", 4.0, 7.0)], "k string, v double, w double").select("k", F.lit("x").alias("p"), F.coalesce("v", F.lit(0.0)).alias("v"), "w")
     got = scale.chunked_quantiles(df, ["k", "p"], {"m": ("v", 0.5), "n": ("w", 0.5)}).collect()
     assert sorted(tuple(row) for row in got) == [("a", "x", 1.5, 5.0), ("b", "x", 4.0, 7.0)]
+
+
+def test_group_sizes_are_bounded_before_groups_are_counted(spark, monkeypatch):
+    """If no bucket of groups is larger than a large group, groups are not counted; else they are told apart as ever."""
+    rows = spark.range(3000).select((F.col("id") % 300).alias("k"), "id")
+    cuts, real = [], scale.cut_lineage
+    monkeypatch.setattr(scale, "cut_lineage", lambda df: cuts.append(1) or real(df))
+    monkeypatch.setattr(scale, "SIZE_BUCKETS", 1 << 14, raising=False)
+    split = scale.split_by_group_size(rows, ["k"], 200)
+    assert (split.calm.count(), split.hot, cuts) == (3000, None, [])
+    hot = rows.unionByName(spark.range(500).select(F.lit(None).cast("long").alias("k"), "id"))
+    split = scale.split_by_group_size(hot, ["k"], 200)
+    assert (split.calm.count(), split.hot.count(), cuts) == (3000, 500, [1])
